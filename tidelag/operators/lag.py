@@ -8,13 +8,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidelag.functions import lag_case, lag_offsets, lag_seconds
-from tidelag.model import ARRAY_SLICE_BITS, SERIES, SLICE_BITS
+from tidelag.model import ARRAY_SLICE_BITS, FACT, SERIES, SLICE_BITS
 from tidelag.operators.nearest import NEIGHBOURS, nearest_in_arrays, nearest_salted, nearest_samples
 
 
 def valid_commits(committed: DataFrame) -> DataFrame:
     """Commits reported without an error and with a real offset."""
-    return committed.where((F.col("err_code") == 0) & (F.col("c_off") >= 0))
+    named = " and ".join(f"{c} is not null" for c in FACT)
+    return committed.where((F.col("err_code") == 0) & (F.col("c_off") >= 0)).where(named)
 
 
 def skip_reason() -> Column:

@@ -27,12 +27,19 @@ from tidelag.model import ARRAY_SLICE_BITS, SERIES, SLICE_BITS
 NEIGHBOURS = ["lo_off", "lo_at", "up_off", "up_at", "min_off", "max_off", "bad_off", "leo", "leo_at"]
 
 
+def _named(rows: DataFrame, by: Sequence[str], offset: str) -> DataFrame:
+    # The joins below imply these filters, but only on some branches of the
+    # plan; stating them everywhere keeps the branches alike, so Spark shuffles
+    # the merged rows once and reuses that exchange.
+    return rows.where(" and ".join(f"{c} is not null" for c in (*by, offset)))
+
+
 def _merged(points: DataFrame, samples: DataFrame, by: Sequence[str], slice_bits: int) -> DataFrame:
-    """One row per (key, offset), marked as sampled, looked up, or both."""
-    sampled = samples.select(
+    """One row per (key, offset), sampled (s_off is set), looked up, or both; placed by slice."""
+    sampled = _named(samples, by, "off").select(
         *by, "off", "at_ms", F.lit(True).alias("is_sample"), F.lit(False).alias("is_point")
     )
-    looked_up = points.select(
+    looked_up = _named(points, by, "c_off").select(
         *by,
         F.col("c_off").alias("off"),
         F.lit(None).cast("bigint").alias("at_ms"),
@@ -41,15 +48,22 @@ def _merged(points: DataFrame, samples: DataFrame, by: Sequence[str], slice_bits
     )
     return (
         sampled.unionByName(looked_up)
-        .where("off is not null")
         .groupBy(*by, "off")
         .agg(
             F.max("at_ms").alias("at_ms"),
             F.max("is_sample").alias("is_sample"),
             F.max("is_point").alias("is_point"),
         )
-        .withColumn("slice", F.shiftright("off", slice_bits))
-        .withColumn("s_off", F.when(F.col("is_sample"), F.col("off")))
+        .select(
+            *by,
+            F.shiftright("off", slice_bits).alias("slice"),
+            "off",
+            F.when(F.col("is_sample"), F.col("off")).alias("s_off"),
+            "at_ms",
+            "is_point",
+        )
+        .where("slice is not null")
+        .repartition(*by, "slice")
     )
 
 
@@ -68,7 +82,7 @@ def _slices(merged: DataFrame, by: Sequence[str], *extra: Column) -> DataFrame:
         F.max_by("at_ms", "s_off").alias("last_at"),
         F.max("at_ms").alias("new_at"),
         F.max_by("s_off", "at_ms").alias("new_off"),
-        F.min(F.when(F.col("is_sample") & F.col("at_ms").isNull(), F.col("off"))).alias("spoilt_off"),
+        F.min(F.when(F.col("s_off").isNotNull() & F.col("at_ms").isNull(), F.col("off"))).alias("spoilt_off"),
         F.max("is_point").alias("has_point"),
         *extra,
     )
@@ -162,7 +176,7 @@ def nearest_salted(
         F.lit(True).alias("is_commit"),
         *extra,
     )
-    repeated = merged.where("is_sample").select(
+    repeated = merged.where("s_off is not null").select(
         *by,
         "slice",
         F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
@@ -204,7 +218,7 @@ def nearest_in_arrays(
     array holds at most ``2**slice_bits`` entries, one per offset.
     """
     merged = _merged(commits, samples, by, slice_bits)
-    entry = F.when(F.col("is_sample"), F.struct("off", "at_ms"))
+    entry = F.when(F.col("s_off").isNotNull(), F.struct("off", "at_ms"))
     slices = _slices(merged, by, F.array_sort(F.collect_list(entry)).alias("points"))
     extra = [c for c in commits.columns if c not in by]
     placed = commits.withColumn("slice", F.shiftright("c_off", slice_bits))
