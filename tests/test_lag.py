@@ -152,3 +152,24 @@ def test_valid_commits(spark):
         C + ", err_code int",
     )
     assert rows(L.valid_commits(commits), "part") == [(0,), (3,)]
+
+
+# committed, log end, its time, history, lag in offsets and seconds
+READ_NOW = [
+    ("between", 100, 110, 1724360000000, [(99, 1724350000000), (105, 1724360000000)], 10, 8333),
+    ("clamped", 110, 115, 1724365000000, [(100, 1724350000000), (105, 1724360000000)], 5, 5000),
+    ("between-later", 103, 110, 1724365000000, [(100, 1724350000000), (105, 1724360000000)], 7, 9000),
+    ("single", 100, 110, 1724360000000, [(100, 1724350000000)], 10, None),
+    ("none", 100, 110, 1724360000000, [], 10, None),
+]
+
+
+def test_log_end_read_in_this_iteration(spark):
+    commits, samples = frames(spark, [(n, c, h, None) for n, c, _, _, h, _, _ in READ_NOW] + [("unread", 1, [(5, BASE), (9, BASE + 1)], None)])
+    latest = spark.createDataFrame(
+        [("c", n, 0, leo, at) for n, _, leo, at, *_ in READ_NOW],
+        "cluster string, topic string, part int, leo bigint, leo_at bigint",
+    )
+    got = {r[0]: r[1:] for r in rows(L.partition_lag(commits, samples, latest), "topic", "lag_off", "lag_s")}
+    assert got.pop("unread") == (None, None)
+    assert got == {n: (lag_off, lag_s) for n, *_, lag_off, lag_s in READ_NOW}

@@ -1,0 +1,66 @@
+import random
+
+from conftest import rows
+from pyspark.sql import functions as F
+
+from tidelag.operators import health as HE
+from tidelag.operators import members as M
+
+E = "member string, kind string, at_ms bigint"
+
+
+def events(spark, *items):
+    return spark.createDataFrame(list(items), E)
+
+
+def test_leave_removes_at_once(spark):
+    log = events(spark, ("a", "beat", 1000), ("b", "beat", 2000), ("c", "beat", 3000), ("b", "leave", 3500))
+    live = M.live_members(log, 10000, F.lit(4000))
+    assert rows(M.member_index(live)) == [("a", 0, 2), ("c", 1, 2)]
+
+
+def test_silent_member_expires(spark):
+    log = events(spark, ("a", "beat", 1000), ("b", "beat", 1500), ("a", "beat", 9000))
+    assert rows(M.live_members(log, 10000, F.lit(11500)), "member") == [("a",)]
+    assert rows(M.live_members(log, 10000, F.lit(11499)), "member") == [("a",), ("b",)]
+
+
+def test_rejoining_goes_to_the_end(spark):
+    log = events(spark, ("a", "beat", 1000), ("b", "beat", 2000), ("a", "leave", 3000), ("a", "beat", 4000))
+    assert rows(M.member_index(M.live_members(log, 10000, F.lit(5000)), bucket_ms=1500)) == [("a", 1, 2), ("b", 0, 2)]
+
+
+def test_index_over_many_buckets(spark):
+    rng = random.Random(3)
+    members = [(f"m{i}", rng.randrange(0, 5000)) for i in range(300)]
+    live = spark.createDataFrame(members, "member string, first_seen_ms bigint")
+    want = [m for m, _ in sorted(members, key=lambda x: (x[1], x[0]))]
+    got = {r.member_index: r.member for r in M.member_index(live, bucket_ms=700).collect()}
+    assert [got[i] for i in range(300)] == want
+
+
+def test_sessions_equal_session_window(spark):
+    rng = random.Random(5)
+    beats = [(f"m{rng.randrange(5)}", "beat", rng.randrange(0, 400) * 250) for _ in range(400)]
+    log = events(spark, *beats)
+    ts = F.timestamp_millis("at_ms")
+    window = log.select("member", ts.alias("ts")).groupBy("member", F.session_window("ts", "1 seconds")).agg(F.count("*").alias("beats"))
+    want = window.select("member", F.unix_millis("session_window.start"), F.unix_millis("session_window.end"), "beats")
+    assert rows(M.sessions(log, 1000), "member", "start_ms", "end_ms", "beats") == rows(want)
+
+
+P = "cluster string, ok boolean, at_ms bigint"
+
+
+def status(spark, *probes):
+    r = HE.health(HE.last_probes(spark.createDataFrame(list(probes), P))).first()
+    return r.status, r.unhealthy_clusters
+
+
+def test_health(spark):
+    up = ("store", True, 1)
+    assert status(spark, ("cluster-1", True, 1), ("cluster-2", False, 1), up) == ("OK", ["cluster-2"])
+    assert status(spark, ("cluster-1", False, 1), up) == ("Unhealthy", ["cluster-1"])
+    assert status(spark, ("cluster-1", True, 1), ("store", False, 1)) == ("Unhealthy", [])
+    assert status(spark, ("cluster-1", False, 1), ("cluster-1", True, 2), up) == ("OK", [])
+    assert status(spark, up) == ("Unhealthy", [])

@@ -1,0 +1,65 @@
+import pytest
+from conftest import rows
+
+from tidelag.operators import rollup as RO
+
+L = "cluster string, grp string, topic string, part int, lag_off bigint, lag_s bigint"
+
+
+def lags(spark, *facts):
+    return spark.createDataFrame([("c", "g", *f) for f in facts], L)
+
+
+GROUP_MAX = [("t1", 0, None, None), ("t1", 1, 70, 300), ("t2", 0, 30, None), ("t2", 1, 20, 500)]
+TOPIC_MAX = [("t1", 0, 10, None), ("t1", 1, 50, 500), ("t2", 0, 30, 300), ("t2", 1, 20, 200)]
+GROUP_SUM = [("t1", 0, 10, 100), ("t1", 1, 50, 500), ("t2", 0, 30, 300), ("t2", 1, 20, 200)]
+TOPIC_SUM = [("t1", 0, 10, 100), ("t1", 1, 50, 500), ("t2", 0, 30, 300), ("t2", 1, None, None)]
+
+
+def test_group_max(spark):
+    assert rows(RO.group_rollup(lags(spark, *GROUP_MAX)), "max_off", "max_s") == [(70, 500)]
+
+
+def test_topic_max(spark):
+    assert rows(RO.topic_rollup(lags(spark, *TOPIC_MAX)), "topic", "max_off", "max_s") == [("t1", 50, 500), ("t2", 30, 300)]
+
+
+def test_group_sum(spark):
+    assert rows(RO.group_rollup(lags(spark, *GROUP_SUM)), "sum_off", "sum_s") == [(110, 1100)]
+
+
+def test_topic_sum(spark):
+    assert rows(RO.topic_rollup(lags(spark, *TOPIC_SUM)), "topic", "sum_off", "sum_s") == [("t1", 60, 600), ("t2", 30, 300)]
+
+
+def test_nothing_known(spark):
+    unknown = lags(spark, ("t", 0, None, None))
+    assert rows(RO.group_rollup(unknown), "max_off", "max_s", "sum_off", "sum_s") == [(None, None, None, None)]
+
+
+def test_negative_seconds(spark):
+    """A topic maximum may be negative, a group maximum may not; sums take all."""
+    negative = lags(spark, ("t", 0, 0, -7), ("t", 1, 0, -3))
+    assert rows(RO.topic_rollup(negative), "max_s", "sum_s") == [(-3, -10)]
+    assert rows(RO.group_rollup(negative), "max_s", "sum_s") == [(None, -10)]
+
+
+@pytest.mark.parametrize("facts", [GROUP_MAX, TOPIC_MAX, GROUP_SUM, TOPIC_SUM, [("t", 0, 0, -7), ("t", 1, 4, 2)]])
+def test_one_pass_equals_separate_rollups(spark, facts):
+    frame = lags(spark, *facts)
+    sums = ["max_off", "max_s", "sum_off", "sum_s"]
+    both = RO.lag_grouping_sets(frame)
+    assert rows(both.where("is_group = 0"), "topic", *sums) == rows(RO.topic_rollup(frame), "topic", *sums)
+    assert rows(both.where("is_group = 1"), "grp", *sums) == rows(RO.group_rollup(frame), "grp", *sums)
+    levels = RO.all_levels(frame)
+    assert rows(levels.where("level = 'topic'"), "topic", *sums) == rows(RO.topic_rollup(frame), "topic", *sums)
+    assert rows(levels.where("level = 'group'"), "grp", *sums) == rows(RO.group_rollup(frame), "grp", *sums)
+    assert rows(levels.where("level = 'partition'"), "topic", "part", "max_off", "max_s") == rows(frame, "topic", "part", "lag_off", "lag_s")
+
+
+def test_summary_continues_on_more_lines(spark):
+    frame = lags(spark, *[(f"t{i}", 0, i, i) for i in range(5)], ("t0", 1, 9, 9))
+    assert rows(RO.group_summary(frame, chunk=2), "line", "topics", "max_off") == [
+        (0, "t0, t1", 9), (1, "t2, t3", 9), (2, "t4", 9)
+    ]
+    assert rows(RO.group_summary(frame), "line", "topics") == [(0, "t0, t1, t2, t3, t4")]

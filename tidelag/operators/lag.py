@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,16 +63,21 @@ def with_lag(located: DataFrame) -> DataFrame:
 def partition_lag(
     committed: DataFrame,
     samples: DataFrame,
-    by: Sequence[str] = SERIES,
+    latest: DataFrame | None = None,
     slice_bits: int = SLICE_BITS,
 ) -> DataFrame:
     """Lag of every valid commit against the sampled history of its series.
 
     Neighbours are looked up once per distinct (series, offset) and joined
-    back, so groups that stand at the same place share the work.
+    back, so groups that stand at the same place share the work.  The log end
+    is the newest sample unless ``latest`` gives the one just read; a series
+    absent from ``latest`` could not be read and gets no lag.
     """
-    located = nearest_samples(committed.select(*by, "c_off"), samples, by, slice_bits)
-    return with_lag(committed.join(located, [*by, "c_off"], "left"))
+    located = nearest_samples(committed.select(*SERIES, "c_off"), samples, SERIES, slice_bits)
+    placed = committed.join(located, [*SERIES, "c_off"], "left")
+    if latest is not None:
+        placed = with_log_end(placed.drop("leo", "leo_at"), latest)
+    return with_lag(placed)
 
 
 def partition_lag_salted(

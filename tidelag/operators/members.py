@@ -11,7 +11,7 @@ from tidelag.functions import int_div
 def sessions(beats: DataFrame, ttl_ms: int) -> DataFrame:
     """Spans in which a member kept refreshing within its time to live.
 
-    Same spans as ``session_window``: a beat less than ``ttl_ms`` after the
+    Same spans as ``session_window``: a beat at most ``ttl_ms`` after the
     previous one extends the session, which ends ``ttl_ms`` after its last beat.
     Beats are first folded map-side into cells of ``ttl_ms``; beats of a cell
     always belong together.  A member therefore sorts at most one row per cell
@@ -27,7 +27,7 @@ def sessions(beats: DataFrame, ttl_ms: int) -> DataFrame:
     )
     order = Window.partitionBy("member").orderBy("cell")
     gap = F.col("first_ms") - F.lag("last_ms").over(order)
-    opened = cells.withColumn("opens", F.when(gap < ttl_ms, 0).otherwise(1))
+    opened = cells.withColumn("opens", F.when(gap <= ttl_ms, 0).otherwise(1))
     return (
         opened.withColumn("session", F.sum("opens").over(order))
         .groupBy("member", "session")

@@ -38,8 +38,9 @@ def published_gauges(
     committed: DataFrame,
     samples: DataFrame,
     extra: Mapping[str, str] | None = None,
+    latest: DataFrame | None = None,
 ) -> DataFrame:
     """All gauges of the iteration except its duration: name, labels, value."""
     chosen = chosen_groups(groups, clusters, rules)
-    lags = partition_lag(commits_of(chosen, committed), samples)
+    lags = partition_lag(commits_of(chosen, committed), samples, latest)
     return lag_gauges(all_levels(lags), extra).unionByName(checked_gauges(groups_checked(chosen), extra))

@@ -155,7 +155,7 @@ _CTE["member_events"] = """select cast(user_id as varchar) as member,
 
 
 def _session_ctes(prefix: str, beats: str) -> None:
-    _CTE[f"{prefix}_marked"] = f"""select member, at_ms, case when at_ms - lag(at_ms) over w < {MEMBER_TTL} then 0 else 1 end as opens
+    _CTE[f"{prefix}_marked"] = f"""select member, at_ms, case when at_ms - lag(at_ms) over w <= {MEMBER_TTL} then 0 else 1 end as opens
        from ({beats}) window w as (partition by member order by at_ms)"""
     _CTE[f"{prefix}_numbered"] = f"""select member, at_ms,
        sum(opens) over (partition by member order by at_ms rows unbounded preceding) as s from {prefix}_marked"""

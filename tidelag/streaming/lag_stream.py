@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tidelag.model import COMMITS, DEFAULT_INTERVAL, GROUP, SAMPLES, SERIES
+from tidelag.model import COMMITS, DEFAULT_INTERVAL, GROUP, SAMPLES
 from tidelag.operators.gauges import iteration_gauge, last_values
+from tidelag.operators.history import latest_offsets
 from tidelag.plans.iteration import published_gauges
 from tidelag.streaming.history_log import HistoryLog
 
@@ -64,9 +65,7 @@ class LagIteration:
         try:
             samples = batch.where("kind = 'sample'").select(*SAMPLES.fieldNames())
             # One value per batch: the time of the iteration.
-            now_ms = batch.agg(
-                F.greatest(F.max("at_ms"), F.max("snapshot_ms"))
-            ).first()[0]
+            now_ms = batch.agg(F.greatest(F.max("at_ms"), F.max("snapshot_ms"))).first()[0]
             if now_ms is None:
                 return
             self.history.append(samples, batch_id)
@@ -77,6 +76,7 @@ class LagIteration:
                 batch.where("kind = 'commit'").select(*COMMITS.fieldNames()),
                 self.history.read(now_ms),
                 self.extra,
+                latest_offsets(samples),
             )
             self._publish(gauges, now_ms, batch_id, "lag")
             self.history.expire(now_ms)
@@ -100,7 +100,7 @@ def start_lag_stream(
 
 def newest_samples_stream(samples: DataFrame) -> DataFrame:
     """Newest log end per series, kept in Spark's state store (update mode)."""
-    return samples.groupBy(*SERIES).agg(F.max_by("off", "at_ms").alias("leo"), F.max("at_ms").alias("leo_at"))
+    return latest_offsets(samples)
 
 
 def last_value_stream(gauges: DataFrame) -> DataFrame:
