@@ -1,16 +1,15 @@
-from tidelag.functions.lagmath import estimated_ms, lag_case, lag_offsets, lag_seconds
+from tidelag.functions.lagmath import LAG_CASE, LAG_OFFSETS, LAG_SECONDS
 from tidelag.functions.text import gauge_text, label_text, merge_labels, series_key
 from tidelag.functions.values import epoch_ms, int_div, shard_of
 
 __all__ = [
+    "LAG_CASE",
+    "LAG_OFFSETS",
+    "LAG_SECONDS",
     "epoch_ms",
-    "estimated_ms",
     "gauge_text",
     "int_div",
     "label_text",
-    "lag_case",
-    "lag_offsets",
-    "lag_seconds",
     "merge_labels",
     "series_key",
     "shard_of",

@@ -1,6 +1,6 @@
-"""Lag of one committed offset, given the samples around it.
+"""Lag of one committed offset, given the samples around it, as SQL expressions.
 
-The expressions read these columns of the current row:
+They read these columns of the current row:
 
 =========  =====================================================================
 c_off      committed offset
@@ -13,68 +13,33 @@ leo/leo_at newest sample of the series
 =========  =====================================================================
 """
 
-from __future__ import annotations
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from tidelag.functions.values import int_div
-
-
-def lag_offsets() -> Column:
-    """Offsets still to read; a commit ahead of the log end counts as zero."""
-    behind = F.col("leo") - F.col("c_off")
-    return F.when(behind.isNotNull(), F.greatest(behind, F.lit(0).cast("bigint")))
-
-
-def _too_short() -> Column:
-    # Fewer than two distinct offsets: nothing to place the commit between.
-    return F.col("min_off").isNull() | (F.col("min_off") == F.col("max_off"))
-
-
-def _unparsed() -> Column:
-    # A sample without a time spoils the estimate only if it lies at or below
-    # the last sample needed for it.
-    reach = F.when(F.col("lo_off") == F.col("c_off"), F.col("c_off")).otherwise(
-        F.coalesce("up_off", "max_off")
-    )
-    return F.coalesce(F.col("bad_off") <= reach, F.lit(False))
-
-
-def lag_case() -> Column:
-    """How the commit's produce time was found."""
-    return (
-        F.when(_too_short(), "insufficient")
-        .when(_unparsed(), "unparsed")
-        .when(F.col("lo_off") == F.col("c_off"), "exact")
-        .when(F.col("lo_off").isNull(), "below")
-        .when(F.col("up_off").isNull(), "above")
-        .otherwise("interp")
-    )
-
-
-def _between() -> Column:
-    ahead = F.col("c_off") - F.col("lo_off")
-    rise = F.col("up_at") - F.col("lo_at")
-    gap = F.col("up_off") - F.col("lo_off")
-    wide = ahead.cast("decimal(19,0)") * rise.cast("decimal(19,0)")
-    # The 64-bit product is exact for ordinary gaps; the decimal one is only
-    # evaluated when it would overflow.
-    step = F.coalesce(int_div(F.try_multiply(ahead, rise), gap), int_div(wide, gap.cast("decimal(19,0)")))
-    return F.col("lo_at") + step
-
-
-def estimated_ms() -> Column:
-    """Estimated produce time of the committed offset; clamped outside the history."""
-    case = F.col("lag_s_case")
-    return (
-        F.when(case.isin("insufficient", "unparsed"), F.lit(None).cast("bigint"))
-        .when(case.isin("exact", "above"), F.col("lo_at"))
-        .when(case == "below", F.col("up_at"))
-        .otherwise(_between())
-    )
-
-
-def lag_seconds() -> Column:
-    """Whole seconds behind the newest sample; exactly -1 means unknown, hence NULL."""
-    return F.nullif(int_div(F.col("leo_at") - estimated_ms(), F.lit(1000)), F.lit(-1).cast("bigint"))
+# Offsets still to read; a commit ahead of the log end counts as zero.
+LAG_OFFSETS = "if(leo is null or c_off is null, null, greatest(leo - c_off, 0L))"
+
+# How the commit's produce time is found.  Fewer than two distinct offsets give
+# nothing to place it between.  A sample without a time spoils the estimate only
+# if it lies at or below the last sample needed for it.
+LAG_CASE = """case
+    when leo is null then null
+    when min_off is null or min_off = max_off then 'insufficient'
+    when bad_off <= if(lo_off = c_off, c_off, coalesce(up_off, max_off)) then 'unparsed'
+    when lo_off = c_off then 'exact'
+    when lo_off is null then 'below'
+    when up_off is null then 'above'
+    else 'interp' end"""
+
+# Linear between two samples, truncated.  The 64-bit product is exact for
+# ordinary gaps; the decimal one is evaluated only where it would overflow.
+_BETWEEN = """lo_at + coalesce(
+    try_multiply(c_off - lo_off, up_at - lo_at) div (up_off - lo_off),
+    (cast(c_off - lo_off as decimal(19,0)) * cast(up_at - lo_at as decimal(19,0))) div cast(up_off - lo_off as decimal(19,0)))"""
+
+# Estimated produce time of the committed offset, clamped outside the history.
+ESTIMATED_MS = f"""case lag_s_case
+    when 'exact' then lo_at
+    when 'above' then lo_at
+    when 'below' then up_at
+    when 'interp' then {_BETWEEN} end"""
+
+# Whole seconds behind the newest sample; exactly -1 means unknown, hence NULL.
+LAG_SECONDS = f"nullif((leo_at - {ESTIMATED_MS}) div 1000, -1L)"

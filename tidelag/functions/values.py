@@ -15,16 +15,11 @@ def int_div(a: Column | str, b: Column | str) -> Column:
     return F.call_function("div", _col(a), _col(b))
 
 
-def epoch_ms(ts: Column | str) -> Column:
-    """Epoch milliseconds of a TIMESTAMP_NTZ read as UTC, whatever the session time zone."""
-    ts = _col(ts)
-    days = F.date_diff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("bigint")
-    seconds = F.extract(F.lit("SECOND"), ts)  # decimal with the microseconds
+def epoch_ms(ts: str) -> str:
+    """SQL for the epoch milliseconds of a TIMESTAMP_NTZ read as UTC, whatever the session time zone."""
     return (
-        days * F.lit(86400000)
-        + F.hour(ts).cast("bigint") * F.lit(3600000)
-        + F.minute(ts).cast("bigint") * F.lit(60000)
-        + (seconds * F.lit(1000)).cast("bigint")
+        f"(date_diff(to_date({ts}), date'1970-01-01') * 86400000L + hour({ts}) * 3600000L"
+        f" + minute({ts}) * 60000L + cast(extract(second from {ts}) * 1000 as bigint))"
     )
 
 

@@ -14,9 +14,12 @@ FACT = ["cluster", "grp", "topic", "part"]
 
 # An offset slice spans 2**SLICE_BITS consecutive offsets of one series.  After
 # duplicates are merged a slice holds at most one row per offset, so this is a
-# hard upper bound on the rows of any sort group of the nearest-sample lookup.
+# hard upper bound on the samples in any sort group of the nearest-sample lookup.
 SLICE_BITS = 20
 
+# A slice looked up more often than this is split over several sort groups.
+HOT_ROWS = 1_000_000
+
 # Slices whose samples are folded into one array value are kept much narrower.
 ARRAY_SLICE_BITS = 12
 

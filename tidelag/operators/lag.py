@@ -5,15 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.functions import lag_case, lag_offsets, lag_seconds
-from tidelag.model import ARRAY_SLICE_BITS, FACT, SERIES, SLICE_BITS
-from tidelag.operators.nearest import NEIGHBOURS, nearest_in_arrays, nearest_salted, nearest_samples
+from tidelag.functions import LAG_CASE, LAG_OFFSETS, LAG_SECONDS
+from tidelag.model import ARRAY_SLICE_BITS, FACT, HOT_ROWS, SERIES, SLICE_BITS
+from tidelag.operators.nearest import NEIGHBOURS, nearest_in_arrays, nearest_samples
+
+
+def _named(committed: DataFrame) -> DataFrame:
+    """Positions with a full key; only such a position can be placed in a series."""
+    return committed.where(" and ".join(f"{c} is not null" for c in FACT))
 
 
 def valid_commits(committed: DataFrame) -> DataFrame:
     """Commits reported without an error and with a real offset."""
-    named = " and ".join(f"{c} is not null" for c in FACT)
-    return committed.where((F.col("err_code") == 0) & (F.col("c_off") >= 0)).where(named)
+    return _named(committed).where((F.col("err_code") == 0) & (F.col("c_off") >= 0))
 
 
 def skip_reason() -> Column:
@@ -36,7 +40,7 @@ def with_log_end(committed: DataFrame, latest: DataFrame) -> DataFrame:
 def offset_lag(committed: DataFrame, latest: DataFrame) -> DataFrame:
     """Offset lag where both offsets are known."""
     known = with_log_end(committed, latest).where("leo is not null and c_off is not null")
-    return known.withColumn("lag_off", lag_offsets())
+    return known.selectExpr("*", f"{LAG_OFFSETS} as lag_off")
 
 
 def missing_offsets(committed: DataFrame, latest: DataFrame) -> DataFrame:
@@ -51,12 +55,14 @@ def missing_offsets(committed: DataFrame, latest: DataFrame) -> DataFrame:
 
 def with_lag(located: DataFrame) -> DataFrame:
     """Replace neighbour columns by lag_off, lag_s and the way lag_s was found."""
-    known = F.col("leo").isNotNull()
-    return (
-        located.withColumn("lag_off", lag_offsets())
-        .withColumn("lag_s_case", F.when(known, lag_case()))
-        .withColumn("lag_s", F.when(known, lag_seconds()))
-        .drop(*[c for c in NEIGHBOURS if c not in ("leo", "leo_at")])
+    kept = [c for c in located.columns if c not in NEIGHBOURS]
+    return located.selectExpr(
+        *kept,
+        "leo",
+        "leo_at",
+        f"{LAG_OFFSETS} as lag_off",
+        f"{LAG_CASE} as lag_s_case",
+        f"{LAG_SECONDS} as lag_s",
     )
 
 
@@ -65,32 +71,37 @@ def partition_lag(
     samples: DataFrame,
     latest: DataFrame | None = None,
     slice_bits: int = SLICE_BITS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Lag of every valid commit against the sampled history of its series.
 
-    Neighbours are looked up once per distinct (series, offset) and joined
-    back, so groups that stand at the same place share the work.  The log end
-    is the newest sample unless ``latest`` gives the one just read; a series
-    absent from ``latest`` could not be read and gets no lag.
+    The log end is the newest sample unless ``latest`` gives the one just
+    read; a series absent from ``latest`` could not be read and gets no lag.
     """
-    located = nearest_samples(committed.select(*SERIES, "c_off"), samples, SERIES, slice_bits)
-    placed = committed.join(located, [*SERIES, "c_off"], "left")
+    placed = nearest_samples(committed, samples, SERIES, slice_bits, hot_rows)
     if latest is not None:
         placed = with_log_end(placed.drop("leo", "leo_at"), latest)
     return with_lag(placed)
 
 
-def partition_lag_salted(
-    committed: DataFrame, samples: DataFrame, salts: int = 8, slice_bits: int = SLICE_BITS
+def partition_lag_distinct(
+    committed: DataFrame, samples: DataFrame, slice_bits: int = SLICE_BITS, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
-    """``partition_lag`` without the join back; for series read by few groups."""
-    return with_lag(nearest_salted(committed, samples, salts, SERIES, slice_bits))
+    """``partition_lag`` that looks up each distinct (series, offset) once and joins back.
+
+    Pays off when many groups stand at the same offsets.  The distinct lookups
+    are combined map-side; the join back is split by Spark where one offset
+    is very popular.
+    """
+    points = _named(committed).select(*SERIES, "c_off").distinct()
+    located = nearest_samples(points, samples, SERIES, slice_bits, hot_rows)
+    return with_lag(_named(committed).join(located, [*SERIES, "c_off"], "left"))
 
 
 def partition_lag_arrays(
     committed: DataFrame, samples: DataFrame, slice_bits: int = ARRAY_SLICE_BITS
 ) -> DataFrame:
-    """``partition_lag`` over array slices; for sparse histories read by many groups."""
+    """``partition_lag`` over array slices; for histories with few samples per slice."""
     return with_lag(nearest_in_arrays(committed, samples, SERIES, slice_bits))
 
 

@@ -1,137 +1,110 @@
 """Nearest-sample lookup: for an offset, the samples just below and above it.
 
-This is an as-of join in both directions.  A plain sort per series would put a
-hot series into one task and an equi-join on the series would emit every
-(commit, sample) pair, so the work is cut by *offset slice* instead:
-
-1. samples and looked-up offsets are merged to one row per (series, offset)
-   with map-side combining, so flat lines and popular offsets collapse before
-   the shuffle;
-2. each (series, slice) is sorted on its own; a slice spans ``2**slice_bits``
-   offsets and therefore has at most that many rows;
-3. one summary row per slice (its first and last sample) travels across the
-   slices of a series to supply neighbours that lie outside the slice.
-
-Samples must be unique per (key, at_ms), which the history operators guarantee.
+This is an as-of join in both directions.  Sorting samples and lookups together
+per series would put a hot series into one task, and an equi-join on the series
+would emit every (lookup, sample) pair, so the work is cut by *offset slice*:
+
+1. samples are folded to one row per (series, offset) with map-side combining,
+   so a slice of ``2**slice_bits`` offsets holds at most that many of them;
+2. lookups are counted per slice; a slice asked more than ``hot_rows`` times is
+   split into several copies, each with all samples of the slice and a share
+   of its lookups;
+3. two edge rows per slice carry the neighbouring samples of other slices and
+   facts about the whole series;
+4. one sort per (series, slice, copy) then finds both neighbours of every lookup.
+
+Lookups cross the network once.  Samples must be unique per (key, at_ms), which
+the history operators guarantee.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.model import ARRAY_SLICE_BITS, SERIES, SLICE_BITS
+from tidelag.model import ARRAY_SLICE_BITS, HOT_ROWS, SERIES, SLICE_BITS
 
-NEIGHBOURS = ["lo_off", "lo_at", "up_off", "up_at", "min_off", "max_off", "bad_off", "leo", "leo_at"]
+FACTS = ["min_off", "max_off", "bad_off", "leo", "leo_at"]
+NEIGHBOURS = ["lo_off", "lo_at", "up_off", "up_at", *FACTS]
 
 
 def _named(rows: DataFrame, by: Sequence[str], offset: str) -> DataFrame:
-    # The joins below imply these filters, but only on some branches of the
-    # plan; stating them everywhere keeps the branches alike, so Spark shuffles
-    # the merged rows once and reuses that exchange.
+    # Joins further down imply these filters, but only on some branches of the
+    # plan; stating them at the start keeps the branches alike, so Spark
+    # shuffles each input once and reuses that exchange.
     return rows.where(" and ".join(f"{c} is not null" for c in (*by, offset)))
 
 
-def _merged(points: DataFrame, samples: DataFrame, by: Sequence[str], slice_bits: int) -> DataFrame:
-    """One row per (key, offset), sampled (s_off is set), looked up, or both; placed by slice."""
-    sampled = _named(samples, by, "off").select(
-        *by, "off", "at_ms", F.lit(True).alias("is_sample"), F.lit(False).alias("is_point")
-    )
-    looked_up = _named(points, by, "c_off").select(
-        *by,
-        F.col("c_off").alias("off"),
-        F.lit(None).cast("bigint").alias("at_ms"),
-        F.lit(False).alias("is_sample"),
-        F.lit(True).alias("is_point"),
-    )
+def _history(samples: DataFrame, by: Sequence[str], slice_bits: int) -> DataFrame:
+    """One row per (key, offset) with its latest time, and its slice."""
     return (
-        sampled.unionByName(looked_up)
+        _named(samples, by, "off")
         .groupBy(*by, "off")
-        .agg(
-            F.max("at_ms").alias("at_ms"),
-            F.max("is_sample").alias("is_sample"),
-            F.max("is_point").alias("is_point"),
-        )
-        .select(
-            *by,
-            F.shiftright("off", slice_bits).alias("slice"),
-            "off",
-            F.when(F.col("is_sample"), F.col("off")).alias("s_off"),
-            "at_ms",
-            "is_point",
-        )
+        .agg(F.max("at_ms").alias("at_ms"))
+        .selectExpr(*by, f"shiftright(off, {slice_bits}) as slice", "off", "at_ms")
         .where("slice is not null")
-        .repartition(*by, "slice")
     )
 
 
-def _next_known(column: str, by: Sequence[str], order: str) -> Column:
+def _asked(points: DataFrame, by: Sequence[str], slice_bits: int) -> DataFrame:
+    placed = _named(points, by, "c_off").selectExpr("*", f"shiftright(c_off, {slice_bits}) as slice")
+    return placed.where("slice is not null")
+
+
+def _over(by: Sequence[str], order: str = "", frame: str = "") -> str:
+    return f"over (partition by {', '.join(by)} {'order by ' + order if order else ''} {frame})"
+
+
+def _last_known(column: str, over: str) -> str:
+    return f"last({column}) ignore nulls {over}"
+
+
+def _next_known(column: str, over: str) -> str:
     # lead(...) ignore nulls keeps one moving pointer; a frame that ends at
     # unbounded following would be re-scanned for every row.
-    return F.expr(f"lead({column}) ignore nulls over (partition by {', '.join(by)} order by {order})")
-
-
-def _slices(merged: DataFrame, by: Sequence[str], *extra: Column) -> DataFrame:
-    """Per slice: the nearest samples outside it, and facts about the whole series."""
-    summary = merged.groupBy(*by, "slice").agg(
-        F.min("s_off").alias("first_off"),
-        F.min_by("at_ms", "s_off").alias("first_at"),
-        F.max("s_off").alias("last_off"),
-        F.max_by("at_ms", "s_off").alias("last_at"),
-        F.max("at_ms").alias("new_at"),
-        F.max_by("s_off", "at_ms").alias("new_off"),
-        F.min(F.when(F.col("s_off").isNotNull() & F.col("at_ms").isNull(), F.col("off"))).alias("spoilt_off"),
-        F.max("is_point").alias("has_point"),
-        *extra,
-    )
-    series = Window.partitionBy(*by)
-    earlier = series.orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    carried = [c for c in summary.columns if c not in (*by, "slice")][8:]
-    return summary.select(
-        *by,
-        "slice",
-        "has_point",
-        *carried,
-        F.last("last_off", ignorenulls=True).over(earlier).alias("prev_off"),
-        F.last("last_at", ignorenulls=True).over(earlier).alias("prev_at"),
-        _next_known("first_off", by, "slice").alias("next_off"),
-        _next_known("first_at", by, "slice").alias("next_at"),
-        F.min("first_off").over(series).alias("min_off"),
-        F.max("last_off").over(series).alias("max_off"),
-        F.min("spoilt_off").over(series).alias("bad_off"),
-        F.max_by("new_off", "new_at").over(series).alias("leo"),
-        F.max("new_at").over(series).alias("leo_at"),
-    ).where("has_point")
-
-
-def _sorted_neighbours(rows: DataFrame, within: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Neighbours found inside each sort group; ``rows`` carry s_off/at_ms or a lookup."""
-    upto = Window.partitionBy(*within).orderBy("off").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.select(
-        *keep,
-        F.last("s_off", ignorenulls=True).over(upto).alias("in_lo_off"),
-        F.last("at_ms", ignorenulls=True).over(upto).alias("in_lo_at"),
-        _next_known("s_off", within, "off").alias("in_up_off"),
-        _next_known("at_ms", within, "off").alias("in_up_at"),
-    )
+    return f"lead({column}) ignore nulls {over}"
 
 
-def _with_carry(found: DataFrame, slices: DataFrame, by: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Fill neighbours missing inside a slice from the slices around it."""
-    inside_lo, inside_up = F.col("in_lo_off").isNotNull(), F.col("in_up_off").isNotNull()
-    return found.join(slices, [*by, "slice"]).select(
-        *keep,
-        F.coalesce("in_lo_off", "prev_off").alias("lo_off"),
-        F.when(inside_lo, F.col("in_lo_at")).otherwise(F.col("prev_at")).alias("lo_at"),
-        F.coalesce("in_up_off", "next_off").alias("up_off"),
-        F.when(inside_up, F.col("in_up_at")).otherwise(F.col("next_at")).alias("up_at"),
-        "min_off",
-        "max_off",
-        "bad_off",
-        "leo",
-        "leo_at",
+def _slices(history: DataFrame, loads: DataFrame, by: Sequence[str], *extra: str) -> DataFrame:
+    """Per asked slice: the nearest samples outside it, and facts about the series.
+
+    A series has one row per slice here, at most its greatest offset divided
+    by the slice width.
+    """
+    sums = [
+        "min(off) as first_off",
+        "min_by(at_ms, off) as first_at",
+        "max(off) as last_off",
+        "max_by(at_ms, off) as last_at",
+        "max(at_ms) as new_at",
+        "max_by(off, at_ms) as new_off",
+        "min(if(at_ms is null, off, null)) as spoilt_off",
+        *extra,
+    ]
+    summary = history.groupBy(*by, "slice").agg(*[F.expr(e) for e in sums])
+    carried = [e.rsplit(" ", 1)[1] for e in extra]
+    series, ordered = _over(by), _over(by, "slice")
+    earlier = _over(by, "slice", "rows between unbounded preceding and 1 preceding")
+    return (
+        summary.join(loads, [*by, "slice"], "full")
+        .selectExpr(
+            *by,
+            "slice",
+            "lookups",
+            *carried,
+            f"{_last_known('last_off', earlier)} as prev_off",
+            f"{_last_known('last_at', earlier)} as prev_at",
+            f"{_next_known('first_off', ordered)} as next_off",
+            f"{_next_known('first_at', ordered)} as next_at",
+            f"min(first_off) {series} as min_off",
+            f"max(last_off) {series} as max_off",
+            f"min(spoilt_off) {series} as bad_off",
+            f"max_by(new_off, new_at) {series} as leo",
+            f"max(new_at) {series} as leo_at",
+        )
+        .where("lookups is not null")
     )
 
 
@@ -140,101 +113,95 @@ def nearest_samples(
     samples: DataFrame,
     by: Sequence[str] = SERIES,
     slice_bits: int = SLICE_BITS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Neighbours of every distinct ``(by, c_off)`` of ``points``.
+    """Every row of ``points`` with the columns in ``NEIGHBOURS`` added.
 
-    Returns ``by``, ``c_off`` and the columns in ``NEIGHBOURS``; those are NULL
-    where there is no such sample.
+    ``points`` has the key ``by``, the offset ``c_off`` and any other columns;
+    rows without a key or offset are left out.  Neighbours are NULL where
+    there is no such sample.
     """
-    merged = _merged(points, samples, by, slice_bits)
-    found = _sorted_neighbours(merged, [*by, "slice"], [*by, "slice", "off", "is_point"]).where("is_point")
-    keep = [*by, F.col("off").alias("c_off")]
-    return _with_carry(found, _slices(merged, by), by, keep)
-
-
-def nearest_salted(
-    commits: DataFrame,
-    samples: DataFrame,
-    salts: int,
-    by: Sequence[str] = SERIES,
-    slice_bits: int = SLICE_BITS,
-) -> DataFrame:
-    """Like ``nearest_samples`` but keeps every commit row through the sort.
-
-    No join back to the commits is needed.  Commits of one slice are spread
-    over ``salts`` sort groups by group name, and the merged samples of the
-    slice are repeated in each, so a popular offset does not fill one task.
-    """
-    merged = _merged(commits, samples, by, slice_bits)
-    slices = _slices(merged, by)
-    extra = [c for c in commits.columns if c not in (*by, "c_off")]
-    placed = commits.select(
-        *by,
-        F.shiftright("c_off", slice_bits).alias("slice"),
-        F.pmod(F.xxhash64(*[F.col(c) for c in extra]), F.lit(salts)).cast("int").alias("salt"),
-        F.col("c_off").alias("off"),
-        F.lit(True).alias("is_commit"),
-        *extra,
+    key = [*by, "slice"]
+    others = [c for c in points.columns if c not in (*by, "c_off")]
+    history = _history(samples, by, slice_bits)
+    asked = _asked(points, by, slice_bits)
+    loads = asked.groupBy(*key).agg(F.expr("count(*) as lookups"))
+    copies = f"cast(1 + lookups div {hot_rows} as int)"
+    # At most (all lookups / hot_rows) slices can be hot, which bounds the broadcast.
+    hot = F.broadcast(loads.where(f"lookups > {hot_rows}").selectExpr(*key, f"{copies} as copies"))
+
+    share = f"cast(pmod(xxhash64({', '.join(['c_off', *others])}), coalesce(copies, 1)) as int)"
+    lookup_rows = asked.join(hot, key, "left").selectExpr(
+        *key, f"{share} as copy", "c_off as at_off", "true as is_lookup", *others
     )
-    repeated = merged.where("s_off is not null").select(
-        *by,
-        "slice",
-        F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
-        "off",
-        "s_off",
+    sample_rows = history.join(hot, key, "left").selectExpr(
+        *key,
+        "explode(sequence(0, coalesce(copies, 1) - 1)) as copy",
+        "off as at_off",
+        "false as is_lookup",
+        "off as s_off",
         "at_ms",
-        F.lit(False).alias("is_commit"),
     )
-    rows = placed.unionByName(repeated, allowMissingColumns=True)
-    within = [*by, "slice", "salt"]
-    # A commit on a sampled offset must sort after that sample.
-    upto = Window.partitionBy(*within).orderBy("off", "is_commit").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    # The leading edge sorts before everything in the slice (its offset lies in
+    # an earlier slice, or is -1) and holds the facts; the trailing one sorts last.
+    edges = f"""array_compact(array(
+        struct(coalesce(prev_off, -1L) as at_off, prev_off as s_off, prev_at as at_ms, struct({', '.join(FACTS)}) as facts),
+        if(next_off is null, null, struct(next_off as at_off, next_off as s_off, next_at as at_ms, null as facts))))"""
+    edge_rows = (
+        _slices(history, loads, by)
+        .selectExpr(*key, f"explode(sequence(0, if(lookups > {hot_rows}, {copies}, 1) - 1)) as copy", f"{edges} as edges")
+        .selectExpr(*key, "copy", "false as is_lookup", "inline(edges)")
+    )
+    rows = lookup_rows.unionByName(sample_rows, allowMissingColumns=True).unionByName(
+        edge_rows, allowMissingColumns=True
     )
-    found = rows.select(
+    # A lookup of a sampled offset sorts after that sample.
+    ordered = _over([*key, "copy"], "at_off, is_lookup")
+    sofar = _over([*key, "copy"], "at_off, is_lookup", "rows between unbounded preceding and current row")
+    found = rows.selectExpr(
         *by,
-        "slice",
-        "off",
-        "is_commit",
-        *extra,
-        F.last("s_off", ignorenulls=True).over(upto).alias("in_lo_off"),
-        F.last("at_ms", ignorenulls=True).over(upto).alias("in_lo_at"),
-        _next_known("s_off", within, "off, is_commit").alias("in_up_off"),
-        _next_known("at_ms", within, "off, is_commit").alias("in_up_at"),
-    ).where("is_commit")
-    keep = [*by, *extra, F.col("off").alias("c_off")]
-    return _with_carry(found, slices, by, keep)
+        *others,
+        "at_off as c_off",
+        "is_lookup",
+        f"{_last_known('s_off', sofar)} as lo_off",
+        f"{_last_known('at_ms', sofar)} as lo_at",
+        f"{_next_known('s_off', ordered)} as up_off",
+        f"{_next_known('at_ms', ordered)} as up_at",
+        f"first(facts) {sofar} as facts",
+    )
+    return found.where("is_lookup").selectExpr(*points.columns, "lo_off", "lo_at", "up_off", "up_at", "facts.*")
 
 
 def nearest_in_arrays(
-    commits: DataFrame,
+    points: DataFrame,
     samples: DataFrame,
     by: Sequence[str] = SERIES,
     slice_bits: int = ARRAY_SLICE_BITS,
 ) -> DataFrame:
-    """Like ``nearest_samples`` with each slice's samples folded into one array.
+    """``nearest_samples`` with the samples of each slice folded into one array.
 
-    Commits meet exactly one slice row, so nothing is sorted per commit.  An
-    array holds at most ``2**slice_bits`` entries, one per offset.
+    Every lookup meets exactly one slice row, so nothing is sorted per lookup;
+    a slice asked very often is split by Spark's skew join.  An array holds at
+    most ``2**slice_bits`` entries, one per offset, so slices are kept narrow.
     """
-    merged = _merged(commits, samples, by, slice_bits)
-    entry = F.when(F.col("s_off").isNotNull(), F.struct("off", "at_ms"))
-    slices = _slices(merged, by, F.array_sort(F.collect_list(entry)).alias("points"))
-    extra = [c for c in commits.columns if c not in by]
-    placed = commits.withColumn("slice", F.shiftright("c_off", slice_bits))
-    below = F.try_element_at(F.filter("points", lambda e: e["off"] <= F.col("c_off")), F.lit(-1))
-    above = F.try_element_at(F.filter("points", lambda e: e["off"] > F.col("c_off")), F.lit(1))
-    matched = placed.join(slices, [*by, "slice"]).withColumns({"below": below, "above": above})
-    return matched.select(
-        *by,
-        *extra,
-        F.coalesce("below.off", "prev_off").alias("lo_off"),
-        F.when(F.col("below").isNotNull(), F.col("below.at_ms")).otherwise(F.col("prev_at")).alias("lo_at"),
-        F.coalesce("above.off", "next_off").alias("up_off"),
-        F.when(F.col("above").isNotNull(), F.col("above.at_ms")).otherwise(F.col("next_at")).alias("up_at"),
-        "min_off",
-        "max_off",
-        "bad_off",
-        "leo",
-        "leo_at",
+    key = [*by, "slice"]
+    history = _history(samples, by, slice_bits)
+    asked = _asked(points, by, slice_bits)
+    loads = asked.groupBy(*key).agg(F.expr("count(*) as lookups"))
+    slices = _slices(history, loads, by, "array_sort(collect_list(struct(off, at_ms))) as entries")
+    return (
+        asked.join(slices, key)
+        .selectExpr(
+            "*",
+            "try_element_at(filter(entries, e -> e.off <= c_off), -1) as below",
+            "try_element_at(filter(entries, e -> e.off > c_off), 1) as above",
+        )
+        .selectExpr(
+            *points.columns,
+            "coalesce(below.off, prev_off) as lo_off",
+            "if(below is null, prev_at, below.at_ms) as lo_at",
+            "coalesce(above.off, next_off) as up_off",
+            "if(above is null, next_at, above.at_ms) as up_at",
+            *FACTS,
+        )
     )

@@ -93,8 +93,7 @@ def lag_replay(
     # Nodes may know the same offset (a flat line crossing them): take the
     # neighbour offset first, then its latest time.
     folded = (
-        asked.join(partial, [*by, "c_off"])
-        .groupBy(*key)
+        partial.groupBy(*key)
         .agg(
             F.max(F.when(F.col("lo_off").isNotNull(), F.struct("lo_off", "lo_at"))).alias("lo"),
             F.min(F.when(F.col("up_off").isNotNull(), F.struct("up_off", (-F.col("up_at")).alias("neg_at")))).alias("up"),

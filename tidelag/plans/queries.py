@@ -182,7 +182,7 @@ def time_lag(t):
 
 @query
 def time_lag_window(t):
-    return L.partition_lag_salted(_commits(t), t.offset_samples(), salts=4).select(*LAG_COLUMNS)
+    return L.partition_lag_distinct(_commits(t), t.offset_samples()).select(*LAG_COLUMNS)
 
 
 @query

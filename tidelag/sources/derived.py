@@ -9,10 +9,10 @@ series, groups and commits grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.functions import epoch_ms, int_div
+from tidelag.functions import epoch_ms
 from tidelag.model import FACT, SERIES
 from tidelag.sources.tables import read_table
 
@@ -21,6 +21,9 @@ FIRST_TICK = 78892  # 2024-01-01, the first day of events
 RETENTION_SECONDS = 604800
 MEMBER_TTL_MS = 43200000
 
+EPOCH_MS = epoch_ms("ts")
+TOPIC_OF_LINE = "element_at(array('click', 'error', 'purchase', 'signup', 'view'), l_linenumber % 5 + 1)"
+
 
 class DerivedTables:
     """Lazily derived inputs over one directory of parquet tables."""
@@ -35,13 +38,12 @@ class DerivedTables:
     # -- produced side -----------------------------------------------------
 
     def plog(self) -> DataFrame:
-        user = F.col("user_id")
-        return self._read("events").select(
-            F.concat(F.lit("c"), (user % 2).cast("string")).alias("cluster"),
-            F.col("event_type").alias("topic"),
-            int_div(user, F.lit(2)).cast("int").alias("part"),
-            epoch_ms("ts").alias("ts_ms"),
-            (F.floor("value") + 1).cast("bigint").alias("qty"),
+        return self._read("events").selectExpr(
+            "concat('c', user_id % 2) as cluster",
+            "event_type as topic",
+            "cast(user_id div 2 as int) as part",
+            f"{EPOCH_MS} as ts_ms",
+            "cast(floor(value) as bigint) + 1 as qty",
             "event_id",
         )
 
@@ -53,93 +55,67 @@ class DerivedTables:
         """
         ticks = (
             self.plog()
-            .groupBy(*SERIES, (int_div(F.col("ts_ms"), F.lit(TICK_MS)) + 1).alias("h"))
+            .selectExpr(*SERIES, f"ts_ms div {TICK_MS} + 1 as h", "qty")
+            .groupBy(*SERIES, "h")
             .agg(F.sum("qty").alias("qty"))
         )
-        order = Window.partitionBy(*SERIES).orderBy("h")
-        runs = ticks.select(
-            *SERIES, "h", F.sum("qty").over(order).alias("off"), F.lead("h").over(order).alias("next_h")
-        )
-        until = F.coalesce(F.col("next_h") - 1, F.col("h"))
-        return runs.select(*SERIES, "off", F.explode(F.sequence("h", until)).alias("tick")).select(
-            *SERIES, "off", (F.col("tick") * TICK_MS).alias("at_ms")
-        )
+        over = "over (partition by cluster, topic, part order by h)"
+        runs = ticks.selectExpr(*SERIES, "h", f"sum(qty) {over} as off", f"lead(h) {over} as next_h")
+        return runs.selectExpr(
+            *SERIES, "off", "explode(sequence(h, coalesce(next_h - 1, h))) as tick"
+        ).selectExpr(*SERIES, "off", f"tick * {TICK_MS} as at_ms")
 
     def raw_members(self) -> DataFrame:
         """Samples as stored text, with same-time replacements and some malformed times."""
-        text = F.col("at_ms").cast("string")
-        member = F.when(F.col("off") % 97 == 5, F.concat(F.lit("x"), text)).otherwise(text)
-        back = F.explode(F.array(F.lit(0), F.lit(1))).alias("back")
-        return (
-            self.offset_samples()
-            .select(*SERIES, "off", member.alias("member"), back)
-            .select(*SERIES, (F.col("off") - F.col("back")).alias("off"), "member")
+        return self.offset_samples().selectExpr(
+            *SERIES, "off - explode(array(0, 1)) as off", "if(off % 97 = 5, concat('x', at_ms), string(at_ms)) as member"
         )
 
     def offset_responses(self) -> DataFrame:
         """Offset replies with an error code and a list of offsets, some failed or empty."""
-        return self.offset_samples().select(
+        return self.offset_samples().selectExpr(
             *SERIES,
             "at_ms",
-            F.when(F.col("off") % 17 == 3, 6).otherwise(0).alias("err_code"),
-            F.when(F.col("off") % 19 == 4, F.array().cast("array<bigint>"))
-            .otherwise(F.array("off"))
-            .alias("offsets"),
+            "if(off % 17 = 3, 6, 0) as err_code",
+            "if(off % 19 = 4, cast(array() as array<bigint>), array(off)) as offsets",
         )
 
     def messages(self) -> DataFrame:
-        return self.plog().select(*SERIES, F.col("event_id").alias("offset"), F.col("ts_ms").alias("at_ms"))
+        return self.plog().selectExpr(*SERIES, "event_id as offset", "ts_ms as at_ms")
 
     def topic_meta(self) -> DataFrame:
-        leader = F.when(F.col("part") % 11 != 10, ((F.length("topic") + F.col("part")) % 7).cast("int"))
-        return self.plog().select(*SERIES).distinct().withColumn("leader", leader)
+        series = self.plog().select(*SERIES).distinct()
+        return series.selectExpr("*", "if(part % 11 = 10, null, (length(topic) + part) % 7) as leader")
 
     # -- consumed side -----------------------------------------------------
 
     @staticmethod
-    def _owner(key: str):
+    def _owner(key: str) -> list[str]:
         """Cluster and group of a supplier key."""
-        k = F.col(key)
-        cluster = (
-            F.when(k % 19 == 5, "c9")
-            .when(k % 19 == 6, "c8")
-            .otherwise(F.concat(F.lit("c"), (k % 2).cast("string")))
-        )
-        return [cluster.alias("cluster"), F.concat(F.lit("grp-"), k.cast("string")).alias("grp")]
-
-    @staticmethod
-    def _topic(number: str):
-        names = F.array(*[F.lit(t) for t in ("click", "error", "purchase", "signup", "view")])
-        return F.element_at(names, (F.col(number) % 5 + 1).cast("int")).alias("topic")
+        return [
+            f"case {key} % 19 when 5 then 'c9' when 6 then 'c8' else concat('c', {key} % 2) end as cluster",
+            f"concat('grp-', {key}) as grp",
+        ]
 
     def commit_log(self) -> DataFrame:
         """Every commit with its snapshot; ``seq`` orders the commits of one position."""
-        committed = (
-            F.when((F.col("l_suppkey") % 17 == 3) | (F.col("l_partkey") % 31 == 5), F.lit(-1))
-            .otherwise((F.col("l_orderkey") * 7 + F.col("l_partkey") * 13) % 900)
-            .cast("bigint")
-        )
-        log = self._read("lineitem").select(
+        return self._read("lineitem").selectExpr(
             *self._owner("l_suppkey"),
-            self._topic("l_linenumber"),
-            int_div(F.col("l_partkey"), F.lit(20)).cast("int").alias("part"),
-            committed.alias("c_off"),
-            F.when(F.col("l_orderkey") % 13 == 6, 3).otherwise(0).alias("err_code"),
-            ((F.col("l_orderkey") % 124 + FIRST_TICK) * TICK_MS).alias("snapshot_ms"),
+            f"{TOPIC_OF_LINE} as topic",
+            "cast(l_partkey div 20 as int) as part",
+            "if(l_suppkey % 17 = 3 or l_partkey % 31 = 5, -1L, (l_orderkey * 7 + l_partkey * 13) % 900) as c_off",
+            "if(l_orderkey % 13 = 6, 3, 0) as err_code",
+            f"(l_orderkey % 124 + {FIRST_TICK}) * {TICK_MS} as snapshot_ms",
+            "(snapshot_ms * 1024 + c_off + 1) * 4 + err_code as seq",
         )
-        seq = (F.col("snapshot_ms") * 1024 + F.col("c_off") + 1) * 4 + F.col("err_code")
-        return log.withColumn("seq", seq)
 
     def committed(self) -> DataFrame:
         """The newest commit of every position."""
+        newest = [f"max_by({c}, seq) as {c}" for c in ("c_off", "err_code")]
         return (
             self.commit_log()
             .groupBy(*FACT)
-            .agg(
-                F.max_by("c_off", "seq").alias("c_off"),
-                F.max_by("err_code", "seq").alias("err_code"),
-                F.max("snapshot_ms").alias("snapshot_ms"),
-            )
+            .agg(*[F.expr(e) for e in newest], F.max("snapshot_ms").alias("snapshot_ms"))
         )
 
     def commit_snapshots(self) -> DataFrame:
@@ -153,31 +129,33 @@ class DerivedTables:
 
     def group_payloads(self) -> DataFrame:
         """Nested commit messages: two topics and three partitions per line item."""
-        lines = self._read("lineitem").select(
+        lines = self._read("lineitem").selectExpr(
             *self._owner("l_suppkey"),
-            self._topic("l_linenumber"),
-            int_div(F.col("l_partkey"), F.lit(20)).cast("int").alias("part"),
-            F.col("l_orderkey").alias("c_off"),
+            f"{TOPIC_OF_LINE} as topic",
+            "cast(l_partkey div 20 as int) as part",
+            "l_orderkey as c_off",
         )
-        here = F.struct("part", "c_off")
-        beside = F.struct((F.col("part") + 1).alias("part"), (F.col("c_off") + 1).alias("c_off"))
-        topics = F.array(
-            F.struct(F.col("topic"), F.array(here, beside).alias("partitions")),
-            F.struct(F.concat("topic", F.lit("-retry")).alias("topic"), F.array(here).alias("partitions")),
+        return lines.selectExpr(
+            "cluster",
+            "grp",
+            """array(
+                struct(topic, array(struct(part, c_off), struct(part + 1 as part, c_off + 1 as c_off)) as partitions),
+                struct(concat(topic, '-retry') as topic, array(struct(part, c_off)) as partitions)) as topics""",
         )
-        return lines.select("cluster", "grp", topics.alias("topics"))
 
     def groups(self) -> DataFrame:
-        k = F.col("s_suppkey")
-        error = F.when(k % 23 == 7, "offset fetch failed").when(k % 29 == 11, "topic description failed")
-        return self._read("supplier").select(*self._owner("s_suppkey"), error.alias("error"))
+        return self._read("supplier").selectExpr(
+            *self._owner("s_suppkey"),
+            "case when s_suppkey % 23 = 7 then 'offset fetch failed'"
+            " when s_suppkey % 29 = 11 then 'topic description failed' end as error",
+        )
 
     def clusters(self) -> DataFrame:
-        return self.groups().select("cluster").distinct().select(
+        return self.groups().select("cluster").distinct().selectExpr(
             "cluster",
-            F.lit(True).alias("has_client"),
-            (F.col("cluster") != "c9").alias("has_config"),
-            F.when(F.col("cluster") == "c8", "group listing failed").alias("list_error"),
+            "true as has_client",
+            "cluster <> 'c9' as has_config",
+            "if(cluster = 'c8', 'group listing failed', null) as list_error",
         )
 
     def rules(self) -> DataFrame:
@@ -190,20 +168,19 @@ class DerivedTables:
     # -- members and probes --------------------------------------------------
 
     def probe_log(self) -> DataFrame:
-        user = F.col("user_id")
-        target = F.when(user % 10 == 9, "store").otherwise(F.concat(F.lit("c"), (user % 2).cast("string")))
-        return self._read("events").select(
-            target.alias("cluster"), (F.col("event_type") != "error").alias("ok"), epoch_ms("ts").alias("at_ms")
+        return self._read("events").selectExpr(
+            "if(user_id % 10 = 9, 'store', concat('c', user_id % 2)) as cluster",
+            "event_type <> 'error' as ok",
+            f"{EPOCH_MS} as at_ms",
         )
 
     def member_events(self) -> DataFrame:
-        kind = F.when((F.col("event_type") == "error") & (F.col("event_id") % 4 == 0), "leave").otherwise("beat")
-        return self._read("events").select(
-            F.col("user_id").cast("string").alias("member"), kind.alias("kind"), epoch_ms("ts").alias("at_ms")
+        return self._read("events").selectExpr(
+            "string(user_id) as member",
+            "if(event_type = 'error' and event_id % 4 = 0, 'leave', 'beat') as kind",
+            f"{EPOCH_MS} as at_ms",
         )
 
     def run_log(self) -> DataFrame:
         """Stage records of iterations: one iteration per tick."""
-        return self.plog().select(
-            int_div(F.col("ts_ms"), F.lit(TICK_MS)).alias("iteration"), F.col("ts_ms").alias("at_ms")
-        )
+        return self.plog().selectExpr(f"ts_ms div {TICK_MS} as iteration", "ts_ms as at_ms")
