@@ -80,34 +80,33 @@ def lag_replay(
 ) -> DataFrame:
     """``partition_lag`` for every ``snapshot_ms`` of the commit log.
 
+    The log has at most one commit per position and snapshot.
     ``tick_ms`` may be raised when all sample times, snapshots and the
     retention are multiples of it; fewer levels are then needed.
     """
     ttl_ms = ttl_seconds * 1000
     if ttl_ms % tick_ms:
         raise ValueError("the retention must be a whole number of ticks")
-    key = [*SERIES, "snapshot_ms", "c_off"]
-    asked = window_nodes(commit_log.select(*key).distinct(), ttl_ms, tick_ms)
-    by = [*SERIES, *_NODE]
-    partial = nearest_samples(asked, sample_nodes(samples, ttl_ms, tick_ms), by, slice_bits)
+    position = list(commit_log.columns)
+    asked = window_nodes(commit_log, ttl_ms, tick_ms)
+    partial = nearest_samples(asked, sample_nodes(samples, ttl_ms, tick_ms), [*SERIES, *_NODE], slice_bits)
     # Nodes may know the same offset (a flat line crossing them): take the
     # neighbour offset first, then its latest time.
-    folded = (
-        partial.groupBy(*key)
-        .agg(
-            F.max(F.when(F.col("lo_off").isNotNull(), F.struct("lo_off", "lo_at"))).alias("lo"),
-            F.min(F.when(F.col("up_off").isNotNull(), F.struct("up_off", (-F.col("up_at")).alias("neg_at")))).alias("up"),
-            F.max(F.when(F.col("leo").isNotNull(), F.struct("leo_at", "leo"))).alias("newest"),
-            F.min("min_off").alias("min_off"),
-            F.max("max_off").alias("max_off"),
-            F.min("bad_off").alias("bad_off"),
-        )
-        .select(
-            *key,
+    folded = partial.groupBy(*position).agg(
+        F.expr("max(if(lo_off is null, null, struct(lo_off, lo_at))) as lo"),
+        F.expr("min(if(up_off is null, null, struct(up_off, -up_at as neg_at))) as up"),
+        F.expr("max(if(leo is null, null, struct(leo_at, leo))) as newest"),
+        F.min("min_off").alias("min_off"),
+        F.max("max_off").alias("max_off"),
+        F.min("bad_off").alias("bad_off"),
+    )
+    return with_lag(
+        folded.selectExpr(
+            *position,
             "lo.lo_off",
             "lo.lo_at",
             "up.up_off",
-            (-F.col("up.neg_at")).alias("up_at"),
+            "-up.neg_at as up_at",
             "min_off",
             "max_off",
             "bad_off",
@@ -115,4 +114,3 @@ def lag_replay(
             "newest.leo_at",
         )
     )
-    return with_lag(commit_log.join(folded, key, "left"))

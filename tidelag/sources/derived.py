@@ -67,8 +67,11 @@ class DerivedTables:
 
     def raw_members(self) -> DataFrame:
         """Samples as stored text, with same-time replacements and some malformed times."""
-        return self.offset_samples().selectExpr(
-            *SERIES, "off - explode(array(0, 1)) as off", "if(off % 97 = 5, concat('x', at_ms), string(at_ms)) as member"
+        member = "if(off % 97 = 5, concat('x', at_ms), string(at_ms)) as member"
+        return (
+            self.offset_samples()
+            .selectExpr(*SERIES, "off", member, "explode(array(0, 1)) as back")
+            .selectExpr(*SERIES, "off - back as off", "member")
         )
 
     def offset_responses(self) -> DataFrame:
