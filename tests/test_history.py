@@ -1,6 +1,7 @@
 from conftest import rows
 
 from tidelag.operators import history as H
+from tidelag.sources.kafka import as_messages
 
 S = "cluster string, topic string, part int, off bigint, at_ms bigint"
 
@@ -81,3 +82,12 @@ def test_log_end_is_the_next_offset(spark):
 def test_tail(spark):
     raw = samples(spark, (7, 1), (7, 2), (8, 3), (6, 9))
     assert rows(H.series_tail(raw), "rank", "off", "at_ms") == [(1, 8, 3), (2, 7, 2)]
+
+
+def test_rows_of_the_kafka_source(spark):
+    raw = spark.sql(
+        "select * from values ('t', 0, 7L, timestamp_millis(1500)), ('t', 0, 8L, timestamp_millis(2500)), ('t', 1, 0L, timestamp_millis(10))"
+        " as m(topic, partition, offset, timestamp)"
+    )
+    got = H.log_end_from_messages(as_messages(raw, "c1"))
+    assert rows(got) == [("c1", "t", 0, 9, 2500), ("c1", "t", 1, 1, 10)]

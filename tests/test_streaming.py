@@ -1,4 +1,7 @@
+import os
+import uuid
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -86,7 +89,7 @@ def test_lag_stream_equals_batch(spark, tmp_path):
             stream_table(spark, dirs["commits"], COMMITS),
             stream_table(spark, dirs["samples"], SAMPLES),
         )
-        query = start_lag_stream(inputs, iteration, str(tmp_path / "checkpoint"), interval=None)
+        query = start_lag_stream(inputs, iteration, "lag", str(tmp_path / "checkpoint"), interval=None)
         assert query.awaitTermination(120)
     gauges = spark.read.parquet(str(tmp_path / "gauges"))
     assert gauges.select("batch").distinct().count() == 4
@@ -107,6 +110,26 @@ def test_lag_stream_equals_batch(spark, tmp_path):
     assert again.count() == before and flat(again.where("batch = 3 and part = 'lag'")) == flat(want)
 
 
+def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
+    clusters, rules = config(spark)
+    iteration = LagIteration(HistoryLog(spark, str(tmp_path / "h"), TTL), str(tmp_path / "gauges"), clusters, rules)
+    for df, kind in zip(iteration_inputs(spark, 0), ("groups", "commits", "samples")):
+        df.coalesce(1).write.parquet(str(tmp_path / kind))
+    inputs = tagged_inputs(
+        stream_table(spark, str(tmp_path / "groups"), spark.createDataFrame([], GROUPS).schema),
+        stream_table(spark, str(tmp_path / "commits"), COMMITS),
+        stream_table(spark, str(tmp_path / "samples"), SAMPLES),
+    )
+    name = f"lag-{uuid.uuid4()}"
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        with pytest.raises(ValueError):
+            start_lag_stream(inputs, iteration, name, interval=None)
+    else:
+        assert start_lag_stream(inputs, iteration, name, interval=None).awaitTermination(120)
+        assert os.path.isdir(os.path.join(shared.removeprefix("file:"), name))
+
+
 def test_unread_series_gets_no_lag_in_that_iteration(spark, tmp_path):
     clusters, rules = config(spark)
     log = HistoryLog(spark, str(tmp_path / "history"), TTL)

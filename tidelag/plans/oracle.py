@@ -232,7 +232,7 @@ _QUERIES: dict[str, str] = {
     "latest_offsets": """select cluster, topic, part, arg_max(off, at_ms) as leo, max(at_ms) as leo_at from samples
          where off % 17 <> 3 and off % 19 <> 4 group by all""",
     "message_log_end": "select cluster, topic, part, max(event_id) + 1 as leo, max(ts_ms) as leo_at from plog group by all",
-    "series_keys": """select concat(cluster, ':', topic, ':', cast(part as varchar)) as series_key, count(*) as samples
+    "series_key": """select concat(cluster, ':', topic, ':', cast(part as varchar)) as series_key, count(*) as samples
          from samples group by all""",
     "history_compress": """select cluster, topic, part, off, try_cast(max(member) as bigint) as at_ms from
          (select cluster, topic, part, member, max(off) as off from members_raw group by all) group by cluster, topic, part, off""",

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidelag.functions import int_div, label_text, series_key
+from tidelag import functions as FN
+from tidelag.functions import int_div, label_text
 from tidelag.model import FACT, GROUP, SERIES, TOPIC
 from tidelag.operators import gauges as G
 from tidelag.operators import groups as GR
@@ -125,8 +126,8 @@ def message_log_end(t):
 
 
 @query
-def series_keys(t):
-    return t.offset_samples().groupBy(series_key().alias("series_key")).agg(F.count("*").alias("samples"))
+def series_key(t):
+    return t.offset_samples().groupBy(FN.series_key().alias("series_key")).agg(F.count("*").alias("samples"))
 
 
 @query

@@ -89,11 +89,22 @@ class LagIteration:
 def start_lag_stream(
     inputs: DataFrame,
     iteration: LagIteration,
-    checkpoint: str,
+    name: str,
+    checkpoint: str | None = None,
     interval: str | None = DEFAULT_INTERVAL,
 ) -> StreamingQuery:
-    """Run an iteration per ``interval``, or over everything available when it is None."""
-    writer = inputs.writeStream.foreachBatch(iteration).option("checkpointLocation", checkpoint)
+    """Run an iteration per ``interval``, or over everything available when it is None.
+
+    ``name`` identifies the stream across restarts.  Progress is kept under
+    ``checkpoint``, by default under that name in the shared folder the cluster
+    sets as ``spark.checkpoint.dir``.
+    """
+    if checkpoint is None:
+        shared = inputs.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            raise ValueError("name a checkpoint folder or set spark.checkpoint.dir")
+        checkpoint = f"{shared.rstrip('/')}/{name}"
+    writer = inputs.writeStream.queryName(name).foreachBatch(iteration).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if interval is None else writer.trigger(processingTime=interval)
     return writer.start()
 
