@@ -57,3 +57,16 @@ def test_time_zone_of_the_session_does_not_matter(spark):
             assert normal(tuple(r) for r in contract.queries()[n](spark, SF).collect()) == want[n]
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)
+
+
+@pytest.mark.parametrize("name", sorted(contract.queries()))
+def test_plan_has_no_nested_loop_and_no_python(spark, name):
+    plan = contract.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for slow in ("CartesianProduct", "BroadcastNestedLoopJoin", "Python", "Pandas"):
+        assert slow not in plan
+
+
+def test_scan_reads_only_needed_columns(spark):
+    plan = contract.queries()["time_lag"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int>" in plan
+    assert "l_extendedprice" not in plan and "props" not in plan
