@@ -21,7 +21,7 @@ SLICE_BITS = 20
 HOT_ROWS = 1_000_000
 
 # Slices whose samples are folded into one array value are kept much narrower.
-ARRAY_SLICE_BITS = 12
+ARRAY_SLICE_BITS = 14
 
 DEFAULT_TTL_SECONDS = 7200
 DEFAULT_INTERVAL = "30 seconds"
