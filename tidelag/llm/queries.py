@@ -110,10 +110,10 @@ with recursive {_SHINGLES},
 classes as (select s, min(doc_id) rep, len(s) n from sets where len(s) > 0 group by s),
 grams as (select rep, n, unnest(s) g from classes),
 met as (
-  select a.rep a, b.rep b, any_value(a.n) na, any_value(b.n) nb, count(*) both
+  select a.rep a, b.rep b, any_value(a.n) na, any_value(b.n) nb, count(*) common
   from grams a join grams b on a.g = b.g and a.rep < b.rep and 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
   group by a.rep, b.rep),
-links as (select a, b from met where 100 * both >= 80 * (na + nb - both)),
+links as (select a, b from met where 100 * common >= 80 * (na + nb - common)),
 both_ways as (select a, b from links union all select b, a from links union all select rep, rep from classes),
 reach(a, b) as (select a, b from both_ways union select r.a, e.b from reach r join both_ways e on r.b = e.a),
 comp as (select a rep, min(b) component from reach group by a)
