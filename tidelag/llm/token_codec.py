@@ -84,8 +84,9 @@ class _Mixer:
         self.next2 = np.full(lanes * size, _NOTHING, np.uint16)
         self.trust1 = np.zeros(lanes * size, np.uint8)
         self.trust2 = np.zeros(lanes * size, np.uint8)
-        self.weights = np.empty((3, lanes * 32), np.int64)  # of order 0, 1, 2
+        self.weights = np.empty((3, lanes * 32))  # of order 0, 1, 2
         self.weights[:] = np.array([60, 20, 20])[:, None]
+        self.flat = self.weights.reshape(-1)
         self.table_at = np.arange(lanes, dtype=np.int64) << _TABLE_BITS
         self.weight_at = np.arange(lanes, dtype=np.int64) << 5
         self.one = np.zeros(lanes, np.uint32)
@@ -97,21 +98,20 @@ class _Mixer:
         mixed = one * np.uint32(2654435761)
         self.at1 = self.table_at[:k] + (mixed >> np.uint32(32 - _TABLE_BITS))
         self.at2 = self.table_at[:k] + ((mixed ^ (two * np.uint32(2246822519))) * np.uint32(3266489917) >> np.uint32(32 - _TABLE_BITS))
-        self.guess1, self.guess2 = self.next1[self.at1], self.next2[self.at2]
-        self.sure1, self.sure2 = self.trust1[self.at1], self.trust2[self.at2]
+        self.guess1, self.guess2 = self.next1.take(self.at1), self.next2.take(self.at2)
+        self.sure1, self.sure2 = self.trust1.take(self.at1), self.trust2.take(self.at2)
         self.at = self.weight_at[:k] + (self.sure2 * np.uint8(8) + self.sure1 * np.uint8(2) + (self.guess1 == self.guess2))
-        w0, w1, w2 = self.weights[0][self.at], self.weights[1][self.at], self.weights[2][self.at]
-        room = (1 << _WEIGHT_BITS) - 3
-        total = w0 + w1 + w2
-        return self.guess2, self.guess1, w2 * room // total + 1, w1 * room // total + 1
+        w0, w1, w2 = (w.take(self.at) for w in self.weights)
+        # weights are small whole numbers: the division is correctly rounded, so coder and decoder agree
+        room = ((1 << _WEIGHT_BITS) - 3) / (w0 + w1 + w2)
+        return self.guess2, self.guess1, (w2 * room).astype(np.int64) + 1, (w1 * room).astype(np.int64) + 1
 
     def update(self, k: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        order = hit2 * np.int64(2) + hit1
-        for o in range(3):
-            self.weights[o][self.at] += (order == o) * np.int64(24)
-        if self.step & 15 == 15:
-            np.right_shift(self.weights, 1, out=self.weights, where=self.weights.sum(axis=0) > 4000)
-            np.maximum(self.weights, 1, out=self.weights)
+        self.flat[self.at + (hit2 * np.int64(2) + hit1) * self.weights.shape[1]] += 24.0
+        if self.step & 63 == 63:
+            high = np.flatnonzero(self.weights.sum(axis=0) > 4000)
+            if len(high):
+                self.weights[:, high] = np.maximum(np.floor(self.weights[:, high] / 2), 1)
         self.step += 1
         right1 = self.guess1 == ids
         self.trust1[self.at1] = np.where(right1, np.minimum(self.sure1 + 1, 3), 0)
@@ -144,15 +144,14 @@ class _Writers:
         if isinstance(lanes, np.ndarray):
             at = lanes[at]
         while len(at):
-            low, span = self.low[at], self.range[at]
+            low, span = self.low.take(at), self.range.take(at)
             settled = (low ^ (low + span)) < _SETTLED
-            tight = ~settled & (span < _LEAST)
-            needed = settled | tight
-            at, low, span, tight = at[needed], low[needed], span[needed], tight[needed]
-            span = np.where(tight, (~low + _U(1)) & (_LEAST - _U(1)), span)
+            span = np.where(settled, span, (~low + _U(1)) & (_LEAST - _U(1)))
             self.words[at, self.used[at]] = (low >> _U(48)).astype(np.uint16)
             self.used[at] += 1
-            self.low[at], self.range[at] = low << _U(16), span << _U(16)
+            low, span = low << _U(16), span << _U(16)
+            self.low[at], self.range[at] = low, span
+            at = at[((low ^ (low + span)) < _SETTLED) | (span < _LEAST)]
 
     def finish(self) -> list[bytes]:
         for shift in (48, 32, 16, 0):
@@ -189,15 +188,14 @@ class _Readers:
         if isinstance(lanes, np.ndarray):
             at = lanes[at]
         while len(at):
-            low, span = self.low[at], self.range[at]
+            low, span = self.low.take(at), self.range.take(at)
             settled = (low ^ (low + span)) < _SETTLED
-            tight = ~settled & (span < _LEAST)
-            needed = settled | tight
-            at, low, span, tight = at[needed], low[needed], span[needed], tight[needed]
-            span = np.where(tight, (~low + _U(1)) & (_LEAST - _U(1)), span)
+            span = np.where(settled, span, (~low + _U(1)) & (_LEAST - _U(1)))
             self.code[at] = (self.code[at] << _U(16)) | self.words[at, self.used[at]]
             self.used[at] += 1
-            self.low[at], self.range[at] = low << _U(16), span << _U(16)
+            low, span = low << _U(16), span << _U(16)
+            self.low[at], self.range[at] = low, span
+            at = at[((low ^ (low + span)) < _SETTLED) | (span < _LEAST)]
 
 
 # -- blocks --------------------------------------------------------------------
@@ -290,12 +288,13 @@ def _decode_together(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
             hit2 = target < w2 * _SLOTS
             miss = above >= 0
             hit1 = ~(hit2 | miss)
-            slot = slot_at[:k] + np.where(miss, above // rest, 0)
-            start, freq = starts[slot], freqs[slot]
+            # exact: both are small whole numbers, so the quotient never rounds up to the next one
+            slot = slot_at[:k] + (np.maximum(above, 0) / rest).astype(np.int64)
+            start, freq = starts.take(slot), freqs.take(slot)
             cum = np.where(miss, both * _SLOTS + rest * start, np.where(hit1, w2 * _SLOTS, 0))
             width = np.where(miss, rest * freq, np.where(hit2, w2, w1) * _SLOTS)
             readers.take(slice(0, k), cum, width)
-            now = np.where(miss, symbols[slot], np.where(hit2, guess2, guess1))
+            now = np.where(miss, symbols.take(slot), np.where(hit2, guess2, guess1))
             fresh = np.flatnonzero(miss & (now == _NOTHING))
             if len(fresh):
                 raw = readers.target(fresh, 16)
