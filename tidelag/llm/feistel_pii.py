@@ -6,9 +6,9 @@ within its own format and put back:
 =========  =============================================  ==========================================================
 kind       validated                                      pseudonym
 =========  =============================================  ==========================================================
-card       13 to 19 digits, groups of blanks or hyphens,  digits but the last are permuted, the last is the new check
-           Luhn check digit                               digit; separators stay
-phone      +, country code, groups of digits              digits after the country code are permuted
+card       13 to 19 digits, or groups of 4-4-4-4 or 4-6-5  digits but the last are permuted, the last is the new check
+           parted by blanks or hyphens; Luhn check digit  digit; separators stay
+phone      +, country code, three or five groups of digits  digits after the country code are permuted
 ip         four numbers of 0 to 255                       the 32-bit address is permuted
 date       a day of 1900-01-01 to 2099-11-13 that exists  the day is permuted within those 73,000 days; layout stays
 email      local part, @, domain                          letters and digits of the local part are permuted, class
@@ -36,11 +36,14 @@ _FIRST_DAY = "1900-01-01"
 
 # One expression that finds every candidate; longer formats stand first.
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}"
-PHONE = r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})(?:[ .-]?[0-9]{2,4}){1,4}"
+PHONE = (
+    r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
+    r"|[ .-][0-9](?:[ .-][0-9]{2}){4})"
+)
 ISO_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
 DAY_DATE = r"[0-9]{2}[./][0-9]{2}[./][0-9]{4}"
 IP = r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}"
-NUMBER = r"[0-9](?:[ -]?[0-9]){12,18}"
+NUMBER = r"(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})"
 # A candidate starts at a digit, a plus, or an e-mail's first character, and touches no digit or letter.
 CANDIDATE = (
     rf"(?<![A-Za-z0-9])(?:(?<![._%+-]){EMAIL}(?![A-Za-z0-9])"
