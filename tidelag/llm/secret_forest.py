@@ -103,13 +103,13 @@ def _with_candidates(documents: DataFrame, path: str) -> DataFrame:
 def _judged(score: Callable[[Column], Column]) -> Column:
     """For each candidate a struct: value, where it starts in the text, features, score."""
 
-    def one(value: Column, i: Column) -> Column:
-        gaps = F.col("__gaps")
+    def one(gaps: Column, value: Column, i: Column) -> Column:
         before, after = F.get(gaps, i), F.get(gaps, i + 1)
         around = features(value, F.right(before, F.lit(_NEAR)), F.left(after, F.lit(16)), F.col("__path"))
         return bound(around, lambda f: F.struct(value.alias("value"), f.alias("features"), score(f).alias("score")))
 
-    return F.transform("__found", one)
+    # the gaps are bound: the optimizer would otherwise cut the text anew for every candidate
+    return bound(F.col("__gaps"), lambda gaps: F.transform("__found", lambda value, i: one(gaps, value, i)))
 
 
 def labelled_by_rule(findings: DataFrame) -> DataFrame:
