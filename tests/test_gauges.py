@@ -65,7 +65,7 @@ def test_checked_and_iteration_gauges(spark):
 
 def test_iteration_times(spark):
     log = spark.createDataFrame([(1, 1000), (1, 1100), (2, 5000)], "iteration bigint, at_ms bigint")
-    assert rows(G.iteration_times(log)) == [(1, 0.1), (2, 0.0)]
+    assert rows(G.iteration_times(log)) == [(1, 100), (2, 0)]
 
 
 def test_last_values_are_sticky(spark):

@@ -139,9 +139,9 @@ def test_offset_lag_and_missing_offsets(spark):
     latest = latest_offsets(samples)
     assert rows(L.offset_lag(commits.where("c_off >= 0"), latest), "grp", "lag_off") == [("g", 10), ("h", 0)]
     assert rows(L.missing_offsets(commits, latest), "grp", "topic", "skip_reason") == [
-        ("g", "u", "LatestProducedOffset is not available."),
-        ("k", "t", "CommitedOffset is not available."),
-        ("k", "u", "LatestProducedOffset is not available. CommitedOffset is not available."),
+        ("g", "u", "log_end_unknown"),
+        ("k", "t", "commit_unknown"),
+        ("k", "u", "log_end_unknown commit_unknown"),
     ]
 
 

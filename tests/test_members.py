@@ -64,3 +64,9 @@ def test_health(spark):
     assert status(spark, ("cluster-1", True, 1), ("store", False, 1)) == ("Unhealthy", [])
     assert status(spark, ("cluster-1", False, 1), ("cluster-1", True, 2), up) == ("OK", [])
     assert status(spark, up) == ("Unhealthy", [])
+
+
+def test_later_events_do_not_change_an_earlier_time(spark):
+    events = spark.createDataFrame([("a", "beat", 1000), ("b", "beat", 50000), ("a", "leave", 60000)], "member string, kind string, at_ms long")
+    live = M.live_members(events, 10000, F.lit(5000))
+    assert [tuple(r) for r in live.collect()] == [("a", 1000)]

@@ -1,4 +1,6 @@
+import functools
 import os
+import time
 import uuid
 
 import pytest
@@ -59,13 +61,26 @@ def test_history_log_equals_one_merge(spark, tmp_path):
     assert log.expire(now) == 0 or rows(log.read(now)) == rows(want)
 
 
-def test_history_log_expires_only_what_no_read_needs(spark, tmp_path):
+def test_history_log_expires_by_the_age_of_writing_only(spark, tmp_path):
     log = HistoryLog(spark, str(tmp_path / "h"), ttl_seconds=10)
     for batch in range(12):
         log.append(spark.createDataFrame([("c", "t", 0, batch, batch * 10000)], SAMPLES), batch)
-    before = rows(log.read(110000))
-    assert log.expire(110000) == 9
-    assert rows(log.read(110000)) == before == [("c", "t", 0, 10, 100000), ("c", "t", 0, 11, 110000)]
+    assert log.expire() == 0
+    assert rows(log.read(110000)) == [("c", "t", 0, 10, 100000), ("c", "t", 0, 11, 110000)]
+    assert log.expire(int(time.time() * 1000) + 3 * 3_600_000) in (1, 2)
+
+
+def test_history_log_is_lossless(spark, tmp_path):
+    path = str(tmp_path / "h")
+    near = [("c", "t", 0, n, n * 1000) for n in range(3)]
+    one, two = HistoryLog(spark, path, 7200, "one"), HistoryLog(spark, path, 7200, "two")
+    one.append(spark.createDataFrame(near, SAMPLES), 0)
+    # a second stream with the same batch number, whose clock is three hours ahead
+    two.append(spark.createDataFrame([("d", "t", 0, 9, 3 * 3_600_000)], SAMPLES), 0)
+    one.expire()
+    assert rows(one.read(2000)) == near
+    assert HistoryLog(spark, path, 3600).read(2000).count() == 3  # another retention, the same files
+    assert len(rows(two.read(3 * 3_600_000))) == 1
 
 
 def test_series_without_new_samples_is_kept_for_one_retention(spark, tmp_path):
@@ -110,6 +125,29 @@ def test_lag_stream_equals_batch(spark, tmp_path):
     assert again.count() == before and flat(again.where("batch = 3 and part = 'lag'")) == flat(want)
 
 
+def test_backlog_gives_the_newest_iteration(spark, tmp_path):
+    clusters, rules = config(spark)
+    frames = [iteration_inputs(spark, i) for i in range(4)]
+    flat = lambda df: rows(df.select("name", F.array_sort(F.map_entries("labels")).cast("string"), "value"))
+    apart = LagIteration(HistoryLog(spark, str(tmp_path / "h1"), TTL), str(tmp_path / "g1"), clusters, rules)
+    for i, parts in enumerate(frames):
+        apart(tagged_inputs(*parts), i)
+    together = LagIteration(HistoryLog(spark, str(tmp_path / "h2"), TTL), str(tmp_path / "g2"), clusters, rules)
+    joined = [functools.reduce(lambda a, b: a.unionByName(b), [f[k] for f in frames]) for k in range(3)]
+    together(tagged_inputs(*joined), 0)
+    newest = spark.read.parquet(str(tmp_path / "g1")).where("batch = 3 and part = 'lag'")
+    assert flat(spark.read.parquet(str(tmp_path / "g2")).where("part = 'lag'")) == flat(newest)
+
+
+def test_groups_without_commits_are_counted(spark, tmp_path):
+    clusters, rules = config(spark)
+    groups, commits, samples = iteration_inputs(spark, 0)
+    iteration = LagIteration(HistoryLog(spark, str(tmp_path / "h"), TTL), str(tmp_path / "g"), clusters, rules)
+    iteration(tagged_inputs(groups, commits.limit(0), samples.limit(0)), 0)
+    checked = spark.read.parquet(str(tmp_path / "g")).where("name = 'kafka_total_groups_checked'").first()
+    assert checked.value >= 1
+
+
 def test_checkpoint_folder_comes_from_the_session(spark, tmp_path):
     clusters, rules = config(spark)
     iteration = LagIteration(HistoryLog(spark, str(tmp_path / "h"), TTL), str(tmp_path / "gauges"), clusters, rules)

@@ -108,9 +108,8 @@ def iteration_gauge(seconds: DataFrame) -> DataFrame:
 
 
 def iteration_times(run_log: DataFrame) -> DataFrame:
-    """Seconds between the first and the last stage record of each iteration."""
-    span = F.max("at_ms") - F.min("at_ms")
-    return run_log.groupBy("iteration").agg((span / F.lit(1000)).alias("seconds"))
+    """Milliseconds between the first and the last stage record of each iteration, as a whole number."""
+    return run_log.groupBy("iteration").agg((F.max("at_ms") - F.min("at_ms")).cast("bigint").alias("span_ms"))
 
 
 def last_values(gauges: DataFrame) -> DataFrame:
@@ -142,6 +141,7 @@ def exposition(gauges: DataFrame) -> DataFrame:
         gauges.select("name")
         .distinct()
         .select("name", F.explode(header).alias("h"))
+        .where("h.line is not null")  # a metric without a known description has no HELP line
         .select("name", F.col("h.seq").alias("seq"), F.lit("").alias("labels"), F.col("h.line").alias("line"))
     )
     return headers.unionByName(samples)

@@ -54,8 +54,9 @@ def retain(samples: DataFrame, ttl_seconds: int, now_ms: Column | int | None = N
         newest = newest.where(F.col("newest_ms") >= now - ttl_ms)
     # The per-series aggregate is combined map-side, so a hot series is never
     # gathered; the join streams the samples past one small row per series.
+    # Dealing the aggregate anew lets Spark split a hot series in the join.
     return (
-        samples.join(newest, SERIES)
+        samples.join(newest.hint("rebalance"), SERIES)
         .where(F.col("at_ms") >= F.col("newest_ms") - ttl_ms)
         .drop("newest_ms")
     )

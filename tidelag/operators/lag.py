@@ -20,21 +20,36 @@ def valid_commits(committed: DataFrame) -> DataFrame:
     return _named(committed).where((F.col("err_code") == 0) & (F.col("c_off") >= 0))
 
 
+def newest_commits(committed: DataFrame) -> DataFrame:
+    """One row per position: its commit of the newest snapshot, the only one that counts in an iteration.
+
+    Combined map-side; of several rows of one snapshot the one with the greatest offset counts.
+    """
+    rest = [c for c in committed.columns if c not in (*FACT, "snapshot_ms")]
+    newest = F.max_by(F.struct(*rest), F.struct("snapshot_ms", "c_off", "err_code"))
+    rows = committed.groupBy(*FACT).agg(newest.alias("of_newest"), F.max("snapshot_ms").alias("snapshot_ms"))
+    return rows.select(*FACT, "of_newest.*", "snapshot_ms").select(*committed.columns)
+
+
 def skip_reason() -> Column:
     """Which offset is missing; NULL when the lag can be computed."""
     return F.nullif(
         F.concat_ws(
             " ",
-            F.when(F.col("leo").isNull(), "LatestProducedOffset is not available."),
-            F.when(F.col("c_off").isNull(), "CommitedOffset is not available."),
+            F.when(F.col("leo").isNull(), "log_end_unknown"),
+            F.when(F.col("c_off").isNull(), "commit_unknown"),
         ),
         F.lit(""),
     )
 
 
 def with_log_end(committed: DataFrame, latest: DataFrame) -> DataFrame:
-    """Attach the log end of each position; unknown where the series was never read."""
-    return committed.join(latest, SERIES, "left")
+    """Attach the log end of each position; unknown where the series was never read.
+
+    ``latest`` is often an aggregate, already dealt by the join key; dealing it
+    anew lets Spark split a series that holds very many positions.
+    """
+    return committed.join(latest.hint("rebalance"), SERIES, "left")
 
 
 def offset_lag(committed: DataFrame, latest: DataFrame) -> DataFrame:

@@ -44,12 +44,14 @@ def live_members(events: DataFrame, ttl_ms: int, now_ms: Column) -> DataFrame:
     """Members alive at ``now_ms`` with the time they registered.
 
     A leave takes effect at once and ends the registration; a later beat
-    registers the member anew.  ``events`` has member, kind and at_ms.
+    registers the member anew.  ``events`` has member, kind and at_ms; what
+    happens after ``now_ms`` is not known yet.
     """
+    events = events.where(F.col("at_ms") <= now_ms)
     left = events.where("kind = 'leave'").groupBy("member").agg(F.max("at_ms").alias("left_ms"))
     beats = (
         events.where("kind = 'beat'")
-        .join(left, "member", "left")
+        .join(left.hint("rebalance"), "member", "left")
         .where(F.col("left_ms").isNull() | (F.col("at_ms") > F.col("left_ms")))
     )
     current = sessions(beats, ttl_ms).where(F.col("end_ms") > now_ms)

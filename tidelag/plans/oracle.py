@@ -171,6 +171,16 @@ _session_ctes(
 )
 _CTE["live"] = """select member, max(start_ms) as first_seen_ms from open_sessions
        where end_ms > (select max(at_ms) from member_events) group by member"""
+_CTE["member_events_at"] = """select * from member_events
+       where at_ms <= (select (min(at_ms) + max(at_ms)) // 2 from member_events)"""
+_session_ctes(
+    "at",
+    """select b.* from member_events_at b where kind = 'beat' and not exists (select 1 from member_events_at l
+       where l.kind = 'leave' and l.member = b.member and l.at_ms >= b.at_ms)""",
+)
+_CTE["live_at"] = """select member, max(start_ms) as first_seen_ms from at_sessions
+       where end_ms > (select (min(at_ms) + max(at_ms)) // 2 from member_events) group by member"""
+
 
 _HEALTH = """case when coalesce(bool_or(ok) filter (cluster <> 'store'), false)
             and coalesce(bool_and(ok) filter (cluster = 'store'), false) then 'OK' else 'Unhealthy' end as status,
@@ -248,9 +258,9 @@ _QUERIES: dict[str, str] = {
          from commits join latest using (cluster, topic, part)""",
     "missing_offset_audit": """select cluster, skip_reason, count(*) as partitions from (
          select cluster, case when leo is null and not (c_off >= 0)
-                then 'LatestProducedOffset is not available. CommitedOffset is not available.'
-                when leo is null then 'LatestProducedOffset is not available.'
-                when c_off < 0 then 'CommitedOffset is not available.' end as skip_reason
+                then 'log_end_unknown commit_unknown'
+                when leo is null then 'log_end_unknown'
+                when c_off < 0 then 'commit_unknown' end as skip_reason
          from committed left join latest using (cluster, topic, part)) where skip_reason is not null group by all""",
     "time_lag": f"select cluster, grp, topic, part, {_LAG_COLS} from lags",
     "time_lag_window": f"select cluster, grp, topic, part, {_LAG_COLS} from lags",
@@ -282,6 +292,9 @@ _QUERIES: dict[str, str] = {
     "health_rollup": f"select {_HEALTH} from last_probe",
     "health_by_hour": f"select hour, {_HEALTH} from last_probe_hour group by hour",
     "member_sessions": "select member, start_ms, end_ms, beats from all_sessions",
+    "newest_commits": "select cluster, grp, topic, part, c_off, err_code, snapshot_ms from committed",
+    "member_index_at": """select member, row_number() over (order by first_seen_ms, member) - 1 as member_index,
+         count(*) over () as members from live_at""",
     "member_index": """select member, row_number() over (order by first_seen_ms, member) - 1 as member_index,
          count(*) over () as members from live""",
 }

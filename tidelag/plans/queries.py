@@ -270,7 +270,7 @@ def gauge_last_value(t):
 
 @query
 def iteration_time(t):
-    return G.iteration_times(t.run_log()).withColumn("seconds", (F.col("seconds") * 1000).cast("bigint"))
+    return G.iteration_times(t.run_log()).withColumnRenamed("span_ms", "seconds")
 
 
 # -- members and health ----------------------------------------------------------
@@ -299,3 +299,16 @@ def member_index(t):
     events = t.member_events()
     now = events.agg(F.max("at_ms")).scalar()
     return M.member_index(M.live_members(events, MEMBER_TTL_MS, now), bucket_ms=3600000)
+
+
+@query
+def member_index_at(t):
+    """The index as it stood in the middle of the recorded time."""
+    events = t.member_events()
+    middle = events.agg(int_div(F.min("at_ms") + F.max("at_ms"), F.lit(2))).scalar()
+    return M.member_index(M.live_members(events, MEMBER_TTL_MS, middle), bucket_ms=3600000)
+
+
+@query
+def newest_commits(t):
+    return L.newest_commits(t.commit_log().drop("seq"))

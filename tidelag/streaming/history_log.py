@@ -1,13 +1,19 @@
 """Produced-offset history kept as an append-only parquet log.
 
-Each micro-batch adds only its own samples, under ``bucket=<time>/batch=<id>``,
-so nothing already written is rewritten and a repeated batch replaces just its
-own files.  Retention is applied on reading; whole buckets that can no longer
-matter are deleted.  The path must be on storage every executor can reach.
+Each micro-batch adds only its own samples, under
+``written=<hour>/stream=<name>/bucket=<time>/batch=<id>``, so nothing already
+written is rewritten, streams that share a path keep apart, and a repeated batch
+replaces its own files (or, in another hour, repeats rows that reading folds).
+Retention is applied per series on reading.  Files are deleted by the age of
+their writing alone, never by the times in the data, so one clock that is ahead
+cannot remove the history of others.  The path must be on storage every
+executor can reach.
 """
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,33 +22,44 @@ from tidelag.model import DEFAULT_TTL_SECONDS, SAMPLES, SERIES
 from tidelag.operators.history import retain, unique_times
 
 
+HOUR_MS = 3_600_000  # width of a bucket and of a span of writing, whatever the retention
+
+
+def _wall_ms() -> int:
+    return int(time.time() * 1000)
+
+
 class HistoryLog:
-    def __init__(self, spark: SparkSession, path: str, ttl_seconds: int = DEFAULT_TTL_SECONDS):
+    def __init__(
+        self, spark: SparkSession, path: str, ttl_seconds: int = DEFAULT_TTL_SECONDS, stream: str = "main"
+    ):
         self.spark = spark
         self.path = path.rstrip("/")
         self.ttl_seconds = ttl_seconds
-        self.bucket_ms = ttl_seconds * 1000
+        self.stream = stream
 
     def append(self, samples: DataFrame, batch_id: int) -> None:
         """Add the samples of one micro-batch; repeating a batch id replaces that batch."""
         known = samples.where("off is not null and at_ms is not null").select(*SERIES, "off", "at_ms")
         (
-            known.withColumn("bucket", int_div(F.col("at_ms"), F.lit(self.bucket_ms)))
+            known.withColumn("bucket", int_div(F.col("at_ms"), F.lit(HOUR_MS)))
+            .withColumn("written", F.lit(_wall_ms() // HOUR_MS).cast("bigint"))
+            .withColumn("stream", F.lit(self.stream))
             .withColumn("batch", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket", "batch")
+            .partitionBy("written", "stream", "bucket", "batch")
             .parquet(self.path)
         )
 
     def _oldest_bucket(self, now_ms: int) -> int:
         # A series is kept while its newest sample is within the retention, and
         # then reaches back one more retention from that sample.
-        return (now_ms - 2 * self.ttl_seconds * 1000) // self.bucket_ms
+        return (now_ms - 2 * self.ttl_seconds * 1000) // HOUR_MS
 
     def read(self, now_ms: int) -> DataFrame:
-        """History as of ``now_ms``: retained samples of series that have not expired."""
-        schema = f"{SAMPLES.toDDL()}, bucket bigint, batch bigint"
+        """History as of ``now_ms``: retained samples of series that have not expired; later ones stay unread."""
+        schema = f"{SAMPLES.toDDL()}, written bigint, stream string, bucket bigint, batch bigint"
         stored = (
             self.spark.read.schema(schema)
             .parquet(self.path)
@@ -51,15 +68,16 @@ class HistoryLog:
         )
         return retain(unique_times(stored), self.ttl_seconds, now_ms)
 
-    def expire(self, now_ms: int) -> int:
-        """Delete buckets no read at or after ``now_ms`` can need; returns how many."""
+    def expire(self, wall_ms: int | None = None) -> int:
+        """Delete files written more than two retentions before the wall clock; returns how many hours went."""
+        oldest = ((_wall_ms() if wall_ms is None else wall_ms) - 2 * self.ttl_seconds * 1000) // HOUR_MS
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         dropped = 0
         for status in fs.listStatus(root):
             name = status.getPath().getName()
-            if name.startswith("bucket=") and int(name[7:]) < self._oldest_bucket(now_ms):
+            if name.startswith("written=") and int(name[8:]) < oldest:
                 fs.delete(status.getPath(), True)
                 dropped += 1
         return dropped

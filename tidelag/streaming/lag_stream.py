@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tidelag.model import COMMITS, DEFAULT_INTERVAL, GROUP, SAMPLES
 from tidelag.operators.gauges import iteration_gauge, last_values
 from tidelag.operators.history import latest_offsets
+from tidelag.operators.lag import newest_commits
 from tidelag.plans.iteration import published_gauges
 from tidelag.streaming.history_log import HistoryLog
 
@@ -41,7 +42,10 @@ class LagIteration:
         clusters: DataFrame,
         rules: DataFrame,
         extra: Mapping[str, str] | None = None,
+        slack_ms: int = 30_000,
     ):
+        """``slack_ms``: how much later than the snapshot of its commits an iteration may sample the log ends."""
+        self.slack_ms = slack_ms
         self.history = history
         self.gauges_path = gauges_path
         self.clusters = clusters
@@ -64,22 +68,24 @@ class LagIteration:
         batch = batch.persist()
         try:
             samples = batch.where("kind = 'sample'").select(*SAMPLES.fieldNames())
-            # One value per batch: the time of the iteration.
-            now_ms = batch.agg(F.greatest(F.max("at_ms"), F.max("snapshot_ms"))).first()[0]
-            if now_ms is None:
-                return
+            # The time of the iteration: that of the newest snapshot, also in a backfill; without commits the
+            # wall clock.  Times of samples never set it, so a cluster whose clock is ahead changes no other.
+            newest = batch.agg(F.max("snapshot_ms")).first()[0]
+            now_ms = int(time.time() * 1000) if newest is None else newest
             self.history.append(samples, batch_id)
+            seen_ms = now_ms + self.slack_ms
             gauges = published_gauges(
-                batch.where("kind = 'group'").select(*GROUP, "error"),
+                # after a backlog a batch holds several iterations: a group counts once, a position by its newest commit
+                batch.where("kind = 'group'").groupBy(*GROUP).agg(F.max("error").alias("error")),
                 self.clusters,
                 self.rules,
-                batch.where("kind = 'commit'").select(*COMMITS.fieldNames()),
-                self.history.read(now_ms),
+                newest_commits(batch.where("kind = 'commit'").select(*COMMITS.fieldNames())),
+                self.history.read(seen_ms),
                 self.extra,
-                latest_offsets(samples),
+                latest_offsets(samples.where(F.col("at_ms") <= seen_ms)),
             )
             self._publish(gauges, now_ms, batch_id, "lag")
-            self.history.expire(now_ms)
+            self.history.expire()
             seconds = batch.sparkSession.range(1).select(F.lit(time.monotonic() - started).alias("seconds"))
             self._publish(iteration_gauge(seconds), now_ms, batch_id, "iteration")
         finally:
