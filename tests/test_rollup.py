@@ -57,9 +57,10 @@ def test_one_pass_equals_separate_rollups(spark, facts):
     assert rows(levels.where("level = 'partition'"), "topic", "part", "max_off", "max_s") == rows(frame, "topic", "part", "lag_off", "lag_s")
 
 
-def test_summary_continues_on_more_lines(spark):
+def test_summary_has_one_row_per_group_and_names_hold_no_sums(spark):
     frame = lags(spark, *[(f"t{i}", 0, i, i) for i in range(5)], ("t0", 1, 9, 9))
-    assert rows(RO.group_summary(frame, chunk=2), "line", "topics", "max_off") == [
-        (0, "t0, t1", 9), (1, "t2, t3", 9), (2, "t4", 9)
-    ]
-    assert rows(RO.group_summary(frame), "line", "topics") == [(0, "t0, t1, t2, t3, t4")]
+    assert rows(RO.group_summary(frame), "topics", "max_off", "max_s", "sum_off", "sum_s") == [(5, 9, 9, 19, 19)]
+    lines = rows(RO.group_topic_names(frame, chunk=2), "line", "names")
+    assert sorted(n for _, names in lines for n in names.split(", ")) == ["t0", "t1", "t2", "t3", "t4"]
+    assert all(0 <= line < 3 for line, _ in lines) and len({line for line, _ in lines}) == len(lines)
+    assert rows(RO.group_topic_names(frame), "line", "names") == [(0, "t0, t1, t2, t3, t4")]

@@ -20,8 +20,12 @@ SLICE_BITS = 20
 # A slice looked up more often than this is split over several sort groups.
 HOT_ROWS = 1_000_000
 
-# Slices whose samples are folded into one array value are kept much narrower.
-ARRAY_SLICE_BITS = 14
+# At most so many slices are split: with more lookups, a slice must hold a larger share of them to count as hot.
+MAX_HOT_SLICES = 10_000
+
+# Slices whose samples are folded into one array value are kept much narrower,
+# since every lookup reads its whole array.
+ARRAY_SLICE_BITS = 8
 
 DEFAULT_TTL_SECONDS = 7200
 DEFAULT_INTERVAL = "30 seconds"

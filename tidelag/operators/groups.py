@@ -48,16 +48,26 @@ def good_groups(groups: DataFrame, clusters: DataFrame) -> DataFrame:
     return groups.where("error is null").join(usable_clusters(clusters), "cluster", "left_semi")
 
 
-def group_errors(groups: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Groups dropped by a failure, with its scope and reason; the others are unaffected."""
+def group_errors(groups: DataFrame, clusters: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """Groups dropped by a failure, with its scope and reason; the others are unaffected.
+
+    With ``rules`` the groups that ``filter_groups`` skips for want of a rules row are reported too.
+    """
     reason = (
         F.when(F.col("has_client").isNull(), "unknown cluster")
         .when(~F.col("has_client"), "no client")
         .when(~F.col("has_config"), "no client config")
         .when(F.col("list_error").isNotNull(), F.col("list_error"))
+        .when(~F.col("has_rules"), "no configuration")
     )
+    known = groups.join(clusters, "cluster", "left")
+    if rules is None:
+        known = known.withColumn("has_rules", F.lit(True))
+    else:
+        ruled = rules.select("cluster", F.lit(True).alias("ruled")).distinct()
+        known = known.join(ruled, "cluster", "left").withColumn("has_rules", F.coalesce("ruled", F.lit(False)))
     return (
-        groups.join(clusters, "cluster", "left")
+        known
         .withColumn("cluster_reason", reason)
         .withColumn("scope", F.when(F.col("cluster_reason").isNotNull(), "cluster").otherwise("group"))
         .withColumn("reason", F.coalesce("cluster_reason", "error"))

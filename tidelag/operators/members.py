@@ -61,21 +61,27 @@ def live_members(events: DataFrame, ttl_ms: int, now_ms: Column) -> DataFrame:
 def member_index(live: DataFrame, bucket_ms: int = 60000) -> DataFrame:
     """Zero-based position of each live member in registration order, and the member count.
 
-    Only one count per time bucket passes through the single running total;
-    members are numbered inside their bucket.
+    Members are numbered inside their millisecond, milliseconds inside their
+    bucket, and only one count per bucket passes through the single running total.
     """
-    buckets = live.withColumn("bucket", int_div(F.col("first_seen_ms"), F.lit(bucket_ms)))
-    counts = buckets.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(
+    placed = live.withColumn("bucket", int_div(F.col("first_seen_ms"), F.lit(bucket_ms)))
+    moments = placed.groupBy("bucket", "first_seen_ms").agg(F.count("*").alias("n"))
+    buckets = moments.groupBy("bucket").agg(F.sum("n").alias("n"))
+    starts = buckets.select(
         "bucket",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"),
+        F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"),
         F.sum("n").over(Window.partitionBy()).alias("total"),
     )
-    inside = Window.partitionBy("bucket").orderBy("first_seen_ms", "member")
-    return (
-        buckets.withColumn("place", F.row_number().over(inside))
+    earlier = Window.partitionBy("bucket").orderBy("first_seen_ms").rowsBetween(Window.unboundedPreceding, -1)
+    bases = (
+        moments.withColumn("ahead", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
         .join(starts, "bucket")
+        .select("first_seen_ms", (F.col("base") + F.col("ahead")).alias("base"), "total")
+    )
+    inside = Window.partitionBy("first_seen_ms").orderBy("member")
+    return (
+        live.withColumn("place", F.row_number().over(inside))
+        .join(bases, "first_seen_ms")
         .select(
             "member",
             (F.col("base") + F.col("place") - 1).alias("member_index"),

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.model import ARRAY_SLICE_BITS, HOT_ROWS, SERIES, SLICE_BITS
+from tidelag.model import ARRAY_SLICE_BITS, HOT_ROWS, MAX_HOT_SLICES, SERIES, SLICE_BITS
 
 FACTS = ["min_off", "max_off", "bad_off", "leo", "leo_at"]
 NEIGHBOURS = ["lo_off", "lo_at", "up_off", "up_at", *FACTS]
@@ -67,8 +67,8 @@ def _next_known(column: str, over: str) -> str:
     return f"lead({column}) ignore nulls {over}"
 
 
-def _slices(history: DataFrame, loads: DataFrame, by: Sequence[str], *extra: str) -> DataFrame:
-    """Per asked slice: the nearest samples outside it, and facts about the series.
+def _slices(history: DataFrame, loads: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Per asked slice: its ``copies``, the nearest samples outside it, and facts about the series.
 
     A series has one row per slice here, at most its greatest offset divided
     by the slice width.
@@ -81,10 +81,8 @@ def _slices(history: DataFrame, loads: DataFrame, by: Sequence[str], *extra: str
         "max(at_ms) as new_at",
         "max_by(off, at_ms) as new_off",
         "min(if(at_ms is null, off, null)) as spoilt_off",
-        *extra,
     ]
     summary = history.groupBy(*by, "slice").agg(*[F.expr(e) for e in sums])
-    carried = [e.rsplit(" ", 1)[1] for e in extra]
     series, ordered = _over(by), _over(by, "slice")
     earlier = _over(by, "slice", "rows between unbounded preceding and 1 preceding")
     return (
@@ -92,8 +90,7 @@ def _slices(history: DataFrame, loads: DataFrame, by: Sequence[str], *extra: str
         .selectExpr(
             *by,
             "slice",
-            "lookups",
-            *carried,
+            "copies",
             f"{_last_known('last_off', earlier)} as prev_off",
             f"{_last_known('last_at', earlier)} as prev_at",
             f"{_next_known('first_off', ordered)} as next_off",
@@ -104,7 +101,7 @@ def _slices(history: DataFrame, loads: DataFrame, by: Sequence[str], *extra: str
             f"max_by(new_off, new_at) {series} as leo",
             f"max(new_at) {series} as leo_at",
         )
-        .where("lookups is not null")
+        .where("copies is not null")
     )
 
 
@@ -125,10 +122,13 @@ def nearest_samples(
     others = [c for c in points.columns if c not in (*by, "c_off")]
     history = _history(samples, by, slice_bits)
     asked = _asked(points, by, slice_bits)
-    loads = asked.groupBy(*key).agg(F.expr("count(*) as lookups"))
-    copies = f"cast(1 + lookups div {hot_rows} as int)"
-    # At most (all lookups / hot_rows) slices can be hot, which bounds the broadcast.
-    hot = F.broadcast(loads.where(f"lookups > {hot_rows}").selectExpr(*key, f"{copies} as copies"))
+    counts = asked.groupBy(*key).agg(F.expr("count(*) as lookups"))
+    # Fewer than MAX_HOT_SLICES slices can each hold this share of the lookups, which bounds the broadcast.
+    share_of_all = counts.agg(F.expr(f"sum(lookups) div {MAX_HOT_SLICES}")).scalar()
+    limit = F.greatest(F.lit(hot_rows), share_of_all)
+    copies = F.when(F.col("lookups") > limit, F.lit(1) + F.call_function("div", F.col("lookups"), limit)).otherwise(1)
+    loads = counts.select(*key, copies.cast("int").alias("copies"))
+    hot = F.broadcast(loads.where("copies > 1"))
 
     share = f"cast(pmod(xxhash64({', '.join(['c_off', *others])}), coalesce(copies, 1)) as int)"
     lookup_rows = asked.join(hot, key, "left").selectExpr(
@@ -149,7 +149,7 @@ def nearest_samples(
         if(next_off is null, null, struct(next_off as at_off, next_off as s_off, next_at as at_ms, null as facts))))"""
     edge_rows = (
         _slices(history, loads, by)
-        .selectExpr(*key, f"explode(sequence(0, if(lookups > {hot_rows}, {copies}, 1) - 1)) as copy", f"{edges} as edges")
+        .selectExpr(*key, "explode(sequence(0, copies - 1)) as copy", f"{edges} as edges")
         .selectExpr(*key, "copy", "false as is_lookup", "inline(edges)")
     )
     rows = lookup_rows.unionByName(sample_rows, allowMissingColumns=True).unionByName(
@@ -183,14 +183,16 @@ def nearest_in_arrays(
     Every lookup meets exactly one slice row, so nothing is sorted per lookup;
     a slice asked very often is split by Spark's skew join.  An array holds at
     most ``2**slice_bits`` entries, one per offset, so slices are kept narrow.
+    Arrays join the slice rows only after the windows over a series.
     """
     key = [*by, "slice"]
     history = _history(samples, by, slice_bits)
     asked = _asked(points, by, slice_bits)
-    loads = asked.groupBy(*key).agg(F.expr("count(*) as lookups"))
-    slices = _slices(history, loads, by, "array_sort(collect_list(struct(off, at_ms))) as entries")
+    loads = asked.select(*key, F.lit(1).alias("copies")).distinct()
+    entries = history.groupBy(*key).agg(F.expr("array_sort(collect_list(struct(off, at_ms))) as entries"))
+    slices = _slices(history, loads, by).join(entries, key, "left")
     return (
-        asked.join(slices, key)
+        asked.join(slices.hint("rebalance"), key)
         .selectExpr(
             "*",
             "try_element_at(filter(entries, e -> e.off <= c_off), -1) as below",

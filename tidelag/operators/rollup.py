@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelag.model import FACT, GROUP, TOPIC
@@ -91,23 +91,40 @@ def all_levels(lags: DataFrame) -> DataFrame:
     )
 
 
-def chunked_names(rows: DataFrame, by: list[str], name: str, chunk: int) -> DataFrame:
-    """Sorted distinct ``name`` values of each key as text, ``chunk`` names per line.
+def names_in_lines(rows: DataFrame, by: list[str], name: str, chunk: int) -> DataFrame:
+    """Distinct ``name`` values of each key as text, about ``chunk`` names per line, sorted inside a line.
 
-    Distinct rows are numbered by a sort and only one chunk is ever held
-    together, so a key with very many names just yields more lines.
+    A name's hash picks its line among as many as the key needs, so no sort or
+    group ever holds all names of a key, however many it has.
     """
-    order = Window.partitionBy(*by).orderBy(name)
+    distinct = rows.select(*by, name).distinct()
+    needed = distinct.groupBy(*by).agg(F.ceil(F.count("*") / F.lit(chunk)).alias("lines"))
+    number = F.conv(F.substring(F.sha2(F.col(name).cast("binary"), 256), 1, 8), 16, 10).cast("bigint")
     return (
-        rows.select(*by, name)
-        .distinct()
-        .withColumn("line", ((F.row_number().over(order) - 1) / F.lit(chunk)).cast("int"))
+        distinct.join(needed.hint("rebalance"), by)
+        .withColumn("line", number % F.col("lines"))
         .groupBy(*by, "line")
         .agg(F.array_join(F.array_sort(F.collect_list(name)), ", ").alias("names"))
     )
 
 
-def group_summary(lags: DataFrame, chunk: int = 1000) -> DataFrame:
-    """One line per group: its rollup and its topic names (continued beyond ``chunk`` names)."""
-    topics = chunked_names(lags, GROUP, "topic", chunk).withColumnRenamed("names", "topics")
-    return group_rollup(lags).join(topics, GROUP)
+def group_topic_names(lags: DataFrame, chunk: int = 1000) -> DataFrame:
+    """The topic names of each group, in lines of about ``chunk``; holds no sums, so none can be counted twice."""
+    return names_in_lines(lags, GROUP, "topic", chunk)
+
+
+def group_summary(lags: DataFrame) -> DataFrame:
+    """Exactly one row per group: its rollup and its number of topics, from one fold to topics."""
+    topics = lags.groupBy(*TOPIC).agg(
+        F.max("lag_off").alias("max_off"),
+        F.max(_behind()).alias("max_s"),
+        F.sum("lag_off").alias("sum_off"),
+        F.sum("lag_s").alias("sum_s"),
+    )
+    return topics.groupBy(*GROUP).agg(
+        F.max("max_off").alias("max_off"),
+        F.max("max_s").alias("max_s"),
+        F.sum("sum_off").alias("sum_off"),
+        F.sum("sum_s").alias("sum_s"),
+        F.count("topic").alias("topics"),
+    )

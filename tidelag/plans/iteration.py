@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 
 from tidelag.model import FACT, GROUP
-from tidelag.operators.gauges import checked_gauges, lag_gauges
+from tidelag.operators.gauges import checked_gauges, iteration_gauge, lag_gauges
 from tidelag.operators.groups import filter_groups, good_groups, groups_checked, with_empty_groups
 from tidelag.operators.lag import partition_lag, valid_commits
 from tidelag.operators.rollup import all_levels, group_rollup
@@ -39,8 +39,10 @@ def published_gauges(
     samples: DataFrame,
     extra: Mapping[str, str] | None = None,
     latest: DataFrame | None = None,
+    seconds: DataFrame | None = None,
 ) -> DataFrame:
-    """All gauges of the iteration except its duration: name, labels, value."""
+    """All gauges of the iteration: name, labels, value; its duration only where ``seconds`` gives it."""
     chosen = chosen_groups(groups, clusters, rules)
     lags = partition_lag(commits_of(chosen, committed), samples, latest)
-    return lag_gauges(all_levels(lags), extra).unionByName(checked_gauges(groups_checked(chosen), extra))
+    gauges = lag_gauges(all_levels(lags), extra).unionByName(checked_gauges(groups_checked(chosen), extra))
+    return gauges if seconds is None else gauges.unionByName(iteration_gauge(seconds))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import re
 
+from tidelag.operators.gauges import HELP
+
 TICK = 21600000
 TTL = 604800000
 MEMBER_TTL = 43200000
@@ -58,11 +60,6 @@ _CTE: dict[str, str] = {
        case when part % 11 <> 10 then cast((length(topic) + part) % 7 as integer) end as leader from plog""",
     "latest": "select cluster, topic, part, arg_max(off, at_ms) as leo, max(at_ms) as leo_at from samples group by all",
     "history": "select cluster, topic, part, off, max(at_ms) as at_ms from samples group by all",
-    "located": """select c.cluster, c.grp, c.topic, c.part, c.c_off, l.leo, l.leo_at, count(h.off) as n,
-       max(h.off) filter (h.off <= c.c_off) as lo_off, arg_max(h.at_ms, h.off) filter (h.off <= c.c_off) as lo_at,
-       min(h.off) filter (h.off > c.c_off) as up_off, arg_min(h.at_ms, h.off) filter (h.off > c.c_off) as up_at
-       from commits c left join latest l using (cluster, topic, part) left join history h using (cluster, topic, part)
-       group by c.cluster, c.grp, c.topic, c.part, c.c_off, l.leo, l.leo_at""",
     "windowed": f"""select c.cluster, c.grp, c.topic, c.part, c.snapshot_ms, c.c_off, h.off, max(h.at_ms) as at_ms
        from snapshots c left join samples h on h.cluster = c.cluster and h.topic = c.topic and h.part = c.part
        and h.at_ms <= c.snapshot_ms and h.at_ms >= c.snapshot_ms - {TTL}
@@ -74,16 +71,47 @@ _CTE: dict[str, str] = {
        from windowed group by all""",
 }
 
+_LOCATED = """select c.cluster, c.grp, c.topic, c.part, c.c_off, l.leo, l.leo_at, count(h.off) as n,
+       max(h.off) as max_off, min(h.off) filter (h.at_ms is null) as bad_off,
+       max(h.off) filter (h.off <= c.c_off) as lo_off, arg_max(h.at_ms, h.off) filter (h.off <= c.c_off) as lo_at,
+       min(h.off) filter (h.off > c.c_off) as up_off, arg_min(h.at_ms, h.off) filter (h.off > c.c_off) as up_at
+       from commits c left join {latest} l using (cluster, topic, part) left join {history} h using (cluster, topic, part)
+       group by c.cluster, c.grp, c.topic, c.part, c.c_off, l.leo, l.leo_at"""
+
+_CTE["latest_read"] = """select cluster, topic, part, arg_max(off, at_ms) as leo, max(at_ms) as leo_at from samples
+       where off % 17 <> 3 and off % 19 <> 4 group by all"""
+_CTE["history_text"] = """select cluster, topic, part, off, try_cast(max(member) as bigint) as at_ms from
+       (select cluster, topic, part, member, max(off) as off from members_raw group by all) group by cluster, topic, part, off"""
+_CTE["latest_text"] = "select cluster, topic, part, arg_max(off, at_ms) as leo, max(at_ms) as leo_at from history_text group by all"
+_CTE["located"] = _LOCATED.format(latest="latest", history="history")
+_CTE["located_read"] = _LOCATED.format(latest="latest_read", history="history")
+_CTE["located_text"] = _LOCATED.format(latest="latest_text", history="history_text")
+
+_BAD = "bad_off <= case when lo_off = c_off then c_off else coalesce(up_off, max_off) end"
+
 _LAG_SELECT = """select {keys}, leo, leo_at, case when leo is not null then greatest(leo - c_off, 0) end as lag_off,
-       case when leo is null then null when n < 2 then 'insufficient' when lo_off = c_off then 'exact'
+       case when leo is null then null when n < 2 then 'insufficient' {unparsed} when lo_off = c_off then 'exact'
             when lo_off is null then 'below' when up_off is null then 'above' else 'interp' end as lag_s_case,
-       nullif((leo_at - case when n < 2 then null when lo_off = c_off then lo_at when lo_off is null then up_at
+       nullif((leo_at - case when n < 2 then null {unknown} when lo_off = c_off then lo_at when lo_off is null then up_at
             when up_off is null then lo_at
             else lo_at + ((c_off - lo_off) * (up_at - lo_at)) // (up_off - lo_off) end) // 1000, -1) as lag_s
        from {source}"""
 
-_CTE["lags"] = _LAG_SELECT.format(keys="cluster, grp, topic, part, c_off", source="located")
-_CTE["replay_lags"] = _LAG_SELECT.format(keys="cluster, grp, topic, part, snapshot_ms, c_off", source="replayed")
+
+
+def _lag_select(source: str, snapshot: str = "", text: bool = False) -> str:
+    return _LAG_SELECT.format(
+        keys=f"cluster, grp, topic, part, {snapshot}c_off",
+        source=source,
+        unparsed=f"when {_BAD} then 'unparsed'" if text else "",
+        unknown=f"when {_BAD} then null" if text else "",
+    )
+
+
+_CTE["lags"] = _lag_select("located")
+_CTE["read_lags"] = _lag_select("located_read")
+_CTE["text_lags"] = _lag_select("located_text", text=True)
+_CTE["replay_lags"] = _lag_select("replayed", snapshot="snapshot_ms, ")
 _CTE["chosen_lags"] = "select * from lags where (cluster, grp) in (select (cluster, grp) from chosen)"
 
 _SUMS = "max(lag_off) as max_off, {max_s} as max_s, cast(sum(lag_off) as bigint) as sum_off, cast(sum(lag_s) as bigint) as sum_s"
@@ -127,9 +155,12 @@ def _gauge_rows(extra: str = "") -> str:
         f"select 'kafka_total_groups_checked' as name, {labels(False)} as labels, cast(count(*) as double) as value"
         " from chosen group by cluster"
     )
+    parts.append("select 'kafka_iteration_time_seconds' as name, '' as labels, seconds as value from newest_iteration")
     return " union all ".join(parts)
 
 
+_CTE["iterations"] = f"select ts_ms // {TICK} as iteration, max(ts_ms) - min(ts_ms) as span_ms from plog group by all"
+_CTE["newest_iteration"] = "select cast(arg_max(span_ms, iteration) as double) / 1000 as seconds from iterations"
 _CTE["gauges"] = _gauge_rows()
 _CTE["extra_gauges"] = _gauge_rows("merge")
 _CTE["replay_topics"] = f"select cluster, grp, topic, snapshot_ms, {_TOPIC_SUMS} from replay_lags group by all"
@@ -186,21 +217,11 @@ _HEALTH = """case when coalesce(bool_or(ok) filter (cluster <> 'store'), false)
             and coalesce(bool_and(ok) filter (cluster = 'store'), false) then 'OK' else 'Unhealthy' end as status,
        coalesce(string_agg(distinct cluster, ',' order by cluster) filter (cluster <> 'store' and not ok), '') as unhealthy_clusters"""
 
-_HELP_OF = """case name
-       when 'kafka_consumer_group_lag_in_offsets' then 'The lag in offsets for a Kafka consumer group.'
-       when 'kafka_consumer_group_lag_in_seconds' then 'The lag in seconds for a Kafka consumer group.'
-       when 'kafka_consumer_group_max_lag_in_offsets' then 'The maximum lag in offsets for a Kafka consumer group.'
-       when 'kafka_consumer_group_max_lag_in_seconds' then 'The maximum lag in seconds for a Kafka consumer group.'
-       when 'kafka_consumer_group_topic_max_lag_in_offsets' then 'The maximum lag in offsets for a Kafka topic.'
-       when 'kafka_consumer_group_topic_max_lag_in_seconds' then 'The maximum lag in seconds for a Kafka topic.'
-       when 'kafka_consumer_group_sum_lag_in_offsets' then 'The sum of lag in offsets for a Kafka consumer group.'
-       when 'kafka_consumer_group_sum_lag_in_seconds' then 'The sum of lag in seconds for a Kafka consumer group.'
-       when 'kafka_consumer_group_topic_sum_lag_in_offsets' then 'The sum of lag in offsets for a Kafka topic.'
-       when 'kafka_consumer_group_topic_sum_lag_in_seconds' then 'The sum of lag in seconds for a Kafka topic.'
-       when 'kafka_total_groups_checked' then 'The total number of consumer groups checked in each iteration.' end"""
-
-# Gauge text of a whole number: exponent form from one million up.
-_NUMBER = """case when abs(value) < 1e6 then cast(cast(value as bigint) as varchar)
+_HELP_OF = "case name " + " ".join(f"when '{name}' then '{text}'" for name, text in HELP.items()) + " end"
+
+# Gauge text: exponent form from one million up; only small numbers have a fraction here.
+_NUMBER = """case when value <> floor(value) then cast(value as varchar)
+       when abs(value) < 1e6 then cast(cast(value as bigint) as varchar)
        else concat(case when value < 0 then '-' else '' end,
             left(cast(cast(abs(value) as bigint) as varchar), 1),
             case when rtrim(substr(cast(cast(abs(value) as bigint) as varchar), 2), '0') = '' then ''
@@ -214,11 +235,12 @@ _LAG_COLS = "c_off, leo, leo_at, lag_off, lag_s, lag_s_case"
 _QUERIES: dict[str, str] = {
     "group_filter": "select cluster, grp from filtered",
     "error_rows": """select cluster, grp, 'cluster' as scope,
-         case when not has_config then 'no client config' else list_error end as reason
-         from groups join clusters using (cluster) where not has_config or list_error is not null
+         case when not has_config then 'no client config' else coalesce(list_error, 'no configuration') end as reason
+         from groups join clusters using (cluster)
+         where not has_config or list_error is not null or cluster not in (select cluster from rules)
        union all
        select cluster, grp, 'group', error from groups join clusters using (cluster)
-         where has_config and list_error is null and error is not null""",
+         where has_config and list_error is null and error is not null and cluster in (select cluster from rules)""",
     "surviving_groups": "select cluster, grp from surviving",
     "valid_commits": "select * from commits",
     "flatten_groups": f"""select cluster, grp, topic, part, c_off from (
@@ -265,6 +287,8 @@ _QUERIES: dict[str, str] = {
     "time_lag": f"select cluster, grp, topic, part, {_LAG_COLS} from lags",
     "time_lag_window": f"select cluster, grp, topic, part, {_LAG_COLS} from lags",
     "time_lag_array": f"select cluster, grp, topic, part, {_LAG_COLS} from lags",
+    "lag_with_read_failures": f"select cluster, grp, topic, part, {_LAG_COLS} from read_lags",
+    "time_lag_text": f"select cluster, grp, topic, part, {_LAG_COLS} from text_lags",
     "lag_case_profile": """select lag_s_case, count(*) as partitions, max(lag_s) as max_lag_s from lags
          where leo is not null group by all""",
     "lag_replay": f"select cluster, grp, topic, part, snapshot_ms, {_LAG_COLS} from replay_lags",
@@ -272,23 +296,23 @@ _QUERIES: dict[str, str] = {
     "group_rollup": f"select cluster, grp, {_GROUP_SUMS} from lags group by all",
     "lag_grouping_sets": f"""select cluster, grp, topic, 0 as is_group, {_TOPIC_SUMS} from lags group by cluster, grp, topic
          union all select cluster, grp, null, 1, {_GROUP_SUMS} from lags group by cluster, grp""",
-    "group_summary": f"""select g.*, cast(line as integer) as line, topics from
-         (select cluster, grp, {_GROUP_SUMS} from lags group by cluster, grp) g join
-         (select cluster, grp, line, string_agg(topic, ', ' order by topic) as topics from
-           (select cluster, grp, topic, (row_number() over (partition by cluster, grp order by topic) - 1) // 3 as line
-            from (select distinct cluster, grp, topic from lags)) group by cluster, grp, line) using (cluster, grp)""",
+    "group_summary": f"select cluster, grp, {_GROUP_SUMS}, count(distinct topic) as topics from lags group by cluster, grp",
+    "group_topic_names": """select cluster, grp, line, string_agg(topic, ', ' order by topic) as names from
+         (select *, concat('0x', substr(sha256(topic), 1, 8))::bigint
+                    % cast(ceil(count(*) over (partition by cluster, grp) / 3) as bigint) as line
+          from (select distinct cluster, grp, topic from commits)) group by cluster, grp, line""",
     "group_lag_report": """select cluster, grp, max_off, max_s, sum_off, sum_s
          from chosen left join group_level using (cluster, grp)""",
     "gauge_long": "select name, labels, value from extra_gauges",
     "exposition_lines": f"""select name, 2 as seq, {_QUOTED} as labels,
-         concat(name, '{{', {_QUOTED}, '}} ', {_NUMBER}) as line from gauges
+         concat(name, case when labels = '' then '' else concat('{{', {_QUOTED}, '}}') end, ' ', {_NUMBER}) as line from gauges
          union all select distinct name, 0, '', concat('# HELP ', name, ' ', {_HELP_OF}) from gauges
          union all select distinct name, 1, '', concat('# TYPE ', name, ' gauge') from gauges""",
-    "timeseries_rows": """select concat('__name__=', name, ',', labels) as labels, value,
-         cast(1704067261000 as bigint) as timestamp_ms from gauges""",
+    "timeseries_rows": """select concat('__name__=', name, case when labels = '' then '' else ',' || labels end) as labels, value,
+         (1704067261789 + cast(floor(value) as bigint) * 977) // 1000 * 1000 as timestamp_ms from gauges""",
     "gauge_last_value": """select name, labels, arg_max(value, at_ms) as value, max(at_ms) as at_ms
          from replay_gauges group by name, labels""",
-    "iteration_time": f"select ts_ms // {TICK} as iteration, max(ts_ms) - min(ts_ms) as seconds from plog group by all",
+    "iteration_time": "select * from iterations",
     "health_rollup": f"select {_HEALTH} from last_probe",
     "health_by_hour": f"select hour, {_HEALTH} from last_probe_hour group by hour",
     "member_sessions": "select member, start_ms, end_ms, beats from all_sessions",

@@ -67,7 +67,7 @@ def group_filter(t):
 
 @query
 def error_rows(t):
-    return GR.group_errors(t.groups(), t.clusters())
+    return GR.group_errors(t.groups(), t.clusters(), t.rules())
 
 
 @query
@@ -191,6 +191,19 @@ def time_lag_array(t):
     return L.partition_lag_arrays(_commits(t), t.offset_samples()).select(*LAG_COLUMNS)
 
 
+@query
+def lag_with_read_failures(t):
+    """The log ends are those just read; a failed or empty answer leaves them older or unknown."""
+    latest = H.latest_offsets(H.valid_samples(t.offset_responses()))
+    return L.partition_lag(_commits(t), t.offset_samples(), latest).select(*LAG_COLUMNS)
+
+
+@query
+def time_lag_text(t):
+    """Against a history stored as text, some of whose times cannot be read."""
+    return L.partition_lag(_commits(t), H.compress_text(t.raw_members())).select(*LAG_COLUMNS)
+
+
 @query
 def lag_case_profile(t):
     return L.lag_case_profile(_lags(t))
@@ -222,7 +235,12 @@ def lag_grouping_sets(t):
 
 @query
 def group_summary(t):
-    return RO.group_summary(_lags(t), chunk=3)
+    return RO.group_summary(_lags(t))
+
+
+@query
+def group_topic_names(t):
+    return RO.group_topic_names(_commits(t), chunk=3)
 
 
 @query
@@ -233,23 +251,31 @@ def group_lag_report(t):
 # -- gauges ----------------------------------------------------------------------
 
 
+def _published(t: DerivedTables, extra: dict[str, str] | None = None) -> DataFrame:
+    """All twelve metrics; the duration is that of the newest iteration on record."""
+    spans = G.iteration_times(t.run_log())
+    seconds = spans.agg((F.max_by("span_ms", "iteration") / 1000).alias("seconds"))
+    return I.published_gauges(*_inputs(t), extra=extra, seconds=seconds)
+
+
 def _flat_labels(gauges: DataFrame) -> DataFrame:
     return gauges.withColumn("labels", label_text(F.col("labels"), quote=False))
 
 
 @query
 def gauge_long(t):
-    return _flat_labels(I.published_gauges(*_inputs(t), extra=EXTRA_LABELS))
+    return _flat_labels(_published(t, EXTRA_LABELS))
 
 
 @query
 def exposition_lines(t):
-    return G.exposition(I.published_gauges(*_inputs(t)))
+    return G.exposition(_published(t))
 
 
 @query
 def timeseries_rows(t):
-    gauges = I.published_gauges(*_inputs(t)).withColumn("at_ms", F.lit(1704067261789).cast("bigint"))
+    # times that differ from row to row and are not whole seconds
+    gauges = _published(t).withColumn("at_ms", F.lit(1704067261789) + F.floor("value") * 977)
     pairs = F.transform("labels", lambda e: F.concat(e["name"], F.lit("="), e["value"]))
     return G.timeseries(gauges).withColumn("labels", F.array_join(pairs, ","))
 
@@ -270,7 +296,7 @@ def gauge_last_value(t):
 
 @query
 def iteration_time(t):
-    return G.iteration_times(t.run_log()).withColumnRenamed("span_ms", "seconds")
+    return G.iteration_times(t.run_log())
 
 
 # -- members and health ----------------------------------------------------------

@@ -33,7 +33,11 @@ def tagged_inputs(groups: DataFrame, commits: DataFrame, samples: DataFrame) ->
 
 
 class LagIteration:
-    """Processes one micro-batch: history, lag, gauges."""
+    """Processes one micro-batch: history, lag, gauges.
+
+    History and gauges are keyed by the stream name of ``history``: streams that share folders need different
+    names, and so does a stream that starts over with a new checkpoint.
+    """
 
     def __init__(
         self,
@@ -55,11 +59,13 @@ class LagIteration:
     def _publish(self, gauges: DataFrame, now_ms: int, batch_id: int, part: str) -> None:
         (
             gauges.withColumn("at_ms", F.lit(now_ms).cast("bigint"))
+            .withColumn("day", F.lit(now_ms // 86_400_000).cast("bigint"))
+            .withColumn("stream", F.lit(self.history.stream))
             .withColumn("batch", F.lit(batch_id).cast("bigint"))
             .withColumn("part", F.lit(part))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch", "part")
+            .partitionBy("day", "stream", "batch", "part")
             .parquet(self.gauges_path)
         )
 
