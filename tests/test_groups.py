@@ -53,6 +53,17 @@ def test_failures_are_isolated(spark):
     ]
 
 
+def test_groups_of_a_cluster_without_rules_are_reported(spark):
+    groups = spark.createDataFrame([("ok", "a", None), ("new", "b", None), ("new", "c", "offset fetch failed")], G)
+    clusters = spark.createDataFrame([("ok", True, True, None), ("new", True, True, None)], CL)
+    rules = spark.createDataFrame([("ok", None, None)], RULES)
+    assert rows(GR.filter_groups(GR.good_groups(groups, clusters), rules), "grp") == [("a",)]
+    assert rows(GR.group_errors(groups, clusters, rules), "grp", "scope", "reason") == [
+        ("b", "cluster", "no configuration"),
+        ("c", "cluster", "no configuration"),
+    ]
+
+
 def test_groups_checked_counts_empty_groups(spark):
     groups = GR.union_clusters(listed(spark, "a", "b", cluster="cluster1"), listed(spark, "x", cluster="cluster2"))
     assert rows(GR.groups_checked(groups)) == [("cluster1", 2), ("cluster2", 1)]

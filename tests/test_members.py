@@ -70,3 +70,9 @@ def test_later_events_do_not_change_an_earlier_time(spark):
     events = spark.createDataFrame([("a", "beat", 1000), ("b", "beat", 50000), ("a", "leave", 60000)], "member string, kind string, at_ms long")
     live = M.live_members(events, 10000, F.lit(5000))
     assert [tuple(r) for r in live.collect()] == [("a", 1000)]
+
+
+def test_members_of_one_moment_are_numbered_by_name(spark):
+    live = spark.createDataFrame([("b", 7), ("a", 7), ("c", 6), ("d", 9), ("e", 3)], "member string, first_seen_ms bigint")
+    got = {r.member: (r.member_index, r.members) for r in M.member_index(live, bucket_ms=8).collect()}
+    assert got == {"e": (0, 5), "c": (1, 5), "a": (2, 5), "b": (3, 5), "d": (4, 5)}
