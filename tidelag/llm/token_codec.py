@@ -8,8 +8,8 @@ are read independently.  For every id the model mixes three predictions into one
 * order 0: the frequencies of the block so far, renewed at fixed positions, with an escape for new ids.
 
 The mixing weights adapt per block and per confidence of the two contexts.  The distribution drives a carryless
-range coder that writes 16-bit words.  All blocks of a frame advance together, one id each, so numpy works on a
-thousand blocks at a time; the coded form does not depend on that.
+range coder that writes 16-bit words.  All blocks of a frame advance together, one id each, so numpy works on
+thousands of blocks at a time; the coded form does not depend on that.
 
 A *frame* is a run of whole documents: header, document index, block table, block payloads (``write_frame``).
 Frames are rows of a parquet table, so Spark commits, splits and rereads them.
@@ -33,16 +33,16 @@ from pyspark.sql import functions as F
 
 from tidelag.llm.common import shared_dir
 
-BLOCK = 8192
-LANES = 1024  # blocks that advance together
+BLOCK = 2048
+LANES = 4096  # blocks that advance together
 FRAME_IDS = 1 << 23  # a frame is closed once it holds so many ids
 END_ID = 0
 
-_TABLE_BITS = 13  # size of the two context tables of a block
-_SLOT_BITS = 13  # order-0 frequencies sum to 2**_SLOT_BITS
+_TABLE_BITS = 11  # size of the two context tables of a block
+_SLOT_BITS = 12  # order-0 frequencies sum to 2**_SLOT_BITS
 _WEIGHT_BITS = 12
 _NOTHING = 0xFFFF
-_RENEWED = (64, 256, 1024, 4096)
+_RENEWED = (64, 256, 1024)
 _SETTLED = np.uint64(1 << 48)
 _LEAST = np.uint64(1 << 40)
 _U = np.uint64
