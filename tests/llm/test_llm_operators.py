@@ -286,6 +286,20 @@ def test_packing_covers_every_document(spark, odd, empty):
     assert best_fit.pack(best_fit.measured(empty)).count() == 0
 
 
+def test_near_copies_share_no_bin(spark):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join([*words[:i], "changed", *words[i + 1 :]]) for i in range(0, 60, 6)] + [" ".join(words).upper()]
+    rows = [(i if i % 3 else None, t, f"s{i}") for i, t in enumerate(texts)] + [(1, "another text of its own", "t"), (2, None, "t"), (2, "", "t")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    measured = best_fit.measured(table)
+    clusters = [r.cluster for r in measured.collect() if r.length > 100]
+    assert len(clusters) == 11 and len(set(clusters)) == 1 and None not in clusters
+    assert sorted(r.length for r in measured.where("cluster is null").collect()) == [1, 1]
+    packed = best_fit.pack(measured).where("length > 100").collect()
+    assert len({r.bin_id for r in packed}) == 11
+    assert best_fit.measured(table, near=False).where("length > 100").select("cluster").distinct().count() == 11
+
+
 # -- 5: near duplicates --------------------------------------------------------
 
 

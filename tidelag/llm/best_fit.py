@@ -9,7 +9,10 @@ Documents are dealt to shards of about ``shard_documents`` by hash, whatever the
 is packed by one task, so no task grows with the data or with a hot source.  A document longer than a bin is cut
 into pieces: full pieces fill bins of their own, the rest is packed like any document.
 
-Defined results: a NULL text has only its end id, and so has an empty one; empty texts are in no cluster; a NULL
+Clusters are the near-duplicate groups of ``minmax_dedup``; ``measured`` takes equal texts alone at the caller's choice.
+
+Defined results: a NULL text has only its end id, and so has an empty one; texts without a word are in no cluster
+(of equal texts: empty ones); a NULL
 source is a source of its own; NULL ids are packed too; repeated rows are packed each; an empty table gives an empty
 result; extra columns are ignored.
 """
@@ -22,6 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidelag.llm import minmax_dedup
+from tidelag.llm.common import row_key, shared_dir, written
+
 CAPACITY = 16_384
 PER_SOURCE = 2
 SHARD_DOCUMENTS = 2_048
@@ -121,10 +127,18 @@ def pack(
     return table.groupBy("shard").applyInArrow(run, SCHEMA)
 
 
-def measured(documents: DataFrame) -> DataFrame:
-    """(doc_id, source, cluster, length) of texts: bytes and one end id; equal texts are one cluster."""
+def measured(documents: DataFrame, near: bool = True, folder: str | None = None) -> DataFrame:
+    """(doc_id, source, cluster, length) of texts: bytes and one end id; near copies, or else equal texts, are one cluster."""
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0))
-    return documents.select(
-        "doc_id", "source", F.when(size > 0, F.xxhash64(text)).alias("cluster"), (size + 1).alias("length")
+    sized = documents.select(
+        "doc_id", "source", F.when(size > 0, F.xxhash64(text)).alias("cluster"), (size + 1).alias("length"), row_key().alias("__row")
     )
+    if not near:
+        return sized.drop("__row")
+    folder = folder or shared_dir(documents.sparkSession)
+    # rows are judged by their own text, also where ids are NULL or repeat
+    found = minmax_dedup.dedup(documents.select(row_key().alias("doc_id"), "text"), folder)
+    clusters = found.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("cluster")).distinct()
+    joined = sized.drop("cluster").join(clusters.hint("rebalance"), "__row", "left")
+    return written(joined.select("doc_id", "source", "cluster", "length"), folder, "measured")

@@ -34,6 +34,12 @@ def id_crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def row_key() -> Column:
+    """A key of the row's id and text: equal for equal rows alone, also where ids are NULL or repeat.  Never NULL."""
+    text = F.col("text").cast("string")
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), text, text.isNull())
+
+
 def hash_sample(labels: DataFrame, by: str, bound: int) -> DataFrame:
     """At most ``bound`` rows, those with the smallest hash of ``by``; used only to fit models."""
     return labels.orderBy(F.xxhash64(F.col(by)), F.col(by)).limit(bound)
