@@ -215,6 +215,40 @@ def test_secrets(spark, odd, empty):
     assert secret_forest.scan(documents, none).where("is_secret").count() == 0
 
 
+def hexadecimal(pick, n=40):
+    return "".join(pick.choice("0123456789abcdef") for _ in range(n))
+
+
+def test_one_secret_among_many_documents_is_found(spark):
+    pick = random.Random(3)
+    secret = 'token = "' + hexadecimal(pick) + '" end'
+    plain = F.concat(F.lit("internationalization 1234567890123456 "), F.col("id").cast("string"))
+    documents = spark.range(60_000).select(
+        F.col("id").alias("doc_id"), F.when(F.col("id") == 41_234, secret).otherwise(plain).alias("text"), F.lit("src").alias("source")
+    )
+    labels = secret_forest.labelled_by_rule(secret_forest.candidates(documents)).groupBy("label").count()
+    assert {r["label"]: r["count"] for r in labels.collect()}[1] == 1
+    score = secret_forest.train_by_rule(documents)
+    # a constant score, as without any positive finding, reads no feature
+    assert "length" in str(score(F.col("f")))
+    with pytest.warns(UserWarning, match="no forest was fitted"):
+        secret_forest.train_by_rule(documents.where("doc_id < 100"))
+
+
+def test_rule_vouches_for_hard_cases(spark):
+    pick = random.Random(4)
+    hard = {
+        "commit " + hexadecimal(pick): 0,
+        "sha256: " + hexadecimal(pick, 64): 0,
+        "see 3f2b8c1e-77aa-4d10-9c3b-0123456789ab there": 0,
+        "left AKIA" + "Q7ZP4M2X9K1T5R8W" + " here": 1,
+        "bare " + hexadecimal(pick): None,
+    }
+    table = spark.createDataFrame([(i, t, "src") for i, t in enumerate(hard)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.label for r in secret_forest.labelled_by_rule(secret_forest.candidates(table)).collect()}
+    assert [got.get(i) for i in range(len(hard))] == list(hard.values())
+
+
 def test_forest_is_evaluated_as_it_is_printed(spark):
     printed = """RandomForestClassificationModel: uid=r, numTrees=2, numClasses=2, numFeatures=18
   Tree 0 (weight 1.0):

@@ -7,12 +7,13 @@ conditions, so scoring happens inside the row: no shuffle, no join, however many
 
 Defined results: a NULL or empty text has no finding; a NULL path counts as an empty one; repeated rows are scanned
 one by one; an empty table gives an empty result; without findings of both labels every candidate gets the share
-of positive labels (0 without any); extra columns are ignored, and ``redacted`` passes them through.
+of positive labels (0 without any) and a warning says so; extra columns are ignored, and ``redacted`` passes them through.
 """
 
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Callable
 
 from pyspark.ml.classification import RandomForestClassifier
@@ -20,11 +21,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidelag.llm.common import shared_dir, written
+
 MIN_LENGTH = 16
 TREES = 15
 DEPTH = 5
-TRAIN_DOCUMENTS = 20_000  # findings of so many documents (those of smallest hash) are labelled and used to fit
-TRAIN_PER_CLASS = 4_000
+TRAIN_PER_CLASS = 4_000  # labelled findings of either class used to fit, those of smallest hash
 REDACTED = "[SECRET]"
 
 _TOKEN = "A-Za-z0-9+/_-"
@@ -41,9 +43,14 @@ DICTIONARY = (
 _NEAR = 48  # characters kept on the left of a candidate, 16 on the right
 _ASSIGNED = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|key|auth|credential|bearer)[A-Za-z0-9_\" -]{0,16}[=:][ >]*[\"']?$"
 
+_DIGEST = r"(?i)(sha-?(1|224|256|384|512)|md5|checksum|digest|hash|commit|revision|etag|uuid|guid|integrity|fingerprint)[\"' ]{0,2}[=:]?[ >-]{0,3}[\"']?$"
+_UUID = "^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
+_ISSUED = "^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|[sr]k_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{35})$"
+
 FEATURES = [
     "length", "digits", "capitals", "small", "marks", "switches", "case_switches", "distinct", "hexadecimal",
     "coverage", "longest_word", "vowels", "assigned", "quoted", "equals", "linked", "test_path", "path_depth",
+    "digest", "uuid", "issued",
 ]
 
 
@@ -83,6 +90,9 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "linked": before.rlike("[@.:/\\\\]$") & ~before.rlike("[:=]$"),
         "test_path": near.rlike("(?i)test|example|sample|spec|mock|doc"),
         "path_depth": F.size(F.split(near, "/")),
+        "digest": before.rlike(_DIGEST),
+        "uuid": value.rlike(_UUID),
+        "issued": value.rlike(_ISSUED),
     }
     return F.struct(*[made[name].cast("double").alias(name) for name in FEATURES])
 
@@ -115,26 +125,39 @@ def _judged(score: Callable[[Column], Column]) -> Column:
 def labelled_by_rule(findings: DataFrame) -> DataFrame:
     """Labels of findings that a rule can vouch for; the others are left out.
 
-    1: assigned to a credential's name, with letters and digits mixed and hardly a dictionary piece.
-    0: letters only, or digits only, or mostly dictionary pieces without an assignment.
+    1: assigned to a credential's name, with letters and digits mixed and hardly a dictionary piece; or of a form that
+       only issued keys have, wherever it stands.
+    0: letters only, or digits only, or mostly dictionary pieces, or a UUID, or named as a digest or commit, without
+       an assignment.
     """
     f = F.col("features")
     mixed = (f["digits"] > 0.1) & (f["digits"] < 0.95)
-    label = F.when((f["assigned"] == 1) & mixed & (f["coverage"] < 0.5), 1).when(
-        (f["assigned"] == 0) & ((f["digits"] == 0) | (f["digits"] == 1) | (f["coverage"] > 0.6)), 0
+    harmless = (f["digits"] == 0) | (f["digits"] == 1) | (f["coverage"] > 0.6) | (f["uuid"] == 1) | (f["digest"] == 1)
+    label = F.when((f["issued"] == 1) | ((f["assigned"] == 1) & mixed & (f["coverage"] < 0.5)), 1).when(
+        (f["assigned"] == 0) & harmless, 0
     )
     return findings.withColumn("label", label).where("label is not null")
 
 
-def train(labelled: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Callable[[Column], Column]:
+def train(labelled: DataFrame, per_class: int = TRAIN_PER_CLASS, folder: str | None = None) -> Callable[[Column], Column]:
     """Fit a forest to findings (value, features, label), at most ``per_class`` of each; returns its score."""
-    table = labelled.select("value", "label", *[F.col(f"features.{n}").alias(n) for n in FEATURES]).distinct()
-    parts = [table.where(F.col("label") == k).orderBy(F.xxhash64("value"), *FEATURES).limit(per_class) for k in (0, 1)]
-    sample = parts[0].unionByName(parts[1]).persist()
-    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
-    if len(counts) < 2:
-        share = 1.0 if counts.get(1) else 0.0
+    numbers = [F.col(f"features.{n}").alias(n) for n in FEATURES]
+    # the findings themselves are not written, only their hash and numbers
+    table = labelled.select(F.xxhash64("value", *[F.col(f"features.{n}") for n in FEATURES]).alias("order"), "label", *numbers).distinct()
+    table = written(table, folder or shared_dir(labelled.sparkSession), "labelled")
+    totals = {r["label"]: r["count"] for r in table.groupBy("label").count().collect()}
+    if not totals.get(0) or not totals.get(1):
+        share = 1.0 if totals.get(1) else 0.0
+        warnings.warn(f"no forest was fitted: labelled findings by class are {totals}; every candidate scores {share}", stacklevel=2)
         return lambda f: F.lit(share)
+
+    def smallest(k: int) -> DataFrame:
+        # the hash is even, so about twice per_class rows lie below the limit; only they go to the one sorting task
+        below = min(1.0, 2 * per_class / totals[k])
+        own = table.where((F.col("label") == k) & (F.col("order") <= int(-(2**63) + below * (2**64 - 2048))))
+        return own.orderBy("order", *FEATURES).limit(per_class)
+
+    sample = smallest(0).unionByName(smallest(1)).persist()
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="vector").transform(sample).select("vector", F.col("label").cast("double"))
     learner = RandomForestClassifier(featuresCol="vector", labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=11)
     model = learner.fit(vectors)
@@ -181,11 +204,9 @@ def candidates(documents: DataFrame, path: str = "source") -> DataFrame:
     return judged.select("doc_id", "c.value", "c.features")
 
 
-def train_by_rule(documents: DataFrame, path: str = "source", sample_documents: int = TRAIN_DOCUMENTS) -> Callable[[Column], Column]:
-    """Fit on findings of a bounded sample of documents, whole texts, labelled by ``labelled_by_rule``."""
-    total = documents.count()
-    keep = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, sample_documents / max(total, 1)))
-    return train(labelled_by_rule(candidates(documents.where(keep), path)))
+def train_by_rule(documents: DataFrame, path: str = "source", folder: str | None = None) -> Callable[[Column], Column]:
+    """Fit on the findings of all documents, labelled by ``labelled_by_rule``; only ``TRAIN_PER_CLASS`` bounds them."""
+    return train(labelled_by_rule(candidates(documents, path)), folder=folder)
 
 
 def scan(documents: DataFrame, score: Callable[[Column], Column], path: str = "source") -> DataFrame:
