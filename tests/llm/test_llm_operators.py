@@ -249,6 +249,25 @@ def test_rule_vouches_for_hard_cases(spark):
     assert [got.get(i) for i in range(len(hard))] == list(hard.values())
 
 
+def test_long_names_and_web_tokens_are_context(spark):
+    pick = random.Random(6)
+    web = "eyJ" + hexadecimal(pick, 33) + "." + "eyJ" + hexadecimal(pick, 60) + "." + hexadecimal(pick, 43)
+    values = {
+        "AWS_SECRET_ACCESS_KEY={}": "wJalrXUtnFEMI/K7MDENG/bPxRfi" + hexadecimal(pick, 12),
+        'stripe_secret_key: "{}"': "sk_test_" + hexadecimal(pick, 24),
+        "internationalization access_token={} end": web,
+        'MY_SERVICE_CLIENT_SECRET="{}"': hexadecimal(pick) + "==",
+    }
+    texts = [(i, name.format(v), "src") for i, (name, v) in enumerate(values.items())]
+    found = secret_forest.candidates(spark.createDataFrame(texts, "doc_id long, text string, source string")).collect()
+    for i, (name, v) in enumerate(values.items()):
+        (own,) = [r for r in found if r.doc_id == i and r.value == v]
+        assert own.features.assigned == own.features.equals == 1 and own.features.quoted == ('"' in name)
+    table = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    labels = secret_forest.labelled_by_rule(secret_forest.candidates(table)).where("label = 1").collect()
+    assert {r.value for r in labels} == set(values.values())
+
+
 def test_forest_is_evaluated_as_it_is_printed(spark):
     printed = """RandomForestClassificationModel: uid=r, numTrees=2, numClasses=2, numFeatures=18
   Tree 0 (weight 1.0):

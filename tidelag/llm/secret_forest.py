@@ -1,6 +1,6 @@
 """Secret scan: a random forest sorts real secrets from false positives among token-like strings.
 
-All work is done by built-in expressions.  Candidates are runs of at least ``MIN_LENGTH`` token characters.  Their
+All work is done by built-in expressions.  Candidates are runs of at least ``MIN_LENGTH`` token characters and web tokens.  Their
 features are length, character classes and transitions, coverage by a dictionary, the path of the document and the
 neighbouring words.  A forest is trained on labelled findings by Spark's own learner and then written out as nested
 conditions, so scoring happens inside the row: no shuffle, no join, however many candidates a text holds.
@@ -30,7 +30,9 @@ TRAIN_PER_CLASS = 4_000  # labelled findings of either class used to fit, those
 REDACTED = "[SECRET]"
 
 _TOKEN = "A-Za-z0-9+/_-"
-CANDIDATE = rf"(?<![{_TOKEN}])[{_TOKEN}]{{{MIN_LENGTH},}}+={{0,2}}"
+# A web token is one candidate, with its dots; an equals sign right before a value is not padding.
+_WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?"
+CANDIDATE = rf"(?<![{_TOKEN}])(?:{_WEB_TOKEN}|[{_TOKEN}]{{{MIN_LENGTH},}}+(?:={{1,2}}(?![={_TOKEN}]))?)"
 # Pieces that ordinary words and identifiers are made of (a parameter; any list of lower-case pieces serves).
 DICTIONARY = (
     "the and ing ion ent tion ment for with that this from have are was not you all can has her his one our out "
@@ -113,9 +115,13 @@ def _with_candidates(documents: DataFrame, path: str) -> DataFrame:
 def _judged(score: Callable[[Column], Column]) -> Column:
     """For each candidate a struct: value, where it starts in the text, features, score."""
 
+    def tail(text: Column) -> Column:
+        return F.coalesce(F.right(text, F.lit(_NEAR)), F.lit(""))
+
     def one(gaps: Column, value: Column, i: Column) -> Column:
-        before, after = F.get(gaps, i), F.get(gaps, i + 1)
-        around = features(value, F.right(before, F.lit(_NEAR)), F.left(after, F.lit(16)), F.col("__path"))
+        # the running text: a credential's own name may be the candidate before
+        before = F.concat(tail(F.get(gaps, i - 1)), tail(F.get(F.col("__found"), i - 1)), tail(F.get(gaps, i)))
+        around = features(value, tail(before), F.left(F.get(gaps, i + 1), F.lit(16)), F.col("__path"))
         return bound(around, lambda f: F.struct(value.alias("value"), f.alias("features"), score(f).alias("score")))
 
     # the gaps are bound: the optimizer would otherwise cut the text anew for every candidate
