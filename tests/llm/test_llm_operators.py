@@ -268,6 +268,26 @@ def test_long_names_and_web_tokens_are_context(spark):
     assert {r.value for r in labels} == set(values.values())
 
 
+def test_short_credentials_of_any_characters(spark):
+    pick = random.Random(8)
+    forms = ['password = "{}" end', "postgres://app:{}@db/prod", "pwd={} end", "db_password: '{}'"]
+    rows, values = [], {}
+    for i in range(120):
+        value = "".join(pick.choice("BCDFGHJKLMbcdfghjkm") + pick.choice("23456789") + pick.choice("!.$:%") for _ in range(3))
+        plain = f"internationalization 1234567890123456 secret: {pick.choice(['that', 'information', 'for', 'section'])} words"
+        values[i] = value if i % 2 else None
+        rows.append((i, forms[i // 2 % 4].format(value) if i % 2 else plain, "src/app.py"))
+    rows += [(200, 'password = "hunter2!Xy"', "src/app.py"), (201, "postgres://app:S3cr3t.pw@db/prod", "src/app.py")]
+    values |= {200: "hunter2!Xy", 201: "S3cr3t.pw"}
+    documents = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    score = secret_forest.train_by_rule(documents)
+    texts = {i: t for i, t, _ in rows}
+    got = {(r.doc_id, texts[r.doc_id][r.start : r.start + r.length]) for r in secret_forest.scan(documents, score).where("is_secret").collect()}
+    assert got == {(i, v) for i, v in values.items() if v}
+    for r in secret_forest.redacted(documents, score).collect():
+        assert r.text == (texts[r.doc_id].replace(values[r.doc_id], "[SECRET]") if values[r.doc_id] else texts[r.doc_id])
+
+
 def test_forest_is_evaluated_as_it_is_printed(spark):
     printed = """RandomForestClassificationModel: uid=r, numTrees=2, numClasses=2, numFeatures=18
   Tree 0 (weight 1.0):

@@ -1,6 +1,7 @@
 """Secret scan: a random forest sorts real secrets from false positives among token-like strings.
 
-All work is done by built-in expressions.  Candidates are runs of at least ``MIN_LENGTH`` token characters and web tokens.  Their
+All work is done by built-in expressions.  Candidates are runs of at least ``MIN_LENGTH`` token characters, web tokens,
+and, of any length and characters, what is assigned to a credential's name or is the password in a URL.  Their
 features are length, character classes and transitions, coverage by a dictionary, the path of the document and the
 neighbouring words.  A forest is trained on labelled findings by Spark's own learner and then written out as nested
 conditions, so scoring happens inside the row: no shuffle, no join, however many candidates a text holds.
@@ -32,7 +33,14 @@ REDACTED = "[SECRET]"
 _TOKEN = "A-Za-z0-9+/_-"
 # A web token is one candidate, with its dots; an equals sign right before a value is not padding.
 _WEB_TOKEN = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+(?:\.[A-Za-z0-9_-]++)?"
-CANDIDATE = rf"(?<![{_TOKEN}])(?:{_WEB_TOKEN}|[{_TOKEN}]{{{MIN_LENGTH},}}+(?:={{1,2}}(?![={_TOKEN}]))?)"
+_RUN = rf"(?<![{_TOKEN}])(?:{_WEB_TOKEN}|[{_TOKEN}]{{{MIN_LENGTH},}}+(?:={{1,2}}(?![={_TOKEN}]))?)"
+_NAMES = "token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|key|auth|credential|bearer"
+# What is assigned to a credential's name, and the password of a URL: of any length and characters.  The short
+# conditions on the left come first, so that most places fail at once.
+_VALUE = r"(?:(?<=\")[^\"\r\n]++(?=\")|(?<=')[^'\r\n]++(?=')|(?<=`)[^`\r\n]++(?=`)|(?<![\"'`])[^\s\"'`<>]++)"
+_NAMED = rf"(?<=[=:> \"'`])(?<=[=:][ >]{{0,3}}[\"'`]?)(?<=(?i:{_NAMES})[A-Za-z0-9_\"' -]{{0,16}}[=:][ >]{{0,3}}[\"'`]?)(?![ >=:]){_VALUE}"
+_IN_URL = r"(?<=:)(?<=://[^\s/:@\"'<>]{0,64}:)[^\s/\"'<>]+(?=@)"
+CANDIDATE = f"{_IN_URL}|{_NAMED}|{_RUN}"
 # Pieces that ordinary words and identifiers are made of (a parameter; any list of lower-case pieces serves).
 DICTIONARY = (
     "the and ing ion ent tion ment for with that this from have are was not you all can has her his one our out "
@@ -43,8 +51,8 @@ DICTIONARY = (
 ).split()
 
 _NEAR = 48  # characters kept on the left of a candidate, 16 on the right
-_ASSIGNED = r"(?i)(token|secret|passw(or)?d|pwd|api[_-]?key|key|auth|credential|bearer)[A-Za-z0-9_\" -]{0,16}[=:][ >]*[\"']?$"
-
+_ASSIGNED = rf"(?i)({_NAMES})[A-Za-z0-9_\"' -]{{0,16}}[=:][ >]*[\"'`]?$"
+_LOGIN = r"://[^\s/:@\"'<>]*:$"
 _DIGEST = r"(?i)(sha-?(1|224|256|384|512)|md5|checksum|digest|hash|commit|revision|etag|uuid|guid|integrity|fingerprint)[\"' ]{0,2}[=:]?[ >-]{0,3}[\"']?$"
 _UUID = "^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 _ISSUED = "^(?:(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|[sr]k_live_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{16,}|AIza[A-Za-z0-9_-]{35})$"
@@ -86,7 +94,7 @@ def features(value: Column, before: Column, after: Column, path: Column) -> Colu
         "coverage": 1 - uncovered / size,
         "longest_word": F.array_max(words) / size,
         "vowels": _share(F.lower(value), "[^aeiou]"),
-        "assigned": before.rlike(_ASSIGNED),
+        "assigned": before.rlike(_ASSIGNED) | (before.rlike(_LOGIN) & after.rlike("^@")),
         "quoted": before.rlike("[\"'`]$") & after.rlike("^[\"'`]"),
         "equals": before.rlike("[=:][ ]*[\"']?$"),
         "linked": before.rlike("[@.:/\\\\]$") & ~before.rlike("[:=]$"),
@@ -134,13 +142,14 @@ def labelled_by_rule(findings: DataFrame) -> DataFrame:
     1: assigned to a credential's name, with letters and digits mixed and hardly a dictionary piece; or of a form that
        only issued keys have, wherever it stands.
     0: letters only, or digits only, or mostly dictionary pieces, or a UUID, or named as a digest or commit, without
-       an assignment.
+       an assignment; or, assigned too, letters only that are mostly dictionary pieces.
     """
     f = F.col("features")
-    mixed = (f["digits"] > 0.1) & (f["digits"] < 0.95)
+    mixed = ((f["digits"] > 0) & (f["digits"] < 0.95)) | ((f["digits"] == 0) & (f["marks"] > 0) & (f["capitals"] > 0) & (f["small"] > 0))
+    word = (f["digits"] == 0) & (f["marks"] == 0) & (f["coverage"] > 0.6)
     harmless = (f["digits"] == 0) | (f["digits"] == 1) | (f["coverage"] > 0.6) | (f["uuid"] == 1) | (f["digest"] == 1)
     label = F.when((f["issued"] == 1) | ((f["assigned"] == 1) & mixed & (f["coverage"] < 0.5)), 1).when(
-        (f["assigned"] == 0) & harmless, 0
+        ((f["assigned"] == 0) & harmless) | word, 0
     )
     return findings.withColumn("label", label).where("label is not null")
 
