@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag.llm import best_fit, line_quality, minmax_dedup, secret_forest, winnowing
-from tidelag.llm.common import shared_dir, written
+from tidelag.llm.common import row_key, shared_dir, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,21 +20,27 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the least id; repeated ids count as copies."""
-    found = minmax_dedup.dedup(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
-    repeated = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
-    once = left.join(repeated, F.col("doc_id") == F.col("__again"), "left_anti")
-    again = left.join(repeated, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(again)
+    """One document of each near-duplicate group, the one with the least id (NULL last); equal rows count as copies.
+
+    Rows are judged by id and text, so those that share an id, or have none, stay where their texts differ.
+    """
+    keyed = docs.withColumn("__row", row_key())
+    found = minmax_dedup.dedup(keyed.select(F.col("__row").alias("doc_id"), "text"))
+    group = found.select(F.col("doc_id").alias("__row"), "component_id").distinct()
+    known = keyed.select("__row", F.col("doc_id").cast("long").alias("id")).distinct()
+    order = F.struct(F.col("id").isNull(), "id", "__row")
+    kept = group.join(known, "__row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.__row")
+    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window with a benchmark item."""
-    found = winnowing.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    """Documents that share no window with a benchmark item; each row is judged by its own text."""
+    keyed = docs.withColumn("__row", row_key())
+    found = winnowing.contamination(
+        keyed.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+    bad = found.where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
+    return keyed.join(bad, "__row", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
