@@ -126,14 +126,15 @@ def _judged(score: Callable[[Column], Column]) -> Column:
     def tail(text: Column) -> Column:
         return F.coalesce(F.right(text, F.lit(_NEAR)), F.lit(""))
 
-    def one(gaps: Column, value: Column, i: Column) -> Column:
+    def one(gaps: Column, found: Column, value: Column, i: Column) -> Column:
         # the running text: a credential's own name may be the candidate before
-        before = F.concat(tail(F.get(gaps, i - 1)), tail(F.get(F.col("__found"), i - 1)), tail(F.get(gaps, i)))
+        before = F.concat(tail(F.get(gaps, i - 1)), tail(F.get(found, i - 1)), tail(F.get(gaps, i)))
         around = features(value, tail(before), F.left(F.get(gaps, i + 1), F.lit(16)), F.col("__path"))
         return bound(around, lambda f: F.struct(value.alias("value"), f.alias("features"), score(f).alias("score")))
 
-    # the gaps are bound: the optimizer would otherwise cut the text anew for every candidate
-    return bound(F.col("__gaps"), lambda gaps: F.transform("__found", lambda value, i: one(gaps, value, i)))
+    # both are bound: the optimizer would otherwise cut the text anew for every candidate
+    cut = F.struct(F.col("__gaps").alias("gaps"), F.col("__found").alias("found"))
+    return bound(cut, lambda c: F.transform(c["found"], lambda value, i: one(c["gaps"], c["found"], value, i)))
 
 
 def labelled_by_rule(findings: DataFrame) -> DataFrame:
