@@ -13,10 +13,12 @@ from tidelag.llm import (
     compression_quality,
     feistel_pii,
     line_quality,
+    merkle_manifest,
     mil_toxicity,
     minmax_dedup,
     path_templates,
     secret_forest,
+    spelling_variants,
     token_codec,
     winnowing,
 )
@@ -81,6 +83,14 @@ def op10_mil_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_octopus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op12_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Query]:
     own = [
         op1_compression_quality,
@@ -93,6 +103,8 @@ def registered() -> dict[str, Query]:
         op8_feistel_pii,
         op9_path_templates,
         op10_mil_toxicity,
+        op11_octopus_manifest,
+        op12_pivotal_variants,
     ]
     return {f.__name__: f for f in own}
 
@@ -144,6 +156,93 @@ from dw left join covered using (doc_id) left join items using (doc_id)
 """
 
 
+_CRC_TABLE = """crc_steps(i, k, c) as (
+  select i, 0, i::bigint from range(256) r(i)
+  union all
+  select i, k + 1, case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from crc_steps where k < 8),
+crc_table as (select list(c order by i) t from crc_steps where k = 8)"""
+
+
+def _crc32(column: str) -> str:
+    """SQL for the unsigned crc32 of a text's bytes, given ``t``, the table of 256 remainders."""
+    digits = f"hex(encode({column}))"
+    bytes_of = f"[('0x' || substr({digits}, 2 * i + 1, 2))::bigint for i in range(length({digits}) // 2)]"
+    step = "lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])"
+    return f"xor(list_reduce({bytes_of}, {step}, 4294967295::bigint), 4294967295)"
+
+
+def _op11_sql(levels: int = 12) -> str:
+    """Trees of at most 8 ** levels leaves, one common table per level."""
+    field = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')".format
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    parts = [
+        _CRC_TABLE,
+        f"""leaves as (select doc_id, lang, {leaf('text')} leaf,
+  case when {_crc32('doc_id::varchar')} % 3 = 0 then {leaf(low)} end other from documents, crc_table)""",
+        "l0 as (select coalesce('1' || lang, '0') tree, row_number() over (partition by lang order by doc_id, leaf) - 1 place, "
+        "leaf h, doc_id, leaf, coalesce(other, leaf) f, '' proof from leaves)",
+    ]
+
+    def climb(name: str) -> None:
+        """``name``1 to ``name``12: rows carry their node's place and digest h, the tampered one f, and the proof."""
+        for k in range(levels):
+            parts.append(
+                f"""{name}n{k} as (select tree, place, any_value(h) h from {name}{k} group by tree, place),
+{name}r{k} as (select tree, place // 8 above, string_agg(h, '' order by place) run,
+  list(h order by place) hs, max(place) last from {name}n{k} group by tree, place // 8),
+{name}w{k} as (select tree, count(*) width from {name}n{k} group by tree),
+{name}{k + 1} as (select x.tree, case when width > 1 then place // 8 else place end place,
+  case when width > 1 then sha256(run) else h end h, doc_id, leaf,
+  case when width > 1 then sha256(array_to_string(hs[:place % 8], '') || f || array_to_string(hs[place % 8 + 2:], '')) else f end f,
+  case when width > 1 then proof || array_to_string(hs[:place % 8], '') || array_to_string(hs[place % 8 + 2:], '') else proof end proof
+  from {name}{k} x join {name}r{k} r on x.tree = r.tree and x.place // 8 = r.above join {name}w{k} w on x.tree = w.tree)"""
+            )
+
+    climb("l")
+    parts.append(
+        f"t0 as (select '' tree, dense_rank() over (order by tree) - 1 place, h, doc_id, leaf, f, proof, h subroot from l{levels})"
+    )
+    mark = len(parts)
+    climb("t")
+    parts[mark:] = [p.replace("doc_id, leaf,", "doc_id, leaf, subroot,") for p in parts[mark:]]
+    return (
+        "with recursive " + ",\n".join(parts) + f"\nselect doc_id, leaf, subroot, h root, sha256(proof) proof_sha256, "
+        f"f folded_root, f = h verified from t{levels}"
+    )
+
+
+OP12_SQL = f"""
+with recursive {_CRC_TABLE},
+runs as (select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\u00C0-\u00FF]+')) run from documents),
+counted as (select doc_id, run, count(*) n from runs where length(run) >= 6 group by all),
+hashed as (select run, n, {_crc32("doc_id::varchar || ':' || run")} h from counted, crc_table),
+altered as (select n, case when h % 199 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2)
+  else run end word from hashed),
+words as (select word, sum(n)::bigint n from altered where length(word) >= 6 group by word having sum(n) >= 5),
+cut as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) rest
+  from (select *, unnest(range(1, length(word) + 1)) i from words)),
+near as (
+  select distinct a.word, b.word other, b.n from cut a join cut b on a.rest = b.rest and a.i = b.i and a.word <> b.word
+  union select a.word, b.word, b.n from cut a join words b on a.rest = b.word
+  union select b.word, a.word, a.n from cut a join words b on a.rest = b.word),
+best as (select word, count(*) n_near, arg_min(other, (-n, other)) other, max(n) most from near group by word),
+formed as (select words.word, words.n, coalesce(n_near, 0) n_near, case when most >= 5 * words.n then other end form,
+  case when most >= 5 * words.n then most end form_n from words left join best using (word)),
+chain(word, place, steps) as (
+  select word, word, 0 from formed
+  union all select c.word, f.form, steps + 1 from chain c join formed f on c.place = f.word where f.form is not null),
+ends as (select word, arg_max(place, steps) root from chain group by word)
+select word, form, root, n, n_near, form_n from formed join ends using (word)
+"""
+
+
 def sql_texts() -> dict[str, str]:
     """SQL of the queries without a fitted model, a keyed cipher or a tokenizer."""
-    return {"op5_minmax_dedup": OP5_SQL, "op6_winnowing": OP6_SQL}
+    return {
+        "op5_minmax_dedup": OP5_SQL,
+        "op6_winnowing": OP6_SQL,
+        "op11_octopus_manifest": _op11_sql(),
+        "op12_pivotal_variants": OP12_SQL,
+    }
