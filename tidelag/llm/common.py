@@ -40,6 +40,12 @@ def row_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), text, text.isNull())
 
 
+def wide_row_key() -> Column:
+    """``row_key`` in 128 bits, as text, for tables so large that 64 bits would meet by chance."""
+    told = [F.coalesce(F.concat(F.lit("1"), F.col(c).cast("string")), F.lit("0")) for c in ("doc_id", "text")]
+    return F.md5(F.concat(told[0], F.lit(":"), told[1]).cast("binary"))
+
+
 def hash_sample(labels: DataFrame, by: str, bound: int) -> DataFrame:
     """At most ``bound`` rows, those with the smallest hash of ``by``; used only to fit models."""
     return labels.orderBy(F.xxhash64(F.col(by)), F.col(by)).limit(bound)

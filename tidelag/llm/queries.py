@@ -12,6 +12,7 @@ from tidelag.llm import (
     best_fit,
     compression_quality,
     feistel_pii,
+    license_diagonals,
     line_quality,
     merkle_manifest,
     mil_toxicity,
@@ -91,6 +92,10 @@ def op12_pivotal_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(table(spark, sf_dir, "documents"))
 
 
+def op13_license_diagonals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_diagonals.licences(table(spark, sf_dir, "documents"))
+
+
 def registered() -> dict[str, Query]:
     own = [
         op1_compression_quality,
@@ -105,6 +110,7 @@ def registered() -> dict[str, Query]:
         op10_mil_toxicity,
         op11_octopus_manifest,
         op12_pivotal_variants,
+        op13_license_diagonals,
     ]
     return {f.__name__: f for f in own}
 
@@ -238,6 +244,42 @@ select word, form, root, n, n_near, form_n from formed join ends using (word)
 """
 
 
+def _quoted(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in row) + ")" for row in rows)
+
+
+_PHRASES = _quoted(list(license_diagonals.PHRASES.items()))
+_NOTICES = _quoted(license_diagonals.NOTICES)
+_STANDS = "list_filter(range(0, len(w)), lambda i: w[i + 1:i + len(p)] = p)"
+
+OP13_SQL = f"""
+with docs as (select doc_id, {_ALNUM} w from documents),
+phrases as (select string_split(phrase, ' ') p, label from (values {_PHRASES}) x(phrase, label)),
+places as (select doc_id, label, unnest({_STANDS}) place from docs, phrases
+  where contains(array_to_string(w, ' '), array_to_string(p, ' '))),
+base as (select doc_id, count(*) n_base, min(place) first_word, max(place) last_word, list(distinct label) base from places group by doc_id),
+templates as (select label, text, {_ALNUM} t from (values {_NOTICES}) x(label, text)),
+t_grams as (select label, text, t, place, array_to_string(t[place + 1:place + 3], ' ') g
+  from (select *, unnest(range(0, len(t) - 2)) place from templates)),
+d_grams as (select doc_id, w, place, array_to_string(w[place + 1:place + 3], ' ') g
+  from (select *, unnest(range(0, len(w) - 2)) place from docs where len(w) >= 3)),
+diagonals as (select doc_id, label, text, any_value(t) t, any_value(w) w, d.place - x.place diagonal
+  from d_grams d join t_grams x using (g) group by doc_id, label, text, d.place - x.place),
+agreeing as (select *, list_filter(range(0, len(t)), lambda j: diagonal + j >= 0 and t[j + 1] = w[diagonal + j + 1]) agree from diagonals),
+steps as (select *, case when diagonal - lag(diagonal) over (partition by doc_id, label, text order by diagonal) > 3 then 1 else 0 end step
+  from agreeing),
+merged as (select *, sum(step) over (partition by doc_id, label, text order by diagonal) span from steps),
+spans as (select doc_id, label, len(list_distinct(flatten(list(agree)))) agreed, any_value(len(t)) size
+  from merged group by doc_id, label, text, span),
+own as (select doc_id, coalesce(list(distinct label) filter (where 5 * agreed >= 4 * size), []) own, max(agreed / size) score
+  from spans group by doc_id)
+select doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word,
+  array_to_string(list_sort(coalesce(base, [])), ',') base_labels,
+  array_to_string(list_sort(list_distinct(coalesce(base, []) || coalesce(own, []))), ',') labels, coalesce(score, 0.0)::double score
+from docs left join base using (doc_id) left join own using (doc_id)
+"""
+
+
 def sql_texts() -> dict[str, str]:
     """SQL of the queries without a fitted model, a keyed cipher or a tokenizer."""
     return {
@@ -245,4 +287,5 @@ def sql_texts() -> dict[str, str]:
         "op6_winnowing": OP6_SQL,
         "op11_octopus_manifest": _op11_sql(),
         "op12_pivotal_variants": OP12_SQL,
+        "op13_license_diagonals": OP13_SQL,
     }
