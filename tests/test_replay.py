@@ -5,41 +5,76 @@ from conftest import rows
 from walk import walk_lag
 
 from tidelag.operators import lag as L
-from tidelag.operators.replay import lag_replay, sample_nodes, window_nodes
+from tidelag.operators.replay import in_eras, lag_replay, numbered_samples, window_ends, window_pieces
 
 S = "cluster string, topic string, part int, off bigint, at_ms bigint"
 C = "cluster string, grp string, topic string, part int, snapshot_ms bigint, c_off bigint"
 
 
 def test_window_is_covered_exactly_once(spark):
-    ttl, tick = 13000, 1000
-    ticks = spark.createDataFrame([("c", "t", 0, t, t * tick) for t in range(60)], S)
-    points = spark.createDataFrame([("c", "t", 0, s * tick, 0) for s in range(13, 60)], "cluster string, topic string, part int, snapshot_ms bigint, c_off bigint")
-    covered = window_nodes(points, ttl, tick).join(sample_nodes(ticks, ttl, tick), ["cluster", "topic", "part", "level", "node"])
+    rng = random.Random(1)
+    ttl, width = 13000, 13001
+    log = {t * 977: rng.randrange(9) for t in range(60)}  # offsets fall at every second sample or so
+    samples = spark.createDataFrame([("c", "t", 0, o, at) for at, o in log.items()], S)
+    points = spark.createDataFrame([("c", "g", "t", 0, s * 1001, 0) for s in range(60)], C)
+    ends = window_ends(points, samples, ttl)
+    pieces = window_pieces(ends).selectExpr("snapshot_ms", "era", "f_at", "a_at", "inline(pieces)")
+    covered = (
+        pieces.join(numbered_samples(samples, width), ["era", "level", "node"])
+        .where("(not holds_first or at_ms >= f_at) and (not holds_last or at_ms <= a_at)")
+    )
     got = rows(covered, "snapshot_ms", "at_ms")
-    assert len(got) == len(set(got)) == 47 * 14
-    assert all(s - ttl <= at <= s for s, at in got)
-    widest = window_nodes(points, ttl, tick).groupBy("snapshot_ms").count().agg({"count": "max"}).first()[0]
-    assert widest <= 6
+    want = [(s * 1001, at) for s in range(60) for at in log if s * 1001 - ttl <= at <= s * 1001]
+    assert len(got) == len(set(got)) and set(got) == set(want)
+    assert pieces.groupBy("snapshot_ms").count().agg({"count": "max"}).first()[0] <= 6  # of up to 14 samples
 
 
-@pytest.mark.parametrize("tick", [1, 250])
-def test_every_snapshot_matches_the_walk(spark, tick):
-    rng = random.Random(tick)
+def test_a_log_that_never_falls_costs_few_rows(spark):
+    """240 samples a window at uneven times: rows per sample and per commit, and no sort aggregate."""
+    rng = random.Random(2)
+    ttl = 7_200_000
+    at, log = 0, []
+    for i in range(720):
+        at += 30_000 + rng.randrange(-9_999, 9_999)
+        log.append(("c", "t", 0, i * 3, at))
+    samples = spark.createDataFrame(log, S)
+    commits = spark.createDataFrame([("c", f"g{i % 5}", "t", 0, at - i * 17_003, i) for i in range(300)], C)
+    timed = in_eras(samples, ttl + 1).count()
+    looked_up = numbered_samples(samples, ttl + 1).count()
+    assert timed + looked_up <= 8 * 720
+    pieces = window_pieces(window_ends(commits, samples, ttl)).selectExpr("inline(pieces)").count()
+    assert 2 * 300 + pieces <= 8 * 300
+    plan = lag_replay(commits, samples, 7200)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+
+
+def test_one_hot_series_is_split_by_time_and_by_lookups(spark):
+    samples = spark.createDataFrame([("c", "t", 0, i, i * 1000) for i in range(500)], S)
+    commits = spark.createDataFrame([("c", f"g{i}", "t", 0, 5000 * (i % 100), i) for i in range(500)], C)
+    per_era = numbered_samples(samples, 20001).groupBy("era").count().agg({"count": "max"}).first()[0]
+    assert per_era <= 42
+    columns = ("grp", "snapshot_ms", "leo", "lag_off", "lag_s", "lag_s_case")
+    assert rows(lag_replay(commits, samples, 20, hot_rows=3), *columns) == rows(lag_replay(commits, samples, 20), *columns)
+
+
+@pytest.mark.parametrize("step", [1, 250])
+def test_every_snapshot_matches_the_walk(spark, step):
+    rng = random.Random(step)
     ttl = 5
     samples, commits, expected = [], [], {}
     for series in range(25):
-        falls = series % 3 == 0  # some logs are truncated and start again lower
+        falls = series % 3  # never, at times, at every other sample
+        # a truncated log starts again lower
         off, log = 0, {}
         for _ in range(rng.choice([0, 1, 5, 60])):
-            at = rng.randrange(0, 80) * 250
+            at = rng.randrange(0, 20000) // step * step
             log[at] = None
         for at in sorted(log):
-            off = max(0, off + (rng.choice([0, 0, 1, 7]) if not falls or rng.random() < 0.9 else -9))
+            off = max(0, off + (rng.choice([0, 0, 1, 7]) if rng.random() < (1, 0.9, 0.5)[falls] else -9))
             log[at] = off
             samples.append(("c", f"t{series}", 0, off, at))
         for _ in range(12):
-            key = (f"t{series}", f"g{rng.randrange(3)}", rng.randrange(0, 80) * 250)
+            key = (f"t{series}", f"g{rng.randrange(3)}", rng.randrange(0, 20000) // step * step)
             if key in expected:
                 continue
             c_off = rng.randrange(0, 60)
@@ -53,7 +88,7 @@ def test_every_snapshot_matches_the_walk(spark, tick):
                 latest[o] = max(latest.get(o, 0), a)
             newest = max(seen)
             expected[key] = (seen[newest], max(seen[newest] - c_off, 0), walk_lag(list(latest.items()), c_off, newest))
-    lags = lag_replay(spark.createDataFrame(commits, C), spark.createDataFrame(samples, S), ttl, tick_ms=tick, slice_bits=3)
+    lags = lag_replay(spark.createDataFrame(commits, C), spark.createDataFrame(samples, S), ttl, slice_bits=3)
     got = {(t, g, s): (a, b, c) for t, g, s, a, b, c in rows(lags, "topic", "grp", "snapshot_ms", "leo", "lag_off", "lag_s")}
     assert got == expected
 
@@ -63,12 +98,3 @@ def test_single_snapshot_equals_partition_lag(spark):
     commits = spark.createDataFrame([("c", f"g{i}", "t", 0, 19000, i * 17) for i in range(20)], C)
     replayed = lag_replay(commits, samples, 3600)
     assert rows(replayed, "grp", "lag_off", "lag_s", "lag_s_case") == rows(L.partition_lag(commits, samples), "grp", "lag_off", "lag_s", "lag_s_case")
-
-
-def test_times_off_the_tick_are_refused(spark):
-    samples = spark.createDataFrame([("c", "t", 0, 1, 1001)], S)
-    commits = spark.createDataFrame([("c", "g", "t", 0, 2000, 1)], C)
-    with pytest.raises(Exception, match="not a multiple"):
-        lag_replay(commits, samples, 5, tick_ms=1000).collect()
-    with pytest.raises(ValueError):
-        lag_replay(commits, samples, 5, tick_ms=3000)

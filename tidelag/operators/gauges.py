@@ -52,6 +52,11 @@ def _label_map(values: Mapping[str, Column | str]) -> Column:
     return F.create_map(*pairs)
 
 
+def _carried(rows: DataFrame) -> list[str]:
+    """Columns that tell which iteration a row belongs to."""
+    return [c for c in rows.columns if c in ("at_ms", "snapshot_ms")]
+
+
 def _publishable(gauges: DataFrame) -> DataFrame:
     # Unknown values are not published, nor is a sum that happens to be -1,
     # which readers of these gauges take for unknown.
@@ -80,7 +85,7 @@ def lag_gauges(levels: DataFrame, extra: Mapping[str, str] | None = None) -> Dat
     labels = F.map_filter(all_labels, lambda _, v: v.isNotNull())
     if extra:
         labels = merge_labels(labels, _label_map(extra))
-    carried = [c for c in levels.columns if c in ("at_ms", "snapshot_ms")]
+    carried = _carried(levels)
     return _publishable(
         levels.select(*carried, labels.alias("labels"), F.explode(gauges).alias("g")).select(
             F.col("g.name").alias("name"), "labels", F.col("g.value").alias("value"), *carried
@@ -95,6 +100,7 @@ def checked_gauges(checked: DataFrame, extra: Mapping[str, str] | None = None) -
         F.lit("kafka_total_groups_checked").alias("name"),
         labels.alias("labels"),
         F.col("groups_checked").cast("double").alias("value"),
+        *_carried(checked),
     )
 
 

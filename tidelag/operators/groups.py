@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -85,9 +86,9 @@ def flatten_groups(payloads: DataFrame) -> DataFrame:
     )
 
 
-def groups_checked(groups: DataFrame) -> DataFrame:
+def groups_checked(groups: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """Groups looked at per cluster; groups without any valid commit count too."""
-    return groups.groupBy("cluster").agg(F.count("*").alias("groups_checked"))
+    return groups.groupBy(*carried, "cluster").agg(F.count("*").alias("groups_checked"))
 
 
 def with_empty_groups(groups: DataFrame, rolled: DataFrame) -> DataFrame:

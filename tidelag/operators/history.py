@@ -41,15 +41,20 @@ def newest_times(samples: DataFrame) -> DataFrame:
     return samples.groupBy(*SERIES).agg(F.max("at_ms").alias("newest_ms"))
 
 
-def retain(samples: DataFrame, ttl_seconds: int, now_ms: Column | int | None = None) -> DataFrame:
+def retain(samples: DataFrame, ttl_seconds: int, now_ms: DataFrame | Column | int | None = None) -> DataFrame:
     """Drop samples older than ``ttl_seconds`` before the newest of their series.
 
     A sample exactly at the limit is kept.  With ``now_ms`` a series whose
-    newest sample is older than the limit is forgotten altogether.
+    newest sample is older than the limit is forgotten altogether; it is one
+    time for all, or a table (cluster, now_ms) of each cluster's own clock,
+    where a cluster without one is forgotten too.
     """
     ttl_ms = ttl_seconds * 1000
     newest = newest_times(samples)
-    if now_ms is not None:
+    if isinstance(now_ms, DataFrame):
+        clocked = newest.join(now_ms.select("cluster", "now_ms"), "cluster")
+        newest = clocked.where(F.col("newest_ms") >= F.col("now_ms") - ttl_ms).drop("now_ms")
+    elif now_ms is not None:
         now = now_ms if isinstance(now_ms, Column) else F.lit(now_ms)
         newest = newest.where(F.col("newest_ms") >= now - ttl_ms)
     # The per-series aggregate is combined map-side, so a hot series is never
@@ -98,6 +103,22 @@ def latest_offsets(samples: DataFrame) -> DataFrame:
     )
 
 
+def up_to(samples: DataFrame, clocks: DataFrame) -> DataFrame:
+    """Samples not later than the clock (cluster, now_ms) of their cluster; without a clock none are known."""
+    return samples.join(clocks.select("cluster", "now_ms"), "cluster").where("at_ms <= now_ms").drop("now_ms")
+
+
+def read_in_iteration(samples: DataFrame, iterations: DataFrame, slack_ms: int) -> DataFrame:
+    """Each sample with the ``snapshot_ms`` of the iteration that read it: the first that ends ``slack_ms`` after it or later.
+
+    ``iterations``: distinct (cluster, snapshot_ms), folded here to one row per cluster.  Samples later than the last
+    one's end are left out.
+    """
+    ends = iterations.groupBy("cluster").agg(F.array_sort(F.collect_set("snapshot_ms")).alias("ends"))
+    first = F.get(F.filter("ends", lambda e: e + slack_ms >= F.col("at_ms")), F.lit(0))
+    return samples.join(ends, "cluster").withColumn("snapshot_ms", first).drop("ends").where("snapshot_ms is not null")
+
+
 def series_tail(samples: DataFrame, n: int = 2) -> DataFrame:
     """The ``n`` highest entries of each series in (offset, time) order.
 

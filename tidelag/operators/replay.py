@@ -1,12 +1,19 @@
 """Lag at every past snapshot, each against the history its iteration would have read.
 
-A snapshot at time t sees the samples with ``t - ttl <= at <= t``.  Joining
-each commit to all of them would emit every pair in the window.  Instead time is
-cut into ticks and the ticks into a binary hierarchy of nodes: a sample belongs
-to one node per level, and any window is exactly covered by at most two nodes
-per level.  The ordinary nearest-sample lookup runs inside the nodes and its few
-partial answers per commit are folded together.  The rows grow by the logarithm
-of the window length in ticks, not by the number of samples in it.
+A snapshot at time t sees the samples with ``t - ttl <= at <= t + ahead``.  Joining each commit to all of them would
+emit every pair in the window.  Instead use is made of offsets that rarely fall:
+
+1. Samples are dealt to (series, era), an era being as wide as a window, so a window lies in an era and the one before
+   it and each sample goes to two of them.  In time order every fall of the offset begins a new *run*.
+2. Each distinct (series, snapshot) is placed once in that order: its first and last sample in the window, and their
+   runs.  Inside a run, what the window sees is one stretch of offsets, so those two samples are enough to cut the
+   answer of a lookup that knows the run alone.
+3. The ordinary nearest-sample lookup runs inside (series, era, run).  A log that never falls has one run, hence one
+   lookup per commit.  Where a window spans several runs, the whole ones between its ends are covered by nodes of a
+   binary hierarchy over the run numbers, and the few partial answers are folded together.
+
+A sample becomes two rows in time order and two in the lookup, plus one a level of the hierarchy, whose height is the
+logarithm of the runs in its era: none for a log that never falls.  Times may be of any resolution.
 """
 
 from __future__ import annotations
@@ -14,103 +21,183 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.functions import int_div
-from tidelag.model import SERIES, SLICE_BITS
+from tidelag.model import HOT_ROWS, SERIES, SLICE_BITS
 from tidelag.operators.lag import with_lag
 from tidelag.operators.nearest import nearest_samples
 
-_NODE = ["level", "node"]
+ERA = [*SERIES, "era"]
+NODE = [*ERA, "level", "node"]
+ENDS = ["f_off", "f_at", "f_run", "a_off", "a_at", "a_run"]
 
+# Offset first, then age, in one number that hash aggregation can keep: ages are far below 10**18 ms.
+_AGES = "1000000000000000000BD"
 
-def _top_level(ttl_ms: int, tick_ms: int) -> int:
-    return (ttl_ms // tick_ms + 1).bit_length() - 1
 
+def _floor_div(value: str, by: int) -> str:
+    return f"(({value}) - pmod({value}, {by}L)) div {by}L"
 
-def _on_tick(column: str, tick_ms: int):
-    """Tick number; fails on a time that is not a whole number of ticks, which would be inexact."""
-    at = F.col(column)
-    if tick_ms == 1:
-        return at
-    off_tick = F.raise_error(F.concat(F.lit(f"{column} is not a multiple of {tick_ms} ms: "), at.cast("string")))
-    return F.when(at % tick_ms == 0, int_div(at, F.lit(tick_ms))).otherwise(off_tick.cast("bigint"))
 
+def in_eras(samples: DataFrame, width: int) -> DataFrame:
+    """Every sample in its own era and the next, whose windows reach back to it."""
+    known = samples.where("off is not null and at_ms is not null").selectExpr(*SERIES, "off", "at_ms")
+    own = _floor_div("at_ms", width)
+    return known.selectExpr(*SERIES, f"explode(array({own}, {own} + 1)) as era", "off", "at_ms")
 
-def sample_nodes(samples: DataFrame, ttl_ms: int, tick_ms: int) -> DataFrame:
-    """Every sample once per level of the hierarchy."""
-    levels = F.explode(F.sequence(F.lit(0), F.lit(_top_level(ttl_ms, tick_ms)))).alias("level")
-    tick = samples.select(*SERIES, "off", "at_ms", _on_tick("at_ms", tick_ms).alias("tick"))
-    return tick.select(*SERIES, "off", "at_ms", "tick", levels).select(
-        *SERIES, "level", F.expr("shiftright(tick, level)").alias("node"), "off", "at_ms"
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    """``rows`` (era, at, kind, off, at_ms) with ``last_off`` and ``run`` as of each row; off is NULL on marks."""
+    order = f"over (partition by {', '.join(ERA)} order by at, kind)"
+    so_far = f"over (partition by {', '.join(ERA)} order by at, kind rows between unbounded preceding and current row)"
+    seen = rows.selectExpr("*", f"lag(off) ignore nulls {order} as before_off", f"last(off) ignore nulls {so_far} as last_off")
+    return seen.selectExpr("*", f"sum(if(off < before_off, 1L, 0L)) {so_far} as run")
+
+
+def numbered_samples(samples: DataFrame, width: int) -> DataFrame:
+    """Samples keyed by era and node: level 0 is their run, higher levels hold 2, 4, ... whole runs each."""
+    rows = in_eras(samples, width).selectExpr(*ERA, "at_ms as at", "1 as kind", "off", "at_ms")
+    runs = _in_order(rows).selectExpr(*ERA, "off", "at_ms", "run", f"max(run) over (partition by {', '.join(ERA)}) as last_run")
+    # A level is of use only where one of its nodes fits between two runs of the era.
+    levels = "explode(sequence(0, if(last_run < 2, 0, cast(floor(log2(last_run - 1)) as int)))) as level"
+    return runs.selectExpr(*ERA, "run", levels, "off", "at_ms").selectExpr(
+        *ERA, "level", "shiftright(run, level) as node", "off", "at_ms"
     )
 
 
-def window_nodes(points: DataFrame, ttl_ms: int, tick_ms: int) -> DataFrame:
-    """The nodes that exactly cover the window of each (series, snapshot, offset)."""
-    top, span = _top_level(ttl_ms, tick_ms), ttl_ms // tick_ms
-    hi = _on_tick("snapshot_ms", tick_ms) + 1
-    bounds = points.select(
-        *points.columns,
-        hi.alias("hi"),
-        (hi - F.lit(span + 1)).alias("lo"),
-        F.explode(F.sequence(F.lit(0), F.lit(top))).alias("level"),
+def window_ends(commit_log: DataFrame, samples: DataFrame, ttl_ms: int, ahead_ms: int = 0) -> DataFrame:
+    """Per distinct (series, snapshot): first (f) and last (a) sample of its window and their runs; NULL if it is empty."""
+    width = ttl_ms + ahead_ms + 1
+    hi = f"snapshot_ms + {ahead_ms}L"
+    windows = commit_log.select(*SERIES, "snapshot_ms").distinct().selectExpr("*", f"{_floor_div(hi, width)} as era")
+    # The beginning of a window sorts before a sample of the same time, its end after it.
+    marks = f"inline(array(struct(snapshot_ms - {ttl_ms}L as at, 0 as kind), struct({hi} as at, 2 as kind)))"
+    rows = in_eras(samples, width).selectExpr(*ERA, "at_ms as at", "1 as kind", "off", "at_ms")
+    rows = rows.unionByName(windows.selectExpr(*ERA, "snapshot_ms", marks), allowMissingColumns=True)
+    order = f"over (partition by {', '.join(ERA)} order by at, kind)"
+    so_far = f"over (partition by {', '.join(ERA)} order by at, kind rows between unbounded preceding and current row)"
+    placed = _in_order(rows).selectExpr(
+        *ERA,
+        "snapshot_ms",
+        "kind",
+        "last_off",
+        f"last(at_ms) ignore nulls {so_far} as last_at",
+        "run",
+        f"lead(off) ignore nulls {order} as next_off",
+        f"lead(at_ms) ignore nulls {order} as next_at",
     )
-    # At level k the part of [lo, hi) not covered by finer nodes is
-    # [ceil(lo / 2^k), floor(hi / 2^k)); an odd end cannot move up a level.
-    ends = bounds.withColumns(
-        {
-            "first": F.expr("shiftright(lo + shiftleft(1L, level) - 1, level)"),
-            "stop": F.expr("shiftright(hi, level)"),
-        }
-    ).where("first < stop")
-    nodes = F.array_compact(
-        F.array(
-            F.when(F.col("first") % 2 == 1, F.col("first")),
-            F.when(F.col("stop") % 2 == 1, F.col("stop") - 1),
-        )
+    # Both marks of a window lie in one era, so this needs no further shuffle.
+    ends = placed.where("kind <> 1").groupBy(*ERA, "snapshot_ms").agg(
+        F.expr("max(if(kind = 0, next_off, null)) as f_off"),
+        F.expr("max(if(kind = 0, next_at, null)) as f_at"),
+        F.expr("max(if(kind = 0, run + if(next_off < last_off, 1L, 0L), null)) as f_run"),
+        F.expr("max(if(kind = 2, last_off, null)) as a_off"),
+        F.expr("max(if(kind = 2, last_at, null)) as a_at"),
+        F.expr("max(if(kind = 2, run, null)) as a_run"),
     )
-    return ends.select(*points.columns, "level", F.explode(nodes).alias("node"))
+    return ends.selectExpr(*ERA, "snapshot_ms", *[f"if(f_at <= a_at, {c}, null) as {c}" for c in ENDS])
 
 
-def lag_replay(
+def _pieces(levels: int = 40) -> str:
+    """SQL for the nodes that cover a window: the runs of its two ends, and whole runs between them.
+
+    At level k the part of [f_run + 1, a_run) not covered by finer nodes is [first, stop), the ends rounded inwards to
+    multiples of 2**k; an odd end cannot move up a level.  An empty window gets a node that holds no sample.
+    """
+    piece = "struct({} as level, {} as node, {} as holds_first, {} as holds_last)".format
+    first = "shiftright(f_run + shiftleft(1L, k), k)"
+    stop = "shiftright(a_run, k)"
+    inner = f"""flatten(transform(sequence(0, cast(floor(log2(greatest(a_run - f_run, 1L))) as int)), k -> array_compact(array(
+        if({first} < {stop} and {first} % 2 = 1, {piece('k', first, 'false', 'false')}, null),
+        if({first} < {stop} and {stop} % 2 = 1, {piece('k', f'{stop} - 1', 'false', 'false')}, null)))))"""
+    ends = f"array({piece('0', 'f_run', 'true', 'false')}, {piece('0', 'a_run', 'false', 'true')})"
+    return f"""case when f_run is null then array({piece('-1', '-1L', 'false', 'false')})
+        when f_run = a_run then array({piece('0', 'f_run', 'true', 'true')})
+        else concat({ends}, if(a_run - f_run > 1, {inner}, array())) end"""
+
+
+def window_pieces(ends: DataFrame) -> DataFrame:
+    """The ends of every window and the nodes that cover it."""
+    return ends.selectExpr("*", f"{_pieces()} as pieces")
+
+
+def _cut(found: DataFrame) -> DataFrame:
+    """Cut what a whole run answers to what the window sees of it."""
+    # Below the first sample in sight the lookup asked for that sample itself: it is the upper neighbour.
+    below = found.selectExpr(
+        "*",
+        "holds_first and own_off < f_off as under",
+        "holds_last and lo_off >= a_off as over",
+    )
+    inside = below.selectExpr(
+        "*",
+        "if(under, lo_off, up_off) as u_off",
+        "if(under, lo_at, up_at) as u_at",
+    )
+    # The last sample in sight may not be the last of its offset, nor of the run.
+    return inside.selectExpr(
+        "*",
+        "case when under then null when over then a_off else lo_off end as cut_lo_off",
+        "case when under then null when over then a_at else lo_at end as cut_lo_at",
+        "if(over and not under, null, u_off) as cut_up_off",
+        "if(holds_last and u_off = a_off, a_at, u_at) as cut_up_at",
+        "if(holds_first, f_off, min_off) as least_off",
+        "if(holds_last, a_off, max_off) as most_off",
+    )
+
+
+def replay_neighbours(
     commit_log: DataFrame,
     samples: DataFrame,
-    ttl_seconds: int,
-    tick_ms: int = 1,
+    ttl_ms: int,
+    ahead_ms: int = 0,
     slice_bits: int = SLICE_BITS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """``partition_lag`` for every ``snapshot_ms`` of the commit log.
-
-    The log has at most one commit per position and snapshot.
-    ``tick_ms`` may be raised when all sample times, snapshots and the
-    retention are multiples of it; fewer levels are then needed.
-    """
-    ttl_ms = ttl_seconds * 1000
-    if ttl_ms % tick_ms:
-        raise ValueError("the retention must be a whole number of ticks")
+    """Every commit with the samples around its offset in the window of its snapshot (see ``nearest.NEIGHBOURS``)."""
     position = list(commit_log.columns)
-    asked = window_nodes(commit_log, ttl_ms, tick_ms)
-    partial = nearest_samples(asked, sample_nodes(samples, ttl_ms, tick_ms), [*SERIES, *_NODE], slice_bits)
-    # Nodes may know the same offset (a flat line crossing them): take the
-    # neighbour offset first, then its latest time.
-    folded = partial.groupBy(*position).agg(
-        F.expr("max(if(lo_off is null, null, struct(lo_off, lo_at))) as lo"),
-        F.expr("min(if(up_off is null, null, struct(up_off, -up_at as neg_at))) as up"),
-        F.expr("max(if(leo is null, null, struct(leo_at, leo))) as newest"),
-        F.min("min_off").alias("min_off"),
-        F.max("max_off").alias("max_off"),
-        F.min("bad_off").alias("bad_off"),
+    width = ttl_ms + ahead_ms + 1
+    windows = window_pieces(window_ends(commit_log, samples, ttl_ms, ahead_ms))
+    asked = (
+        commit_log.join(windows.hint("rebalance"), [*SERIES, "snapshot_ms"])
+        .selectExpr(*position, "era", "f_off", "a_off", "a_at", "inline(pieces)")
+        .withColumnRenamed("c_off", "own_off")
+        .selectExpr("*", "if(holds_first and own_off < f_off, f_off, own_off) as c_off")
     )
-    return with_lag(
-        folded.selectExpr(
-            *position,
-            "lo.lo_off",
-            "lo.lo_at",
-            "up.up_off",
-            "-up.neg_at as up_at",
-            "min_off",
-            "max_off",
-            "bad_off",
-            "newest.leo",
-            "newest.leo_at",
+    cut = _cut(nearest_samples(asked, numbered_samples(samples, width), NODE, slice_bits, hot_rows))
+    age = f"(snapshot_ms + {ahead_ms}L - {{}})".format
+    folded = (
+        cut.drop("c_off")
+        .withColumnRenamed("own_off", "c_off")
+        .groupBy(*position)
+        .agg(
+            F.expr(f"max(cast(cut_lo_off as decimal(19,0)) * {_AGES} + ({_AGES} - 1BD - {age('cut_lo_at')})) as lo"),
+            F.expr(f"min(cast(cut_up_off as decimal(19,0)) * {_AGES} + {age('cut_up_at')}) as up"),
+            F.min("least_off").alias("min_off"),
+            F.max("most_off").alias("max_off"),
+            F.max("a_off").alias("leo"),
+            F.max("a_at").alias("leo_at"),
         )
     )
+    offset = f"cast(({{0}} - pmod({{0}}, {_AGES})) / {_AGES} as bigint)".format
+    return folded.selectExpr(
+        *position,
+        f"{offset('lo')} as lo_off",
+        f"cast(snapshot_ms + {ahead_ms}L - ({_AGES} - 1BD - pmod(lo, {_AGES})) as bigint) as lo_at",
+        f"{offset('up')} as up_off",
+        f"cast(snapshot_ms + {ahead_ms}L - pmod(up, {_AGES}) as bigint) as up_at",
+        "min_off",
+        "max_off",
+        "cast(null as bigint) as bad_off",
+        "leo",
+        "leo_at",
+    )
+
+
+def lag_replay(
+    commit_log: DataFrame,
+    samples: DataFrame,
+    ttl_seconds: int,
+    slice_bits: int = SLICE_BITS,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``partition_lag`` for every ``snapshot_ms`` of the commit log, which has at most one commit per position and snapshot."""
+    return with_lag(replay_neighbours(commit_log, samples, ttl_seconds * 1000, 0, slice_bits, hot_rows))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -64,15 +66,16 @@ def lag_grouping_sets(lags: DataFrame) -> DataFrame:
     )
 
 
-def all_levels(lags: DataFrame) -> DataFrame:
+def all_levels(lags: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
     """Partition, topic and group rows in one pass, told apart by ``level``.
 
     The lag behind this is the costly part of an iteration; one expand over it
     is cheaper than computing it once per level.  Topic and group rows fold
     map-side, so the shuffle stays close to one row per partition.
+    ``carried`` names columns, such as the snapshot, that are kept apart on every level.
     """
-    cols = [F.col(c) for c in FACT]
-    rolled = lags.groupingSets([cols, cols[:3], cols[:2]], *cols).agg(
+    cols, kept = [F.col(c) for c in FACT], [F.col(c) for c in carried]
+    rolled = lags.groupingSets([kept + cols, kept + cols[:3], kept + cols[:2]], *kept, *cols).agg(
         (F.grouping("topic") + F.grouping("part")).cast("int").alias("depth"),
         F.max("lag_off").alias("max_off"),
         F.max("lag_s").alias("any_max_s"),
@@ -82,6 +85,7 @@ def all_levels(lags: DataFrame) -> DataFrame:
     )
     level = F.element_at(F.array(*[F.lit(x) for x in ("partition", "topic", "group")]), F.col("depth") + 1)
     return rolled.select(
+        *carried,
         *FACT,
         level.alias("level"),
         "max_off",

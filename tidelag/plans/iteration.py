@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidelag.model import FACT, GROUP
+from tidelag.model import FACT, GROUP, SERIES
 from tidelag.operators.gauges import checked_gauges, iteration_gauge, lag_gauges
 from tidelag.operators.groups import filter_groups, good_groups, groups_checked, with_empty_groups
-from tidelag.operators.lag import partition_lag, valid_commits
+from tidelag.operators.history import read_in_iteration
+from tidelag.operators.lag import partition_lag, valid_commits, with_lag
+from tidelag.operators.replay import replay_neighbours
 from tidelag.operators.rollup import all_levels, group_rollup
 
 
@@ -46,3 +49,54 @@ def published_gauges(
     lags = partition_lag(commits_of(chosen, committed), samples, latest)
     gauges = lag_gauges(all_levels(lags), extra).unionByName(checked_gauges(groups_checked(chosen), extra))
     return gauges if seconds is None else gauges.unionByName(iteration_gauge(seconds))
+
+
+def iterations_of(groups: DataFrame, committed: DataFrame) -> DataFrame:
+    """The distinct iterations (cluster, snapshot_ms) of listed groups and commits."""
+    of = lambda df: df.select("cluster", "snapshot_ms").where("cluster is not null and snapshot_ms is not null")
+    return of(groups).unionByName(of(committed)).distinct()
+
+
+def iteration_lags(
+    groups: DataFrame,
+    committed: DataFrame,
+    samples: DataFrame,
+    history: DataFrame,
+    ttl_seconds: int,
+    slack_ms: int = 0,
+) -> DataFrame:
+    """Lag of every position in every iteration, against the history and the log ends that iteration had.
+
+    ``groups``: the chosen (cluster, grp, snapshot_ms).  An iteration sees the history from ``ttl_seconds`` before its
+    snapshot to ``slack_ms`` after it.  Its log ends are those of the ``samples`` read since the iteration before it; a
+    series not read then gets no lag in it.
+    """
+    at = [*GROUP, "snapshot_ms"]
+    commits = valid_commits(committed).join(groups.select(*at), at, "left_semi").select(*FACT, "c_off", "snapshot_ms")
+    placed = replay_neighbours(commits, history, ttl_seconds * 1000, slack_ms)
+    read = read_in_iteration(samples, iterations_of(groups, committed), slack_ms)
+    key = [*SERIES, "snapshot_ms"]
+    latest = read.groupBy(*key).agg(F.max_by("off", "at_ms").alias("leo"), F.max("at_ms").alias("leo_at"))
+    return with_lag(placed.drop("leo", "leo_at").join(latest.hint("rebalance"), key, "left"))
+
+
+def published_iterations(
+    groups: DataFrame,
+    clusters: DataFrame,
+    rules: DataFrame,
+    committed: DataFrame,
+    samples: DataFrame,
+    history: DataFrame,
+    ttl_seconds: int,
+    slack_ms: int = 0,
+    extra: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """``published_gauges`` for each of many iterations at once, with ``snapshot_ms``: name, labels, value, snapshot_ms.
+
+    Groups and commits carry the ``snapshot_ms`` of their iteration.  What one iteration did not list or could not read
+    has no part in it, whatever the others hold; clusters keep their own time.
+    """
+    chosen = filter_groups(good_groups(groups, clusters), rules).select(*GROUP, "snapshot_ms")
+    lags = iteration_lags(chosen, committed, samples, history, ttl_seconds, slack_ms)
+    checked = groups_checked(chosen, ["snapshot_ms"])
+    return lag_gauges(all_levels(lags, ["snapshot_ms"]), extra).unionByName(checked_gauges(checked, extra))

@@ -211,7 +211,7 @@ def lag_case_profile(t):
 
 @query
 def lag_replay(t):
-    lags = R.lag_replay(t.commit_snapshots(), t.offset_samples(), RETENTION_SECONDS, tick_ms=TICK_MS)
+    lags = R.lag_replay(t.commit_snapshots(), t.offset_samples(), RETENTION_SECONDS)
     return lags.select(*FACT, "snapshot_ms", *LAG_COLUMNS[4:])
 
 
@@ -282,7 +282,7 @@ def timeseries_rows(t):
 
 @query
 def gauge_last_value(t):
-    lags = R.lag_replay(t.commit_snapshots(), t.offset_samples(), RETENTION_SECONDS, tick_ms=TICK_MS)
+    lags = R.lag_replay(t.commit_snapshots(), t.offset_samples(), RETENTION_SECONDS)
     rolled = lags.groupBy(*TOPIC, "snapshot_ms").agg(
         F.max("lag_off").alias("max_off"),
         F.max("lag_s").alias("max_s"),
