@@ -23,7 +23,8 @@ def epoch_ms(ts: str) -> str:
     )
 
 
-def shard_of(grp: Column | str, shards: int) -> Column:
-    """Stable shard of a group: the first 32 bits of SHA-256(name), modulo ``shards``."""
+def shard_of(grp: Column | str, shards: int | Column) -> Column:
+    """Stable shard of a group: the first 32 bits of SHA-256(name), modulo ``shards``; NULL if there are none."""
+    shards = shards if isinstance(shards, Column) else F.lit(shards)
     head = F.substring(F.sha2(_col(grp).cast("binary"), 256), 1, 8)
-    return F.pmod(F.conv(head, 16, 10).cast("bigint"), F.lit(shards).cast("bigint"))
+    return F.pmod(F.conv(head, 16, 10).cast("bigint"), shards.cast("bigint"))

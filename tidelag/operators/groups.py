@@ -96,10 +96,38 @@ def with_empty_groups(groups: DataFrame, rolled: DataFrame) -> DataFrame:
     return groups.select(*GROUP).join(rolled, GROUP, "left")
 
 
-def assign_shards(groups: DataFrame, shards: int) -> DataFrame:
+def assign_shards(groups: DataFrame, shards: int | Column) -> DataFrame:
     return groups.withColumn("shard", shard_of("grp", shards))
 
 
+def _owners(index: DataFrame, suffix: str = "") -> DataFrame:
+    shard, member = f"shard{suffix}", f"member{suffix}"
+    return index.select(F.col("member_index").cast("bigint").alias(shard), F.col("member").alias(member))
+
+
+def node_assignment(groups: DataFrame, index: DataFrame) -> DataFrame:
+    """Every group with the live member that looks after it: the one whose index is the group's shard.
+
+    ``index`` is ``members.member_index``; there are as many shards as live members.  Without any, groups have none.
+    """
+    members = index.agg(F.max("members")).scalar()
+    return assign_shards(groups, members).join(_owners(index), "shard", "left")
+
+
+def moved_groups(groups: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """Groups that another member looks after once the membership has changed: member_before, member_after.
+
+    A member that stays may get another index, and the count of shards may change, so groups move between members
+    that were there all along, too.
+    """
+    placed = groups
+    for suffix, index in (("_before", before), ("_after", after)):
+        members = index.agg(F.max("members")).scalar()
+        placed = placed.withColumn(f"shard{suffix}", shard_of("grp", members))
+        placed = placed.join(_owners(index, suffix), f"shard{suffix}", "left")
+    return placed.where(~F.col("member_before").eqNullSafe(F.col("member_after"))).drop("shard_before", "shard_after")
+
+
 def shard_balance(rolled: DataFrame, shards: int) -> DataFrame:
     """Groups and lag per shard."""
     return (

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelag.functions import int_div
 from tidelag.model import SERIES
 
 
@@ -108,15 +109,33 @@ def up_to(samples: DataFrame, clocks: DataFrame) -> DataFrame:
     return samples.join(clocks.select("cluster", "now_ms"), "cluster").where("at_ms <= now_ms").drop("now_ms")
 
 
+def iteration_ends(iterations: DataFrame, slack_ms: int) -> DataFrame:
+    """cluster, snapshot_ms, seen_ms: until when each iteration can have read samples.
+
+    That is ``slack_ms`` after its snapshot, or just before the next iteration of its cluster.
+    """
+    follows = F.lead("snapshot_ms").over(Window.partitionBy("cluster").orderBy("snapshot_ms"))
+    seen = F.least(F.col("snapshot_ms") + slack_ms, follows - 1)  # least() skips NULL
+    return iterations.select("cluster", "snapshot_ms").distinct().withColumn("seen_ms", seen)
+
+
 def read_in_iteration(samples: DataFrame, iterations: DataFrame, slack_ms: int) -> DataFrame:
-    """Each sample with the ``snapshot_ms`` of the iteration that read it: the first that ends ``slack_ms`` after it or later.
+    """Each sample with the ``snapshot_ms`` of the iteration that read it, at most ``slack_ms`` away.
 
-    ``iterations``: distinct (cluster, snapshot_ms), folded here to one row per cluster.  Samples later than the last
-    one's end are left out.
+    That is the last one that had begun by then, or else the next one.  Samples of no iteration are left out.
+    Iterations (cluster, snapshot_ms) meet samples by buckets of time, so a sample looks at few of them.
     """
-    ends = iterations.groupBy("cluster").agg(F.array_sort(F.collect_set("snapshot_ms")).alias("ends"))
-    first = F.get(F.filter("ends", lambda e: e + slack_ms >= F.col("at_ms")), F.lit(0))
-    return samples.join(ends, "cluster").withColumn("snapshot_ms", first).drop("ends").where("snapshot_ms is not null")
+    width = F.lit(slack_ms + 1).cast("bigint")
+    near = iterations.select("cluster", "snapshot_ms", F.explode(F.array(*[F.lit(k) for k in (-1, 0, 1)])).alias("k"))
+    near = (
+        near.groupBy("cluster", (int_div(F.col("snapshot_ms"), width) + F.col("k")).alias("bucket"))
+        .agg(F.array_sort(F.collect_set("snapshot_ms")).alias("near"))
+    )
+    at = F.col("at_ms")
+    begun = F.try_element_at(F.filter("near", lambda s: (s <= at) & (s + slack_ms >= at)), F.lit(-1))
+    soon = F.get(F.filter("near", lambda s: (s > at) & (s - slack_ms <= at)), F.lit(0))
+    met = samples.withColumn("bucket", int_div(at, width)).join(near, ["cluster", "bucket"])
+    return met.withColumn("snapshot_ms", F.coalesce(begun, soon)).drop("bucket", "near").where("snapshot_ms is not null")
 
 
 def series_tail(samples: DataFrame, n: int = 2) -> DataFrame:

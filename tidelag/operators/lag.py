@@ -31,6 +31,14 @@ def newest_commits(committed: DataFrame) -> DataFrame:
     return rows.select(*FACT, "of_newest.*", "snapshot_ms").select(*committed.columns)
 
 
+def commits_by_snapshot(committed: DataFrame) -> DataFrame:
+    """One row per position and snapshot; of several, the one with the greatest offset counts."""
+    rest = [c for c in committed.columns if c not in (*FACT, "snapshot_ms")]
+    order = F.struct("c_off", "err_code")
+    rows = committed.groupBy(*FACT, "snapshot_ms").agg(F.max_by(F.struct(*rest), order).alias("of_greatest"))
+    return rows.select(*FACT, "of_greatest.*", "snapshot_ms").select(*committed.columns)
+
+
 def skip_reason() -> Column:
     """Which offset is missing; NULL when the lag can be computed."""
     return F.nullif(

@@ -1,6 +1,6 @@
 """Lag at every past snapshot, each against the history its iteration would have read.
 
-A snapshot at time t sees the samples with ``t - ttl <= at <= t + ahead``.  Joining each commit to all of them would
+A snapshot at time t sees the samples with ``t - ttl <= at <= seen``.  Joining each commit to all of them would
 emit every pair in the window.  Instead use is made of offsets that rarely fall:
 
 1. Samples are dealt to (series, era), an era being as wide as a window, so a window lies in an era and the one before
@@ -63,20 +63,23 @@ def numbered_samples(samples: DataFrame, width: int) -> DataFrame:
     )
 
 
-def window_ends(commit_log: DataFrame, samples: DataFrame, ttl_ms: int, ahead_ms: int = 0) -> DataFrame:
-    """Per distinct (series, snapshot): first (f) and last (a) sample of its window and their runs; NULL if it is empty."""
+def window_ends(commit_log: DataFrame, samples: DataFrame, ttl_ms: int, ahead_ms: int = 0, seen: str = "snapshot_ms") -> DataFrame:
+    """Per distinct (series, snapshot): first (f) and last (a) sample of its window and their runs; NULL if it is empty.
+
+    A window reaches from ``ttl_ms`` before the snapshot to the time in column ``seen``, at most ``ahead_ms`` after it.
+    """
     width = ttl_ms + ahead_ms + 1
-    hi = f"snapshot_ms + {ahead_ms}L"
-    windows = commit_log.select(*SERIES, "snapshot_ms").distinct().selectExpr("*", f"{_floor_div(hi, width)} as era")
+    window = [*SERIES, "snapshot_ms", *({seen} - {"snapshot_ms"})]
+    windows = commit_log.select(*window).distinct().selectExpr("*", f"{_floor_div(seen, width)} as era")
     # The beginning of a window sorts before a sample of the same time, its end after it.
-    marks = f"inline(array(struct(snapshot_ms - {ttl_ms}L as at, 0 as kind), struct({hi} as at, 2 as kind)))"
+    marks = f"inline(array(struct(snapshot_ms - {ttl_ms}L as at, 0 as kind), struct({seen} as at, 2 as kind)))"
     rows = in_eras(samples, width).selectExpr(*ERA, "at_ms as at", "1 as kind", "off", "at_ms")
-    rows = rows.unionByName(windows.selectExpr(*ERA, "snapshot_ms", marks), allowMissingColumns=True)
+    rows = rows.unionByName(windows.selectExpr(*ERA, *window[3:], marks), allowMissingColumns=True)
     order = f"over (partition by {', '.join(ERA)} order by at, kind)"
     so_far = f"over (partition by {', '.join(ERA)} order by at, kind rows between unbounded preceding and current row)"
     placed = _in_order(rows).selectExpr(
         *ERA,
-        "snapshot_ms",
+        *window[3:],
         "kind",
         "last_off",
         f"last(at_ms) ignore nulls {so_far} as last_at",
@@ -85,7 +88,7 @@ def window_ends(commit_log: DataFrame, samples: DataFrame, ttl_ms: int, ahead_ms
         f"lead(at_ms) ignore nulls {order} as next_at",
     )
     # Both marks of a window lie in one era, so this needs no further shuffle.
-    ends = placed.where("kind <> 1").groupBy(*ERA, "snapshot_ms").agg(
+    ends = placed.where("kind <> 1").groupBy(*ERA, *window[3:]).agg(
         F.expr("max(if(kind = 0, next_off, null)) as f_off"),
         F.expr("max(if(kind = 0, next_at, null)) as f_at"),
         F.expr("max(if(kind = 0, run + if(next_off < last_off, 1L, 0L), null)) as f_run"),
@@ -93,7 +96,7 @@ def window_ends(commit_log: DataFrame, samples: DataFrame, ttl_ms: int, ahead_ms
         F.expr("max(if(kind = 2, last_at, null)) as a_at"),
         F.expr("max(if(kind = 2, run, null)) as a_run"),
     )
-    return ends.selectExpr(*ERA, "snapshot_ms", *[f"if(f_at <= a_at, {c}, null) as {c}" for c in ENDS])
+    return ends.selectExpr(*ERA, *window[3:], *[f"if(f_at <= a_at, {c}, null) as {c}" for c in ENDS])
 
 
 def _pieces(levels: int = 40) -> str:
@@ -151,19 +154,23 @@ def replay_neighbours(
     ahead_ms: int = 0,
     slice_bits: int = SLICE_BITS,
     hot_rows: int = HOT_ROWS,
+    seen: str = "snapshot_ms",
 ) -> DataFrame:
-    """Every commit with the samples around its offset in the window of its snapshot (see ``nearest.NEIGHBOURS``)."""
+    """Every commit with the samples around its offset in the window of its snapshot (see ``nearest.NEIGHBOURS``).
+
+    A window ends at the time in column ``seen``, at most ``ahead_ms`` after the snapshot.
+    """
     position = list(commit_log.columns)
     width = ttl_ms + ahead_ms + 1
-    windows = window_pieces(window_ends(commit_log, samples, ttl_ms, ahead_ms))
+    windows = window_pieces(window_ends(commit_log, samples, ttl_ms, ahead_ms, seen))
     asked = (
-        commit_log.join(windows.hint("rebalance"), [*SERIES, "snapshot_ms"])
+        commit_log.join(windows.hint("rebalance"), [*SERIES, *sorted({"snapshot_ms", seen})])
         .selectExpr(*position, "era", "f_off", "a_off", "a_at", "inline(pieces)")
         .withColumnRenamed("c_off", "own_off")
         .selectExpr("*", "if(holds_first and own_off < f_off, f_off, own_off) as c_off")
     )
     cut = _cut(nearest_samples(asked, numbered_samples(samples, width), NODE, slice_bits, hot_rows))
-    age = f"(snapshot_ms + {ahead_ms}L - {{}})".format
+    age = f"({seen} - {{}})".format
     folded = (
         cut.drop("c_off")
         .withColumnRenamed("own_off", "c_off")
@@ -181,9 +188,9 @@ def replay_neighbours(
     return folded.selectExpr(
         *position,
         f"{offset('lo')} as lo_off",
-        f"cast(snapshot_ms + {ahead_ms}L - ({_AGES} - 1BD - pmod(lo, {_AGES})) as bigint) as lo_at",
+        f"cast({seen} - ({_AGES} - 1BD - pmod(lo, {_AGES})) as bigint) as lo_at",
         f"{offset('up')} as up_off",
-        f"cast(snapshot_ms + {ahead_ms}L - pmod(up, {_AGES}) as bigint) as up_at",
+        f"cast({seen} - pmod(up, {_AGES}) as bigint) as up_at",
         "min_off",
         "max_off",
         "cast(null as bigint) as bad_off",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidelag.model import FACT, GROUP, SERIES
 from tidelag.operators.gauges import checked_gauges, iteration_gauge, lag_gauges
 from tidelag.operators.groups import filter_groups, good_groups, groups_checked, with_empty_groups
-from tidelag.operators.history import read_in_iteration
+from tidelag.operators.history import iteration_ends, read_in_iteration
 from tidelag.operators.lag import partition_lag, valid_commits, with_lag
 from tidelag.operators.replay import replay_neighbours
 from tidelag.operators.rollup import all_levels, group_rollup
@@ -62,19 +62,22 @@ def iteration_lags(
     committed: DataFrame,
     samples: DataFrame,
     history: DataFrame,
+    iterations: DataFrame,
     ttl_seconds: int,
     slack_ms: int = 0,
 ) -> DataFrame:
     """Lag of every position in every iteration, against the history and the log ends that iteration had.
 
     ``groups``: the chosen (cluster, grp, snapshot_ms).  An iteration sees the history from ``ttl_seconds`` before its
-    snapshot to ``slack_ms`` after it.  Its log ends are those of the ``samples`` read since the iteration before it; a
-    series not read then gets no lag in it.
+    snapshot to ``slack_ms`` after it, but nothing that a later iteration read.  Its log ends are those of the ``samples`` it read
+    itself, told by their time from those of the other ``iterations`` (cluster, snapshot_ms); a series not read then
+    gets no lag in it.
     """
     at = [*GROUP, "snapshot_ms"]
     commits = valid_commits(committed).join(groups.select(*at), at, "left_semi").select(*FACT, "c_off", "snapshot_ms")
-    placed = replay_neighbours(commits, history, ttl_seconds * 1000, slack_ms)
-    read = read_in_iteration(samples, iterations_of(groups, committed), slack_ms)
+    commits = commits.join(iteration_ends(iterations, slack_ms), ["cluster", "snapshot_ms"])
+    placed = replay_neighbours(commits, history, ttl_seconds * 1000, slack_ms, seen="seen_ms").drop("seen_ms")
+    read = read_in_iteration(samples, iterations, slack_ms)
     key = [*SERIES, "snapshot_ms"]
     latest = read.groupBy(*key).agg(F.max_by("off", "at_ms").alias("leo"), F.max("at_ms").alias("leo_at"))
     return with_lag(placed.drop("leo", "leo_at").join(latest.hint("rebalance"), key, "left"))
@@ -97,6 +100,8 @@ def published_iterations(
     has no part in it, whatever the others hold; clusters keep their own time.
     """
     chosen = filter_groups(good_groups(groups, clusters), rules).select(*GROUP, "snapshot_ms")
-    lags = iteration_lags(chosen, committed, samples, history, ttl_seconds, slack_ms)
+    lags = iteration_lags(
+        chosen, committed, samples, history, iterations_of(groups, committed), ttl_seconds, slack_ms
+    )
     checked = groups_checked(chosen, ["snapshot_ms"])
     return lag_gauges(all_levels(lags, ["snapshot_ms"]), extra).unionByName(checked_gauges(checked, extra))

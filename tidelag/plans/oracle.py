@@ -123,7 +123,10 @@ _CTE["group_level"] = f"select cluster, grp, {_GROUP_SUMS} from chosen_lags grou
 
 
 def _gauge_rows(extra: str = "") -> str:
-    """Union of all gauges as (name, labels text, value); ``extra`` is 'merge' to apply the extra labels."""
+    """Union of all gauges as (name, labels text, value).
+
+    ``extra`` is 'merge' to apply the extra labels, 'then' for all iterations, with their times.
+    """
     merged = extra == "merge"
 
     def labels(group: bool, topic: bool = False, part: bool = False) -> str:
@@ -139,6 +142,7 @@ def _gauge_rows(extra: str = "") -> str:
             bits.append("'topic=' || topic")
         return " || ',' || ".join(bits)
 
+    then, at = (True, ", snapshot_ms as at_ms") if extra == "then" else (False, "")
     rows = []
     for stem, col in (("lag_in_offsets", "lag_off"), ("lag_in_seconds", "lag_s")):
         rows.append((stem, labels(True, True, True), col, "chosen_lags"))
@@ -146,15 +150,20 @@ def _gauge_rows(extra: str = "") -> str:
         for kind in ("max", "sum"):
             for unit, suffix in (("offsets", "off"), ("seconds", "s")):
                 rows.append((f"{prefix}{kind}_lag_in_{unit}", labels(True, topic), f"{kind}_{suffix}", source))
+    tables = {"chosen_lags": "lags_then", "topic_level": "topics_then", "group_level": "groups_then"}
     parts = [
-        f"select 'kafka_consumer_group_{stem}' as name, {text} as labels, cast({col} as double) as value from {source}"
+        f"select 'kafka_consumer_group_{stem}' as name, {text} as labels, cast({col} as double) as value{at}"
+        f" from {tables[source] if then else source}"
         f" where {col} is not null and {col} <> -1"
         for stem, text, col, source in rows
     ]
+    checked = "listed_chosen group by cluster, snapshot_ms" if then else "chosen group by cluster"
     parts.append(
-        f"select 'kafka_total_groups_checked' as name, {labels(False)} as labels, cast(count(*) as double) as value"
-        " from chosen group by cluster"
+        f"select 'kafka_total_groups_checked' as name, {labels(False)} as labels, cast(count(*) as double) as value{at}"
+        f" from {checked}"
     )
+    if then:
+        return " union all ".join(parts)
     parts.append("select 'kafka_iteration_time_seconds' as name, '' as labels, seconds as value from newest_iteration")
     return " union all ".join(parts)
 
@@ -172,6 +181,30 @@ _CTE["replay_gauges"] = " union all ".join(
     for kind in ("max", "sum")
     for unit, suffix in (("offsets", "off"), ("seconds", "s"))
 )
+# Every iteration at once: groups as listed in it, the log ends read since the iteration before it.
+_CTE["listed"] = f"""select distinct {_OWNER.format(k='l_suppkey')}, (l_orderkey % 124 + 78892) * {TICK} as snapshot_ms,
+       case when (l_suppkey + l_orderkey % 124 + 78892) % 23 = 7 then 'offset fetch failed' end as error from lineitem"""
+_CTE["listed_chosen"] = """select cluster, grp, snapshot_ms from listed where error is null
+       and cluster in (select cluster from clusters where has_client and has_config and list_error is null)
+       and (cluster, grp) in (select (cluster, grp) from filtered)"""
+_CTE["moments"] = "select distinct cluster, snapshot_ms from listed"
+_CTE["read_then"] = """select s.*, m.snapshot_ms from samples s join moments m on m.cluster = s.cluster and m.snapshot_ms = s.at_ms"""
+_CTE["latest_then"] = """select cluster, topic, part, snapshot_ms, arg_max(off, at_ms) as leo, max(at_ms) as leo_at
+       from read_then group by all"""
+_CTE["commits_then"] = """select cluster, grp, topic, part, snapshot_ms, c_off from (select * from commit_log
+       qualify row_number() over (partition by cluster, grp, topic, part, snapshot_ms order by c_off desc, err_code desc) = 1)
+       where err_code = 0 and c_off >= 0 and (cluster, grp, snapshot_ms) in (select (cluster, grp, snapshot_ms) from listed_chosen)"""
+_CTE["windowed_then"] = f"""select c.*, h.off, max(h.at_ms) as at_ms
+       from commits_then c left join samples h on h.cluster = c.cluster and h.topic = c.topic and h.part = c.part
+       and h.at_ms <= c.snapshot_ms and h.at_ms >= c.snapshot_ms - {TTL} group by all"""
+_CTE["replayed_then"] = """select w.cluster, grp, w.topic, w.part, w.snapshot_ms, c_off, any_value(leo) as leo, any_value(leo_at) as leo_at,
+       count(off) as n, max(off) filter (off <= c_off) as lo_off, arg_max(at_ms, off) filter (off <= c_off) as lo_at,
+       min(off) filter (off > c_off) as up_off, arg_min(at_ms, off) filter (off > c_off) as up_at
+       from windowed_then w left join latest_then l on l.cluster = w.cluster and l.topic = w.topic and l.part = w.part
+       and l.snapshot_ms = w.snapshot_ms group by all"""
+_CTE["lags_then"] = _lag_select("replayed_then", snapshot="snapshot_ms, ")
+_CTE["topics_then"] = f"select cluster, grp, topic, snapshot_ms, {_TOPIC_SUMS} from lags_then group by all"
+_CTE["groups_then"] = f"select cluster, grp, snapshot_ms, {_GROUP_SUMS} from lags_then group by all"
 _CTE["retained"] = f"""select * from samples qualify at_ms >=
        max(at_ms) over (partition by cluster, topic, part) - {TTL}"""
 _CTE["probes"] = """select case when user_id % 10 = 9 then 'store' else concat('c', cast(user_id % 2 as varchar)) end as cluster,
@@ -213,6 +246,10 @@ _CTE["live_at"] = """select member, max(start_ms) as first_seen_ms from at_sessi
        where end_ms > (select (min(at_ms) + max(at_ms)) // 2 from member_events) group by member"""
 
 
+_CTE["gauges_then"] = _gauge_rows("then")
+for _suffix in ("", "_at"):
+    _CTE[f"indexed{_suffix}"] = f"select member, row_number() over (order by first_seen_ms, member) - 1 as member_index from live{_suffix}"
+
 _HEALTH = """case when coalesce(bool_or(ok) filter (cluster <> 'store'), false)
             and coalesce(bool_and(ok) filter (cluster = 'store'), false) then 'OK' else 'Unhealthy' end as status,
        coalesce(string_agg(distinct cluster, ',' order by cluster) filter (cluster <> 'store' and not ok), '') as unhealthy_clusters"""
@@ -249,6 +286,17 @@ _QUERIES: dict[str, str] = {
          select {_OWNER.format(k='l_suppkey')}, {_TOPIC} as topic, cast(l_partkey // 20 + 1 as integer) as part, l_orderkey + 1 as c_off from lineitem
          union all
          select {_OWNER.format(k='l_suppkey')}, {_TOPIC} || '-retry' as topic, cast(l_partkey // 20 as integer) as part, l_orderkey as c_off from lineitem)""",
+    "union_of_clusters": "select * from samples where cluster in ('c0', 'c1')",
+    "node_assignment": """select cluster, grp, shard, member from (select cluster, grp,
+         concat('0x', substr(sha256(grp), 1, 8))::bigint % (select count(*) from live) as shard from groups)
+         left join indexed on shard = member_index""",
+    "moved_groups": """select * from (select cluster, grp, b.member as member_before, a.member as member_after from groups
+         left join indexed_at b on concat('0x', substr(sha256(grp), 1, 8))::bigint % (select count(*) from live_at) = b.member_index
+         left join indexed a on concat('0x', substr(sha256(grp), 1, 8))::bigint % (select count(*) from live) = a.member_index)
+         where member_before is distinct from member_after""",
+    "known_samples": """select cluster, topic, part, max(off) as off, at_ms from (
+         select cluster, topic, part, off - back as off, at_ms from samples, (values (0), (1)) b(back) where off % 13 <> 2 and off % 17 <> 3)
+         group by all""",
     "groups_checked": "select cluster, count(*) as groups_checked from chosen group by cluster",
     "shard_assign": """select cluster, grp, concat('0x', substr(sha256(grp), 1, 8))::bigint % 7 as shard from groups""",
     "shard_balance": """select concat('0x', substr(sha256(grp), 1, 8))::bigint % 7 as shard, count(*) as groups,
@@ -303,6 +351,7 @@ _QUERIES: dict[str, str] = {
           from (select distinct cluster, grp, topic from commits)) group by cluster, grp, line""",
     "group_lag_report": """select cluster, grp, max_off, max_s, sum_off, sum_s
          from chosen left join group_level using (cluster, grp)""",
+    "backlog_gauges": "select name, labels, value, at_ms from gauges_then",
     "gauge_long": "select name, labels, value from extra_gauges",
     "exposition_lines": f"""select name, 2 as seq, {_QUOTED} as labels,
          concat(name, case when labels = '' then '' else concat('{{', {_QUOTED}, '}}') end, ' ', {_NUMBER}) as line from gauges

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag import functions as FN
@@ -57,6 +57,16 @@ def _inputs(t: DerivedTables):
     return t.groups(), t.clusters(), t.rules(), t.committed(), t.offset_samples()
 
 
+def _middle():
+    return int_div(F.min("at_ms") + F.max("at_ms"), F.lit(2))
+
+
+def _members(t: DerivedTables, now: Column) -> DataFrame:
+    """Index of the members alive at a time that aggregates the member events."""
+    events = t.member_events()
+    return M.member_index(M.live_members(events, MEMBER_TTL_MS, events.agg(now).scalar()), bucket_ms=3600000)
+
+
 # -- groups and commits --------------------------------------------------------
 
 
@@ -85,6 +95,14 @@ def flatten_groups(t):
     return GR.flatten_groups(t.group_payloads())
 
 
+@query
+def union_of_clusters(t):
+    """Tables of single clusters, their columns in different orders, as one."""
+    samples = t.offset_samples()
+    one, two = samples.where("cluster = 'c0'"), samples.where("cluster = 'c1'")
+    return GR.union_clusters(one, two.select("at_ms", "off", "part", "topic", "cluster"))
+
+
 @query
 def groups_checked(t):
     return GR.groups_checked(I.chosen_groups(t.groups(), t.clusters(), t.rules()))
@@ -95,6 +113,18 @@ def shard_assign(t):
     return GR.assign_shards(t.groups().select(*GROUP), SHARDS)
 
 
+@query
+def node_assignment(t):
+    """Which live member looks after which group, as of the newest member event."""
+    return GR.node_assignment(t.groups().select(*GROUP), _members(t, F.max("at_ms")))
+
+
+@query
+def moved_groups(t):
+    """Groups whose member changed from the middle of the recorded time to its end."""
+    return GR.moved_groups(t.groups().select(*GROUP), _members(t, _middle()), _members(t, F.max("at_ms")))
+
+
 @query
 def shard_balance(t):
     return GR.shard_balance(RO.group_rollup(_offset_lag(t).withColumn("lag_s", F.lit(None).cast("bigint"))), SHARDS)
@@ -140,12 +170,18 @@ def history_retention(t):
     return H.retain(t.offset_samples(), RETENTION_SECONDS)
 
 
+@query
+def known_samples(t):
+    """Samples with a known offset and time, one per series and time."""
+    return H.unique_times(t.unsure_samples())
+
+
 @query
 def history_merge(t):
     """Half of the samples merged into the other half, one half arriving twice."""
     samples = t.offset_samples()
     even = samples.where(int_div(F.col("at_ms"), F.lit(TICK_MS)) % 2 == 0)
-    return H.compress(H.retain(H.merge_samples(samples, even), RETENTION_SECONDS))
+    return H.retain(H.compress(H.merge_samples(samples, even)), RETENTION_SECONDS)
 
 
 @query
@@ -267,6 +303,21 @@ def gauge_long(t):
     return _flat_labels(_published(t, EXTRA_LABELS))
 
 
+@query
+def backlog_gauges(t):
+    """Every iteration of the recorded time at once, each from what it listed and read itself."""
+    gauges = I.published_iterations(
+        t.iteration_groups(),
+        t.clusters(),
+        t.rules(),
+        L.commits_by_snapshot(t.commit_log().drop("seq")),
+        t.offset_samples(),
+        t.offset_samples(),
+        RETENTION_SECONDS,
+    )
+    return _flat_labels(gauges).withColumnRenamed("snapshot_ms", "at_ms")
+
+
 @query
 def exposition_lines(t):
     return G.exposition(_published(t))
@@ -322,17 +373,13 @@ def member_sessions(t):
 
 @query
 def member_index(t):
-    events = t.member_events()
-    now = events.agg(F.max("at_ms")).scalar()
-    return M.member_index(M.live_members(events, MEMBER_TTL_MS, now), bucket_ms=3600000)
+    return _members(t, F.max("at_ms"))
 
 
 @query
 def member_index_at(t):
     """The index as it stood in the middle of the recorded time."""
-    events = t.member_events()
-    middle = events.agg(int_div(F.min("at_ms") + F.max("at_ms"), F.lit(2))).scalar()
-    return M.member_index(M.live_members(events, MEMBER_TTL_MS, middle), bucket_ms=3600000)
+    return _members(t, _middle())
 
 
 @query

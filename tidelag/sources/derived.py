@@ -83,6 +83,14 @@ class DerivedTables:
             "if(off % 19 = 4, cast(array() as array<bigint>), array(off)) as offsets",
         )
 
+    def unsure_samples(self) -> DataFrame:
+        """Samples of which some lack the offset, some the time, and some come twice."""
+        return (
+            self.offset_samples()
+            .selectExpr(*SERIES, "if(off % 13 = 2, null, off) as off", "if(off % 17 = 3, null, at_ms) as at_ms", "explode(array(0, 1)) as back")
+            .selectExpr(*SERIES, "off - back as off", "at_ms")
+        )
+
     def messages(self) -> DataFrame:
         return self.plog().selectExpr(*SERIES, "event_id as offset", "ts_ms as at_ms")
 
@@ -130,6 +138,16 @@ class DerivedTables:
             .agg(F.max("c_off").alias("c_off"))
         )
 
+    def iteration_groups(self) -> DataFrame:
+        """Groups as every iteration lists them; what fails in one may be well in the next."""
+        lines = self._read("lineitem").selectExpr(
+            *self._owner("l_suppkey"),
+            "l_suppkey",
+            f"(l_orderkey % 124 + {FIRST_TICK}) * {TICK_MS} as snapshot_ms",
+        )
+        error = f"if((l_suppkey + snapshot_ms div {TICK_MS}) % 23 = 7, 'offset fetch failed', null) as error"
+        return lines.distinct().selectExpr("cluster", "grp", error, "snapshot_ms")
+
     def group_payloads(self) -> DataFrame:
         """Nested commit messages: two topics and three partitions per line item."""
         lines = self._read("lineitem").selectExpr(

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tidelag.functions import int_div
 from tidelag.model import DEFAULT_TTL_SECONDS, SAMPLES, SERIES
-from tidelag.operators.history import retain, unique_times
+from tidelag.operators.history import retain, unique_times, up_to
 
 
 HOUR_MS = 3_600_000  # width of a bucket and of a span of writing, whatever the retention
@@ -52,21 +52,31 @@ class HistoryLog:
             .parquet(self.path)
         )
 
-    def _oldest_bucket(self, now_ms: int) -> int:
+    def _stored(self, from_ms: int, to_ms: int) -> DataFrame:
+        schema = f"{SAMPLES.toDDL()}, written bigint, stream string, bucket bigint, batch bigint"
+        buckets = F.col("bucket").between(from_ms // HOUR_MS, to_ms // HOUR_MS)
+        return self.spark.read.schema(schema).parquet(self.path).where(buckets).where(F.col("at_ms").between(from_ms, to_ms))
+
+    def read(self, now_ms: int | DataFrame) -> DataFrame:
+        """History as of ``now_ms``: retained samples of series that have not expired; later ones stay unread.
+
+        ``now_ms`` is one time for all, or a table (cluster, now_ms): each cluster is then read by its own clock, and
+        one without a clock has no history.
+        """
         # A series is kept while its newest sample is within the retention, and
         # then reaches back one more retention from that sample.
-        return (now_ms - 2 * self.ttl_seconds * 1000) // HOUR_MS
+        back = 2 * self.ttl_seconds * 1000
+        if not isinstance(now_ms, DataFrame):
+            return retain(unique_times(self._stored(now_ms - back, now_ms)), self.ttl_seconds, now_ms)
+        first, last = now_ms.agg(F.min("now_ms"), F.max("now_ms")).first()
+        stored = self._stored(0 if first is None else first - back, 0 if last is None else last)
+        return retain(unique_times(up_to(stored, now_ms)), self.ttl_seconds, now_ms)
 
-    def read(self, now_ms: int) -> DataFrame:
-        """History as of ``now_ms``: retained samples of series that have not expired; later ones stay unread."""
-        schema = f"{SAMPLES.toDDL()}, written bigint, stream string, bucket bigint, batch bigint"
-        stored = (
-            self.spark.read.schema(schema)
-            .parquet(self.path)
-            .where(F.col("bucket") >= self._oldest_bucket(now_ms))
-            .where(F.col("at_ms") <= now_ms)
-        )
-        return retain(unique_times(stored), self.ttl_seconds, now_ms)
+    def windows(self, bounds: DataFrame) -> DataFrame:
+        """Samples of each cluster between its ``from_ms`` and ``to_ms``, both included: (cluster, from_ms, to_ms)."""
+        first, last = bounds.agg(F.min("from_ms"), F.max("to_ms")).first()
+        stored = self._stored(first or 0, last or 0).join(bounds, "cluster")
+        return unique_times(stored.where("at_ms between from_ms and to_ms"))
 
     def expire(self, wall_ms: int | None = None) -> int:
         """Delete files written more than two retentions before the wall clock; returns how many hours went."""
