@@ -89,12 +89,13 @@ def placed(rows: DataFrame, tree: str, order: Sequence[str], folder: str, name:
 
 
 def _parents(nodes: DataFrame) -> DataFrame:
-    """The level above ``nodes`` (tree, place, digest)."""
+    """The level above ``nodes`` (tree, place, digest); a node that is alone in its tree has none."""
     run = F.array_sort(F.collect_list(F.struct("place", "digest")))
     joined = F.array_join(F.transform(run, lambda n: n["digest"]), "")
     return (
         nodes.groupBy("tree", F.shiftright("place", FANOUT.bit_length() - 1).alias("above"))
-        .agg(_digest(joined).alias("digest"))
+        .agg(_digest(joined).alias("digest"), F.count("*").alias("children"))
+        .where("above > 0 or children > 1")  # a first run of one node is the whole level
         .select("tree", F.col("above").alias("place"), "digest")
     )
 
@@ -107,11 +108,8 @@ def grown(level: DataFrame, folder: str, name: str) -> tuple[DataFrame, DataFram
     sizes = level.groupBy("tree").agg(F.count("*").alias("leaves"))
     step, levels = 0, [level.withColumn("level", F.lit(0))]
     while True:
-        # Only trees with several nodes on this level go on; a lone node is its tree's root.
-        wide = level.where("place > 0").select("tree").distinct()
-        growing = level.join(wide.hint("rebalance"), "tree", "left_semi")
         step += 1
-        level = written(_parents(growing), folder, f"{name}-{step}")
+        level = written(_parents(level), folder, f"{name}-{step}")
         if level.isEmpty():
             break
         levels.append(level.withColumn("level", F.lit(step)))
@@ -218,16 +216,19 @@ _PROVED = "doc_id string, leaf string, subroot string, proof_sha256 string, fold
 
 
 def expanded(rows: pd.DataFrame, fetched: pd.DataFrame) -> pd.DataFrame:
-    """Proofs of the leaves of one partition; at most PARTITION_LEAVES rows and a few fetched nodes per level."""
+    """Proofs of the leaves of one partition; at most PARTITION_LEAVES rows and a few fetched nodes per level.
+
+    One row of ``fetched`` has no digest; it tells the sizes of the two trees and the language's place.
+    """
     if rows.empty:
         return pd.DataFrame(columns=["doc_id", "leaf", "subroot", "proof_sha256", "folded_root"])
     nodes: dict[str, dict[tuple[int, int], str]] = {}
-    for n in fetched.itertuples():
-        nodes.setdefault(n.of, {})[n.level, n.place] = n.digest
-    first = rows.iloc[0]
-    own = _Levels(int(first["leaves"]), dict(zip(rows["place"], rows["leaf"])), nodes.get(first["tree"], {}))
-    lang_place = int(first["lang_place"])
-    top = _Levels(int(first["langs"]), {lang_place: own.root}, nodes.get(TOP, {}))
+    for n in fetched[fetched["digest"].notna()].itertuples():
+        nodes.setdefault(n.of, {})[int(n.level), int(n.place)] = n.digest
+    sizes = fetched[fetched["digest"].isna()].iloc[0]
+    own = _Levels(int(sizes["leaves"]), dict(zip(rows["place"], rows["leaf"])), nodes.get(rows["tree"].iloc[0], {}))
+    lang_place = int(sizes["lang_place"])
+    top = _Levels(int(sizes["langs"]), {lang_place: own.root}, nodes.get(TOP, {}))
     above = top.proof(0, lang_place)
     proofs, folded = [], []
     for place, leaf, other in zip(rows["place"], rows["leaf"], rows["other"]):
@@ -270,12 +271,14 @@ def manifest(
         "doc_id", F.col("doc_id").cast("string")
     )
     chunks = cut.groupBy("tree", "chunk").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    lacking = chunks.join(sized.hint("rebalance"), "tree").mapInPandas(wanted, _WANTED)
+    chunks = written(chunks.join(sized.hint("rebalance"), "tree"), folder, "chunks")
+    lacking = chunks.mapInPandas(wanted, _WANTED)
     known = nodes.unionByName(top).withColumnRenamed("tree", "of")
-    fetched = lacking.join(known, ["of", "level", "place"])
+    # Tree sizes come with the fetched nodes, so leaves are dealt once, by partition, and never by language alone.
+    told = chunks.select("tree", "chunk", "leaves", "lang_place", "langs")
+    fetched = told.unionByName(lacking.join(known, ["of", "level", "place"]), allowMissingColumns=True)
     proved = (
-        cut.join(sized.hint("rebalance"), "tree")
-        .groupBy("tree", "chunk")
+        cut.groupBy("tree", "chunk")
         .cogroup(fetched.groupBy("tree", "chunk"))
         .applyInPandas(expanded, _PROVED)
     )
