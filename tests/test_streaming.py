@@ -7,9 +7,10 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from tidelag.model import COMMITS, METRICS, SAMPLES
+from tidelag.model import COMMITS, SAMPLES
 from tidelag.operators import history as H
 from tidelag.operators.gauges import last_values
+from tidelag.streaming.gauge_table import GaugeTable
 from tidelag.operators.members import sessions
 from tidelag.plans.iteration import published_gauges
 from tidelag.sources.tables import stream_table
@@ -17,8 +18,6 @@ from tidelag.streaming.history_log import HistoryLog
 from tidelag.streaming.lag_stream import (
     IterationTimes,
     LagIteration,
-    last_value_stream,
-    newest_samples_stream,
     session_stream,
     start_lag_stream,
     tagged_inputs,
@@ -108,7 +107,8 @@ def test_lag_stream_equals_batch(spark, tmp_path):
     frames = [iteration_inputs(spark, i) for i in range(4)]
     clusters, rules = config(spark)
     log = HistoryLog(spark, str(tmp_path / "history"), TTL)
-    iteration = LagIteration(log, str(tmp_path / "gauges"), clusters, rules, {"env": "t"})
+    sticky = GaugeTable(spark, str(tmp_path / "sticky"), "lag", fold_every=3)
+    iteration = LagIteration(log, str(tmp_path / "gauges"), clusters, rules, {"env": "t"}, sticky=sticky)
     listener = IterationTimes(iteration, str(tmp_path / "runs"), "lag")
     spark.streams.addListener(listener)
     for n, parts in enumerate(frames):
@@ -137,6 +137,8 @@ def test_lag_stream_equals_batch(spark, tmp_path):
     # the published duration is that of the whole batch, sources and planning included
     seconds = gauges.where("part = 'iteration'").select("batch", "value", "at_ms")
     assert rows(seconds) == [(b, ms / 1000, (b + 1) * STEP) for b, ms in runs]
+    all_lag = gauges.where("part = 'lag'").select("name", "labels", "value", "at_ms")
+    assert flat(sticky.read()) == flat(last_values(all_lag)) and len(sticky._deltas()) < 3
     # repeating a micro-batch replaces its output instead of adding to it
     before = gauges.count()
     batch = tagged_inputs(*frames[3])
@@ -270,33 +272,6 @@ def test_unread_series_gets_no_lag_in_that_iteration(spark, tmp_path):
     assert per_batch == [(0, "0", 2), (0, "1", 2), (1, "0", 2), (1, "1", 2), (2, "0", 2)]
 
 
-def test_sticky_gauges_in_state(spark, tmp_path):
-    batches = [[("m", {"a": "1"}, 5.0, 1), ("m", {"a": "2"}, 6.0, 1)], [("m", {"a": "1"}, 7.0, 2)]]
-    src = str(tmp_path / "g")
-    for b in batches:
-        spark.createDataFrame(b, METRICS).coalesce(1).write.mode("append").parquet(src)
-        stream = last_value_stream(stream_table(spark, src, METRICS))
-        out = []
-        query = (
-            stream.writeStream.outputMode("update").option("checkpointLocation", str(tmp_path / "cp"))
-            .foreachBatch(lambda df, _: out.extend(df.collect())).trigger(availableNow=True).start()
-        )
-        assert query.awaitTermination(120)
-    assert [(r.labels["a"], r.value) for r in out] == [("1", 7.0)]
-    assert rows(last_values(spark.read.parquet(src)), "value") == [(6.0,), (7.0,)]
-
-
-def test_newest_samples_in_state(spark, tmp_path):
-    src = str(tmp_path / "s")
-    spark.createDataFrame([("c", "t", 0, 5, 1), ("c", "t", 0, 9, 2)], SAMPLES).write.parquet(src)
-    query = (
-        newest_samples_stream(stream_table(spark, src, SAMPLES)).writeStream.outputMode("complete")
-        .format("memory").queryName("newest").trigger(availableNow=True).start()
-    )
-    assert query.awaitTermination(120)
-    assert rows(spark.table("newest"), "leo", "leo_at") == [(9, 2)]
-
-
 def test_session_stream_equals_batch(spark, tmp_path):
     src = str(tmp_path / "b")
     beats = spark.createDataFrame([("a", 1000), ("a", 5000), ("a", 30000), ("b", 2000), ("z", 500000)], "member string, at_ms bigint")

@@ -1,9 +1,12 @@
 """Produced-offset history kept as an append-only parquet log.
 
 Each micro-batch adds only its own samples, under
-``written=<hour>/stream=<name>/bucket=<time>/batch=<id>``, so nothing already
-written is rewritten, streams that share a path keep apart, and a repeated batch
-replaces its own files (or, in another hour, repeats rows that reading folds).
+``open/written=<hour>/stream=<name>/run=<id>/bucket=<time>/batch=<id>``, so streams that
+share a path keep apart, a stream that starts over with a new checkpoint gets a
+new run, and a repeated batch replaces its own files (or, in another hour,
+repeats rows that reading folds).  Once an hour of writing is over, ``close``
+rewrites its many small files to a few under ``closed/written=<hour>``.  Reading folds
+equal samples, so a stop at any point of that leaves the history as it is.
 Retention is applied per series on reading.  Files are deleted by the age of
 their writing alone, never by the times in the data, so one clock that is ahead
 cannot remove the history of others.  The path must be on storage every
@@ -13,6 +16,7 @@ executor can reach.
 from __future__ import annotations
 
 import time
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,11 +24,17 @@ from pyspark.sql import functions as F
 from tidelag.functions import int_div
 from tidelag.model import DEFAULT_TTL_SECONDS, SAMPLES, SERIES
 from tidelag.operators.history import retain, unique_times, up_to
+from tidelag.streaming import files
 
 
 HOUR_MS = 3_600_000  # width of a bucket and of a span of writing, whatever the retention
 
 
+def run_id(batch: DataFrame) -> str:
+    """The id of the streaming query whose micro-batch is at hand; it stays with its checkpoint, and is new with a new one."""
+    return batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "none"
+
+
 def _wall_ms() -> int:
     return int(time.time() * 1000)
 
@@ -35,6 +45,7 @@ class HistoryLog:
     ):
         self.spark = spark
         self.path = path.rstrip("/")
+        self.open, self.closed = f"{self.path}/open", f"{self.path}/closed"
         self.ttl_seconds = ttl_seconds
         self.stream = stream
 
@@ -45,17 +56,59 @@ class HistoryLog:
             known.withColumn("bucket", int_div(F.col("at_ms"), F.lit(HOUR_MS)))
             .withColumn("written", F.lit(_wall_ms() // HOUR_MS).cast("bigint"))
             .withColumn("stream", F.lit(self.stream))
+            .withColumn("run", F.lit(run_id(samples)))
             .withColumn("batch", F.lit(batch_id).cast("bigint"))
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("written", "stream", "bucket", "batch")
-            .parquet(self.path)
+            .partitionBy("written", "stream", "run", "bucket", "batch")
+            .parquet(self.open)
         )
 
+    def _read(self, *folders: list[str]) -> DataFrame:
+        """Samples and their ``bucket`` of folders of different layouts."""
+        schema = f"{SAMPLES.toDDL()}, bucket bigint"
+        columns = [*SAMPLES.fieldNames(), "bucket"]
+        parts = [self.spark.read.schema(schema).parquet(*paths).select(*columns) for paths in folders if paths]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+
+    def _hours(self, root: str) -> list[int]:
+        return [int(n[8:]) for n in files.names(self.spark, root) if n.startswith("written=")]
+
+    def close(self, wall_ms: int | None = None) -> int:
+        """Rewrite the hours of writing that are over, one job each; returns how many hours were closed.
+
+        The new files are complete before the old ones go, and what was closed of an hour before is merged again.
+        """
+        hour = (_wall_ms() if wall_ms is None else wall_ms) // HOUR_MS
+        done = [h for h in self._hours(self.open) if h < hour]
+        for h in done:
+            target = f"{self.closed}/written={h}"
+            versions = files.complete(self.spark, target)
+            rows = self._read([f"{self.open}/written={h}"], [f"{target}/{v}" for v in versions])
+            newer = 1 + max((int(v[8:]) for v in versions), default=0)
+            (
+                unique_times(rows)
+                .withColumn("bucket", int_div(F.col("at_ms"), F.lit(HOUR_MS)))
+                .hint("rebalance", "bucket")  # few files per bucket, large ones split
+                .write.mode("overwrite")
+                .partitionBy("bucket")
+                .parquet(f"{target}/version={newer}")
+            )
+            files.delete(self.spark, f"{self.open}/written={h}")
+            for v in files.names(self.spark, target):
+                if v != f"version={newer}":
+                    files.delete(self.spark, f"{target}/{v}")
+        return len(done)
+
     def _stored(self, from_ms: int, to_ms: int) -> DataFrame:
-        schema = f"{SAMPLES.toDDL()}, written bigint, stream string, bucket bigint, batch bigint"
         buckets = F.col("bucket").between(from_ms // HOUR_MS, to_ms // HOUR_MS)
-        return self.spark.read.schema(schema).parquet(self.path).where(buckets).where(F.col("at_ms").between(from_ms, to_ms))
+        open_hours = [f"{self.open}/written={h}" for h in self._hours(self.open)]
+        closed = [
+            f"{self.closed}/written={h}/{v}"
+            for h in self._hours(self.closed)
+            for v in files.complete(self.spark, f"{self.closed}/written={h}")
+        ]
+        return self._read(open_hours, closed).where(buckets).where(F.col("at_ms").between(from_ms, to_ms))
 
     def read(self, now_ms: int | DataFrame) -> DataFrame:
         """History as of ``now_ms``: retained samples of series that have not expired; later ones stay unread.
@@ -81,13 +134,7 @@ class HistoryLog:
     def expire(self, wall_ms: int | None = None) -> int:
         """Delete files written more than two retentions before the wall clock; returns how many hours went."""
         oldest = ((_wall_ms() if wall_ms is None else wall_ms) - 2 * self.ttl_seconds * 1000) // HOUR_MS
-        jvm = self.spark._jvm
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        dropped = 0
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("written=") and int(name[8:]) < oldest:
-                fs.delete(status.getPath(), True)
-                dropped += 1
-        return dropped
+        old = [(root, h) for root in (self.open, self.closed) for h in self._hours(root) if h < oldest]
+        for root, h in old:
+            files.delete(self.spark, f"{root}/written={h}")
+        return len({h for _, h in old})

@@ -16,11 +16,11 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from tidelag.functions import int_div
 from tidelag.model import COMMITS, DEFAULT_INTERVAL, GROUP, SAMPLES
-from tidelag.operators.gauges import iteration_gauge, last_values
-from tidelag.operators.history import latest_offsets
+from tidelag.operators.gauges import iteration_gauge
 from tidelag.operators.lag import commits_by_snapshot
 from tidelag.plans.iteration import iterations_of, published_iterations
-from tidelag.streaming.history_log import HistoryLog
+from tidelag.streaming.gauge_table import GaugeTable
+from tidelag.streaming.history_log import HistoryLog, run_id
 
 
 def tagged_inputs(groups: DataFrame, commits: DataFrame, samples: DataFrame) -> DataFrame:
@@ -55,8 +55,13 @@ class LagIteration:
         rules: DataFrame,
         extra: Mapping[str, str] | None = None,
         slack_ms: int = 30_000,
+        sticky: GaugeTable | None = None,
     ):
-        """``slack_ms``: how much later than the snapshot of its commits an iteration may sample the log ends."""
+        """``slack_ms``: how much later than the snapshot of its commits an iteration may sample the log ends.
+
+        ``sticky``, if given, also keeps the last value of every gauge.
+        """
+        self.sticky = sticky
         self.slack_ms = slack_ms
         self.history = history
         self.gauges_path = gauges_path
@@ -108,6 +113,11 @@ class LagIteration:
                 self.extra,
             )
             self.publish(gauges.withColumnRenamed("snapshot_ms", "at_ms"), batch_id, "lag")
+            if self.sticky is not None:
+                mine = (F.col("stream") == self.history.stream) & (F.col("batch") == batch_id) & (F.col("part") == "lag")
+                stored = self.history.spark.read.parquet(self.gauges_path).where(mine)
+                self.sticky.add(stored, f"{run_id(batch)}-{batch_id}")
+            self.history.close()
             self.history.expire()
             newest = batch.agg(F.max("snapshot_ms")).first()[0]
             self.publish_duration(wall_ms if newest is None else newest, time.monotonic() - started, batch_id)
@@ -180,16 +190,6 @@ def start_lag_stream(
     return writer.start()
 
 
-def newest_samples_stream(samples: DataFrame) -> DataFrame:
-    """Newest log end per series, kept in Spark's state store (update mode)."""
-    return latest_offsets(samples)
-
-
-def last_value_stream(gauges: DataFrame) -> DataFrame:
-    """Sticky gauge values across iterations, kept in Spark's state store (update mode)."""
-    return last_values(gauges)
-
-
 def session_stream(beats: DataFrame, ttl: str, lateness: str) -> DataFrame:
     """Member sessions from a stream of beats (member, ts TIMESTAMP), final once closed."""
     session = F.session_window("ts", ttl)
