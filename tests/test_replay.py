@@ -88,7 +88,7 @@ def test_every_snapshot_matches_the_walk(spark, step):
                 latest[o] = max(latest.get(o, 0), a)
             newest = max(seen)
             expected[key] = (seen[newest], max(seen[newest] - c_off, 0), walk_lag(list(latest.items()), c_off, newest))
-    lags = lag_replay(spark.createDataFrame(commits, C), spark.createDataFrame(samples, S), ttl, slice_bits=3)
+    lags = lag_replay(spark.createDataFrame(commits, C), spark.createDataFrame(samples, S), ttl)
     got = {(t, g, s): (a, b, c) for t, g, s, a, b, c in rows(lags, "topic", "grp", "snapshot_ms", "leo", "lag_off", "lag_s")}
     assert got == expected
 

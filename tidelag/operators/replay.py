@@ -8,8 +8,8 @@ emit every pair in the window.  Instead use is made of offsets that rarely fall:
 2. Each distinct (series, snapshot) is placed once in that order: its first and last sample in the window, and their
    runs.  Inside a run, what the window sees is one stretch of offsets, so those two samples are enough to cut the
    answer of a lookup that knows the run alone.
-3. The ordinary nearest-sample lookup runs inside (series, era, run).  A log that never falls has one run, hence one
-   lookup per commit.  Where a window spans several runs, the whole ones between its ends are covered by nodes of a
+3. One sort by offset inside (series, era, run) finds the samples around every commit.  A log that never falls has one
+   run, hence one lookup per commit; an era asked very often gets several copies, each with a share of its lookups.  Where a window spans several runs, the whole ones between its ends are covered by nodes of a
    binary hierarchy over the run numbers, and the few partial answers are folded together.
 
 A sample becomes two rows in time order and two in the lookup, plus one a level of the hierarchy, whose height is the
@@ -21,9 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.model import HOT_ROWS, SERIES, SLICE_BITS
+from tidelag.model import HOT_ROWS, MAX_HOT_SLICES, SERIES
 from tidelag.operators.lag import with_lag
-from tidelag.operators.nearest import nearest_samples
 
 ERA = [*SERIES, "era"]
 NODE = [*ERA, "level", "node"]
@@ -122,6 +121,53 @@ def window_pieces(ends: DataFrame) -> DataFrame:
     return ends.selectExpr("*", f"{_pieces()} as pieces")
 
 
+def _hot_eras(commit_log: DataFrame, width: int, hot_rows: int, seen: str) -> DataFrame:
+    """Eras asked more than ``hot_rows`` times and the copies they get.
+
+    Fewer than MAX_HOT_SLICES eras can each hold more than their part of all lookups, which bounds the broadcast.
+    """
+    counts = (
+        commit_log.selectExpr(*SERIES, f"{_floor_div(seen, width)} as era")
+        .groupBy(*ERA)
+        .agg(F.count("*").alias("lookups"))
+    )
+    share_of_all = counts.agg(F.expr(f"sum(lookups) div {MAX_HOT_SLICES}")).scalar()
+    limit = F.greatest(F.lit(hot_rows), share_of_all)
+    copies = (F.lit(1) + F.call_function("div", F.col("lookups"), limit)).cast("int")
+    return F.broadcast(counts.where(F.col("lookups") > limit).select(*ERA, copies.alias("copies")))
+
+
+def _around(asked: DataFrame, held: DataFrame, hot: DataFrame) -> DataFrame:
+    """``asked`` (node, c_off, others) with the samples around ``c_off`` in its node, and the node's range of offsets."""
+    others = [c for c in asked.columns if c not in (*NODE, "c_off")]
+    share = f"cast(pmod(xxhash64(c_off, {', '.join(others)}), coalesce(copies, 1)) as int)"
+    lookups = asked.join(hot, ERA, "left").selectExpr(
+        *NODE, f"{share} as copy", "c_off as at_off", "true as is_lookup", *others
+    )
+    # Runs in one node may share an offset; its latest time counts.
+    known = held.groupBy(*NODE, "off").agg(F.max("at_ms").alias("s_at"))
+    known = known.join(hot, ERA, "left").selectExpr(
+        *NODE, "explode(sequence(0, coalesce(copies, 1) - 1)) as copy", "off as at_off", "false as is_lookup", "off as s_off", "s_at"
+    )
+    rows = lookups.unionByName(known, allowMissingColumns=True)
+    node = f"partition by {', '.join(NODE)}, copy"
+    order = f"{node} order by at_off, is_lookup"  # a lookup of a sampled offset sorts after that sample
+    so_far = f"over ({order} rows between unbounded preceding and current row)"
+    found = rows.selectExpr(
+        *NODE,
+        *others,
+        "at_off as c_off",
+        "is_lookup",
+        f"last(s_off) ignore nulls {so_far} as lo_off",
+        f"last(s_at) ignore nulls {so_far} as lo_at",
+        f"lead(s_off) ignore nulls over ({order}) as up_off",
+        f"lead(s_at) ignore nulls over ({order}) as up_at",
+        f"min(s_off) over ({node}) as min_off",
+        f"max(s_off) over ({node}) as max_off",
+    )
+    return found.where("is_lookup").drop("is_lookup")
+
+
 def _cut(found: DataFrame) -> DataFrame:
     """Cut what a whole run answers to what the window sees of it."""
     # Below the first sample in sight the lookup asked for that sample itself: it is the upper neighbour.
@@ -152,7 +198,6 @@ def replay_neighbours(
     samples: DataFrame,
     ttl_ms: int,
     ahead_ms: int = 0,
-    slice_bits: int = SLICE_BITS,
     hot_rows: int = HOT_ROWS,
     seen: str = "snapshot_ms",
 ) -> DataFrame:
@@ -164,12 +209,13 @@ def replay_neighbours(
     width = ttl_ms + ahead_ms + 1
     windows = window_pieces(window_ends(commit_log, samples, ttl_ms, ahead_ms, seen))
     asked = (
-        commit_log.join(windows.hint("rebalance"), [*SERIES, *sorted({"snapshot_ms", seen})])
+        commit_log.where("c_off is not null").join(windows.hint("rebalance"), [*SERIES, *sorted({"snapshot_ms", seen})])
         .selectExpr(*position, "era", "f_off", "a_off", "a_at", "inline(pieces)")
         .withColumnRenamed("c_off", "own_off")
         .selectExpr("*", "if(holds_first and own_off < f_off, f_off, own_off) as c_off")
     )
-    cut = _cut(nearest_samples(asked, numbered_samples(samples, width), NODE, slice_bits, hot_rows))
+    hot = _hot_eras(commit_log, width, hot_rows, seen)
+    cut = _cut(_around(asked, numbered_samples(samples, width), hot))
     age = f"({seen} - {{}})".format
     folded = (
         cut.drop("c_off")
@@ -203,8 +249,7 @@ def lag_replay(
     commit_log: DataFrame,
     samples: DataFrame,
     ttl_seconds: int,
-    slice_bits: int = SLICE_BITS,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """``partition_lag`` for every ``snapshot_ms`` of the commit log, which has at most one commit per position and snapshot."""
-    return with_lag(replay_neighbours(commit_log, samples, ttl_seconds * 1000, 0, slice_bits, hot_rows))
+    return with_lag(replay_neighbours(commit_log, samples, ttl_seconds * 1000, 0, hot_rows))
