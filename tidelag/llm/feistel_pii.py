@@ -8,17 +8,22 @@ kind       validated                                      pseudonym
 =========  =============================================  ==========================================================
 card       13 to 19 digits, or groups of 4-4-4-4 or 4-6-5  digits but the last are permuted, the last is the new check
            parted by blanks or hyphens; Luhn check digit  digit; separators stay
-phone      +, country code, three or five groups of digits  digits after the country code are permuted
+phone      +, country code, three or five groups of digits  digits after the country code are permuted, alike in
+                                                          every grouping
 ip         four numbers of 0 to 255                       the 32-bit address is permuted
-date       a day of 1900-01-01 to 2099-11-13 that exists  the day is permuted within those 73,000 days; layout stays
+date       a day of 1900-01-01 to 2099-11-13 that exists  the day is permuted within those 73,000 days; layout stays,
+                                                          and so does the order of day and month
 email      local part, @, domain                          letters and digits of the local part are permuted, class
                                                           by class; the domain stays
-account    other runs of 13 to 19 digits                  all digits are permuted
+account    other runs of 13 to 19 digits                  all digits are permuted, never to a valid card number
 =========  =============================================  ==========================================================
 
 Equal values get equal pseudonyms in every document, and different ones stay different, since every step is a
 permutation.  Rounds use SHA-256 of the key, the kind, the length, the round and the other half.
 
+Not covered, and left as they are: phone numbers without a country code, dates with one-digit days or months or in words,
+identity numbers such as 123-45-6789, and IBANs.
+
 Defined results: a NULL text stays NULL with no finding; empty and repeated rows are handled one by one; what fails
 validation stays unchanged; an empty table gives an empty result; extra columns are ignored.
 """
@@ -35,7 +40,8 @@ _A, _B = 250, 292  # a day number is (x, y) with x below 250 and y below 292: 73
 _FIRST_DAY = "1900-01-01"
 
 # One expression that finds every candidate; longer formats stand first.
-EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.)+[A-Za-z]{2,24}"
+# A host name has at most 127 labels; the bound also keeps the matcher, which nests a level per label, shallow.
+EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,127}[A-Za-z]{2,24}"
 PHONE = (
     r"\+[0-9]{1,3}(?:[ .-]?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
     r"|[ .-][0-9](?:[ .-][0-9]{2}){4})"
@@ -52,6 +58,9 @@ CANDIDATE = (
     rf"|(?<![.]){IP}(?![A-Za-z0-9])(?!\.[0-9])"
     rf"|{NUMBER}(?![A-Za-z0-9]))"
 )
+# Country calling codes.  No code begins with another one.
+COUNTRY = "(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
+WALK = 64  # steps of a cycle walk; each ends it with a probability of about a half or more
 # Every candidate has two digits at most one character apart, or an @: texts without pass by at once.
 QUICK = "[0-9][ .-]?[0-9]|@"
 
@@ -146,6 +155,13 @@ def _digits(value: Column) -> Column:
     return F.regexp_replace(value, "[^0-9]", "")
 
 
+def _walked(value: Column, step: Callable[[Column], Column], outside: Callable[[Column], Column]) -> Column:
+    """``step`` applied to ``value`` until the result is not ``outside``: still a permutation of the values inside."""
+    return F.aggregate(
+        F.sequence(F.lit(1), F.lit(WALK)), step(value), lambda v, _: F.when(outside(v), step(v)).otherwise(v)
+    )
+
+
 def pseudonym_card(value: Column, key: Column) -> Column:
     def checked(body: Column) -> Column:
         check = F.pmod(10 - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10))
@@ -155,12 +171,20 @@ def pseudonym_card(value: Column, key: Column) -> Column:
     return _pour(value, bound(permute_digits(digits.substr(F.lit(1), F.length(digits) - 1), key, "card"), checked))
 
 
+def pseudonym_account(value: Column, key: Column) -> Column:
+    """All digits permuted, again until the check digit of a card is not met."""
+    return _walked(value, lambda v: permute_digits(v, key, "account"), lambda v: luhn_sum(v) % 10 == 0)
+
+
 def pseudonym_phone(value: Column, key: Column) -> Column:
-    def made(country: Column) -> Column:
-        rest = value.substr(F.length(country) + 1, F.length(value))
-        return F.concat(country, _pour(rest, permute_digits(_digits(rest), key, "phone")))
+    """The number behind the country code is permuted, however the whole is grouped."""
+
+    def made(digits: Column) -> Column:
+        country = F.regexp_extract(digits, f"^{COUNTRY}", 0)
+        rest = digits.substr(F.length(country) + 1, F.length(digits))
+        return _pour(value, F.concat(country, permute_digits(rest, key, "phone")))
 
-    return bound(F.regexp_extract(value, r"^\+[0-9]{1,3}?(?=[ .(-]|[0-9]{4})", 0), made)
+    return bound(_digits(value), made)
 
 
 def pseudonym_ip(value: Column, key: Column) -> Column:
@@ -192,15 +216,23 @@ def pseudonym_date(value: Column, key: Column) -> Column:
             return F.pmod(moved + _number(_keyed(key, "date", i, other.cast("string")), 1, 8), size)
 
         halves = _feistel(F.floor(day / _B), F.pmod(day, F.lit(_B)).cast("long"), step)
-        return bound(halves, lambda h: F.date_add(F.lit(_FIRST_DAY).cast("date"), (h["left"] * _B + h["right"]).cast("int")))
+        return bound(halves, lambda h: (h["left"] * _B + h["right"]).cast("int"))
+
+    def as_date(day: Column) -> Column:
+        return F.date_add(F.lit(_FIRST_DAY).cast("date"), day)
+
+    month_first = ~value.rlike("^[0-9]{4}-") & F.try_to_date(F.regexp_replace(value, "[.]", "/"), "dd/MM/yyyy").isNull()
+
+    def walked(day: Column) -> Column:
+        # What is read month first must be read so again, that is have a day beyond 12.
+        return as_date(_walked(day.cast("int"), permuted, lambda d: month_first & (F.dayofmonth(as_date(d)) <= 12)))
 
     def written(made: Column) -> Column:
-        month_first = F.try_to_date(F.regexp_replace(value, "[.]", "/"), "dd/MM/yyyy").isNull()
         slashed = F.when(month_first, F.date_format(made, "MM/dd/yyyy")).otherwise(F.date_format(made, "dd/MM/yyyy"))
         dotted = F.when(value.contains("."), F.regexp_replace(slashed, "/", ".")).otherwise(slashed)
         return F.when(value.rlike("^[0-9]{4}-"), F.date_format(made, "yyyy-MM-dd")).otherwise(dotted)
 
-    return bound(bound(F.datediff(day_of(value), F.lit(_FIRST_DAY).cast("date")), permuted), written)
+    return bound(bound(F.datediff(day_of(value), F.lit(_FIRST_DAY).cast("date")), walked), written)
 
 
 _SMALL = "abcdefghijklmnopqrstuvwxyz"
@@ -254,7 +286,7 @@ def pseudonym(value: Column, kind: Column, key: Column) -> Column:
         .when(kind == "ip", pseudonym_ip(value, key))
         .when(kind == "date", pseudonym_date(value, key))
         .when(kind == "card", pseudonym_card(value, key))
-        .when(kind == "account", permute_digits(value, key, "account"))
+        .when(kind == "account", pseudonym_account(value, key))
         .otherwise(value)
     )
 
