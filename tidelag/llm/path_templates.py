@@ -1,10 +1,12 @@
 """URL filter by rules and, where no rule fits, by a tree of path templates per host.
 
-1. Paths are cut into ``DEPTH`` segments; runs of digits become wildcards, and equal ones are counted per host, with
-   the labels of the labelled pages, before anything is shuffled further.
-2. Level by level, the children of a node turn into one wildcard if they are too many or hardly repeat.
+1. Runs of digits in a path become wildcards, and equal paths are counted per host, with the labels of the labelled
+   pages, before anything is shuffled further.
+2. Level by level, segment by segment, the rare children of a node turn into one wildcard if most of them do not
+   repeat; a child seen ``MIN_SEEN`` times keeps its name, however many there are.
 3. Level by level, branches whose share of good labels does not differ significantly from that of all children of
-   their node are merged.
+   their node are merged.  A node goes on to the next level while it has good and bad labels and deeper paths, so paths
+   are looked at as deep as labels differ.
 4. The share of good labels of a template, smoothed towards its host's and that towards the share of all labels,
    decides: below ``REJECT_BELOW`` the template is blocked.
 
@@ -22,10 +24,8 @@ from pyspark.sql import functions as F
 
 from tidelag.llm.common import shared_dir, written
 
-DEPTH = 3
-MAX_CHILDREN = 64  # a node with more different children gets one wildcard child
-MAX_NOVELTY = 0.5  # so does one of at least MIN_SEEN pages of whose children more than this share are new
-MIN_SEEN = 20
+MIN_SEEN = 20  # a child of so many pages keeps its name
+MAX_NOVELTY = 0.5  # other children, of so many pages in all, become a wildcard if there are more than this share of them
 SIMILAR_Z = 1.96
 SMOOTHING = 10.0
 REJECT_BELOW = 0.3
@@ -60,53 +60,60 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]] = RULES) -
     return name, verdict
 
 
-def with_segments(pages: DataFrame) -> DataFrame:
-    """Adds s1 to s<DEPTH> to a table with ``path``; deeper segments share the last one; '' where there is none."""
-    parts = F.split(F.regexp_replace(F.regexp_replace("path", "^/", ""), "[0-9]+", "*"), "/", DEPTH)
-    deep = F.regexp_replace(F.coalesce(F.get(parts, F.lit(DEPTH - 1)), F.lit("")), "/(?s).*", "/**")
-    shallow = [F.coalesce(F.get(parts, F.lit(i)), F.lit("")).alias(f"s{i + 1}") for i in range(DEPTH - 1)]
-    return pages.select("*", *shallow, deep.alias(f"s{DEPTH}"))
+def pattern_of(path: Column) -> Column:
+    """A path without its leading slash, every run of digits a wildcard."""
+    return F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "*")
 
 
 def _share_of(table: DataFrame, key: str) -> DataFrame:
     return table.groupBy(key).agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
 
 
+def _split(nodes: DataFrame, level: int) -> DataFrame:
+    """Rows of ``nodes`` (t and others) with ``t`` led one level down."""
+    own = nodes.withColumn("own", F.coalesce(F.get("segments", F.lit(level)), F.lit("")))
+    children = own.groupBy("t", "own").agg(F.sum("n").alias("seen"))
+    rare = (F.col("seen") < MIN_SEEN) & (F.col("own") != "")
+    rest = children.where(rare).groupBy("t").agg(F.count(F.lit(1)).alias("names"), F.sum("seen").alias("pages"))
+    novel = rest.where((F.col("pages") >= MIN_SEEN) & (F.col("names") > F.col("pages") * MAX_NOVELTY)).select("t")
+    wild = children.where(rare).join(novel.hint("rebalance"), "t", "left_semi").select("t", "own", F.lit("*").alias("wild"))
+    named = own.join(wild.hint("rebalance"), ["t", "own"], "left").withColumn("branch", F.coalesce("wild", "own"))
+    # merge: compare each branch with all branches of its node
+    branches = named.groupBy("t", "branch").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
+    pooled = branches.groupBy("t").agg(F.sum("g").alias("all_g"), F.sum("b").alias("all_b"))
+    rate = F.col("all_g") / (F.col("all_g") + F.col("all_b"))
+    labelled = F.col("g") + F.col("b")
+    differs = (labelled > 0) & (F.abs(F.col("g") - rate * labelled) > SIMILAR_Z * F.sqrt(rate * (1 - rate) * labelled))
+    judged = branches.join(pooled.hint("rebalance"), "t").where(differs).select("t", "branch", F.lit(True).alias("differs"))
+    apart = named.join(judged.hint("rebalance"), ["t", "branch"], "left")
+    down = F.concat("t", F.lit("/"), F.when(F.col("differs"), F.col("branch")).otherwise("~"))
+    return apart.select(*[c for c in nodes.columns if c != "t"], down.alias("t"))
+
+
 def templates(paths: DataFrame, folder: str) -> DataFrame:
-    """host, s1 to s<DEPTH>, template, purity of each counted path (columns n, good, bad); levels are written tables."""
-    tree = paths.withColumn("t0", F.col("host"))
-    for d in range(1, DEPTH + 1):
-        above, own, here = f"t{d - 1}", f"s{d}", f"t{d}"
-        children = tree.groupBy(above, own).agg(F.sum("n").alias("n"))
-        nodes = children.groupBy(above).agg(F.count(F.lit(1)).alias("children"), F.sum("n").alias("seen"))
-        wide = (F.col("children") > MAX_CHILDREN) | (
-            (F.col("seen") >= MIN_SEEN) & (F.col("children") > F.col("seen") * MAX_NOVELTY)
-        )
-        tree = tree.join(nodes.select(above, wide.alias("wide")).hint("rebalance"), above)
-        general = F.when(F.col("wide") & (F.col(own) != ""), F.lit("*")).otherwise(F.col(own))
-        tree = written(tree.withColumn("branch", F.concat(above, F.lit("/"), general)).drop("wide"), folder, f"wide-{d}")
-        # merge: compare each branch with all branches of its node
-        branches = tree.groupBy(above, "branch").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"))
-        pooled = branches.groupBy(above).agg(F.sum("g").alias("all_g"), F.sum("b").alias("all_b"))
-        rate = F.col("all_g") / F.greatest(F.col("all_g") + F.col("all_b"), F.lit(1))
-        labelled = F.col("g") + F.col("b")
-        spread = F.sqrt(rate * (1 - rate) * labelled)
-        differs = (labelled > 0) & (F.abs(F.col("g") - rate * labelled) > SIMILAR_Z * spread) & (spread > 0)
-        judged = branches.join(pooled.hint("rebalance"), above).select(above, "branch", differs.alias("differs"))
-        merged = F.when(F.col("differs"), F.col("branch")).otherwise(F.concat(F.col(above), F.lit("/~")))
-        tree = tree.join(judged.hint("rebalance"), [above, "branch"]).withColumn(here, merged)
-        tree = written(tree.drop("branch", "differs"), folder, f"merged-{d}")
-    last = f"t{DEPTH}"
+    """host, pattern, template, purity of each counted path (columns n, good, bad); levels are written tables."""
+    segments = F.when(F.col("pattern") == "", F.array().cast("array<string>")).otherwise(F.split("pattern", "/"))
+    tree = paths.withColumns({"segments": segments, "t": F.col("host")})
+    level = 0
+    while True:
+        mixed = tree.groupBy("t").agg(F.sum("good").alias("g"), F.sum("bad").alias("b"), F.max(F.size("segments")).alias("deep"))
+        going = written(mixed.where((F.col("g") > 0) & (F.col("b") > 0) & (F.col("deep") > level)).select("t"), folder, f"going-{level}")
+        if going.isEmpty():
+            break
+        settled = tree.join(going.hint("rebalance"), "t", "left_anti")
+        moved = _split(tree.join(going.hint("rebalance"), "t", "left_semi"), level)
+        tree = written(settled.unionByName(moved), folder, f"level-{level}")
+        level += 1
     total = paths.agg(((F.sum("good") + 1) / (F.sum("good") + F.sum("bad") + 2)).alias("base"))
     hosts = _share_of(tree, "host").select("host", F.col("g").alias("host_g"), F.col("b").alias("host_b"))
-    leaves = _share_of(tree, last)
+    leaves = _share_of(tree, "t")
     base = F.coalesce(total.scalar(), F.lit(1.0))
     of_host = (F.col("host_g") + SMOOTHING * base) / (F.col("host_g") + F.col("host_b") + SMOOTHING)
     purity = (F.col("g") + SMOOTHING * of_host) / (F.col("g") + F.col("b") + SMOOTHING)
     return (
-        tree.join(leaves.hint("rebalance"), last)
+        tree.join(leaves.hint("rebalance"), "t")
         .join(hosts.hint("rebalance"), "host")
-        .select("host", *[f"s{d}" for d in range(1, DEPTH + 1)], F.col(last).alias("template"), purity.alias("purity"))
+        .select("host", "pattern", F.col("t").alias("template"), purity.alias("purity"))
     )
 
 
@@ -119,21 +126,20 @@ def judged_urls(pages: DataFrame, folder: str | None = None, rules: list[tuple[s
     host, path = host_and_path(F.col("url").cast("string"))
     cut = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
     rule, verdict = rule_for(F.col("host"), F.col("path"), rules)
-    cut = with_segments(cut.select("*", rule.alias("rule"), verdict.alias("by_rule")))
+    cut = cut.select("*", rule.alias("rule"), verdict.alias("by_rule"), pattern_of(F.col("path")).alias("pattern"))
     known = cut
     if labels is None:
         known = cut.withColumn("label", F.when(F.col("by_rule") == "allow", 1).when(F.col("by_rule") == "block", 0))
     else:
         one = labels.where("page_id is not null").groupBy("page_id").agg(F.min("label").alias("label"))
         known = cut.join(one, "page_id", "left")
-    segments = [f"s{d}" for d in range(1, DEPTH + 1)]
-    counted = known.groupBy("host", *segments).agg(
+    counted = known.groupBy("host", "pattern").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).alias("good"),
         F.sum(F.when(F.col("label") == 0, 1).otherwise(0)).alias("bad"),
     )
     found = templates(written(counted, folder, "paths"), folder)
     by_template = F.when(F.col("purity") < REJECT_BELOW, F.lit("block")).otherwise(F.lit("allow"))
-    return cut.join(found, ["host", *segments]).select(
+    return cut.join(found.hint("rebalance"), ["host", "pattern"]).select(
         "page_id", "host", "path", "rule", F.coalesce("by_rule", by_template).alias("verdict"), "template", "purity"
     )
