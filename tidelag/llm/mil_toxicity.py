@@ -28,7 +28,7 @@ from tidelag.llm.common import hash_sample, id_crc, shared_dir, texts_of, writte
 
 TRAIN_TOXIC = 4000  # labelled documents of either class used to fit, whole texts
 TRAIN_CLEAN = 8000
-VOCABULARY = 256
+SIGNIFICANT = 15.13  # likelihood ratio of a term that chance passes once in ten thousand
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_sentences long, n_offending long, offending array<string>"
 
@@ -128,8 +128,8 @@ def _distinct_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             )
 
 
-def vocabulary_of(sample: DataFrame, size: int = VOCABULARY) -> list[bytes]:
-    """The ``size`` terms whose presence most raises the likelihood of a toxic label."""
+def vocabulary_of(sample: DataFrame, significant: float = SIGNIFICANT) -> list[bytes]:
+    """Every term whose presence raises the likelihood of a toxic label significantly; the sample bounds their number."""
     totals = sample.groupBy("label").count().collect()
     n = {r["label"]: r["count"] for r in totals}
     toxic, clean = float(n.get(1, 0)), float(n.get(0, 0))
@@ -142,9 +142,11 @@ def vocabulary_of(sample: DataFrame, size: int = VOCABULARY) -> list[bytes]:
         .agg(F.sum("label").cast("double").alias("in_toxic"), F.count(F.lit(1)).cast("double").alias("in_all"))
         .where("in_toxic >= 3")
     )
-    share = toxic / (toxic + clean)
-    lift = F.log((F.col("in_toxic") + 0.5) / ((F.col("in_all") + 1) * F.lit(share)))
-    best = counted.where(lift > 0).orderBy((F.col("in_toxic") * lift).desc(), "word").limit(size)
+    # Likelihood ratio of the term's share of toxic documents against that of all documents.
+    share, k, n_all = toxic / (toxic + clean), F.col("in_toxic"), F.col("in_all")
+    part = lambda seen, expected: F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+    ratio = 2 * (part(k, n_all * share) + part(n_all - k, n_all * (1 - share)))
+    best = counted.where((k > n_all * share) & (ratio >= significant)).orderBy("word")
     return [bytes(r["word"]) for r in best.select("word").collect()]
 
 
