@@ -92,11 +92,12 @@ class LagIteration:
         # Inputs without a snapshot belong to an iteration at the wall clock.
         stamped = F.coalesce("snapshot_ms", F.when(F.col("kind") != "sample", F.lit(wall_ms)))
         batch = batch.withColumn("snapshot_ms", stamped.cast("bigint")).persist()
+        samples = batch.where("kind = 'sample'").select(*SAMPLES.fieldNames())
+        listed = batch.where("kind = 'group'").groupBy(*GROUP, "snapshot_ms").agg(F.max("error").alias("error"))
+        groups = listed.persist()
+        commits = commits_by_snapshot(batch.where("kind = 'commit'").select(*COMMITS.fieldNames())).persist()
         try:
-            samples = batch.where("kind = 'sample'").select(*SAMPLES.fieldNames())
             self.history.append(samples, batch_id)
-            groups = batch.where("kind = 'group'").groupBy(*GROUP, "snapshot_ms").agg(F.max("error").alias("error"))
-            commits = commits_by_snapshot(batch.where("kind = 'commit'").select(*COMMITS.fieldNames()))
             bounds = iterations_of(groups, commits).groupBy("cluster").agg(
                 (F.min("snapshot_ms") - self.history.ttl_seconds * 1000).alias("from_ms"),
                 (F.max("snapshot_ms") + self.slack_ms).alias("to_ms"),
@@ -122,7 +123,8 @@ class LagIteration:
             newest = batch.agg(F.max("snapshot_ms")).first()[0]
             self.publish_duration(wall_ms if newest is None else newest, time.monotonic() - started, batch_id)
         finally:
-            batch.unpersist()
+            for kept in (batch, groups, commits):
+                kept.unpersist()
 
 
 class IterationTimes(StreamingQueryListener):
