@@ -537,7 +537,10 @@ def test_pseudonyms(spark, odd, empty):
     assert kinds[0] == (rows[2].findings[0].kind, rows[2].findings[0].value) and kinds[1][1] == rows[2].findings[1].value
     body = feistel_digits("411111111111111", "k", "card")
     assert kinds[0][1].replace(" ", "")[:-1] == body and luhn(kinds[0][1].replace(" ", "")) and kinds[0][1] != card
-    assert kinds[1][1] == feistel_digits(account, "k", "account")
+    walked = feistel_digits(account, "k", "account")
+    while luhn(walked):  # an account never becomes a valid card number
+        walked = feistel_digits(walked, "k", "account")
+    assert kinds[1][1] == walked
     for kept in ("4111-1111-1111-1112", "300.1.1.1", "1981-02-29", "@mail7.example.com", "+1 ("):
         assert kept in rows[1].text
     shape = re.compile(r"[0-9]")
