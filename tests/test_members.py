@@ -3,6 +3,7 @@ import random
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tidelag.operators import groups as GR
 from tidelag.operators import health as HE
 from tidelag.operators import members as M
 
@@ -76,3 +77,22 @@ def test_members_of_one_moment_are_numbered_by_name(spark):
     live = spark.createDataFrame([("b", 7), ("a", 7), ("c", 6), ("d", 9), ("e", 3)], "member string, first_seen_ms bigint")
     got = {r.member: (r.member_index, r.members) for r in M.member_index(live, bucket_ms=8).collect()}
     assert got == {"e": (0, 5), "c": (1, 5), "a": (2, 5), "b": (3, 5), "d": (4, 5)}
+
+
+def test_groups_follow_the_live_members(spark):
+    """Every group belongs to the member whose index is its shard; those whose member changes are told."""
+    import hashlib
+
+    groups = [("c", f"g{i}") for i in range(40)]
+    table = spark.createDataFrame(groups, "cluster string, grp string")
+    index = lambda names: spark.createDataFrame([(m, i, len(names)) for i, m in enumerate(names)], "member string, member_index bigint, members bigint")
+    owner = lambda grp, names: names[int(hashlib.sha256(grp.encode()).hexdigest()[:8], 16) % len(names)]
+    before, after = ["a", "b", "c"], ["a", "c"]  # b leaves: c moves up
+    placed = GR.node_assignment(table, index(before))
+    assert rows(placed, "grp", "member") == sorted((g, owner(g, before)) for _, g in groups)
+    moved = GR.moved_groups(table, index(before), index(after))
+    want = [(g, owner(g, before), owner(g, after)) for _, g in groups]
+    assert rows(moved, "grp", "member_before", "member_after") == sorted(w for w in want if w[1] != w[2])
+    none = index(before).limit(0)
+    assert {r[1] for r in rows(GR.node_assignment(table, none), "grp", "member")} == {None}
+    assert GR.moved_groups(table, index(before), index(before)).count() == 0
