@@ -9,7 +9,6 @@ about ``fold_every`` deltas, however long the stream has run.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tidelag.model import METRICS
 from tidelag.operators.gauges import last_values
