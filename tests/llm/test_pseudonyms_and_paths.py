@@ -3,7 +3,6 @@
 import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from tidelag.llm import feistel_pii as P
 from tidelag.llm import path_templates as T
@@ -88,7 +87,7 @@ def brute(pages):
         host, _, path = url.split("://", 1)[1].partition("/")
         segments = re.sub("[0-9]+", "*", path).split("/") if path else []
         rows.append({"host": host, "s": segments, "g": int(label == 1), "b": int(label == 0), "t": host})
-    d, node_of = 0, None
+    d = 0
     while True:
         nodes = {}
         for r in rows:
