@@ -34,6 +34,11 @@ def id_crc(column: str) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
 
+def numbered(documents: DataFrame, folder: str, name: str = "numbered") -> DataFrame:
+    """``documents`` with ``__row``, a number of each row's own, whatever its id; written, so that it stays the same."""
+    return written(documents.withColumn("__row", F.monotonically_increasing_id()), folder, name)
+
+
 def row_key() -> Column:
     """A key of the row's id and text: equal for equal rows alone, also where ids are NULL or repeat.  Never NULL."""
     text = F.col("text").cast("string")
@@ -41,7 +46,7 @@ def row_key() -> Column:
 
 
 def wide_row_key() -> Column:
-    """``row_key`` in 128 bits, as text, for tables so large that 64 bits would meet by chance."""
+    """A 128-bit key of the row's id and text, as text: equal for equal rows alone, also where ids are NULL or repeat."""
     told = [F.coalesce(F.concat(F.lit("1"), F.col(c).cast("string")), F.lit("0")) for c in ("doc_id", "text")]
     return F.md5(F.concat(told[0], F.lit(":"), told[1]).cast("binary"))
 
