@@ -6,7 +6,8 @@ of their residual, and the search walks from the tightest bin that can hold the
 until a bin without a conflict is found; without one, a new bin is opened.
 
 Documents are dealt to shards of about ``shard_documents`` by hash, whatever their source or cluster, and each shard
-is packed by one task, so no task grows with the data or with a hot source.  A document longer than a bin is cut
+is packed by one task, so no task grows with the data or with a hot source.  Equal rows are counted and their copies
+numbered before, and the number is part of the hash.  A document longer than a bin is cut
 into pieces: full pieces fill bins of their own, the rest is packed like any document.
 
 Clusters are the near-duplicate groups of ``minmax_dedup``; ``measured`` takes equal texts alone at the caller's choice.
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidelag.llm import minmax_dedup
-from tidelag.llm.common import row_key, shared_dir, written
+from tidelag.llm.common import numbered, shared_dir, written
 
 CAPACITY = 16_384
 PER_SOURCE = 2
@@ -89,6 +90,16 @@ def best_fit(
     return bins, filled
 
 
+def _copies(table: DataFrame) -> DataFrame:
+    """``table`` with ``copy``, which numbers equal rows from 0.  Counts combine before the shuffle."""
+    counted = table.groupBy(*table.columns).agg(F.count(F.lit(1)).alias("n"))
+    # in two steps, so that no array holds all the numbers of a row repeated millions of times
+    step = F.lit(4096)
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / step))))
+    first = F.col("run") * step
+    return runs.select(*table.columns, F.explode(F.sequence(first, F.least(first + step, F.col("n")) - 1)).alias("copy"))
+
+
 def pack(
     documents: DataFrame,
     capacity: int = CAPACITY,
@@ -99,16 +110,16 @@ def pack(
     if capacity < 1 or per_source < 1:
         raise ValueError("capacity and per_source must be at least 1")
     shards = max(1, -(-documents.count() // shard_documents))
-    shard = F.pmod(F.xxhash64("doc_id", "cluster", "length", "source"), F.lit(shards))
     table = documents.select(
         F.col("doc_id").cast("long"),
         F.col("source").cast("string"),
         F.col("cluster").cast("long"),
         F.col("length").cast("long"),
-    ).withColumn("shard", shard)
+    )
+    table = _copies(table).withColumn("shard", F.pmod(F.xxhash64(*table.columns, "copy"), F.lit(shards)))
 
     def run(rows: pa.Table) -> pa.Table:
-        by = ["doc_id", "length", "cluster", "source"]
+        by = ["doc_id", "length", "cluster", "source", "copy"]
         rows = rows.sort_by([(c, "ascending") for c in by])
         ids = rows.column("doc_id").to_pylist()
         items = list(zip(*(rows.column(c).to_pylist() for c in ("length", "source", "cluster")), strict=True))
@@ -131,14 +142,13 @@ def measured(documents: DataFrame, near: bool = True, folder: str | None = None)
     """(doc_id, source, cluster, length) of texts: bytes and one end id; near copies, or else equal texts, are one cluster."""
     text = F.col("text").cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0))
-    sized = documents.select(
-        "doc_id", "source", F.when(size > 0, F.xxhash64(text)).alias("cluster"), (size + 1).alias("length"), row_key().alias("__row")
-    )
+    told = ["doc_id", "source", F.when(size > 0, F.xxhash64(text)).alias("cluster"), (size + 1).alias("length")]
     if not near:
-        return sized.drop("__row")
+        return documents.select(*told)
     folder = folder or shared_dir(documents.sparkSession)
     # rows are judged by their own text, also where ids are NULL or repeat
-    found = minmax_dedup.dedup(documents.select(row_key().alias("doc_id"), "text"), folder)
-    clusters = found.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("cluster")).distinct()
-    joined = sized.drop("cluster").join(clusters.hint("rebalance"), "__row", "left")
+    rows = numbered(documents.select("doc_id", "source", "text"), folder)
+    found = minmax_dedup.dedup(rows.select(F.col("__row").alias("doc_id"), "text"), folder)
+    clusters = found.where("n_shingles > 0").select(F.col("doc_id").alias("__row"), F.col("component_id").alias("cluster"))
+    joined = rows.select(*told, "__row").drop("cluster").join(clusters, "__row", "left")
     return written(joined.select("doc_id", "source", "cluster", "length"), folder, "measured")
