@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelag.llm import best_fit, line_quality, minmax_dedup, secret_forest, winnowing
-from tidelag.llm.common import row_key, shared_dir, written
+from tidelag.llm.common import numbered, shared_dir, wide_row_key, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,23 +24,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows are judged by id and text, so those that share an id, or have none, stay where their texts differ.
     """
-    keyed = docs.withColumn("__row", row_key())
-    found = minmax_dedup.dedup(keyed.select(F.col("__row").alias("doc_id"), "text"))
-    group = found.select(F.col("doc_id").alias("__row"), "component_id").distinct()
-    known = keyed.select("__row", F.col("doc_id").cast("long").alias("id")).distinct()
+    folder = shared_dir(spark)
+    keyed = numbered(docs, folder)
+    found = minmax_dedup.dedup(keyed.select(F.col("__row").alias("doc_id"), "text"), folder)
+    known = keyed.select("__row", F.col("doc_id").cast("long").alias("id"), wide_row_key().alias("own"))
+    # texts without a word are linked with nothing, only equal rows are copies
+    group = F.when(F.col("n_shingles") > 0, F.col("component_id").cast("string")).otherwise(F.col("own"))
     order = F.struct(F.col("id").isNull(), "id", "__row")
-    kept = group.join(known, "__row").groupBy("component_id").agg(F.min(order).alias("first")).select("first.__row")
-    return keyed.join(kept, "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    grouped = found.join(known, F.col("__row") == found.doc_id).groupBy(group.alias("group"))
+    kept = grouped.agg(F.min(order).alias("first")).select("first.__row")
+    return keyed.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with a benchmark item; each row is judged by its own text."""
-    keyed = docs.withColumn("__row", row_key())
-    found = winnowing.contamination(
-        keyed.select(F.col("__row").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    )
-    bad = found.where("contaminated").select(F.col("doc_id").alias("__row")).distinct()
-    return keyed.join(bad, "__row", "left_anti").select(*docs.columns)
+    return winnowing.decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
