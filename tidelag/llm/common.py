@@ -39,12 +39,6 @@ def numbered(documents: DataFrame, folder: str, name: str = "numbered") -> DataF
     return written(documents.withColumn("__row", F.monotonically_increasing_id()), folder, name)
 
 
-def row_key() -> Column:
-    """A key of the row's id and text: equal for equal rows alone, also where ids are NULL or repeat.  Never NULL."""
-    text = F.col("text").cast("string")
-    return F.xxhash64(F.col("doc_id").cast("long"), F.col("doc_id").isNull(), text, text.isNull())
-
-
 def wide_row_key() -> Column:
     """A 128-bit key of the row's id and text, as text: equal for equal rows alone, also where ids are NULL or repeat."""
     told = [F.coalesce(F.concat(F.lit("1"), F.col(c).cast("string")), F.lit("0")) for c in ("doc_id", "text")]
