@@ -1,6 +1,7 @@
 """Training-data operators on small tables: edge cases, brute force, round trips, held-out accuracy."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -288,6 +289,56 @@ def test_short_credentials_of_any_characters(spark):
         assert r.text == (texts[r.doc_id].replace(values[r.doc_id], "[SECRET]") if values[r.doc_id] else texts[r.doc_id])
 
 
+def test_neighbouring_words_are_learned_from_labels(spark):
+    pick = random.Random(12)
+    # values alike in form; only the word on the left tells, and in one of ten cases it errs
+    rows = [(i, f"grey {('session', 'build')[i % 2]} {hexadecimal(pick)} ends", "src") for i in range(400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    label = F.when(F.col("doc_id") % 20 >= 18, F.col("doc_id") % 2).otherwise(1 - F.col("doc_id") % 2)
+    labelled = secret_forest.candidates(table).withColumn("label", label.cast("int"))
+    score = secret_forest.train(labelled)
+    new = [(i, f"some {('session', 'build')[i % 2]} {hexadecimal(pick)} now", "src") for i in range(40)]
+    found = secret_forest.scan(spark.createDataFrame(new, table.schema), score).collect()
+    assert len(found) == 40 and all(r.is_secret == (r.doc_id % 2 == 0) for r in found)
+    assert any(0.01 < r.score < 0.99 for r in found)
+    got = {(r["label"], r["predicted"]): r["count"] for r in secret_forest.held_out(labelled).collect()}
+    right, wrong = got.get((0, 0), 0) + got.get((1, 1), 0), got.get((0, 1), 0) + got.get((1, 0), 0)
+    assert right > 4 * wrong and 40 < right + wrong < 130
+    # a fitted forest keeps scan and redaction free of Python, and redacts what it judges
+    clean = secret_forest.redacted(spark.createDataFrame(new, table.schema), score)
+    for frame in (secret_forest.scan(spark.range(3).select(F.col("id").alias("doc_id"), F.lit("a").alias("text"), F.lit("s").alias("source")), score), clean):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+    assert {r.doc_id for r in clean.collect() if "[SECRET]" in r.text} == {i for i, _, _ in new if i % 2 == 0}
+
+
+def test_odds_of_words_against_brute_force(spark):
+    counts = {3: [5, 1], 7: [0, 9], 1000: [2, 0]}
+    (odds,) = secret_forest._odds([counts])
+    got = spark.range(1).select(odds.alias("o")).first().o
+    assert len(got) == secret_forest.BUCKETS
+    for b in range(secret_forest.BUCKETS):
+        c0, c1 = counts.get(b, [0, 0])
+        want = math.log((c1 + 1) / 12) - math.log((c0 + 1) / 9) if b in counts else 0.0
+        assert abs(got[b] - want) < 1e-4
+
+
+def test_values_in_many_surroundings_are_common(spark):
+    pick = random.Random(13)
+    often, copied = hexadecimal(pick), hexadecimal(pick)
+    words = ["".join(pick.choice("bcdfgh") + "aei"[i % 3] for i in range(4)) for _ in range(60)]
+    rows = [(i, f"{w} {often} end", "src") for i, w in enumerate(words)]
+    rows += [(100 + i, f'token = "{copied}" {w}', "src") for i, w in enumerate(words)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = secret_forest.with_common(secret_forest._unnamed(secret_forest.candidates(table)))
+    beside = {r.own: r.n for r in found.groupBy("own").agg(F.count_distinct("features.left").alias("n")).collect()}
+    assert sorted(n >= secret_forest.COMMON for n in beside.values()) == [False, True]
+    for r in found.select("own", "common").distinct().collect():
+        assert r.common == (beside[r.own] >= secret_forest.COMMON)
+    labels = {(r.features.assigned, r.label) for r in secret_forest.labelled_by_rule(found).collect()}
+    assert labels == {(0.0, 0), (1.0, 1)}
+
+
 def test_forest_is_evaluated_as_it_is_printed(spark):
     printed = """RandomForestClassificationModel: uid=r, numTrees=2, numClasses=2, numFeatures=18
   Tree 0 (weight 1.0):
