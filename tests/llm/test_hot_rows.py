@@ -59,6 +59,9 @@ def test_a_passage_of_all_documents_and_items(spark):
     assert [tuple(r) for r in found] == [(12, 40, 13, 3000)]
     clean = documents.limit(1).select("doc_id", F.lit("nothing in common").alias("text"))
     assert rows(winnowing.decontaminated(documents.unionByName(clean), benchmark)) == [(7, "nothing in common")]
+    # beyond the bound of the broadcast, the same rows by a shuffled join
+    shuffled = winnowing.decontaminated(documents.unionByName(clean), benchmark, broadcast_rows=0)
+    assert rows(shuffled) == [(7, "nothing in common")]
 
 
 def test_equal_rows_are_dealt_to_many_shards(spark):

@@ -33,6 +33,7 @@ WINDOW = 10
 GRAM = 8  # long runs are rare by chance, so a fingerprint meets few strangers
 REACH = WINDOW - GRAM
 BITMAP_BITS = (1 << 20, 1 << 29)  # least and greatest size of the bitmap; between them 16 bits a fingerprint
+BROADCAST_ROWS = 500_000  # keys of hit rows, 32 characters each, that are broadcast at most
 
 _POINT = "need int, fp long, before array<long>, after array<long>"
 _FOUND = "array<struct<start:int,need:int,fp:long,before:array<long>,after:array<long>>>"
@@ -230,12 +231,18 @@ def _hits(documents: DataFrame, benchmark: DataFrame, folder: str) -> tuple[Data
     return base, written(shared_spans(base, known), folder, "spans"), known
 
 
-def decontaminated(documents: DataFrame, benchmark: DataFrame, folder: str | None = None) -> DataFrame:
-    """The rows of ``documents``, all columns, that have no window in common with a benchmark item."""
-    _, spans, _ = _hits(documents, benchmark, folder or shared_dir(documents.sparkSession))
-    bad = spans.select("row_key").distinct().hint("rebalance")
+def decontaminated(documents: DataFrame, benchmark: DataFrame, folder: str | None = None, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of ``documents``, all columns, that have no window in common with a benchmark item.
+
+    Up to ``broadcast_rows`` hit rows their keys go to every task and no text crosses the network; beyond that the
+    same join shuffles and sorts both sides.
+    """
+    folder = folder or shared_dir(documents.sparkSession)
+    _, spans, _ = _hits(documents, benchmark, folder)
+    bad = written(spans.select("row_key").distinct(), folder, "hit-rows")
+    way = "broadcast" if bad.count() <= broadcast_rows else "merge"
     keyed = documents.withColumn("__key", wide_row_key())
-    return keyed.join(bad, F.col("__key") == F.col("row_key"), "left_anti").select(*documents.columns)
+    return keyed.join(bad.hint(way), F.col("__key") == F.col("row_key"), "left_anti").select(*documents.columns)
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, folder: str | None = None) -> DataFrame:
