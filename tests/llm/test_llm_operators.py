@@ -152,6 +152,33 @@ def test_blocks_round_trip():
     assert token_codec.encode_blocks(blocks[1:2]) == payloads[1:2]  # a block's form does not depend on its company
 
 
+def test_blocks_close_with_one_word_and_carry():
+    assert len(token_codec.encode_blocks([np.array([7], np.uint16)])[0]) <= 4
+    pick = np.random.default_rng(2)
+    blocks = [np.minimum(pick.geometric(p, 300), 65_534).astype(np.uint16) for p in np.linspace(0.001, 0.999, 400)]
+    found = token_codec.decode_blocks(token_codec.encode_blocks(blocks), [300] * 400)
+    assert all((a == b).all() for a, b in zip(blocks, found, strict=True))
+
+
+def test_model_is_asked_once_for_words_in_use(monkeypatch):
+    monkeypatch.setattr(token_codec, "MEMO_PIECES", 50)
+    tool = token_codec.PieceTokenizer(queries.default_tokenizer())
+    asked = []
+
+    class Model:
+        def tokenize(self, piece, model=tool.model):
+            asked.append(piece)
+            return model.tokenize(piece)
+
+    tool.model = Model()
+    texts = [f"the same w{i} words, again {'x' * 100}" for i in range(200)]
+    found = tool.ids(texts, 0)
+    for text, ids in zip(texts, found, strict=True):
+        assert ids.tolist() == [*tool.library.encode(text, add_special_tokens=False).ids, 0]
+    assert asked.count("Ġsame") == asked.count("Ġwords") == 1  # kept from generation to generation
+    assert max(map(len, (*tool.words, *tool.pieces))) <= token_codec.MEMO_LETTERS
+
+
 def test_frames_round_trip_and_damage_is_noticed():
     docs = [None, 3, 3, -7]
     tokens = [np.arange(n, dtype=np.uint16) for n in (1, 20_000, 1, 5)]

@@ -7,9 +7,10 @@ are read independently.  For every id the model mixes three predictions into one
 * order 1: the id that last followed the id before;
 * order 0: the frequencies of the block so far, renewed at fixed positions, with an escape for new ids.
 
-The mixing weights adapt per block and per confidence of the two contexts.  The distribution drives a carryless
-range coder that writes 16-bit words.  All blocks of a frame advance together, one id each, so numpy works on
-thousands of blocks at a time; the coded form does not depend on that.
+The mixing weights adapt per block and per confidence of the two contexts.  The distribution drives a range coder
+that writes 16-bit words.  All blocks of a frame advance together, one id each, so numpy works on thousands of blocks
+at a time; the coded form does not depend on that.  The coder knows all ids beforehand and so takes what the contexts
+tell from sorts; only weights and ranges go step by step there.
 
 A *frame* is a run of whole documents: header, document index, block table, block payloads (``write_frame``).
 Frames are rows of a parquet table, so Spark commits, splits and rereads them.
@@ -20,11 +21,14 @@ first; rows that repeat an id are stored one after another; an empty table gives
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -43,9 +47,15 @@ _SLOT_BITS = 12  # order-0 frequencies sum to 2**_SLOT_BITS
 _WEIGHT_BITS = 12
 _NOTHING = 0xFFFF
 _RENEWED = (64, 256, 1024)
-_SETTLED = np.uint64(1 << 48)
-_LEAST = np.uint64(1 << 40)
-_U = np.uint64
+_BITS = _WEIGHT_BITS + _SLOT_BITS
+_WHOLE = 1 << _WEIGHT_BITS
+_SLOTS = 1 << _SLOT_BITS
+_TOP = 2.0**48
+_LEAST = 2.0**32
+_CONTEXTS = 32  # of the mixing weights
+_FIELD = (1 << 21) - 1
+_GROWTH = np.array([24, 24 << 21, 24 << 42])  # of the weight of the order that was right
+_ROWS = 32  # blocks whose tables are made together
 
 
 # -- order-0 model -------------------------------------------------------------
@@ -75,233 +85,321 @@ def _order0(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return lane, symbol, freq, before - offset[lane] + escape[lane], escape
 
 
-class _Mixer:
-    """Contexts and weights of blocks that advance together; the same steps serve coding and decoding."""
+class _Weights:
+    """Mixing weights of blocks that advance together, three whole numbers of 21 bits in each entry."""
 
     def __init__(self, lanes: int):
-        size = 1 << _TABLE_BITS
-        self.next1 = np.full(lanes * size, _NOTHING, np.uint16)
-        self.next2 = np.full(lanes * size, _NOTHING, np.uint16)
-        self.trust1 = np.zeros(lanes * size, np.uint8)
-        self.trust2 = np.zeros(lanes * size, np.uint8)
-        self.weights = np.empty((3, lanes * 32))  # of order 0, 1, 2
-        self.weights[:] = np.array([60, 20, 20])[:, None]
-        self.flat = self.weights.reshape(-1)
-        self.table_at = np.arange(lanes, dtype=np.int64) << _TABLE_BITS
-        self.weight_at = np.arange(lanes, dtype=np.int64) << 5
-        self.one = np.zeros(lanes, np.uint32)
-        self.two = np.zeros(lanes, np.uint32)
-
-    def predict(self, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Order-2 and order-1 ids of the first ``k`` blocks and the weights of orders 2 and 1."""
-        one, two = self.one[:k], self.two[:k]
-        mixed = one * np.uint32(2654435761)
-        self.at1 = self.table_at[:k] + (mixed >> np.uint32(32 - _TABLE_BITS))
-        self.at2 = self.table_at[:k] + ((mixed ^ (two * np.uint32(2246822519))) * np.uint32(3266489917) >> np.uint32(32 - _TABLE_BITS))
-        self.guess1, self.guess2 = self.next1.take(self.at1), self.next2.take(self.at2)
-        self.sure1, self.sure2 = self.trust1.take(self.at1), self.trust2.take(self.at2)
-        self.at = self.weight_at[:k] + (self.sure2 * np.uint8(8) + self.sure1 * np.uint8(2) + (self.guess1 == self.guess2))
-        w0, w1, w2 = (w.take(self.at) for w in self.weights)
-        # weights are small whole numbers: the division is correctly rounded, so coder and decoder agree
-        room = ((1 << _WEIGHT_BITS) - 3) / (w0 + w1 + w2)
-        return self.guess2, self.guess1, (w2 * room).astype(np.int64) + 1, (w1 * room).astype(np.int64) + 1
-
-    def update(self, k: int, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
-        self.flat[self.at + (hit2 * np.int64(2) + hit1) * self.weights.shape[1]] += 24.0
-        if self.step & 63 == 63:
-            high = np.flatnonzero(self.weights.sum(axis=0) > 4000)
-            if len(high):
-                self.weights[:, high] = np.maximum(np.floor(self.weights[:, high] / 2), 1)
-        self.step += 1
-        right1 = self.guess1 == ids
-        self.trust1[self.at1] = np.where(right1, np.minimum(self.sure1 + 1, 3), 0)
-        self.trust2[self.at2] = np.where(hit2, np.minimum(self.sure2 + 1, 3), 0)
-        self.next1[self.at1] = ids
-        self.next2[self.at2] = ids
-        self.two[:k] = self.one[:k]
-        self.one[:k] = ids
-
-    step = 0
+        self.flat = np.full(lanes * _CONTEXTS, 60 | 20 << 21 | 20 << 42, np.int64)  # of orders 0, 1 and 2
+
+    def age(self) -> None:
+        """After every 64 ids: halve weights that have grown large."""
+        w0, w1, w2 = _fields(self.flat)
+        high = np.flatnonzero(w0 + w1 + w2 > 4000)
+        if len(high):
+            w0, w1, w2 = (np.maximum(w[high] >> 1, 1) for w in (w0, w1, w2))
+            self.flat[high] = w0 | w1 << 21 | w2 << 42
+
+
+def _fields(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return packed & _FIELD, packed >> 21 & _FIELD, packed >> 42
+
+
+def _shares(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of orders 2 and 1, of ``_WHOLE`` slots; order 0 has the rest."""
+    w0, w1, w2 = (w.astype(np.float64) for w in _fields(packed))
+    # weights are small whole numbers: the division is correctly rounded, so coder and decoder agree
+    room = (_WHOLE - 3) / (w0 + w1 + w2)
+    return np.floor(w2 * room) + 1, np.floor(w1 * room) + 1
+
+
+def _slot1(one: np.ndarray) -> np.ndarray:
+    return one * np.uint32(2654435761) >> np.uint32(32 - _TABLE_BITS)
+
+
+def _slot2(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    mixed = one * np.uint32(2654435761) ^ two * np.uint32(2246822519)
+    return mixed * np.uint32(3266489917) >> np.uint32(32 - _TABLE_BITS)
+
+
+def _chains(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """What a context table tells before each id: the id last seen in its slot, hits in a row (3 at most) << 16, hit << 18.
+
+    All ids are known here, so the visits of a slot are brought together by a sort instead of step by step.
+    """
+    k, n = ids.shape
+    keys = slots << np.uint32(16) | np.arange(n, dtype=np.uint32)
+    keys.sort(axis=1)
+    at = (keys & np.uint32(0xFFFF)).astype(np.int64)
+    at += (np.arange(k) * n)[:, None]
+    now = ids.ravel().take(at)
+    same = np.zeros((k, n), bool)
+    same[:, 1:] = (keys[:, 1:] ^ keys[:, :-1]) < 1 << 16
+    guess = np.full((k, n), _NOTHING, np.uint32)
+    guess[:, 1:][same[:, 1:]] = now[:, :-1][same[:, 1:]]
+    hit = guess == now
+    once = np.zeros((k, n), bool)
+    once[:, 1:] = hit[:, :-1] & same[:, 1:]
+    twice, thrice = np.zeros((k, n), bool), np.zeros((k, n), bool)
+    twice[:, 1:] = once[:, 1:] & once[:, :-1]
+    thrice[:, 1:] = twice[:, 1:] & once[:, 1:] & twice[:, :-1]
+    told = np.empty(k * n, np.uint32)
+    told[at.ravel()] = (guess | (once.astype(np.uint32) + twice + thrice) << 16 | hit.astype(np.uint32) << 18).ravel()
+    return told.reshape(k, n)
 
 
 # -- range coder over many blocks ----------------------------------------------
+#
+# All numbers are whole and below 2**53, so float64 holds them exactly.  The range stays in [2**32, 2**48]; carries are
+# added to the words already written.
 
 
 class _Writers:
-    def __init__(self, lanes: int):
-        self.low = np.zeros(lanes, _U)
-        self.range = np.full(lanes, ~_U(0))
-        self.words = np.empty((lanes, 3 * BLOCK + 8), np.uint16)
-        self.used = np.zeros(lanes, np.int64)
-
-    def put(self, lanes, cum: np.ndarray, freq: np.ndarray, bits: int) -> None:
-        step = self.range[lanes] >> _U(bits)
-        low = self.low[lanes] + cum.astype(_U) * step
-        span = step * freq.astype(_U)
-        self.low[lanes], self.range[lanes] = low, span
-        settled = (low ^ (low + span)) < _SETTLED
-        at = np.flatnonzero(settled | (span < _LEAST))
-        if isinstance(lanes, np.ndarray):
-            at = lanes[at]
-        while len(at):
-            low, span = self.low.take(at), self.range.take(at)
-            settled = (low ^ (low + span)) < _SETTLED
-            span = np.where(settled, span, (~low + _U(1)) & (_LEAST - _U(1)))
-            self.words[at, self.used[at]] = (low >> _U(48)).astype(np.uint16)
-            self.used[at] += 1
-            low, span = low << _U(16), span << _U(16)
-            self.low[at], self.range[at] = low, span
-            at = at[((low ^ (low + span)) < _SETTLED) | (span < _LEAST)]
+    def __init__(self, lanes: int, longest: int):
+        self.low = np.zeros(lanes)
+        self.range = np.full(lanes, _TOP)
+        room = 3 * longest + 8
+        self.words = np.empty((lanes, room), np.uint32)
+        self.flat = self.words.reshape(-1)
+        self.first = np.arange(lanes, dtype=np.int64) * room
+        self.at = self.first.copy()
+
+    def put(self, k: int, cum: np.ndarray, width: np.ndarray) -> None:
+        """Code slots [cum, cum + width) of 2**_BITS in the first ``k`` blocks."""
+        low, span, at = self.low[:k], self.range[:k], self.at[:k]
+        step = np.floor(span * 2.0**-_BITS)
+        cum *= step
+        low += cum
+        np.multiply(width, step, out=span)
+        small = span < _LEAST
+        word = np.floor(low * 2.0**-32)
+        self.flat[at] = word  # written over by the next one unless it is settled
+        at += small
+        np.copyto(low, (low - word * _LEAST) * 65536, where=small)
+        np.copyto(span, span * 65536, where=small)
+        if span.min() < _LEAST:
+            self._settle(np.flatnonzero(span < _LEAST))
+
+    def put_plain(self, lanes: np.ndarray, ids: np.ndarray) -> None:
+        """Code ids as they are in some blocks."""
+        step = np.floor(self.range[lanes] * 2.0**-16)
+        self.low[lanes] += ids * step
+        self.range[lanes] = step
+        self._settle(lanes[step < _LEAST])
+
+    def _settle(self, lanes: np.ndarray) -> None:
+        while len(lanes):
+            low = self.low[lanes]
+            word = np.floor(low * 2.0**-32)
+            self.flat[self.at[lanes]] = word
+            self.at[lanes] += 1
+            self.low[lanes] = (low - word * _LEAST) * 65536
+            self.range[lanes] *= 65536
+            lanes = lanes[self.range[lanes] < _LEAST]
 
     def finish(self) -> list[bytes]:
-        for shift in (48, 32, 16, 0):
-            at = np.arange(len(self.low))
-            self.words[at, self.used] = (self.low >> _U(shift)).astype(np.uint16)
-            self.used += 1
-        return [self.words[i, :n].astype("<u2").tobytes() for i, n in enumerate(self.used.tolist())]
+        # the range is 2**32 at least, so one word tells a number in it; readers take what follows for zeros
+        self.flat[self.at] = np.ceil(self.low * 2.0**-32)
+        used = self.at - self.first + 1
+        out = []
+        for i in range(0, len(used), 64):
+            some = used[i : i + 64]
+            words = self.words[i : i + 64, : int(some.max())].copy()
+            words[np.arange(words.shape[1]) >= some[:, None]] = 0
+            while (carry := words >> 16).any():
+                words &= 0xFFFF
+                words[:, :-1] += carry[:, 1:]
+            out += [w[:n].tobytes() for w, n in zip(words.astype("<u2"), some.tolist(), strict=True)]
+        return out
 
 
 class _Readers:
     def __init__(self, payloads: list[bytes]):
         lanes = len(payloads)
-        sizes = np.array([len(p) // 2 for p in payloads])
-        self.words = np.zeros((lanes, int(sizes.max()) + 8), np.uint16)
+        sizes = [len(p) // 2 for p in payloads]
+        words = np.zeros((lanes, max(sizes) + 8), np.uint16)
         for i, p in enumerate(payloads):
-            self.words[i, : sizes[i]] = np.frombuffer(p, "<u2")
-        self.low = np.zeros(lanes, _U)
-        self.range = np.full(lanes, ~_U(0))
-        self.used = np.full(lanes, 4)
-        self.code = np.zeros(lanes, _U)
-        for i in range(4):
-            self.code = (self.code << _U(16)) | self.words[:, i]
-
-    def target(self, lanes, bits: int) -> np.ndarray:
-        self.step = self.range[lanes] >> _U(bits)
-        at = (self.code[lanes] - self.low[lanes]) // self.step
-        return np.minimum(at, _U((1 << bits) - 1)).astype(np.int64)
-
-    def take(self, lanes, cum: np.ndarray, freq: np.ndarray) -> None:
-        low = self.low[lanes] + cum.astype(_U) * self.step
-        span = self.step * freq.astype(_U)
-        self.low[lanes], self.range[lanes] = low, span
-        at = np.flatnonzero(((low ^ (low + span)) < _SETTLED) | (span < _LEAST))
-        if isinstance(lanes, np.ndarray):
-            at = lanes[at]
-        while len(at):
-            low, span = self.low.take(at), self.range.take(at)
-            settled = (low ^ (low + span)) < _SETTLED
-            span = np.where(settled, span, (~low + _U(1)) & (_LEAST - _U(1)))
-            self.code[at] = (self.code[at] << _U(16)) | self.words[at, self.used[at]]
-            self.used[at] += 1
-            low, span = low << _U(16), span << _U(16)
-            self.low[at], self.range[at] = low, span
-            at = at[((low ^ (low + span)) < _SETTLED) | (span < _LEAST)]
+            words[i, : sizes[i]] = np.frombuffer(p, "<u2")
+        self.range = np.full(lanes, _TOP)
+        self.code = words[:, 0] * 2.0**32 + words[:, 1] * 2.0**16 + words[:, 2]
+        self.at = np.arange(lanes, dtype=np.int64) * words.shape[1] + 3
+        self.flat = words.reshape(-1)
+
+    def target(self, k: int) -> np.ndarray:
+        # exact: quotients of whole numbers below 2**48 never round up to the next whole number
+        self.step = np.floor(self.range[:k] * 2.0**-_BITS)
+        return np.minimum(np.floor(self.code[:k] / self.step), 2.0**_BITS - 1)
+
+    def take(self, k: int, cum: np.ndarray, width: np.ndarray) -> None:
+        code, span, at = self.code[:k], self.range[:k], self.at[:k]
+        cum *= self.step
+        code -= cum
+        np.multiply(width, self.step, out=span)
+        small = span < _LEAST
+        np.copyto(code, code * 65536 + self.flat.take(at), where=small)
+        np.copyto(span, span * 65536, where=small)
+        at += small
+        if span.min() < _LEAST:
+            self._settle(np.flatnonzero(span < _LEAST))
+
+    def take_plain(self, lanes: np.ndarray) -> np.ndarray:
+        step = np.floor(self.range[lanes] * 2.0**-16)
+        ids = np.minimum(np.floor(self.code[lanes] / step), 65535.0)
+        self.code[lanes] -= ids * step
+        self.range[lanes] = step
+        self._settle(lanes[step < _LEAST])
+        return ids.astype(np.uint32)
+
+    def _settle(self, lanes: np.ndarray) -> None:
+        while len(lanes):
+            at = self.at[lanes]
+            self.code[lanes] = self.code[lanes] * 65536 + self.flat[at]
+            self.range[lanes] *= 65536
+            self.at[lanes] = at + 1
+            lanes = lanes[self.range[lanes] < _LEAST]
 
 
 # -- blocks --------------------------------------------------------------------
 
-_BITS = _WEIGHT_BITS + _SLOT_BITS
-_WHOLE = 1 << _WEIGHT_BITS
-_SLOTS = 1 << _SLOT_BITS
-
 
 def _sections(longest: int) -> list[tuple[int, int]]:
     edges = [0, *[r for r in _RENEWED if r < longest], longest]
     return list(zip(edges, edges[1:], strict=False))
 
 
+def _order0_slots(ids: np.ndarray, begin: int, end: int, table: np.ndarray) -> np.ndarray:
+    """Start, frequency << 13 and known << 27 of ids ``begin`` to ``end`` under the frequencies of those before."""
+    lane, symbol, freq, start, escape = _order0(ids[:, :begin])
+    place = lane << 16 | symbol
+    table[place] = start | freq << 13 | 1 << 27
+    found = table.take(ids[:, begin:end] + (np.arange(len(ids)) << 16)[:, None])
+    table[place] = 0
+    return np.where(found, found, (escape << 13).astype(np.uint32)[:, None])
+
+
 def _encode_together(blocks: list[np.ndarray]) -> list[bytes]:
     """Payloads of at most LANES blocks, longest first."""
     lengths = np.array([len(b) for b in blocks])
-    ids = np.zeros((len(blocks), int(lengths[0])), np.uint16)
+    longest = int(lengths[0])
+    ids = np.zeros((len(blocks), longest), np.uint16)
     for i, b in enumerate(blocks):
         ids[i, : len(b)] = b
-    mixer, writers = _Mixer(len(blocks)), _Writers(len(blocks))
-    for begin, end in _sections(int(lengths[0])):
+    told1, told2 = np.empty(ids.shape, np.uint32), np.empty(ids.shape, np.uint32)
+    for at in range(0, len(blocks), _ROWS):
+        part = ids[at : at + _ROWS]
+        one = np.zeros(part.shape, np.uint32)
+        one[:, 1:] = part[:, :-1]
+        two = np.zeros(part.shape, np.uint32)
+        two[:, 2:] = part[:, :-2]
+        told1[at : at + _ROWS] = _chains(part, _slot1(one))
+        told2[at : at + _ROWS] = _chains(part, _slot2(one, two))
+    weights, writers = _Weights(len(blocks)), _Writers(len(blocks), longest)
+    table = np.zeros(_ROWS << 16, np.uint32)
+    for begin, end in _sections(longest):
         many = int((lengths > begin).sum())
-        start = np.zeros((many, end - begin), np.int32)
-        freq = np.full((many, end - begin), _SLOTS, np.int32)
-        known = np.zeros((many, end - begin), bool)
-        for at in range(0, many if begin else 0, 128):
-            part = ids[at : min(at + 128, many), :begin]
-            lane, symbol, f, s, escape = _order0(part)
-            where = np.zeros((len(part), 1 << 16), np.uint16)
-            where_start = np.zeros((len(part), 1 << 16), np.uint16)
-            where[lane, symbol], where_start[lane, symbol] = f, s
-            row, coming = np.arange(len(part))[:, None], ids[at : at + len(part), begin:end]
-            f = where[row, coming]
-            known[at : at + len(part)] = f > 0
-            freq[at : at + len(part)] = np.where(f > 0, f, escape[:, None])
-            start[at : at + len(part)] = where_start[row, coming]
-        start, freq, known = start.T.copy(), freq.T.copy(), known.T.copy()
-        coming = ids[:many, begin:end].T.copy()
-        live = (lengths[None, :many] > np.arange(begin, end)[:, None]).sum(axis=1).tolist()
-        for t in range(end - begin):
-            k = live[t]
-            now = coming[t, :k]
-            guess2, guess1, w2, w1 = mixer.predict(k)
-            hit2 = guess2 == now
-            hit1 = (guess1 == now) & ~hit2
-            miss = ~(hit2 | hit1)
-            rest = _WHOLE - w2 - w1
-            lead = w2 + w1 * ~hit1
-            cum = np.where(hit2, 0, lead) * _SLOTS
-            width = np.where(hit2, w2, w1) * _SLOTS
-            cum = np.where(miss, (w2 + w1) * _SLOTS + rest * start[t, :k], np.where(hit1, w2 * _SLOTS, cum))
-            width = np.where(miss, rest * freq[t, :k], width)
-            writers.put(slice(0, k), cum, width, _BITS)
-            fresh = np.flatnonzero(miss & ~known[t, :k])
-            if len(fresh):
-                writers.put(fresh, now[fresh], np.ones(len(fresh), np.int64), 16)
-            mixer.update(k, now, hit2, hit1)
+        slots = np.full((many, end - begin), _SLOTS << 13, np.uint32)
+        for at in range(0, many if begin else 0, _ROWS):
+            slots[at : at + _ROWS] = _order0_slots(ids[at : min(at + _ROWS, many)], begin, end, table)
+        for t in range(begin, end, 64):
+            _encode_steps(ids, told1, told2, slots[:, t - begin : min(t + 64, end) - begin], t, lengths, weights, writers)
     return writers.finish()
 
 
+def _encode_steps(ids, told1, told2, slots, begin, lengths, weights: _Weights, writers: _Writers) -> None:
+    """Code at most 64 ids of each block; ``slots`` holds their slots of order 0."""
+    n = slots.shape[1]
+    live = (lengths[None, :] > np.arange(begin, begin + n)[:, None]).sum(axis=1).tolist()
+    k = live[0]
+    e1, e2 = (np.ascontiguousarray(e[:k, begin : begin + n].T) for e in (told1, told2))
+    slot = np.ascontiguousarray(slots[:k].T)
+    hit2 = e2 >> 18 > 0
+    hit1 = (e1 >> 18 > 0) & ~hit2
+    at = _context(e1, e2) + np.arange(0, k * _CONTEXTS, _CONTEXTS)
+    grown = _GROWTH.take(hit2 * np.int8(2) + hit1)
+    packed = np.empty((n, k), np.int64)
+    flat = weights.flat
+    for t, m in enumerate(live):
+        here = at[t, :m]
+        now = flat.take(here, out=packed[t, :m], mode="clip")
+        flat[here] = now + grown[t, :m]
+        packed[t, m:] = now[0] if m else 0
+    if n == 64:
+        weights.age()
+    w2, w1 = _shares(packed)
+    rest = _WHOLE - w2 - w1
+    miss = ~(hit2 | hit1)
+    cum = np.where(miss, (w2 + w1) * _SLOTS + rest * (slot & 0x1FFF), np.where(hit1, w2 * _SLOTS, 0))
+    width = np.where(miss, rest * (slot >> 13 & 0x3FFF), np.where(hit2, w2, w1) * _SLOTS)
+    step, lane = np.nonzero(miss & (slot >> 27 == 0))
+    edges = np.searchsorted(step, np.arange(n + 1)).tolist()
+    for t, m in enumerate(live):
+        writers.put(m, cum[t, :m], width[t, :m])
+        fresh = lane[edges[t] : edges[t + 1]]
+        fresh = fresh[fresh < m]
+        if len(fresh):
+            writers.put_plain(fresh, ids[fresh, begin + t])
+
+
+def _context(e1: np.ndarray, e2: np.ndarray) -> np.ndarray:
+    """Mixing context: confidence of both orders, and whether they agree."""
+    agree = (e1 ^ e2) & 0xFFFF == 0
+    return ((e2 >> 13 & 24) + (e1 >> 15 & 6) + agree).astype(np.int64)
+
+
 def _decode_together(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     """Ids (blocks x longest) of at most LANES blocks, longest first."""
-    ids = np.zeros((int(lengths[0]), len(payloads)), np.uint16)
-    mixer, readers = _Mixer(len(payloads)), _Readers(payloads)
-    for begin, end in _sections(int(lengths[0])):
+    lanes, longest = len(payloads), int(lengths[0])
+    ids = np.zeros((longest, lanes), np.uint16)
+    weights, readers = _Weights(lanes), _Readers(payloads)
+    flat = weights.flat
+    next1, next2 = (np.full(lanes << _TABLE_BITS, _NOTHING, np.uint32) for _ in range(2))
+    table_at = np.arange(lanes, dtype=np.int64) << _TABLE_BITS
+    weight_at = np.arange(lanes, dtype=np.int64) * _CONTEXTS
+    one, two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
+    for begin, end in _sections(longest):
         many = int((lengths > begin).sum())
-        symbols = np.full((many, _SLOTS), _NOTHING, np.uint16)
-        starts, freqs = np.zeros((many, _SLOTS), np.uint16), np.full((many, _SLOTS), _SLOTS, np.uint16)
-        for at in range(0, many if begin else 0, 128):
-            part = np.ascontiguousarray(ids[:begin, at : min(at + 128, many)].T)
-            lane, symbol, f, s, escape = _order0(part)
+        slots = np.full((many, _SLOTS), _SLOTS << 13, np.int64)
+        for at in range(0, many if begin else 0, _ROWS):
+            part = np.ascontiguousarray(ids[:begin, at : min(at + _ROWS, many)].T)
+            lane, symbol, freq, start, escape = _order0(part)
             # the escape leads the slots of its block
             place = np.searchsorted(lane, np.arange(len(part)))
-            f_all, s_all = np.insert(f, place, escape), np.insert(s, place, 0)
-            rows = slice(at, at + len(part))
-            symbols[rows] = np.repeat(np.insert(symbol, place, _NOTHING), f_all).reshape(-1, _SLOTS)
-            starts[rows] = np.repeat(s_all, f_all).reshape(-1, _SLOTS)
-            freqs[rows] = np.repeat(f_all, f_all).reshape(-1, _SLOTS)
-        symbols, starts, freqs = symbols.ravel(), starts.ravel(), freqs.ravel()
+            freq = np.insert(freq, place, escape)
+            entry = np.insert(start | symbol.astype(np.int64) << 32 | 1 << 27, place, 0) | freq << 13
+            slots[at : at + _ROWS] = np.repeat(entry, freq).reshape(-1, _SLOTS)
+        slots = slots.ravel()
         slot_at = np.arange(many, dtype=np.int64) << _SLOT_BITS
         live = (lengths[None, :many] > np.arange(begin, end)[:, None]).sum(axis=1).tolist()
-        for t in range(end - begin):
-            k = live[t]
-            guess2, guess1, w2, w1 = mixer.predict(k)
-            both = w2 + w1
-            rest = _WHOLE - both
-            target = readers.target(slice(0, k), _BITS)
-            above = target - both * _SLOTS
-            hit2 = target < w2 * _SLOTS
+        for t, k in enumerate(live, begin):
+            at1 = _slot1(one[:k]) + table_at[:k]
+            at2 = _slot2(one[:k], two[:k]) + table_at[:k]
+            e1, e2 = next1.take(at1), next2.take(at2)
+            at = _context(e1, e2) + weight_at[:k]
+            packed = flat.take(at)
+            w2, w1 = _shares(packed)
+            b2, b1 = w2 * _SLOTS, w1 * _SLOTS
+            both = b2 + b1
+            rest = _WHOLE - w2 - w1
+            target = readers.target(k)
+            hit2, above = target < b2, target - both
             miss = above >= 0
-            hit1 = ~(hit2 | miss)
             # exact: both are small whole numbers, so the quotient never rounds up to the next one
-            slot = slot_at[:k] + (np.maximum(above, 0) / rest).astype(np.int64)
-            start, freq = starts.take(slot), freqs.take(slot)
-            cum = np.where(miss, both * _SLOTS + rest * start, np.where(hit1, w2 * _SLOTS, 0))
-            width = np.where(miss, rest * freq, np.where(hit2, w2, w1) * _SLOTS)
-            readers.take(slice(0, k), cum, width)
-            now = np.where(miss, symbols.take(slot), np.where(hit2, guess2, guess1))
-            fresh = np.flatnonzero(miss & (now == _NOTHING))
+            slot = slots.take((np.maximum(above, 0) / rest).astype(np.int64) + slot_at[:k])
+            cum = np.where(miss, both + rest * (slot & 0x1FFF), np.where(hit2, 0, b2))
+            width = np.where(miss, rest * (slot >> 13 & 0x3FFF), np.where(hit2, b2, b1))
+            readers.take(k, cum, width)
+            now = np.where(miss, (slot >> 32).astype(np.uint32), np.where(hit2, e2, e1) & 0xFFFF)
+            fresh = np.flatnonzero(miss & (slot >> 27 & 1 == 0))
             if len(fresh):
-                raw = readers.target(fresh, 16)
-                readers.take(fresh, raw, np.ones(len(fresh), np.int64))
-                now[fresh] = raw
-            ids[begin + t, :k] = now
-            mixer.update(k, now, hit2, hit1)
+                now[fresh] = readers.take_plain(fresh)
+            ids[t, :k] = now
+            flat[at] = packed + _GROWTH.take(~miss * (hit2 + np.int8(1)))
+            for table, place, e in ((next1, at1, e1), (next2, at2, e2)):
+                same = e ^ now
+                table[place] = np.minimum(same + 0x10000, 0x30000) * (same & 0xFFFF == 0) | now
+            if t & 63 == 63:
+                weights.age()
+            two[:k] = one[:k]
+            one[:k] = now
     return ids.T
 
 
@@ -329,7 +427,7 @@ def decode_blocks(payloads: list[bytes], lengths: list[int]) -> list[np.ndarray]
 
 # -- frames --------------------------------------------------------------------
 
-_MAGIC = b"TLF1"
+_MAGIC = b"TLF2"
 _HEAD = struct.Struct("<4sIQI")
 
 
@@ -381,16 +479,52 @@ def read_frame(frame: bytes) -> tuple[list[int | None], list[np.ndarray]]:
 
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
 _PLAIN = re.compile(rf"[\t\n -~{_LETTERS}]*\Z")  # characters whose class is beyond doubt
-# The tokenizer's own rule for cutting text into pieces, for plain characters (a fixed value)
-_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-MEMO_PIECES = 600_000
+# The tokenizer's own rule for cutting text into pieces, for plain characters (a fixed value); letters, digits and
+# apostrophes begin different pieces, so the order of these alternatives is free
+_PIECE = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
+_BLANKS = ("  ", "\n\n", " \n", "\n ", "\t")  # where blanks may be more than one
+MEMO_PIECES = 400_000  # of each of two generations
+MEMO_LETTERS = 64  # a longer piece is not kept
+_ID = attrgetter("id")
+
+
+class _NotPlain(Exception):
+    pass
+
+
+class _Memo(dict):
+    """Ids by piece, asked for once; what was not used for a whole generation is forgotten."""
+
+    def __init__(self, ask: Callable[[str], bytes]):
+        super().__init__()
+        self.ask, self.old = ask, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.old.get(piece)
+        if found is None:
+            found = self.ask(piece)
+        if len(piece) <= MEMO_LETTERS:
+            if len(self) >= MEMO_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = found
+        return found
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter by which a byte-level tokenizer writes each byte: itself where it is visible, else one from 256 on."""
+    seen = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 class PieceTokenizer:
-    """Ids of whole texts by the tokenizers library, which is asked once for each different piece.
+    """Ids of whole texts by the tokenizers library, whose model is asked once for each different piece.
 
-    Byte-level BPE never merges across pieces, so the ids of a text are those of its pieces laid end to end.  Texts
-    with other characters or with the look of a special token go to the library whole.
+    Byte-level BPE never merges across pieces, so the ids of a text are those of its pieces laid end to end.  A piece
+    always begins at a single blank, so texts are cut at blanks first, and a word is cut further when it is new.  Texts
+    with other characters or with the look of a special token go to the library whole, and so does every text if the
+    tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
@@ -400,39 +534,60 @@ class PieceTokenizer:
         self.library = Tokenizer.from_file(path)
         if self.library.get_vocab_size() > _NOTHING:
             raise ValueError("ids do not fit into 16 bits")
-        self.memo: dict[str, bytes] = {}
+        told = json.loads(self.library.to_str())
+        cut, model = told["pre_tokenizer"] or {}, told["model"]
+        self.by_pieces = (
+            told["normalizer"] is None
+            and cut.get("type") == "ByteLevel"
+            and cut.get("use_regex", True)
+            and not cut["add_prefix_space"]
+            and model["type"] == "BPE"
+            and not any(model.get(x) for x in ("dropout", "continuing_subword_prefix", "end_of_word_suffix"))
+            and all(t["content"].startswith("<|") for t in told["added_tokens"])
+        )
+        self.model, self.letters = self.library.model, _byte_letters()
+        self.pieces, self.words = _Memo(self._piece), _Memo(self._word)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Ask for many pieces in one text, parted by line feeds, which are pieces of their own."""
-        for blank in [p for p in pieces if p.isspace()]:
-            self.memo[blank] = self._whole(blank)
-        pieces = [p for p in pieces if not p.isspace()]
-        for at in range(0, len(pieces), 500):
-            some = pieces[at : at + 500]
-            found = self.library.encode("\n" + "\n".join(some), add_special_tokens=False)
-            owner = np.array(found.word_ids)
-            ids = np.array(found.ids, np.uint16)
-            edges = np.searchsorted(owner, np.arange(1, 2 * len(some) + 1)).tolist()
-            raw = ids.tobytes()
-            for i, piece in enumerate(some):
-                self.memo[piece] = raw[2 * edges[2 * i] : 2 * edges[2 * i + 1]]
+    def _piece(self, piece: str) -> bytes:
+        plain = piece.isascii() and piece.isprintable()
+        written = piece.replace(" ", "Ġ") if plain else piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", map(_ID, self.model.tokenize(written))).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        """``word`` follows a space; or it begins with a line feed."""
+        if word.isalpha() and (word.isascii() or _PLAIN.match(word)):
+            return self._piece(" " + word)
+        return self._cut(word if word.startswith("\n") else " " + word)
+
+    def _cut(self, text: str) -> bytes:
+        if "<|" in text or not (text.isascii() and text.isprintable() or _PLAIN.match(text)):
+            raise _NotPlain
+        # letters after a space are kept as a word, all else as a piece
+        return b"".join(
+            [
+                self.words[p[1:]] if p[0] == " " and p[1:].isalpha() else self.pieces[p]
+                for p in _PIECE.findall(text)
+            ]
+        )
+
+    def _text(self, text: str) -> bytes:
+        if not self.by_pieces:
+            return self._whole(text)
+        lines = "\n" + text
+        try:
+            if any(b in lines for b in _BLANKS):
+                return self._cut(text)
+            found = b"".join(map(self.words.__getitem__, lines.replace("\n", " \n")[1:].split(" ")))
+            return found[len(self.pieces["\n"]) :]
+        except _NotPlain:
+            return self._whole(text)
 
     def ids(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         end = np.array([end_id], np.uint16).tobytes()
-        cut = [_PIECE.findall(t) if t and _PLAIN.match(t) and "<|" not in t else None for t in texts]
-        if len(self.memo) > MEMO_PIECES:
-            self.memo.clear()
-        new = {p for pieces in cut if pieces for p in pieces} - self.memo.keys()
-        self._learn(sorted(new))
-        known = self.memo.__getitem__
-        raw = [
-            b"".join(map(known, pieces)) if pieces is not None else self._whole(t) if t else b""
-            for t, pieces in zip(texts, cut, strict=True)
-        ]
-        return [np.frombuffer(r + end, np.uint16) for r in raw]
+        return [np.frombuffer((self._text(t) if t else b"") + end, np.uint16) for t in texts]
 
 
 _tokenizers: dict[str, PieceTokenizer] = {}
