@@ -152,15 +152,15 @@ def test_blocks_round_trip():
     assert token_codec.encode_blocks(blocks[1:2]) == payloads[1:2]  # a block's form does not depend on its company
 
 
-def test_blocks_close_with_one_word_and_carry():
-    assert len(token_codec.encode_blocks([np.array([7], np.uint16)])[0]) <= 4
+def test_blocks_close_with_two_words_and_carry():
+    assert len(token_codec.encode_blocks([np.array([7], np.uint16)])[0]) <= 6
     pick = np.random.default_rng(2)
     blocks = [np.minimum(pick.geometric(p, 300), 65_534).astype(np.uint16) for p in np.linspace(0.001, 0.999, 400)]
     found = token_codec.decode_blocks(token_codec.encode_blocks(blocks), [300] * 400)
     assert all((a == b).all() for a, b in zip(blocks, found, strict=True))
 
 
-def test_model_is_asked_once_for_words_in_use(monkeypatch):
+def test_model_is_asked_once_for_pieces_in_use(monkeypatch):
     monkeypatch.setattr(token_codec, "MEMO_PIECES", 50)
     tool = token_codec.PieceTokenizer(queries.default_tokenizer())
     asked = []
@@ -171,12 +171,26 @@ def test_model_is_asked_once_for_words_in_use(monkeypatch):
             return model.tokenize(piece)
 
     tool.model = Model()
-    texts = [f"the same w{i} words, again {'x' * 100}" for i in range(200)]
-    found = tool.ids(texts, 0)
-    for text, ids in zip(texts, found, strict=True):
-        assert ids.tolist() == [*tool.library.encode(text, add_special_tokens=False).ids, 0]
-    assert asked.count("Ġsame") == asked.count("Ġwords") == 1  # kept from generation to generation
-    assert max(map(len, (*tool.words, *tool.pieces))) <= token_codec.MEMO_LETTERS
+    for tail in ("", "  " + "x" * 100):  # by the table, and by the rule
+        asked.clear()
+        texts = [f"the same w{i} words, again{tail}" for i in range(200)]
+        for some in (texts, texts):
+            for text, ids in zip(some, tool.ids(some, 0), strict=True):
+                assert ids.tolist() == [*tool.library.encode(text, add_special_tokens=False).ids, 0]
+        assert asked.count("Ġsame") == asked.count("Ġwords") == 1  # kept from batch to batch
+    assert max(map(len, tool.pieces)) <= token_codec.MEMO_LETTERS
+
+
+def test_pieces_equal_the_library():
+    tool = token_codec.PieceTokenizer(queries.default_tokenizer())
+    tool.table = token_codec._PieceTable(4)  # too small for the pieces below
+    pick = random.Random(5)
+    parts = ["don't", "'ll", "''s", "'", " ", "\n", ".", "a1b22", "élan", "ß×", "—", "<|x", "<|endoftext|>", "\t", "Wörter", "#'re", "x'd5"]
+    parts += ["q" * 23, "q" * 24, "q" * 25, "zq" * 40, "\r", "5'6", "'til", "I'm.", " 's", "\n'tis", "the", "\0", "日本"]
+    texts = ["".join(pick.choices(parts, k=pick.randrange(1, 9))) for _ in range(3000)]
+    texts += [" ".join(pick.choices(parts[:4] + parts[6:10] + parts[14:19], k=9)) for _ in range(1000)]
+    for text, ids in zip(texts, tool.ids(texts, 0), strict=True):
+        assert ids.tolist() == [*tool.library.encode(text, add_special_tokens=False).ids, 0], text
 
 
 def test_frames_round_trip_and_damage_is_noticed():

@@ -28,6 +28,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
+from itertools import compress, pairwise
 from operator import attrgetter
 
 import numpy as np
@@ -56,6 +57,7 @@ _CONTEXTS = 32  # of the mixing weights
 _FIELD = (1 << 21) - 1
 _GROWTH = np.array([24, 24 << 21, 24 << 42])  # of the weight of the order that was right
 _ROWS = 32  # blocks whose tables are made together
+_STEPS = 16  # positions whose slots are worked out together; divides 64
 
 
 # -- order-0 model -------------------------------------------------------------
@@ -174,18 +176,16 @@ class _Writers:
         word = np.floor(low * 2.0**-32)
         self.flat[at] = word  # written over by the next one unless it is settled
         at += small
-        np.copyto(low, (low - word * _LEAST) * 65536, where=small)
-        np.copyto(span, span * 65536, where=small)
+        word *= small
+        word *= _LEAST
+        low -= word
+        times = small * 65535.0
+        times += 1
+        low *= times
+        span *= times
         if span.min() < _LEAST:
             self._settle(np.flatnonzero(span < _LEAST))
 
-    def put_plain(self, lanes: np.ndarray, ids: np.ndarray) -> None:
-        """Code ids as they are in some blocks."""
-        step = np.floor(self.range[lanes] * 2.0**-16)
-        self.low[lanes] += ids * step
-        self.range[lanes] = step
-        self._settle(lanes[step < _LEAST])
-
     def _settle(self, lanes: np.ndarray) -> None:
         while len(lanes):
             low = self.low[lanes]
@@ -196,10 +196,12 @@ class _Writers:
             self.range[lanes] *= 65536
             lanes = lanes[self.range[lanes] < _LEAST]
 
-    def finish(self) -> list[bytes]:
-        # the range is 2**32 at least, so one word tells a number in it; readers take what follows for zeros
-        self.flat[self.at] = np.ceil(self.low * 2.0**-32)
-        used = self.at - self.first + 1
+    def finish(self, plain: list[np.ndarray]) -> list[bytes]:
+        """Words of each block, then its ``plain`` ids from the last to the first."""
+        # the range is 2**32 at least, so two words tell a number in it, whatever follows them
+        self.flat[self.at] = np.floor(end := np.ceil(self.low * 2.0**-16) * 2.0**-16)
+        self.flat[self.at + 1] = (end - np.floor(end)) * 65536
+        used = self.at - self.first + 2
         out = []
         for i in range(0, len(used), 64):
             some = used[i : i + 64]
@@ -209,7 +211,7 @@ class _Writers:
                 words &= 0xFFFF
                 words[:, :-1] += carry[:, 1:]
             out += [w[:n].tobytes() for w, n in zip(words.astype("<u2"), some.tolist(), strict=True)]
-        return out
+        return [w + p[::-1].astype("<u2").tobytes() for w, p in zip(out, plain, strict=True)]
 
 
 class _Readers:
@@ -222,6 +224,7 @@ class _Readers:
         self.range = np.full(lanes, _TOP)
         self.code = words[:, 0] * 2.0**32 + words[:, 1] * 2.0**16 + words[:, 2]
         self.at = np.arange(lanes, dtype=np.int64) * words.shape[1] + 3
+        self.plain_at = self.at - 4 + sizes
         self.flat = words.reshape(-1)
 
     def target(self, k: int) -> np.ndarray:
@@ -235,19 +238,19 @@ class _Readers:
         code -= cum
         np.multiply(width, self.step, out=span)
         small = span < _LEAST
-        np.copyto(code, code * 65536 + self.flat.take(at), where=small)
-        np.copyto(span, span * 65536, where=small)
+        times = small * 65535.0
+        times += 1
+        code *= times
+        span *= times
+        code += self.flat.take(at) * small
         at += small
         if span.min() < _LEAST:
             self._settle(np.flatnonzero(span < _LEAST))
 
     def take_plain(self, lanes: np.ndarray) -> np.ndarray:
-        step = np.floor(self.range[lanes] * 2.0**-16)
-        ids = np.minimum(np.floor(self.code[lanes] / step), 65535.0)
-        self.code[lanes] -= ids * step
-        self.range[lanes] = step
-        self._settle(lanes[step < _LEAST])
-        return ids.astype(np.uint32)
+        at = self.plain_at.take(lanes)
+        self.plain_at[lanes] = at - 1
+        return self.flat.take(at)
 
     def _settle(self, lanes: np.ndarray) -> None:
         while len(lanes):
@@ -283,60 +286,57 @@ def _encode_together(blocks: list[np.ndarray]) -> list[bytes]:
     ids = np.zeros((len(blocks), longest), np.uint16)
     for i, b in enumerate(blocks):
         ids[i, : len(b)] = b
-    told1, told2 = np.empty(ids.shape, np.uint32), np.empty(ids.shape, np.uint32)
+    told1, told2 = (np.empty((longest, len(blocks)), np.uint32) for _ in range(2))
     for at in range(0, len(blocks), _ROWS):
         part = ids[at : at + _ROWS]
         one = np.zeros(part.shape, np.uint32)
         one[:, 1:] = part[:, :-1]
         two = np.zeros(part.shape, np.uint32)
         two[:, 2:] = part[:, :-2]
-        told1[at : at + _ROWS] = _chains(part, _slot1(one))
-        told2[at : at + _ROWS] = _chains(part, _slot2(one, two))
+        told1[:, at : at + _ROWS] = _chains(part, _slot1(one)).T
+        told2[:, at : at + _ROWS] = _chains(part, _slot2(one, two)).T
     weights, writers = _Weights(len(blocks)), _Writers(len(blocks), longest)
     table = np.zeros(_ROWS << 16, np.uint32)
+    plain = np.zeros(ids.shape, bool)
     for begin, end in _sections(longest):
         many = int((lengths > begin).sum())
-        slots = np.full((many, end - begin), _SLOTS << 13, np.uint32)
+        slots = np.full((end - begin, many), _SLOTS << 13, np.uint32)
         for at in range(0, many if begin else 0, _ROWS):
-            slots[at : at + _ROWS] = _order0_slots(ids[at : min(at + _ROWS, many)], begin, end, table)
-        for t in range(begin, end, 64):
-            _encode_steps(ids, told1, told2, slots[:, t - begin : min(t + 64, end) - begin], t, lengths, weights, writers)
-    return writers.finish()
-
-
-def _encode_steps(ids, told1, told2, slots, begin, lengths, weights: _Weights, writers: _Writers) -> None:
-    """Code at most 64 ids of each block; ``slots`` holds their slots of order 0."""
-    n = slots.shape[1]
-    live = (lengths[None, :] > np.arange(begin, begin + n)[:, None]).sum(axis=1).tolist()
-    k = live[0]
-    e1, e2 = (np.ascontiguousarray(e[:k, begin : begin + n].T) for e in (told1, told2))
-    slot = np.ascontiguousarray(slots[:k].T)
+            slots[:, at : at + _ROWS] = _order0_slots(ids[at : min(at + _ROWS, many)], begin, end, table).T
+        for t in range(begin, end, _STEPS):
+            n = min(t + _STEPS, end) - t
+            live = (lengths[None, :] > np.arange(t, t + n)[:, None]).sum(axis=1).tolist()
+            plain[: live[0], t : t + n] = _encode_steps(
+                *(x[a : a + n, : live[0]] for x, a in ((told1, t), (told2, t), (slots, t - begin))), live, weights, writers
+            ).T
+            if (t + n) % 64 == 0:
+                weights.age()
+    plain &= np.arange(longest) < lengths[:, None]
+    return writers.finish(np.split(ids[plain], np.cumsum(plain.sum(axis=1))[:-1]))
+
+
+def _encode_steps(e1, e2, slot, live: list[int], weights: _Weights, writers: _Writers) -> np.ndarray:
+    """Code some ids of each block (positions x blocks) and tell which of them are to be written as they are."""
+    n, k = slot.shape
     hit2 = e2 >> 18 > 0
     hit1 = (e1 >> 18 > 0) & ~hit2
-    at = _context(e1, e2) + np.arange(0, k * _CONTEXTS, _CONTEXTS)
+    at = _context(e1, e2)
+    at += np.arange(0, k * _CONTEXTS, _CONTEXTS)
     grown = _GROWTH.take(hit2 * np.int8(2) + hit1)
-    packed = np.empty((n, k), np.int64)
+    packed = np.ones((n, k), np.int64)
     flat = weights.flat
     for t, m in enumerate(live):
         here = at[t, :m]
         now = flat.take(here, out=packed[t, :m], mode="clip")
         flat[here] = now + grown[t, :m]
-        packed[t, m:] = now[0] if m else 0
-    if n == 64:
-        weights.age()
     w2, w1 = _shares(packed)
     rest = _WHOLE - w2 - w1
     miss = ~(hit2 | hit1)
     cum = np.where(miss, (w2 + w1) * _SLOTS + rest * (slot & 0x1FFF), np.where(hit1, w2 * _SLOTS, 0))
     width = np.where(miss, rest * (slot >> 13 & 0x3FFF), np.where(hit2, w2, w1) * _SLOTS)
-    step, lane = np.nonzero(miss & (slot >> 27 == 0))
-    edges = np.searchsorted(step, np.arange(n + 1)).tolist()
     for t, m in enumerate(live):
         writers.put(m, cum[t, :m], width[t, :m])
-        fresh = lane[edges[t] : edges[t + 1]]
-        fresh = fresh[fresh < m]
-        if len(fresh):
-            writers.put_plain(fresh, ids[fresh, begin + t])
+    return miss & (slot >> 27 == 0)
 
 
 def _context(e1: np.ndarray, e2: np.ndarray) -> np.ndarray:
@@ -351,8 +351,8 @@ def _decode_together(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     ids = np.zeros((longest, lanes), np.uint16)
     weights, readers = _Weights(lanes), _Readers(payloads)
     flat = weights.flat
-    next1, next2 = (np.full(lanes << _TABLE_BITS, _NOTHING, np.uint32) for _ in range(2))
-    table_at = np.arange(lanes, dtype=np.int64) << _TABLE_BITS
+    tables = np.full(2 * lanes << _TABLE_BITS, _NOTHING, np.uint32)
+    table_at = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) << _TABLE_BITS  # of orders 1 and 2
     weight_at = np.arange(lanes, dtype=np.int64) * _CONTEXTS
     one, two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     for begin, end in _sections(longest):
@@ -370,32 +370,44 @@ def _decode_together(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
         slot_at = np.arange(many, dtype=np.int64) << _SLOT_BITS
         live = (lengths[None, :many] > np.arange(begin, end)[:, None]).sum(axis=1).tolist()
         for t, k in enumerate(live, begin):
-            at1 = _slot1(one[:k]) + table_at[:k]
-            at2 = _slot2(one[:k], two[:k]) + table_at[:k]
-            e1, e2 = next1.take(at1), next2.take(at2)
-            at = _context(e1, e2) + weight_at[:k]
+            places = table_at[:, :k].copy()
+            places[0] += _slot1(one[:k])
+            places[1] += _slot2(one[:k], two[:k])
+            told = tables.take(places)
+            e1, e2 = told
+            at = _context(e1, e2)
+            at += weight_at[:k]
             packed = flat.take(at)
             w2, w1 = _shares(packed)
-            b2, b1 = w2 * _SLOTS, w1 * _SLOTS
-            both = b2 + b1
             rest = _WHOLE - w2 - w1
+            b2 = w2 * _SLOTS
+            both = w1 * _SLOTS + b2
             target = readers.target(k)
             hit2, above = target < b2, target - both
             miss = above >= 0
             # exact: both are small whole numbers, so the quotient never rounds up to the next one
-            slot = slots.take((np.maximum(above, 0) / rest).astype(np.int64) + slot_at[:k])
-            cum = np.where(miss, both + rest * (slot & 0x1FFF), np.where(hit2, 0, b2))
-            width = np.where(miss, rest * (slot >> 13 & 0x3FFF), np.where(hit2, b2, b1))
+            above /= rest
+            slot = slots.take((above * miss).astype(np.int64) + slot_at[:k])
+            # slots of order 2 lie in [0, b2), of order 1 in [b2, both), of order 0 above
+            rest *= miss
+            cum, width = b2 * ~hit2, b2 * hit2
+            width += (both - b2) * ~(hit2 | miss) + rest * (slot >> 13 & 0x3FFF)
+            cum += (both - b2) * miss + rest * (slot & 0x1FFF)
             readers.take(k, cum, width)
-            now = np.where(miss, (slot >> 32).astype(np.uint32), np.where(hit2, e2, e1) & 0xFFFF)
-            fresh = np.flatnonzero(miss & (slot >> 27 & 1 == 0))
+            now = (e1 ^ (e1 ^ e2) * hit2) & 0xFFFF
+            now ^= (now ^ (slot >> 32).astype(np.uint32)) * miss
+            fresh = np.flatnonzero((slot & 1 << 27 == 0) & miss)
             if len(fresh):
                 now[fresh] = readers.take_plain(fresh)
             ids[t, :k] = now
             flat[at] = packed + _GROWTH.take(~miss * (hit2 + np.int8(1)))
-            for table, place, e in ((next1, at1, e1), (next2, at2, e2)):
-                same = e ^ now
-                table[place] = np.minimum(same + 0x10000, 0x30000) * (same & 0xFFFF == 0) | now
+            told ^= now
+            same = told & 0xFFFF == 0
+            told += 0x10000
+            np.minimum(told, 0x30000, out=told)
+            told *= same
+            told |= now
+            tables[places] = told
             if t & 63 == 63:
                 weights.age()
             two[:k] = one[:k]
@@ -482,10 +494,18 @@ _PLAIN = re.compile(rf"[\t\n -~{_LETTERS}]*\Z")  # characters whose class is bey
 # The tokenizer's own rule for cutting text into pieces, for plain characters (a fixed value); letters, digits and
 # apostrophes begin different pieces, so the order of these alternatives is free
 _PIECE = re.compile(rf" ?[{_LETTERS}]+| ?[0-9]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+")
-_BLANKS = ("  ", "\n\n", " \n", "\n ", "\t")  # where blanks may be more than one
-MEMO_PIECES = 400_000  # of each of two generations
+_BLANKS = ("  ", "\n\n", " \n", "\n ", "\t", "\0")  # where blanks may be more than one; zeros fill up a table's keys
+MEMO_PIECES = 50_000  # of each of two generations
 MEMO_LETTERS = 64  # a longer piece is not kept
 _ID = attrgetter("id")
+_PROBES = 4
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_BLANK, _LETTER, _DIGIT, _OTHER = range(4)
+_KINDS = np.full(256, _OTHER, np.uint8)  # of a plain text's bytes
+_KINDS[[10, 32]] = _BLANK
+_KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
+_KINDS[48:58] = _DIGIT
 
 
 class _NotPlain(Exception):
@@ -518,13 +538,65 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in seen} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class _PieceTable:
+    """Ids of pieces of up to 24 bytes in an array: three numbers of a piece's bytes, then up to seven ids and their count.
+
+    A piece lies in one of ``_PROBES`` rows that follow its hash, and is compared in full.  Where all are taken, the
+    newest piece takes the first one's place.
+    """
+
+    def __init__(self, bits: int = 20):
+        self.shift = np.uint64(64 - bits)
+        self.rows = np.zeros(((1 << bits) + _PROBES, 5), np.uint64)
+
+    def keys(self, text: bytes, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Three numbers that make up each piece, and its first row."""
+        window = np.ndarray((len(text) + 17,), "<u8", text + bytes(24), strides=(1,))
+        parts = np.stack([window[begin + at] & _MASKS.take(size - at, mode="clip") for at in (0, 8, 16)])
+        mixed = parts[0] * _ODD[0] ^ parts[1] * _ODD[1] ^ parts[2] * _ODD[2]
+        mixed = (mixed ^ mixed >> np.uint64(32)) * _ODD[0] >> self.shift
+        return parts, mixed.astype(np.int64)
+
+    def find(self, parts: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """The row of each piece, -1 where it is not known."""
+        flat = self.rows.reshape(-1)
+        found = np.full(len(row), -1)
+        left = np.arange(len(row))
+        for probe in range(_PROBES):
+            row = row + (probe > 0)
+            at = row * 5
+            same = (flat.take(at) == parts[0]) & (flat.take(at + 1) == parts[1]) & (flat.take(at + 2) == parts[2])
+            found[left[same]] = row[same]
+            other = np.flatnonzero(~same)
+            left, row, parts = left[other], row[other], parts[:, other]
+        return found
+
+    def add(self, parts: np.ndarray, row: np.ndarray, told: np.ndarray) -> None:
+        new = np.concatenate([parts.T, told.view(np.uint64)], axis=1)
+        for probe in range(_PROBES):
+            free = np.flatnonzero(self.rows[row + probe, 0] == 0)
+            self.rows[row[free] + probe] = new[free]
+            left = (self.rows[row + probe, :3] != new[:, :3]).any(axis=1)
+            row, new = row[left], new[left]
+        self.rows[row] = new
+
+
+class _Asked(dict):
+    def __init__(self, ask: Callable[[bytes], bytes]):
+        super().__init__()
+        self.ask = ask
+
+    def __missing__(self, piece: bytes) -> bytes:
+        found = self[piece] = self.ask(piece)
+        return found
+
+
 class PieceTokenizer:
     """Ids of whole texts by the tokenizers library, whose model is asked once for each different piece.
 
-    Byte-level BPE never merges across pieces, so the ids of a text are those of its pieces laid end to end.  A piece
-    always begins at a single blank, so texts are cut at blanks first, and a word is cut further when it is new.  Texts
-    with other characters or with the look of a special token go to the library whole, and so does every text if the
-    tokenizer is of another kind.
+    Byte-level BPE never merges across pieces, so the ids of a text are those of its pieces laid end to end.  Texts in
+    which no two blanks meet are cut and looked up many at a time by whole arrays.  Texts with other characters or with
+    the look of a special token go to the library whole, and so does every text if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str):
@@ -546,7 +618,7 @@ class PieceTokenizer:
             and all(t["content"].startswith("<|") for t in told["added_tokens"])
         )
         self.model, self.letters = self.library.model, _byte_letters()
-        self.pieces, self.words = _Memo(self._piece), _Memo(self._word)
+        self.pieces, self.table = _Memo(self._piece), _PieceTable()
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
@@ -556,38 +628,76 @@ class PieceTokenizer:
         written = piece.replace(" ", "Ġ") if plain else piece.encode().decode("latin-1").translate(self.letters)
         return array("H", map(_ID, self.model.tokenize(written))).tobytes()
 
-    def _word(self, word: str) -> bytes:
-        """``word`` follows a space; or it begins with a line feed."""
-        if word.isalpha() and (word.isascii() or _PLAIN.match(word)):
-            return self._piece(" " + word)
-        return self._cut(word if word.startswith("\n") else " " + word)
-
     def _cut(self, text: str) -> bytes:
-        if "<|" in text or not (text.isascii() and text.isprintable() or _PLAIN.match(text)):
+        if "<|" in text or not _PLAIN.match(text):
             raise _NotPlain
-        # letters after a space are kept as a word, all else as a piece
-        return b"".join(
-            [
-                self.words[p[1:]] if p[0] == " " and p[1:].isalpha() else self.pieces[p]
-                for p in _PIECE.findall(text)
-            ]
-        )
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(text)))
 
-    def _text(self, text: str) -> bytes:
-        if not self.by_pieces:
-            return self._whole(text)
-        lines = "\n" + text
+    def _one(self, text: str) -> bytes:
         try:
-            if any(b in lines for b in _BLANKS):
-                return self._cut(text)
-            found = b"".join(map(self.words.__getitem__, lines.replace("\n", " \n")[1:].split(" ")))
-            return found[len(self.pieces["\n"]) :]
+            return self._cut(text) if self.by_pieces else self._whole(text)
         except _NotPlain:
             return self._whole(text)
 
+    def _new(self, piece: bytes) -> bytes:
+        """Ids of one piece, or of several around an apostrophe; nothing where other than plain characters occur."""
+        text = piece.decode()
+        if not (text.isprintable() and text.isascii() or _PLAIN.match(text)) or "<|" in text:
+            return b""
+        if "'" in text:
+            return self._cut(text)
+        return self.pieces[text] if len(text) > 11 else self._piece(text)  # the table may have no room for its ids
+
+    def _single(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts in which no two blanks meet; None for texts with other than plain characters."""
+        lines = [("\n" + t).encode() for t in texts]
+        text = b"".join(lines)
+        raw = np.frombuffer(text, np.uint8)
+        kind = _KINDS.take(raw)
+        # a piece begins at a blank, or where letters, digits and others meet; apostrophes are left to the rule itself
+        starts = np.ones(len(raw), bool)
+        starts[1:] = (kind[1:] != kind[:-1]) & (raw[:-1] != 32) & (raw[1:] != 39) & (raw[:-1] != 39) | (kind[1:] == _BLANK)
+        begin = np.flatnonzero(starts)
+        size = np.diff(begin, append=len(raw))
+        parts, row = self.table.keys(text, begin, size)
+        found = self.table.find(parts, row)
+        found[size > 24] = -1
+        told = self.table.rows.take(found, axis=0, mode="clip")[:, 3:].copy().view(np.uint16)  # seven ids and their count
+        missed = np.flatnonzero(found < 0)
+        cut = [text[a:b] for a, b in zip(begin[missed].tolist(), (begin + size)[missed].tolist(), strict=True)]
+        asked = _Asked(self._new)
+        ids = list(map(asked.__getitem__, cut))
+        count = np.fromiter(map(len, ids), np.int64, len(ids)) // 2
+        short = count <= 7
+        fresh = np.zeros((len(ids), 8), np.uint16)
+        fresh[:, 7] = count * short
+        fresh[:, :7][np.arange(7) < fresh[:, 7:]] = np.frombuffer(b"".join(compress(ids, short.tolist())), np.uint16)
+        told[missed] = fresh
+        kept = np.fromiter(dict(zip(cut, range(len(cut)), strict=True)).values(), np.int64, len(asked))
+        kept = kept[(fresh[kept, 7] > 0) & (size[missed[kept]] <= 24)]
+        self.table.add(parts[:, missed[kept]], row[missed[kept]], fresh[kept])
+        firsts = np.searchsorted(begin, np.cumsum([0, *map(len, lines)]))
+        out = told[:, :7][np.arange(7) < told[:, 7:]]
+        number = told[:, 7].astype(np.int64)
+        long = np.flatnonzero(~short)
+        if len(long):
+            rest = np.frombuffer(b"".join(map(ids.__getitem__, long.tolist())), np.uint16)
+            out = np.insert(out, np.repeat(np.cumsum(number)[missed[long]], count[long]), rest)
+            number[missed[long]] = count[long]
+        edges = np.append(0, np.cumsum(number))[firsts].tolist()
+        left = set((np.searchsorted(firsts, missed[count == 0], "right") - 1).tolist())
+        feed = len(self.pieces["\n"]) // 2
+        return [None if i in left else out[a + feed : b] for i, (a, b) in enumerate(pairwise(edges))]
+
     def ids(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
-        end = np.array([end_id], np.uint16).tobytes()
-        return [np.frombuffer((self._text(t) if t else b"") + end, np.uint16) for t in texts]
+        raw: list = [b"" if not t else None for t in texts]
+        single = [i for i, t in enumerate(texts) if t and self.by_pieces and not any(b in "\n" + t for b in _BLANKS)]
+        if single:
+            for i, found in zip(single, self._single([texts[i] for i in single]), strict=True):
+                raw[i] = found
+        raw = [self._one(t) if r is None else r for t, r in zip(texts, raw, strict=True)]
+        end = np.array([end_id], np.uint16)
+        return [np.concatenate([np.frombuffer(r, np.uint16), end]) for r in raw]
 
 
 _tokenizers: dict[str, PieceTokenizer] = {}
