@@ -137,7 +137,7 @@ def _chains(ids: np.ndarray, slots: np.ndarray) -> np.ndarray:
     same = np.zeros((k, n), bool)
     same[:, 1:] = (keys[:, 1:] ^ keys[:, :-1]) < 1 << 16
     guess = np.full((k, n), _NOTHING, np.uint32)
-    guess[:, 1:][same[:, 1:]] = now[:, :-1][same[:, 1:]]
+    guess[:, 1:] = now[:, :-1] | ~same[:, 1:] * np.uint32(_NOTHING)
     hit = guess == now
     once = np.zeros((k, n), bool)
     once[:, 1:] = hit[:, :-1] & same[:, 1:]
@@ -332,13 +332,30 @@ def _encode_steps(e1, e2, slot, live: list[int], weights: _Weights, writers: _Wr
     w2, w1 = _shares(packed)
     rest = _WHOLE - w2 - w1
     miss = ~(hit2 | hit1)
-    cum = np.where(miss, (w2 + w1) * _SLOTS + rest * (slot & 0x1FFF), np.where(hit1, w2 * _SLOTS, 0))
-    width = np.where(miss, rest * (slot >> 13 & 0x3FFF), np.where(hit2, w2, w1) * _SLOTS)
+    cum, width = _spread(w2 * _SLOTS, w1 * _SLOTS, rest, slot, hit2, miss)
     for t, m in enumerate(live):
         writers.put(m, cum[t, :m], width[t, :m])
     return miss & (slot >> 27 == 0)
 
 
+def _spread(b2, b1, rest, slot, hit2, miss) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the ids: of order 2 they lie in [0, b2), of order 1 in the next b1, of order 0 above."""
+    by2, by0 = hit2.astype(np.float64), miss.astype(np.float64)
+    rest = rest * by0
+    by0 *= b1
+    width = b2 * by2
+    cum = b2 - width
+    cum += by0
+    cum += rest * (slot & 0x1FFF)
+    by2 *= b1
+    width += b1
+    width -= by0
+    width -= by2
+    rest *= slot >> 13 & 0x3FFF
+    width += rest
+    return cum, width
+
+
 def _context(e1: np.ndarray, e2: np.ndarray) -> np.ndarray:
     """Mixing context: confidence of both orders, and whether they agree."""
     agree = (e1 ^ e2) & 0xFFFF == 0
@@ -357,16 +374,20 @@ def _decode_together(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
     one, two = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
     for begin, end in _sections(longest):
         many = int((lengths > begin).sum())
-        slots = np.full((many, _SLOTS), _SLOTS << 13, np.int64)
+        ranks = np.zeros((many, _SLOTS), np.uint16)  # of the listed id that has a slot; the escape is first
+        listed, entries = np.arange(many), [np.full(many if not begin else 0, _SLOTS << 13)]
         for at in range(0, many if begin else 0, _ROWS):
             part = np.ascontiguousarray(ids[:begin, at : min(at + _ROWS, many)].T)
             lane, symbol, freq, start, escape = _order0(part)
             # the escape leads the slots of its block
             place = np.searchsorted(lane, np.arange(len(part)))
             freq = np.insert(freq, place, escape)
-            entry = np.insert(start | symbol.astype(np.int64) << 32 | 1 << 27, place, 0) | freq << 13
-            slots[at : at + _ROWS] = np.repeat(entry, freq).reshape(-1, _SLOTS)
-        slots = slots.ravel()
+            entries.append(np.insert(start | symbol.astype(np.int64) << 32 | 1 << 27, place, 0) | freq << 13)
+            first = place + np.arange(len(part))
+            listed[at : at + len(part)] = first + sum(map(len, entries[:-1]))
+            rank = np.arange(len(freq)) - np.repeat(first, np.diff(first, append=len(freq)))
+            ranks[at : at + _ROWS] = np.repeat(rank.astype(np.uint16), freq).reshape(-1, _SLOTS)
+        ranks, entries = ranks.ravel(), np.concatenate(entries)
         slot_at = np.arange(many, dtype=np.int64) << _SLOT_BITS
         live = (lengths[None, :many] > np.arange(begin, end)[:, None]).sum(axis=1).tolist()
         for t, k in enumerate(live, begin):
@@ -380,20 +401,14 @@ def _decode_together(payloads: list[bytes], lengths: np.ndarray) -> np.ndarray:
             packed = flat.take(at)
             w2, w1 = _shares(packed)
             rest = _WHOLE - w2 - w1
-            b2 = w2 * _SLOTS
-            both = w1 * _SLOTS + b2
+            b2, b1 = w2 * _SLOTS, w1 * _SLOTS
             target = readers.target(k)
-            hit2, above = target < b2, target - both
+            hit2, above = target < b2, target - b2 - b1
             miss = above >= 0
             # exact: both are small whole numbers, so the quotient never rounds up to the next one
             above /= rest
-            slot = slots.take((above * miss).astype(np.int64) + slot_at[:k])
-            # slots of order 2 lie in [0, b2), of order 1 in [b2, both), of order 0 above
-            rest *= miss
-            cum, width = b2 * ~hit2, b2 * hit2
-            width += (both - b2) * ~(hit2 | miss) + rest * (slot >> 13 & 0x3FFF)
-            cum += (both - b2) * miss + rest * (slot & 0x1FFF)
-            readers.take(k, cum, width)
+            slot = entries.take(ranks.take((above * miss).astype(np.int64) + slot_at[:k]) + listed[:k])
+            readers.take(k, *_spread(b2, b1, rest, slot, hit2, miss))
             now = (e1 ^ (e1 ^ e2) * hit2) & 0xFFFF
             now ^= (now ^ (slot >> 32).astype(np.uint32)) * miss
             fresh = np.flatnonzero((slot & 1 << 27 == 0) & miss)
@@ -545,7 +560,7 @@ class _PieceTable:
     newest piece takes the first one's place.
     """
 
-    def __init__(self, bits: int = 20):
+    def __init__(self, bits: int = 21):
         self.shift = np.uint64(64 - bits)
         self.rows = np.zeros(((1 << bits) + _PROBES, 5), np.uint64)
 
