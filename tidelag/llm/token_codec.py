@@ -230,7 +230,7 @@ class _Readers:
     def target(self, k: int) -> np.ndarray:
         # exact: quotients of whole numbers below 2**48 never round up to the next whole number
         self.step = np.floor(self.range[:k] * 2.0**-_BITS)
-        return np.minimum(np.floor(self.code[:k] / self.step), 2.0**_BITS - 1)
+        return np.floor(self.code[:k] / self.step)
 
     def take(self, k: int, cum: np.ndarray, width: np.ndarray) -> None:
         code, span, at = self.code[:k], self.range[:k], self.at[:k]
@@ -523,6 +523,10 @@ _KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _LETTER
 _KINDS[48:58] = _DIGIT
 
 
+def _meet(text: str) -> bool:
+    return any([b in text for b in _BLANKS])
+
+
 class _NotPlain(Exception):
     pass
 
@@ -706,7 +710,7 @@ class PieceTokenizer:
 
     def ids(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         raw: list = [b"" if not t else None for t in texts]
-        single = [i for i, t in enumerate(texts) if t and self.by_pieces and not any(b in "\n" + t for b in _BLANKS)]
+        single = [i for i, t in enumerate(texts) if t and self.by_pieces and t[0] not in " \n" and not _meet(t)]
         if single:
             for i, found in zip(single, self._single([texts[i] for i in single]), strict=True):
                 raw[i] = found
