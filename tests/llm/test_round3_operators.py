@@ -219,6 +219,21 @@ def test_chain_of_forms_and_ties(spark):
     ]
 
 
+def test_only_bigram_counts_are_broadcast(spark, tmp_path):
+    """A word has many join keys, which Spark leaves out of the sizes by which it would broadcast a side."""
+    pick = random.Random(5)
+    words = sorted({"".join(pick.choice("abcdefgh") for _ in range(7)) for _ in range(300)})
+    vocab = spark.createDataFrame([(w, 5) for w in words], "word string, n long")
+    pairs = S.near_pairs(vocab)
+    got = {(r.a, r.b) for r in pairs.collect()}
+    assert got == {(v, w) for v in words for w in words if v < w and near(v, w)}
+    plan = pairs._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin [key" in plan and "BroadcastHashJoin [key" not in plan
+    formed = S.forms(vocab, pairs).withColumn("form", F.when(F.col("word") > words[0], F.lit(words[0])))
+    reached = S.roots(formed, str(tmp_path))
+    assert {r.root for r in reached.collect()} == {words[0]}
+
+
 def test_pivots_are_disjoint_and_cheapest(spark):
     pick = random.Random(3)
     words = sorted({"".join(pick.choice("aab") for _ in range(pick.randint(6, 14))) for _ in range(80)})

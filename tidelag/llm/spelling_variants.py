@@ -132,7 +132,8 @@ def near_pairs(vocab: DataFrame) -> DataFrame:
         .selectExpr("word as v", "n as n_v", "last as last_v", f"inline(filter({_keys('at')}, k -> k is not null))")
         .drop("behind")
     )
-    found = asking.join(holding, "key").where("last_w <= last_v and w <> v and levenshtein(w, v, 1) = 1")
+    # A word has many keys, which Spark does not count when it sizes a side: without the hint it broadcasts one.
+    found = asking.join(holding.hint("merge"), "key").where("last_w <= last_v and w <> v and levenshtein(w, v, 1) = 1")
     pair = "if(w < v, named_struct('a', w, 'n_a', n_w, 'b', v, 'n_b', n_v), named_struct('a', v, 'n_a', n_v, 'b', w, 'n_b', n_w))"
     return found.selectExpr(f"inline(array({pair}))").dropDuplicates(["a", "b"])
 
@@ -156,15 +157,16 @@ def roots(formed: DataFrame, folder: str) -> DataFrame:
     """word, root of the words that have a form: the end of its chain of forms.
 
     Counts grow by DOMINANCE along a chain, so it has no circle and few links; their reach doubles with every round.
+    Spark would size the written words by their compressed files and broadcast them every round, hence the hints.
     """
     reach = formed.where("form is not null").select("word", F.col("form").alias("root"))
     step = 0
     while True:
         reach = written(reach, folder, f"reach-{step}")
         onward = reach.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        if reach.join(onward, "root", "left_semi").isEmpty():
+        if reach.join(onward.hint("merge"), "root", "left_semi").isEmpty():
             return reach
-        reach = reach.join(onward, "root", "left").select("word", F.coalesce("next", "root").alias("root"))
+        reach = reach.join(onward.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"))
         step += 1
 
 
@@ -174,6 +176,6 @@ def variants(documents: DataFrame, altered: int | None = ALTERED, folder: str |
     vocab = written(vocabulary(occurrences(documents, altered)), folder, "vocabulary")
     formed = written(forms(vocab, near_pairs(vocab)), folder, "forms")
     ends = roots(formed, folder)
-    return formed.join(ends, "word", "left").select(
+    return formed.join(ends.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
