@@ -3,17 +3,20 @@
 A snapshot at time t sees the samples with ``t - ttl <= at <= seen``.  Joining each commit to all of them would
 emit every pair in the window.  Instead use is made of offsets that rarely fall:
 
-1. Samples are dealt to (series, era), an era being as wide as a window, so a window lies in an era and the one before
-   it and each sample goes to two of them.  In time order every fall of the offset begins a new *run*.
-2. Each distinct (series, snapshot) is placed once in that order: its first and last sample in the window, and their
-   runs.  Inside a run, what the window sees is one stretch of offsets, so those two samples are enough to cut the
-   answer of a lookup that knows the run alone.
-3. One sort by offset inside (series, era, run) finds the samples around every commit.  A log that never falls has one
-   run, hence one lookup per commit; an era asked very often gets several copies, each with a share of its lookups.  Where a window spans several runs, the whole ones between its ends are covered by nodes of a
-   binary hierarchy over the run numbers, and the few partial answers are folded together.
-
-A sample becomes two rows in time order and two in the lookup, plus one a level of the hierarchy, whose height is the
-logarithm of the runs in its era: none for a log that never falls.  Times may be of any resolution.
+1. Samples and commits are dealt to (series, era), an era being as wide as ERA_WINDOWS windows, so a window lies in an
+   era and the last window's width of the one before it; samples in that last width go to two eras.  An era asked very
+   often gets several copies, each with all its samples and a share of its commits.  This is the only shuffle: all that
+   follows is done inside an era.
+2. In time order every fall of the offset begins a new *run*, and each commit finds the first and last sample of its
+   window and their runs.  Inside a run, what the window sees is one stretch of offsets, so those two samples are
+   enough to cut the answer of a lookup that knows the run alone.
+3. Samples fold to one row per run and offset.  One sort by offset inside (series, era, run) finds the samples around
+   every commit.  A log that never falls has one run, hence one lookup per commit.  Where a window spans several runs,
+   the whole ones between its ends are covered by nodes of a binary hierarchy over the run numbers, and the few partial
+   answers are folded together.
+
+In the lookup a sample has one row a level of the hierarchy, whose height is the logarithm of the runs in its era: none
+for a log that never falls.  Times may be of any resolution.
 """
 
 from __future__ import annotations
@@ -25,9 +28,16 @@ from tidelag.model import HOT_ROWS, MAX_HOT_SLICES, SERIES
 from tidelag.operators.lag import with_lag
 
 ERA = [*SERIES, "era"]
+COPY = [*ERA, "copy"]
 NODE = [*ERA, "level", "node"]
 ENDS = ["f_off", "f_at", "f_run", "a_off", "a_at", "a_run"]
 
+# An era is so many windows wide: the wider, the fewer samples go to two eras, and the more one task holds.
+ERA_WINDOWS = 4
+
+# Hash buckets by which eras are counted, a power of two; more than MAX_HOT_SLICES, so that few are as full as a hot era.
+ERA_BUCKETS = 16_384
+
 # Offset first, then age, in one number that hash aggregation can keep: ages are far below 10**18 ms.
 _AGES = "1000000000000000000BD"
 
@@ -36,30 +46,54 @@ def _floor_div(value: str, by: int) -> str:
     return f"(({value}) - pmod({value}, {by}L)) div {by}L"
 
 
-def in_eras(samples: DataFrame, width: int) -> DataFrame:
-    """Every sample in its own era and the next, whose windows reach back to it."""
+def in_eras(samples: DataFrame, width: int, windows: int = 1) -> DataFrame:
+    """Every sample in its own era of ``windows * width``, and in the next if windows of ``width`` reach back to it."""
+    era = windows * width
     known = samples.where("off is not null and at_ms is not null").selectExpr(*SERIES, "off", "at_ms")
-    own = _floor_div("at_ms", width)
-    return known.selectExpr(*SERIES, f"explode(array({own}, {own} + 1)) as era", "off", "at_ms")
+    own = _floor_div("at_ms", era)
+    reached = f"pmod(at_ms, {era}L) >= {era - width}L"
+    return known.selectExpr(*SERIES, f"explode(if({reached}, array({own}, {own} + 1), array({own}))) as era", "off", "at_ms")
 
 
-def _in_order(rows: DataFrame) -> DataFrame:
-    """``rows`` (era, at, kind, off, at_ms) with ``last_off`` and ``run`` as of each row; off is NULL on marks."""
-    order = f"over (partition by {', '.join(ERA)} order by at, kind)"
-    so_far = f"over (partition by {', '.join(ERA)} order by at, kind rows between unbounded preceding and current row)"
-    seen = rows.selectExpr("*", f"lag(off) ignore nulls {order} as before_off", f"last(off) ignore nulls {so_far} as last_off")
-    return seen.selectExpr("*", f"sum(if(off < before_off, 1L, 0L)) {so_far} as run")
+def _in_order(rows: DataFrame, by: list[str] = ERA) -> DataFrame:
+    """``rows`` (era, at, kind, off, at_ms) with the samples before and after each and its ``run``; off is NULL on marks."""
+    order = f"over (partition by {', '.join(by)} order by at, kind)"
+    so_far = f"over (partition by {', '.join(by)} order by at, kind rows between unbounded preceding and current row)"
+    seen = rows.selectExpr(
+        "*",
+        f"lag(off) ignore nulls {order} as before_off",
+        f"last(off) ignore nulls {so_far} as last_off",
+        f"last(at_ms) ignore nulls {so_far} as last_at",
+        f"lead(off) ignore nulls {order} as next_off",
+        f"lead(at_ms) ignore nulls {order} as next_at",
+    )
+    runs = seen.selectExpr("*", f"sum(if(off < before_off, 1L, 0L)) {so_far} as run")
+    return runs.selectExpr("*", f"max(run) over (partition by {', '.join(by)}) as last_run")
+
+
+# A level is of use only where one of its nodes fits between two runs of the era.
+_LEVELS = "sequence(0, if(last_run < 2, 0, cast(floor(log2(last_run - 1)) as int)))"
+
+# Ends of a window from its two marks: kind 0 sorts before a sample of the same time, kind 2 after it.
+_ENDS_OF_MARKS = [
+    "max(if(kind = 0, next_off, null)) as f_off",
+    "max(if(kind = 0, next_at, null)) as f_at",
+    "max(if(kind = 0, run + if(next_off < last_off, 1L, 0L), null)) as f_run",
+    "max(if(kind = 2, last_off, null)) as a_off",
+    "max(if(kind = 2, last_at, null)) as a_at",
+    "max(if(kind = 2, run, null)) as a_run",
+]
+
+
+def _marks(ttl_ms: int, seen: str) -> str:
+    return f"array(struct(snapshot_ms - {ttl_ms}L as at, 0 as kind), struct({seen} as at, 2 as kind))"
 
 
 def numbered_samples(samples: DataFrame, width: int) -> DataFrame:
     """Samples keyed by era and node: level 0 is their run, higher levels hold 2, 4, ... whole runs each."""
     rows = in_eras(samples, width).selectExpr(*ERA, "at_ms as at", "1 as kind", "off", "at_ms")
-    runs = _in_order(rows).selectExpr(*ERA, "off", "at_ms", "run", f"max(run) over (partition by {', '.join(ERA)}) as last_run")
-    # A level is of use only where one of its nodes fits between two runs of the era.
-    levels = "explode(sequence(0, if(last_run < 2, 0, cast(floor(log2(last_run - 1)) as int)))) as level"
-    return runs.selectExpr(*ERA, "run", levels, "off", "at_ms").selectExpr(
-        *ERA, "level", "shiftright(run, level) as node", "off", "at_ms"
-    )
+    runs = _in_order(rows).selectExpr(*ERA, "off", "at_ms", "run", f"explode({_LEVELS}) as level")
+    return runs.selectExpr(*ERA, "level", "shiftright(run, level) as node", "off", "at_ms")
 
 
 def window_ends(commit_log: DataFrame, samples: DataFrame, ttl_ms: int, ahead_ms: int = 0, seen: str = "snapshot_ms") -> DataFrame:
@@ -70,31 +104,11 @@ def window_ends(commit_log: DataFrame, samples: DataFrame, ttl_ms: int, ahead_ms
     width = ttl_ms + ahead_ms + 1
     window = [*SERIES, "snapshot_ms", *({seen} - {"snapshot_ms"})]
     windows = commit_log.select(*window).distinct().selectExpr("*", f"{_floor_div(seen, width)} as era")
-    # The beginning of a window sorts before a sample of the same time, its end after it.
-    marks = f"inline(array(struct(snapshot_ms - {ttl_ms}L as at, 0 as kind), struct({seen} as at, 2 as kind)))"
     rows = in_eras(samples, width).selectExpr(*ERA, "at_ms as at", "1 as kind", "off", "at_ms")
-    rows = rows.unionByName(windows.selectExpr(*ERA, *window[3:], marks), allowMissingColumns=True)
-    order = f"over (partition by {', '.join(ERA)} order by at, kind)"
-    so_far = f"over (partition by {', '.join(ERA)} order by at, kind rows between unbounded preceding and current row)"
-    placed = _in_order(rows).selectExpr(
-        *ERA,
-        *window[3:],
-        "kind",
-        "last_off",
-        f"last(at_ms) ignore nulls {so_far} as last_at",
-        "run",
-        f"lead(off) ignore nulls {order} as next_off",
-        f"lead(at_ms) ignore nulls {order} as next_at",
-    )
+    marks = windows.selectExpr(*ERA, *window[3:], f"inline({_marks(ttl_ms, seen)})")
+    placed = _in_order(rows.unionByName(marks, allowMissingColumns=True)).where("kind <> 1")
     # Both marks of a window lie in one era, so this needs no further shuffle.
-    ends = placed.where("kind <> 1").groupBy(*ERA, *window[3:]).agg(
-        F.expr("max(if(kind = 0, next_off, null)) as f_off"),
-        F.expr("max(if(kind = 0, next_at, null)) as f_at"),
-        F.expr("max(if(kind = 0, run + if(next_off < last_off, 1L, 0L), null)) as f_run"),
-        F.expr("max(if(kind = 2, last_off, null)) as a_off"),
-        F.expr("max(if(kind = 2, last_at, null)) as a_at"),
-        F.expr("max(if(kind = 2, run, null)) as a_run"),
-    )
+    ends = placed.groupBy(*ERA, *window[3:]).agg(*[F.expr(e) for e in _ENDS_OF_MARKS])
     return ends.selectExpr(*ERA, *window[3:], *[f"if(f_at <= a_at, {c}, null) as {c}" for c in ENDS])
 
 
@@ -121,43 +135,68 @@ def window_pieces(ends: DataFrame) -> DataFrame:
     return ends.selectExpr("*", f"{_pieces()} as pieces")
 
 
-def _hot_eras(commit_log: DataFrame, width: int, hot_rows: int, seen: str) -> DataFrame:
+def _hot_eras(lookups: DataFrame, hot_rows: int) -> DataFrame:
     """Eras asked more than ``hot_rows`` times and the copies they get.
 
-    Fewer than MAX_HOT_SLICES eras can each hold more than their part of all lookups, which bounds the broadcast.
+    Fewer than MAX_HOT_SLICES eras, or buckets of eras, can each hold more than their part of all lookups, which bounds
+    the broadcasts.  Eras are counted only in the buckets that hold enough lookups for a hot one, since counting all
+    would shuffle about as many rows as there are lookups.
     """
-    counts = (
-        commit_log.selectExpr(*SERIES, f"{_floor_div(seen, width)} as era")
-        .groupBy(*ERA)
-        .agg(F.count("*").alias("lookups"))
-    )
-    share_of_all = counts.agg(F.expr(f"sum(lookups) div {MAX_HOT_SLICES}")).scalar()
+    asked = lookups.selectExpr(*ERA, f"xxhash64({', '.join(ERA)}) & {ERA_BUCKETS - 1}L as bucket")
+    buckets = asked.groupBy("bucket").agg(F.count("*").alias("lookups"))
+    share_of_all = buckets.agg(F.expr(f"sum(lookups) div {MAX_HOT_SLICES}")).scalar()
     limit = F.greatest(F.lit(hot_rows), share_of_all)
+    full = F.broadcast(buckets.where(F.col("lookups") > limit).select("bucket"))
+    counts = asked.join(full, "bucket", "left_semi").groupBy(*ERA).agg(F.count("*").alias("lookups"))
     copies = (F.lit(1) + F.call_function("div", F.col("lookups"), limit)).cast("int")
     return F.broadcast(counts.where(F.col("lookups") > limit).select(*ERA, copies.alias("copies")))
 
 
-def _around(asked: DataFrame, held: DataFrame, hot: DataFrame) -> DataFrame:
-    """``asked`` (node, c_off, others) with the samples around ``c_off`` in its node, and the node's range of offsets."""
-    others = [c for c in asked.columns if c not in (*NODE, "c_off")]
-    share = f"cast(pmod(xxhash64(c_off, {', '.join(others)}), coalesce(copies, 1)) as int)"
-    lookups = asked.join(hot, ERA, "left").selectExpr(
-        *NODE, f"{share} as copy", "c_off as at_off", "true as is_lookup", *others
+def _dealt(lookups: DataFrame, samples: DataFrame, hot: DataFrame) -> DataFrame:
+    """Lookups (``c_off``, others) and samples (``off``, ``at_ms``) of every era together, by copy."""
+    others = [c for c in lookups.columns if c not in ERA]
+    share = f"cast(pmod(xxhash64({', '.join(others)}), coalesce(copies, 1)) as int) as copy"
+    asked = lookups.join(hot, ERA, "left").selectExpr(*ERA, share, *others)
+    held = samples.join(hot, ERA, "left").selectExpr(
+        *ERA, "explode(sequence(0, coalesce(copies, 1) - 1)) as copy", "off", "at_ms"
     )
-    # Runs in one node may share an offset; its latest time counts.
-    known = held.groupBy(*NODE, "off").agg(F.max("at_ms").alias("s_at"))
-    known = known.join(hot, ERA, "left").selectExpr(
-        *NODE, "explode(sequence(0, coalesce(copies, 1) - 1)) as copy", "off as at_off", "false as is_lookup", "off as s_off", "s_at"
+    return asked.unionByName(held, allowMissingColumns=True).repartition(*COPY)
+
+
+def _in_time(rows: DataFrame, ttl_ms: int, seen: str) -> DataFrame:
+    """Lookups with the ends of their windows, and samples folded to one row per run and offset with the latest time."""
+    others = [c for c in rows.columns if c not in (*COPY, "off", "at_ms")]
+    sample = "array(struct(at_ms as at, 1 as kind))"
+    timed = rows.selectExpr("*", f"inline(if(off is null, {_marks(ttl_ms, seen)}, {sample}))")
+    placed = _in_order(timed, COPY).withColumn("s_run", F.expr("if(kind = 1, run, null)"))
+    folded = placed.groupBy(*COPY, *others, "off", "s_run").agg(
+        F.max("at_ms").alias("s_at"), F.max("last_run").alias("last_run"), *[F.expr(e) for e in _ENDS_OF_MARKS]
     )
-    rows = lookups.unionByName(known, allowMissingColumns=True)
-    node = f"partition by {', '.join(NODE)}, copy"
+    ends = [f"if(f_at <= a_at, {c}, null) as {c}" for c in ENDS]
+    return folded.selectExpr(*COPY, *others, "off as s_off", "s_at", "s_run", "last_run", *ends)
+
+
+def _in_nodes(rows: DataFrame) -> DataFrame:
+    """Lookups in all nodes that cover their window, samples in the nodes of all levels."""
+    levels = f"""transform({_LEVELS}, k -> struct(
+        k as level, shiftright(s_run, k) as node, false as holds_first, false as holds_last))"""
+    nodes = f"inline(if(s_off is null, {_pieces()}, {levels}))"
+    placed = rows.withColumnRenamed("c_off", "own_off").selectExpr("*", nodes).drop("s_run", "last_run")
+    asked = "if(holds_first and own_off < f_off, f_off, own_off)"
+    return placed.selectExpr("*", "s_off is null as is_lookup", f"coalesce(s_off, {asked}) as at_off")
+
+
+def _around(rows: DataFrame) -> DataFrame:
+    """Lookups with the samples around ``at_off`` in their node, and the node's range of offsets."""
+    of_node = [*NODE, "copy"]
+    node = f"partition by {', '.join(of_node)}"
     order = f"{node} order by at_off, is_lookup"  # a lookup of a sampled offset sorts after that sample
     so_far = f"over ({order} rows between unbounded preceding and current row)"
-    found = rows.selectExpr(
-        *NODE,
-        *others,
-        "at_off as c_off",
-        "is_lookup",
+    # Runs in one node may share an offset; its latest time counts.  The one sort serves both windows.
+    rows = rows.sortWithinPartitions(*of_node, "at_off", "is_lookup")
+    latest = rows.withColumn("s_at", F.expr(f"if(is_lookup, null, max(s_at) over ({node}, at_off))"))
+    found = latest.selectExpr(
+        *[c for c in rows.columns if c not in ("s_off", "s_at")],
         f"last(s_off) ignore nulls {so_far} as lo_off",
         f"last(s_at) ignore nulls {so_far} as lo_at",
         f"lead(s_off) ignore nulls over ({order}) as up_off",
@@ -165,7 +204,7 @@ def _around(asked: DataFrame, held: DataFrame, hot: DataFrame) -> DataFrame:
         f"min(s_off) over ({node}) as min_off",
         f"max(s_off) over ({node}) as max_off",
     )
-    return found.where("is_lookup").drop("is_lookup")
+    return found.where("is_lookup").drop("is_lookup", "at_off")
 
 
 def _cut(found: DataFrame) -> DataFrame:
@@ -207,20 +246,15 @@ def replay_neighbours(
     """
     position = list(commit_log.columns)
     width = ttl_ms + ahead_ms + 1
-    windows = window_pieces(window_ends(commit_log, samples, ttl_ms, ahead_ms, seen))
-    asked = (
-        commit_log.where("c_off is not null").join(windows.hint("rebalance"), [*SERIES, *sorted({"snapshot_ms", seen})])
-        .selectExpr(*position, "era", "f_off", "a_off", "a_at", "inline(pieces)")
-        .withColumnRenamed("c_off", "own_off")
-        .selectExpr("*", "if(holds_first and own_off < f_off, f_off, own_off) as c_off")
-    )
-    hot = _hot_eras(commit_log, width, hot_rows, seen)
-    cut = _cut(_around(asked, numbered_samples(samples, width), hot))
+    # Joins further down imply some of these filters on some branches; stated here, all reads of the commits share one shuffle.
+    placed = " and ".join(f"{c} is not null" for c in dict.fromkeys([*ERA, "c_off", "snapshot_ms", seen]))
+    lookups = commit_log.selectExpr("*", f"{_floor_div(seen, ERA_WINDOWS * width)} as era").where(placed)
+    rows = _dealt(lookups, in_eras(samples, width, ERA_WINDOWS), _hot_eras(lookups, hot_rows))
+    cut = _cut(_around(_in_nodes(_in_time(rows, ttl_ms, seen))))
     age = f"({seen} - {{}})".format
     folded = (
-        cut.drop("c_off")
-        .withColumnRenamed("own_off", "c_off")
-        .groupBy(*position)
+        cut.withColumnRenamed("own_off", "c_off")
+        .groupBy(*COPY, *[c for c in position if c not in SERIES])
         .agg(
             F.expr(f"max(cast(cut_lo_off as decimal(19,0)) * {_AGES} + ({_AGES} - 1BD - {age('cut_lo_at')})) as lo"),
             F.expr(f"min(cast(cut_up_off as decimal(19,0)) * {_AGES} + {age('cut_up_at')}) as up"),
