@@ -1,11 +1,13 @@
 import random
+import re
 
 import pytest
 from conftest import rows
 from walk import walk_lag
 
 from tidelag.operators import lag as L
-from tidelag.operators.replay import in_eras, lag_replay, numbered_samples, window_ends, window_pieces
+from tidelag.operators.replay import in_eras, lag_replay, numbered_samples, replay_neighbours, window_ends, window_pieces
+from tidelag.plans.iteration import iteration_lags
 
 S = "cluster string, topic string, part int, off bigint, at_ms bigint"
 C = "cluster string, grp string, topic string, part int, snapshot_ms bigint, c_off bigint"
@@ -98,3 +100,62 @@ def test_single_snapshot_equals_partition_lag(spark):
     commits = spark.createDataFrame([("c", f"g{i}", "t", 0, 19000, i * 17) for i in range(20)], C)
     replayed = lag_replay(commits, samples, 3600)
     assert rows(replayed, "grp", "lag_off", "lag_s", "lag_s_case") == rows(L.partition_lag(commits, samples), "grp", "lag_off", "lag_s", "lag_s_case")
+
+
+def dealt_by(df):
+    """Keys of all shuffles in the plan of ``df``, without the number of partitions."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    found = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", plan)
+    return {tuple(re.sub(r"#\d+L?", "", k).split(", ")) for k in found}
+
+
+COUNTED = {("bucket",), ("cluster", "topic", "part", "era")}
+COPY = ("cluster", "topic", "part", "era", "copy")
+
+
+def test_commits_and_samples_cross_the_network_once(spark):
+    samples = spark.createDataFrame([("c", "t", 0, i, i * 1000) for i in range(9)], S)
+    commits = spark.createDataFrame([("c", "g", "t", 0, 8000, 3)], C)
+    assert dealt_by(lag_replay(commits, samples, 20)) == COUNTED | {COPY}
+
+
+def test_few_samples_go_to_two_eras(spark):
+    """Eras of four windows: a sample in the last quarter of one is seen from the next as well."""
+    samples = spark.createDataFrame([("c", "t", 0, i, i * 1000) for i in range(400)], S)
+    dealt = rows(in_eras(samples, 10_000, 4), "era", "at_ms")
+    assert len(dealt) == 500
+    assert set(dealt) == {(at // 40_000 + k, at) for at in range(0, 400_000, 1000) for k in (0, 1) if k == 0 or at % 40_000 >= 30_000}
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1_000_000])
+def test_log_ends_are_the_newest_read(spark, hot_rows):
+    rng = random.Random(7)
+    history = [("c", f"t{i % 3}", 0, rng.randrange(50), i * 700) for i in range(60)]
+    read = [("c", f"t{i % 3}", 0, None if i % 7 == 0 else i, rng.randrange(9), 1000 * rng.randrange(40)) for i in range(200)]
+    commits = sorted({("c", f"g{i % 4}", f"t{rng.randrange(4)}", 0, 1000 * rng.randrange(45), rng.randrange(60)) for i in range(150)})
+    newest = {}
+    for _, topic, _, off, at, snapshot in read:
+        newest.setdefault((topic, snapshot), {}).setdefault(at, set()).add(off)
+    once = [(c, t, p, off, at, s) for c, t, p, off, at, s in read if len(newest[t, s][at]) == 1]  # unique per series and time
+    newest = {}
+    for _, topic, _, off, at, snapshot in once:
+        newest[topic, snapshot] = max(newest.get((topic, snapshot), (-1, None)), (at, off), key=lambda r: r[0])
+    found = replay_neighbours(
+        spark.createDataFrame(commits, C), spark.createDataFrame(history, S), 9000, hot_rows=hot_rows,
+        read=spark.createDataFrame(once, S + ", snapshot_ms bigint"),
+    )
+    got = rows(found, "grp", "topic", "snapshot_ms", "c_off", "leo_at", "leo")
+    want = [(g, t, s, c, *newest.get((t, s), (None, None))) for _, g, t, _, s, c in commits]
+    assert got == sorted(want, key=lambda r: tuple((x is None, str(x)) for x in r))
+    assert any(r[5] is not None for r in got) and any(r[4] is None for r in got)
+    kept = ("grp", "topic", "snapshot_ms", "c_off", "lo_off", "lo_at", "up_off", "up_at", "min_off", "max_off")
+    assert rows(found, *kept) == rows(replay_neighbours(spark.createDataFrame(commits, C), spark.createDataFrame(history, S), 9000), *kept)
+
+
+def test_log_ends_have_no_shuffle_of_their_own(spark):
+    samples = spark.createDataFrame([("c", "t", 0, i, i * 1000) for i in range(9)], S)
+    commits = spark.createDataFrame([("c", "g", "t", 0, 8000, 3)], C).selectExpr("*", "0 as err_code")
+    lags = iteration_lags(commits, commits, samples, samples, commits, 20)
+    assert rows(lags, "leo", "leo_at", "lag_off") == [(8, 8000, 5)]
+    keys = dealt_by(lags)
+    assert COPY in keys and not any("part" in k and "snapshot_ms" in k for k in keys)

@@ -46,6 +46,10 @@ def _floor_div(value: str, by: int) -> str:
     return f"(({value}) - pmod({value}, {by}L)) div {by}L"
 
 
+def _known(*columns: str) -> str:
+    return " and ".join(f"{c} is not null" for c in dict.fromkeys(columns))
+
+
 def in_eras(samples: DataFrame, width: int, windows: int = 1) -> DataFrame:
     """Every sample in its own era of ``windows * width``, and in the next if windows of ``width`` reach back to it."""
     era = windows * width
@@ -55,10 +59,14 @@ def in_eras(samples: DataFrame, width: int, windows: int = 1) -> DataFrame:
     return known.selectExpr(*SERIES, f"explode(if({reached}, array({own}, {own} + 1), array({own}))) as era", "off", "at_ms")
 
 
-def _in_order(rows: DataFrame, by: list[str] = ERA) -> DataFrame:
-    """``rows`` (era, at, kind, off, at_ms) with the samples before and after each and its ``run``; off is NULL on marks."""
-    order = f"over (partition by {', '.join(by)} order by at, kind)"
-    so_far = f"over (partition by {', '.join(by)} order by at, kind rows between unbounded preceding and current row)"
+def _in_order(rows: DataFrame, by: list[str] = ERA, told: tuple[str, ...] = (), then: str = "") -> DataFrame:
+    """``rows`` (era, at, kind, off, at_ms) with the samples before and after each and its ``run``; off is NULL on marks.
+
+    The last known values of the columns ``told`` are added; rows alike in time and kind are ordered by ``then``.
+    """
+    by_time = f"partition by {', '.join(by)} order by at, kind{then}"
+    order = f"over ({by_time})"
+    so_far = f"over ({by_time} rows between unbounded preceding and current row)"
     seen = rows.selectExpr(
         "*",
         f"lag(off) ignore nulls {order} as before_off",
@@ -66,6 +74,7 @@ def _in_order(rows: DataFrame, by: list[str] = ERA) -> DataFrame:
         f"last(at_ms) ignore nulls {so_far} as last_at",
         f"lead(off) ignore nulls {order} as next_off",
         f"lead(at_ms) ignore nulls {order} as next_at",
+        *[f"last({c}) ignore nulls {so_far} as last_{c}" for c in told],
     )
     runs = seen.selectExpr("*", f"sum(if(off < before_off, 1L, 0L)) {so_far} as run")
     return runs.selectExpr("*", f"max(run) over (partition by {', '.join(by)}) as last_run")
@@ -152,28 +161,51 @@ def _hot_eras(lookups: DataFrame, hot_rows: int) -> DataFrame:
     return F.broadcast(counts.where(F.col("lookups") > limit).select(*ERA, copies.alias("copies")))
 
 
-def _dealt(lookups: DataFrame, samples: DataFrame, hot: DataFrame) -> DataFrame:
-    """Lookups (``c_off``, others) and samples (``off``, ``at_ms``) of every era together, by copy."""
+def _dealt(lookups: DataFrame, samples: DataFrame, read: DataFrame | None, hot: DataFrame) -> DataFrame:
+    """Lookups (``c_off``, others), samples (``off``, ``at_ms``) and reads (``r_off``, ``r_at``) of every era together, by copy."""
     others = [c for c in lookups.columns if c not in ERA]
     share = f"cast(pmod(xxhash64({', '.join(others)}), coalesce(copies, 1)) as int) as copy"
-    asked = lookups.join(hot, ERA, "left").selectExpr(*ERA, share, *others)
-    held = samples.join(hot, ERA, "left").selectExpr(
-        *ERA, "explode(sequence(0, coalesce(copies, 1) - 1)) as copy", "off", "at_ms"
-    )
-    return asked.unionByName(held, allowMissingColumns=True).repartition(*COPY)
+    every = "explode(sequence(0, coalesce(copies, 1) - 1)) as copy"
+    rows = lookups.join(hot, ERA, "left").selectExpr(*ERA, share, *others)
+    rows = rows.unionByName(samples.join(hot, ERA, "left").selectExpr(*ERA, every, "off", "at_ms"), allowMissingColumns=True)
+    if read is not None:
+        rest = [c for c in read.columns if c not in ERA]
+        rows = rows.unionByName(read.join(hot, ERA, "left").selectExpr(*ERA, every, *rest), allowMissingColumns=True)
+    return rows.repartition(*COPY)
 
 
 def _in_time(rows: DataFrame, ttl_ms: int, seen: str) -> DataFrame:
     """Lookups with the ends of their windows, and samples folded to one row per run and offset with the latest time."""
-    others = [c for c in rows.columns if c not in (*COPY, "off", "at_ms")]
-    sample = "array(struct(at_ms as at, 1 as kind))"
-    timed = rows.selectExpr("*", f"inline(if(off is null, {_marks(ttl_ms, seen)}, {sample}))")
-    placed = _in_order(timed, COPY).withColumn("s_run", F.expr("if(kind = 1, run, null)"))
+    others = [c for c in rows.columns if c not in (*COPY, "off", "at_ms", "r_off", "r_at")]
+    at = "array(struct({} as at, 1 as kind))".format
+    marks = f"case when c_off is not null then {_marks(ttl_ms, seen)} when off is not null then {at('at_ms')} else {at(seen)} end"
+    timed = rows.selectExpr("*", f"inline({marks})")
+    if "r_at" in rows.columns:
+        # What was read stands at the end of its window, the newest last.
+        timed = timed.withColumn("read", F.expr("if(r_at is null, null, struct(r_at, r_off, snapshot_ms))")).drop("r_at", "r_off")
+        placed = _in_order(timed, COPY, ("read",), ", read").where("c_off is not null or off is not null")
+        own = "if(kind = 2 and last_read.snapshot_ms = snapshot_ms, last_read.{}, null)".format
+        log_end = [f"max({own('r_off')}) as leo", f"max({own('r_at')}) as leo_at"]
+    else:
+        placed = _in_order(timed, COPY)
+        log_end = []
+    placed = placed.withColumn("s_run", F.expr("if(kind = 1, run, null)"))
     folded = placed.groupBy(*COPY, *others, "off", "s_run").agg(
-        F.max("at_ms").alias("s_at"), F.max("last_run").alias("last_run"), *[F.expr(e) for e in _ENDS_OF_MARKS]
+        F.max("at_ms").alias("s_at"),
+        F.max("last_run").alias("last_run"),
+        *[F.expr(e) for e in (*_ENDS_OF_MARKS, *log_end)],
+    )
+    ends = folded.selectExpr(
+        *COPY,
+        *others,
+        *[c for c in folded.columns if c in ("leo", "leo_at")],
+        "off as s_off",
+        "s_at",
+        "s_run",
+        "last_run",
+        *[f"if(f_at <= a_at, {c}, null) as {c}" for c in ENDS],
     )
-    ends = [f"if(f_at <= a_at, {c}, null) as {c}" for c in ENDS]
-    return folded.selectExpr(*COPY, *others, "off as s_off", "s_at", "s_run", "last_run", *ends)
+    return ends if log_end else ends.withColumns({"leo": F.col("a_off"), "leo_at": F.col("a_at")})
 
 
 def _in_nodes(rows: DataFrame) -> DataFrame:
@@ -239,17 +271,24 @@ def replay_neighbours(
     ahead_ms: int = 0,
     hot_rows: int = HOT_ROWS,
     seen: str = "snapshot_ms",
+    read: DataFrame | None = None,
 ) -> DataFrame:
     """Every commit with the samples around its offset in the window of its snapshot (see ``nearest.NEIGHBOURS``).
 
-    A window ends at the time in column ``seen``, at most ``ahead_ms`` after the snapshot.
+    A window ends at the time in column ``seen``, at most ``ahead_ms`` after the snapshot.  Its newest sample is the log
+    end, unless ``read`` has the samples that each snapshot read itself, with the columns ``snapshot_ms`` and ``seen``;
+    then it is the newest of those, and unknown without any.
     """
     position = list(commit_log.columns)
     width = ttl_ms + ahead_ms + 1
+    own = f"{_floor_div(seen, ERA_WINDOWS * width)} as era"
     # Joins further down imply some of these filters on some branches; stated here, all reads of the commits share one shuffle.
-    placed = " and ".join(f"{c} is not null" for c in dict.fromkeys([*ERA, "c_off", "snapshot_ms", seen]))
-    lookups = commit_log.selectExpr("*", f"{_floor_div(seen, ERA_WINDOWS * width)} as era").where(placed)
-    rows = _dealt(lookups, in_eras(samples, width, ERA_WINDOWS), _hot_eras(lookups, hot_rows))
+    lookups = commit_log.selectExpr("*", own).where(_known(*ERA, "c_off", "snapshot_ms", seen))
+    if read is not None:
+        kept = dict.fromkeys(["snapshot_ms", seen])
+        read = read.selectExpr(*SERIES, own, *kept, "off as r_off", "at_ms as r_at").where(_known(*ERA, *kept, "r_at"))
+    hot = _hot_eras(lookups, hot_rows)
+    rows = _dealt(lookups, in_eras(samples, width, ERA_WINDOWS), read, hot)
     cut = _cut(_around(_in_nodes(_in_time(rows, ttl_ms, seen))))
     age = f"({seen} - {{}})".format
     folded = (
@@ -260,8 +299,8 @@ def replay_neighbours(
             F.expr(f"min(cast(cut_up_off as decimal(19,0)) * {_AGES} + {age('cut_up_at')}) as up"),
             F.min("least_off").alias("min_off"),
             F.max("most_off").alias("max_off"),
-            F.max("a_off").alias("leo"),
-            F.max("a_at").alias("leo_at"),
+            F.max("leo").alias("leo"),
+            F.max("leo_at").alias("leo_at"),
         )
     )
     offset = f"cast(({{0}} - pmod({{0}}, {_AGES})) / {_AGES} as bigint)".format

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelag.model import FACT, GROUP, SERIES
+from tidelag.model import FACT, GROUP
 from tidelag.operators.gauges import checked_gauges, iteration_gauge, lag_gauges
 from tidelag.operators.groups import filter_groups, good_groups, groups_checked, with_empty_groups
 from tidelag.operators.history import iteration_ends, read_in_iteration
@@ -75,12 +75,11 @@ def iteration_lags(
     """
     at = [*GROUP, "snapshot_ms"]
     commits = valid_commits(committed).join(groups.select(*at), at, "left_semi").select(*FACT, "c_off", "snapshot_ms")
-    commits = commits.join(iteration_ends(iterations, slack_ms), ["cluster", "snapshot_ms"])
-    placed = replay_neighbours(commits, history, ttl_seconds * 1000, slack_ms, seen="seen_ms").drop("seen_ms")
-    read = read_in_iteration(samples, iterations, slack_ms)
-    key = [*SERIES, "snapshot_ms"]
-    latest = read.groupBy(*key).agg(F.max_by("off", "at_ms").alias("leo"), F.max("at_ms").alias("leo_at"))
-    return with_lag(placed.drop("leo", "leo_at").join(latest.hint("rebalance"), key, "left"))
+    ends = iteration_ends(iterations, slack_ms)
+    of = ["cluster", "snapshot_ms"]
+    read = read_in_iteration(samples, iterations, slack_ms).join(ends, of)
+    placed = replay_neighbours(commits.join(ends, of), history, ttl_seconds * 1000, slack_ms, seen="seen_ms", read=read)
+    return with_lag(placed.drop("seen_ms"))
 
 
 def published_iterations(
@@ -93,15 +92,17 @@ def published_iterations(
     ttl_seconds: int,
     slack_ms: int = 0,
     extra: Mapping[str, str] | None = None,
+    iterations: DataFrame | None = None,
 ) -> DataFrame:
     """``published_gauges`` for each of many iterations at once, with ``snapshot_ms``: name, labels, value, snapshot_ms.
 
     Groups and commits carry the ``snapshot_ms`` of their iteration.  What one iteration did not list or could not read
-    has no part in it, whatever the others hold; clusters keep their own time.
+    has no part in it, whatever the others hold; clusters keep their own time.  ``iterations`` (cluster, snapshot_ms) are
+    those of groups and commits unless given, as where they can be had without working out ``committed``.
     """
+    if iterations is None:
+        iterations = iterations_of(groups, committed)
     chosen = filter_groups(good_groups(groups, clusters), rules).select(*GROUP, "snapshot_ms")
-    lags = iteration_lags(
-        chosen, committed, samples, history, iterations_of(groups, committed), ttl_seconds, slack_ms
-    )
+    lags = iteration_lags(chosen, committed, samples, history, iterations, ttl_seconds, slack_ms)
     checked = groups_checked(chosen, ["snapshot_ms"])
     return lag_gauges(all_levels(lags, ["snapshot_ms"]), extra).unionByName(checked_gauges(checked, extra))

@@ -306,14 +306,16 @@ def gauge_long(t):
 @query
 def backlog_gauges(t):
     """Every iteration of the recorded time at once, each from what it listed and read itself."""
+    groups, log = t.iteration_groups(), t.commit_log().drop("seq")
     gauges = I.published_iterations(
-        t.iteration_groups(),
+        groups,
         t.clusters(),
         t.rules(),
-        L.commits_by_snapshot(t.commit_log().drop("seq")),
+        L.commits_by_snapshot(log),
         t.offset_samples(),
         t.offset_samples(),
         RETENTION_SECONDS,
+        iterations=I.iterations_of(groups, log),
     )
     return _flat_labels(gauges).withColumnRenamed("snapshot_ms", "at_ms")
 
