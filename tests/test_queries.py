@@ -2,6 +2,7 @@
 
 import glob
 import os
+import re
 
 import pytest
 
@@ -44,6 +45,26 @@ def test_query_equals_sql(spark, sql, name):
     assert normal(got) == normal(want)
 
 
+def test_last_values_of_a_topic_fold_before_their_shuffle(spark, tmp_path):
+    """Snapshots of a topic are brought together first, so the rows shuffled by label set are few."""
+    at = "timestamp '2024-01-01' + make_interval(0, 0, 0, 0, cast(id % 700 as int), 0, 0) as ts"
+    spark.range(3000).selectExpr("id as event_id", at, "id % 7 as user_id", "element_at(array('click', 'view', 'signup'), cast(id % 3 as int) + 1) as event_type", "double(id % 5) as value").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(2000).selectExpr("id as l_orderkey", "id % 60 as l_partkey", "id % 4 as l_suppkey", "cast(id % 5 as int) as l_linenumber").write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = registered()["gauge_last_value"](spark, str(tmp_path))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    brought = r"Exchange hashpartitioning\(cluster#\d+, grp#\d+, topic#\d+, \d+\)"
+    assert re.search(brought, plan) and re.search(brought, plan).start() > plan.index("Generate explode")
+    lags = registered()["lag_replay"](spark, str(tmp_path)).collect()
+    sums = {}
+    for r in lags:
+        if r.lag_off is not None:
+            key = (r.cluster, r.grp, r.topic)
+            sums.setdefault(key, {}).setdefault(r.snapshot_ms, []).append(r.lag_off)
+    got = {r.labels: (r.value, r.at_ms) for r in df.where("name like '%sum_lag_in_offsets'").collect()}
+    want = {f"clustername={c},group={g},topic={t}": (float(sum(by[max(by)])), max(by)) for (c, g, t), by in sums.items()}
+    assert got == want and want
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns == ["cluster", "grp", "max_off", "max_s", "sum_off", "sum_s"]

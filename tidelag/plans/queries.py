@@ -342,6 +342,8 @@ def gauge_last_value(t):
         F.sum("lag_off").alias("sum_off"),
         F.sum("lag_s").alias("sum_s"),
     )
+    # All snapshots of a topic in one task, where last_values folds them before its own shuffle.
+    rolled = rolled.repartition(*TOPIC)
     rows = rolled.withColumns({"level": F.lit("topic"), "part": F.lit(None).cast("int")})
     gauges = G.lag_gauges(rows).withColumnRenamed("snapshot_ms", "at_ms")
     return _flat_labels(G.last_values(gauges))
